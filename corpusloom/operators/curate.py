@@ -48,6 +48,20 @@ def _top_k_ids(narrow: DataFrame, group_col: str, id_col: str, draw_col: str, k:
     return survivors.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def first_k_per_group(df: DataFrame, group_col: str, order_cols: list[str], k: int,
+                      salt_buckets: int = 64) -> DataFrame:
+    """First k rows per group by ``order_cols`` (A7, W17), skew-safe.
+
+    Ranks inside (group, salt) first, then ranks the <= k x salt_buckets
+    survivors per group, so a hot group is split across tasks.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(group_col, "_salt").orderBy(*order_cols)
+    survivors = salted.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
+    w2 = Window.partitionBy(group_col).orderBy(*order_cols)
+    return survivors.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= k).drop("_rn")
+
+
 def replace_first(col: Column, old: str, new: Column) -> Column:
     """Replace the first occurrence of ``old`` (plain text) with ``new``."""
     pos = F.instr(col, old)

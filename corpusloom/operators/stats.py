@@ -45,9 +45,10 @@ def duplicate_count(df: DataFrame, hash_col: str) -> DataFrame:
 def distributions(df: DataFrame, keys: list[str]) -> DataFrame:
     """A1: counts by each key separately plus the total, in one pass (GROUPING SETS)."""
     sets = [[k] for k in keys] + [[]]
-    g = df.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"))
-    dim = F.coalesce(*[F.when(F.grouping(k) == 0, F.lit(k)) for k in keys], F.lit("total"))
-    val = F.coalesce(*[F.when(F.grouping(k) == 0, F.col(k).cast("string")) for k in keys], F.lit("all"))
+    g = df.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"),
+                                         *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+    dim = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.lit(k)) for k in keys], F.lit("total"))
+    val = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.col(k).cast("string")) for k in keys], F.lit("all"))
     return g.select(dim.alias("dimension"), val.alias("value"), "n")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["corpus"]
+_MODULES = ["corpus", "corpus_examples"]
 
 
 def _load():

@@ -83,3 +83,39 @@ def complexity_level(steps: str, score: str) -> str:
     return (f"(CASE WHEN {steps} >= 8 OR {score} >= 7.0 THEN 'extreme' "
             f"WHEN {steps} >= 6 OR {score} >= 5.0 THEN 'high' "
             f"WHEN {steps} >= 4 OR {score} >= 3.0 THEN 'medium' ELSE 'low' END)")
+
+
+def _arr(xs) -> str:
+    return "[" + ", ".join(str(x) for x in xs) + "]::INTEGER[]"
+
+
+def template_values(templates, compat: bool = False, generic: bool = True) -> str:
+    """Template rows as a VALUES table (category, step, action, resource, criticality, par, deps)."""
+    from corpusloom.operators.examples import generic_steps, template_steps
+    rows = []
+    for cat, steps in template_steps(templates, compat).items():
+        for st, a, res, crit, par, deps in steps:
+            rows.append(f"({lit(cat)}, {st}, {lit(a)}, {lit(res)}, {lit(crit)}, {str(par).lower()}, {_arr(deps)})")
+    if generic:
+        for st, a, res, crit, par, deps in generic_steps(compat):
+            rows.append(f"('__generic__', {st}, {lit(a)}, {lit(res)}, {lit(crit)}, {str(par).lower()}, {_arr(deps)})")
+    return ("(SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") t(category, step, action, resource, criticality, par, deps))")
+
+
+def timing_bounds(resource: str, criticality: str, base: str) -> tuple[str, str]:
+    from corpusloom import rules as R
+    lo = "CASE " + resource + " " + " ".join(f"WHEN {lit(k)} THEN {v[0]}" for k, v in R.BASE_TIMES_US.items()) + " END"
+    hi = "CASE " + resource + " " + " ".join(f"WHEN {lit(k)} THEN {v[1]}" for k, v in R.BASE_TIMES_US.items()) + " END"
+    m = "CASE " + criticality + " " + " ".join(
+        f"WHEN {lit(k)} THEN {v}" for k, v in R.CRITICALITY_MULTIPLIERS.items()) + " END"
+    return (f"CAST(trunc(({lo}) * (({m}) * ({base}))) AS BIGINT)",
+            f"CAST(trunc(({hi}) * (({m}) * ({base}))) AS BIGINT)")
+
+
+def critical_path_cte(steps_rel: str, key: str, anchor_rel: str) -> str:
+    """Recursive CTE `cp(key, k, fin)`: finish times appended step by step."""
+    return (f"cp AS (SELECT {key}, 0 AS k, []::BIGINT[] AS fin FROM {anchor_rel} UNION ALL "
+            f"SELECT cp.{key}, cp.k + 1, list_append(cp.fin, s.us + coalesce(list_max(list_transform(s.deps, "
+            f"lambda d: coalesce(cp.fin[d], 0))), 0)) FROM cp JOIN {steps_rel} s ON s.{key} = cp.{key} "
+            f"AND s.step = cp.k + 1)")

@@ -432,15 +432,15 @@ FIXTURE_CONTEXT_RULES = [
 # Step templates for two fixture categories; the others take the generic steps.
 FIXTURE_STEP_TEMPLATES = {
     "english_prose": [
-        ("Read the source text", "I/O", "medium", 100, 2000, 500, False, []),
+        ("Receive the source text", "I/O", "medium", 100, 2000, 500, False, []),
         ("Parse sentences and tokens", "CPU", "medium", 50, 500, 200, True, [0]),
         ("Validate extracted fields", "CPU", "high", 20, 200, 80, False, [0, 1]),
     ],
     "german_prose": [
-        ("Fetch the document", "I/O", "high", 500, 5000, 1500, False, []),
+        ("Connect to the document store", "I/O", "high", 500, 5000, 1500, False, []),
         ("Normalise the text", "CPU", "low", 50, 400, 120, True, []),
         ("Compute statistics", "GPU", "medium", 100, 1000, 300, True, [0, 1]),
-        ("Write results to disk", "I/O", "medium", 200, 4000, 900, False, [2]),
+        ("Send results to disk", "I/O", "medium", 200, 4000, 900, False, [2]),
     ],
 }
 FIXTURE_TAG_RULES = [
