@@ -26,14 +26,16 @@ def mean_upper_median(df: DataFrame, col: str, max_value: int | None = None) ->
     the ordered pass over the histogram is small by construction.
     """
     hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    if max_value is not None:
-        hist = hist.filter(F.col(col) <= max_value)
-    totals = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(col).alias("mean"))
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_cum", F.sum("_c").over(w)).crossJoin(F.broadcast(totals.select("_n")))
-    med = cum.filter(F.col("_cum") > F.floor(F.col("_n") / 2)).agg(F.min(col).alias("median"))
-    return totals.crossJoin(med).select(F.round("mean", 9).alias(f"mean_{col}"),
-                                        F.col("median").cast("long").alias(f"median_{col}"))
+    if max_value is not None and max_value < 0:
+        raise ValueError("max_value must be non-negative")
+    everything = Window.partitionBy()
+    running = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    cum = (hist.withColumn("_cum", F.sum("_c").over(running))
+               .withColumn("_n", F.sum("_c").over(everything))
+               .withColumn("_s", F.sum(F.col(col) * F.col("_c")).over(everything)))
+    return cum.agg(
+        F.round(F.first(F.col("_s") / F.col("_n")), 9).alias(f"mean_{col}"),
+        F.min(F.when(F.col("_cum") > F.floor(F.col("_n") / 2), F.col(col))).cast("long").alias(f"median_{col}"))
 
 
 def duplicate_count(df: DataFrame, hash_col: str) -> DataFrame:
@@ -54,6 +56,5 @@ def distributions(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def share_of_total(df: DataFrame, key: str, count_col: str = "n") -> DataFrame:
     """Percentage of each group over the (already aggregated, small) rows."""
-    tot = df.agg(F.sum(count_col).alias("_t"))
-    return df.crossJoin(F.broadcast(tot)).select(
-        key, count_col, F.round(F.col(count_col) * 100.0 / F.col("_t"), 6).alias("pct"))
+    total = F.sum(count_col).over(Window.partitionBy())
+    return df.select(key, count_col, F.round(F.col(count_col) * 100.0 / total, 6).alias("pct"))

@@ -78,3 +78,55 @@ QUEUE_LOG_SQL = ("SELECT event_id, ts, user_id, event_type, value, props, "
                  "ELSE 0 END AS delta, "
                  "CASE user_id % 3 WHEN 0 THEN 'gpu_queue' WHEN 1 THEN 'cpu_queue' ELSE 'io_queue' END AS queue "
                  "FROM events")
+
+
+# Task parameters derived from each order (fixture binding for decomposition).
+_TYPES = ["video", "ml", "financial", "image", "database"]
+_RES = ["720p", "1080p", "4k", "8k", "480p"]
+_MODELS = ["lightweight", "standard", "heavy", "transformer", "lstm"]
+_CALCS = ["simple", "risk_assessment", "monte_carlo", "var_calculation", "other"]
+
+
+def task_params(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders")
+    digit = F.substring("o_orderpriority", 1, 1).cast("int")
+    ck = F.col("o_custkey")
+
+    def pick(values, idx):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+    return o.select(
+        F.col("o_orderkey").alias("task_id"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("data_processing"))
+        .otherwise(pick(_TYPES, digit - 1)).alias("task_type"),
+        (F.col("o_totalprice") / 1000).cast("long").alias("frame_count"),
+        pick(_RES, F.pmod(ck, F.lit(5))).alias("resolution"),
+        (F.lit(1) + F.pmod(ck, F.lit(8))).cast("int").alias("available_gpus"),
+        (F.col("o_orderstatus") == "O").alias("has_audio"),
+        F.col("o_totalprice").cast("long").alias("data_size"),
+        pick([16, 32, 64, 128], F.pmod(ck, F.lit(4))).cast("long").alias("batch_size"),
+        pick(_MODELS, F.pmod(ck, F.lit(5))).alias("model_type"),
+        ((F.col("o_totalprice") / 1000).cast("long") + 1).alias("portfolio_size"),
+        pick(_CALCS, F.pmod(ck, F.lit(5))).alias("calculation_type"),
+        (F.lit(1) + F.pmod(ck, F.lit(16))).cast("int").alias("available_cpus"))
+
+
+def _pick_sql(values, idx):
+    vals = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{vals}])[({idx}) + 1]"
+
+
+TASK_PARAMS_SQL = f"""SELECT o_orderkey AS task_id,
+  CASE WHEN o_orderstatus = 'P' THEN 'data_processing'
+       ELSE {_pick_sql(_TYPES, "CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1")} END AS task_type,
+  CAST(trunc(o_totalprice / 1000) AS BIGINT) AS frame_count,
+  {_pick_sql(_RES, "o_custkey % 5")} AS resolution,
+  CAST(1 + o_custkey % 8 AS INTEGER) AS available_gpus,
+  o_orderstatus = 'O' AS has_audio,
+  CAST(trunc(o_totalprice) AS BIGINT) AS data_size,
+  CAST({_pick_sql([16, 32, 64, 128], "o_custkey % 4")} AS BIGINT) AS batch_size,
+  {_pick_sql(_MODELS, "o_custkey % 5")} AS model_type,
+  CAST(trunc(o_totalprice / 1000) AS BIGINT) + 1 AS portfolio_size,
+  {_pick_sql(_CALCS, "o_custkey % 5")} AS calculation_type,
+  CAST(1 + o_custkey % 16 AS INTEGER) AS available_cpus
+FROM orders"""
