@@ -269,3 +269,56 @@ def build_examples_basic(files: DataFrame, *, id_col: str, text_col: str, repo_c
 def json_target(output: Column) -> Column:
     """M4: compact JSON of a struct (nulls kept)."""
     return F.to_json(output, {"ignoreNullFields": "false"})
+
+
+# --- trace enrichment (J2, J3) -------------------------------------------------
+
+def index_within_group(df: DataFrame, group: str, order_col: str, bucket_width: int = 1 << 16) -> DataFrame:
+    """0-based index of each row inside its group in ``order_col`` order,
+    without ranking a whole group in one task: rows are cut into range
+    buckets of ``order_col``; per-(group, bucket) counts (a small table) give
+    each bucket's offset, and rows are numbered inside their bucket."""
+    from pyspark.sql import Window
+    b = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long"))
+    counts = b.groupBy(group, "_bk").agg(F.count(F.lit(1)).alias("_bc"))
+    wb = Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
+    wi = Window.partitionBy(group, "_bk").orderBy(order_col)
+    return (b.join(offs, [group, "_bk"]).withColumn("idx", F.col("_off") + F.row_number().over(wi) - 1)
+            .drop("_bk", "_off"))
+
+
+def enrich_with_traces(ex: DataFrame, traces: DataFrame, *, id_col: str = "doc_id", seed: str = "trace",
+                       default_category: str = "general") -> DataFrame:
+    """Each example takes one seeded-random trace of its category (traces
+    without a category count as ``general``); unmatched examples pass through.
+
+    Traces are numbered inside their category (``index_within_group``) and the
+    example picks ``draw mod count`` — an equi-join on (category, index), so
+    no example is paired with every trace of its category.
+    """
+    tr = traces.withColumn("category", F.coalesce("category", F.lit(default_category)))
+    indexed = index_within_group(tr, "category", "trace_id")
+    counts = tr.groupBy("category").agg(F.count(F.lit(1)).alias("_m"))
+    # one row per category: bounded by the category rules
+    picked = ex.join(F.broadcast(counts), "category", "left").withColumn(
+        "idx", F.when(F.col("_m").isNotNull(), F.pmod(T.seeded_draw(seed, F.col(id_col)), F.col("_m"))))
+    out = picked.join(indexed.select("category", "idx", "trace_id", "timing_data"), ["category", "idx"], "left")
+    return out.withColumn("trace_enhanced", F.col("trace_id").isNotNull()).drop("_m", "idx")
+
+
+def match_step_timing(steps: Column, timing: Column, mappings=R.SYSCALL_MAPPINGS) -> Column:
+    """For each step, the first keyword (in order) found in the lower-cased
+    action whose syscall list has a name present in ``timing`` takes that
+    name's seconds x 1e6 (truncated); 0 or no hit leaves the step unchanged."""
+    rules = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(n).alias("name"))
+                      for k, names in mappings for n in names])
+
+    def one(s):
+        hits = F.filter(rules, lambda r: F.contains(F.lower(s["action"]), r["kw"]) &
+                        F.coalesce(F.map_contains_key(timing, r["name"]), F.lit(False)))
+        us = (F.element_at(timing, F.element_at(hits, 1)["name"]) * F.lit(1000000)).cast("long")
+        real = F.when(F.size(hits) > 0, us)
+        return s.withField("expected_us", F.when(F.coalesce(real, F.lit(0)) != 0, real).otherwise(s["expected_us"]))
+
+    return F.transform(steps, one)

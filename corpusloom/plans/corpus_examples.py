@@ -380,3 +380,68 @@ def balance_categories(spark, sf):
 def shuffle_seeded(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id")
     return curate.shuffle_seeded(d, "doc_id", "shuffle")
+
+
+# --- trace enrichment over events-as-traces (J2, J3) ---------------------------
+
+_TRACE_CATS = ["english_prose", "german_prose", "french_prose", "spanish_prose", "unclassified"]
+
+
+def traces(spark, sf):
+    """`events` as execution traces: category from user_id, timing map from the event type."""
+    e = read_table(spark, sf, "events")
+    v = F.col("value")
+    tm = (F.when(F.col("event_type") == "click", F.create_map(F.lit("connect"), v * 1e-4, F.lit("send"), v * 2e-4))
+          .when(F.col("event_type") == "view", F.create_map(F.lit("socket"), v * 1e-4, F.lit("read"), v * 3e-4))
+          .when(F.col("event_type") == "purchase", F.create_map(F.lit("write"), v * 1e-4, F.lit("recvfrom"), v * 1e-4))
+          .when(F.col("event_type") == "signup", F.create_map(F.lit("getaddrinfo"), v * 1e-4))
+          .otherwise(F.create_map().cast("map<string,double>")))
+    cat = F.element_at(F.array(*[F.lit(c) for c in _TRACE_CATS]), (F.pmod("user_id", F.lit(5)) + 1).cast("int"))
+    return e.select(F.col("event_id").alias("trace_id"), cat.alias("category"), tm.alias("timing_data"))
+
+
+_NAMES = [n for _, names in R.SYSCALL_MAPPINGS for n in names]
+_TRACES_SQL = """traces AS (SELECT event_id AS trace_id,
+  (['english_prose', 'german_prose', 'french_prose', 'spanish_prose', 'unclassified'])[user_id % 5 + 1] AS category,
+  """ + ", ".join(
+    f"CASE WHEN event_type = '{et}' THEN value * {mult} END AS t_{n}"
+    for n, et, mult in [("connect", "click", "1e-4"), ("send", "click", "2e-4"), ("socket", "view", "1e-4"),
+                        ("read", "view", "3e-4"), ("write", "purchase", "1e-4"), ("recvfrom", "purchase", "1e-4"),
+                        ("getaddrinfo", "signup", "1e-4")]) + ", " + ", ".join(
+    f"CAST(NULL AS DOUBLE) AS t_{n}" for n in ["sendto", "recv", "gethostbyname", "ssl_read", "ssl_write"]) + """
+  FROM events),
+tidx AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY trace_id) - 1 AS idx,
+  count(*) OVER (PARTITION BY category) AS m FROM traces),
+pick AS (SELECT e.doc_id, e.category, t.trace_id FROM ex e LEFT JOIN (SELECT DISTINCT category, m FROM tidx) c USING (category)
+  LEFT JOIN tidx t ON t.category = e.category AND t.idx = """ + S.seeded_draw("trace", "e.doc_id") + """ % c.m)"""
+
+
+@register("trace_enrich", _ex_sql() + ",\n" + _TRACES_SQL + """
+SELECT doc_id, trace_id, trace_id IS NOT NULL AS trace_enhanced FROM pick""")
+def trace_enrich(spark, sf):
+    """One seeded-random trace of the example's category per example."""
+    ex = code_examples(spark, sf).select("doc_id", "category", "steps")
+    out = examples.enrich_with_traces(ex, traces(spark, sf))
+    return out.select("doc_id", "trace_id", "trace_enhanced")
+
+
+def _match_sql():
+    arms = " ".join(f"WHEN contains(lower(s.action), '{kw}') AND t.t_{n} IS NOT NULL THEN t.t_{n}"
+                    for kw, names in R.SYSCALL_MAPPINGS for n in names)
+    return f"CAST(trunc((CASE {arms} END) * 1000000) AS BIGINT)"
+
+
+@register("syscall_timing_match", _ex_sql() + ",\n" + _TRACES_SQL + f""",
+m AS (SELECT s.doc_id, s.step, s.us, {_match_sql()} AS real FROM st s JOIN pick p USING (doc_id)
+  LEFT JOIN traces t ON t.trace_id = p.trace_id)
+SELECT doc_id, step, CASE WHEN coalesce(real, 0) <> 0 THEN real ELSE us END AS expected_us,
+  coalesce(real, 0) <> 0 AS matched FROM m""")
+def syscall_timing_match(spark, sf):
+    """Step timings replaced by the matching syscall timing of the picked trace."""
+    ex = code_examples(spark, sf).select("doc_id", "category", "steps")
+    out = examples.enrich_with_traces(ex, traces(spark, sf))
+    tm = F.coalesce(F.col("timing_data"), F.create_map().cast("map<string,double>"))
+    new = out.select("doc_id", F.arrays_zip(F.col("steps"), examples.match_step_timing(F.col("steps"), tm)).alias("z"))
+    z = new.select("doc_id", F.explode("z").alias("p"))
+    return z.select("doc_id", F.col("p.steps.step").alias("step"), F.col("p.1.expected_us").alias("expected_us"),
+                    (F.col("p.1.expected_us") != F.col("p.steps.expected_us")).alias("matched"))
