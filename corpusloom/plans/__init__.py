@@ -6,7 +6,7 @@ import importlib
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["corpus", "corpus_examples", "tasks_q", "alloc_q", "pages_q", "vocab_q"]
+_MODULES = ["corpus", "corpus_examples", "tasks_q", "alloc_q", "pages_q", "vocab_q", "sources_q"]
 
 
 def _load():
