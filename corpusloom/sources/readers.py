@@ -79,7 +79,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
         pass
     for ext in ("txt", "py"):
         try:
-            tx = (spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{ext}").text(folder)
+            tx = (spark.read.option("pathGlobFilter", f"*.{ext}").text(folder, wholetext=True)
                   .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
             parts.append(tx)
         except AnalysisException:

@@ -138,14 +138,17 @@ def recent_history(events: DataFrame, n: int = 5) -> DataFrame:
     trimmed to n. Emits the current history after each micro-batch."""
 
     def step(key, pdfs, state: GroupState):
-        hist = list(state.get[0]) if state.exists else []
+        hist, version = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         pdf = _sorted(pdfs)
         hist = (hist + [int(x) for x in pdf["event_id"]])[-n:]
-        state.update((hist,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(hist), "event_id": hist, "slot": list(range(len(hist)))})
+        version += 1
+        state.update((hist, version))
+        yield pd.DataFrame({"user_id": [key[0]] * len(hist), "event_id": hist, "slot": list(range(len(hist))),
+                            "version": [version] * len(hist)})
 
     return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, slot int", "ids array<long>", "update", GroupStateTimeout.NoTimeout)
+        step, "user_id long, event_id long, slot int, version int", "ids array<long>, version int", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 def micro_batch_allocation(spark: SparkSession, tasks_stream: DataFrame, out_dir: str, name: str = "alloc"):
