@@ -10,13 +10,13 @@ Scale notes
 * Sequential folds whose state is a clamped counter (bounded admission) use
   the fact that clamp-add functions compose associatively, so they also run
   as a two-level scan.
-* The greedy "last accepted" folds (rate limit, TTL cache) are grouped maps
-  per key with Arrow batches (see README: a hot key is one task there).
+* The greedy "last accepted" folds (rate limit, TTL cache) are solved as a
+  chain of as-of successors with pointer jumping (log rounds of joins on a
+  unique id), so a hot key is spread over all tasks as well.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,31 +196,67 @@ def clamp_admission(df: DataFrame, key: str, ts: str, tie: str, op: str, capacit
 
 
 def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, inclusive: bool,
-               out: str = "accepted") -> DataFrame:
+               out: str = "accepted", bucket_seconds: int | None = None, checkpoint_every: int = 2) -> DataFrame:
     """Walk each key in (ts, tie) order; an item is *accepted*
-    (rate limit: passes; TTL cache: miss and re-insert) when its time since
+    (rate limit: passes; TTL cache: miss and re-insert) when the time since
     the last accepted item is >= gap (``inclusive``) or > gap; the first item
-    is always accepted. Grouped map per key over Arrow batches."""
-    from pyspark.sql.types import BooleanType, StructField, StructType
-    schema = StructType(list(df.schema.fields) + [StructField(out, BooleanType())])
-    cols = df.columns
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="mergesort")
-        t = pd.to_datetime(pdf[ts]).astype("int64").to_numpy() / 1e6
-        res = []
-        last = None
-        g = gap_seconds * 1e3
-        for v in t:
-            ok = last is None or ((v - last) >= g if inclusive else (v - last) > g)
-            if ok:
-                last = v
-            res.append(ok)
-        pdf = pdf[cols].copy()
-        pdf[out] = res
-        return pdf
-
-    return df.groupBy(key).applyInPandas(walk, schema=schema)
+    of a key is always accepted.
+
+    Exact and distributed, with no key held by one task:
+
+    1. ``next(i)``: the first item at or after t_i + gap (an as-of lookup):
+       inside the probe's time bucket by a bounded window, else the first
+       item of the next non-empty bucket (from the small bucket table).
+    2. The accepted items are the chain first -> next -> next ..., found by
+       pointer jumping: each round doubles the jump (a join on the unique
+       id) and adds the jumped-to nodes, so log2(chain length) rounds.
+    """
+    if gap_seconds <= 0:
+        return df.withColumn(out, F.lit(True))
+    gap_us = int(round(gap_seconds * 1_000_000)) + (0 if inclusive else 1)
+    width = int((bucket_seconds or max(gap_seconds, 3600)) * 1_000_000)
+    items = df.select(F.col(key).alias("_k"), F.col(tie).alias("_id"),
+                      F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    items = items.withColumn("_b", F.floor(F.col("_t") / width).cast("long"))
+    probes = items.select("_k", F.col("_id").alias("_src"), (F.col("_t") + gap_us).alias("_T")) \
+                  .withColumn("_b", F.floor(F.col("_T") / width).cast("long"))
+    # (1a) answer inside the probe's bucket: first item at or after the probe time
+    u = (items.select("_k", "_b", F.col("_t").alias("_time"), F.lit(1).alias("_kind"), "_id",
+                      F.lit(None).cast("long").alias("_src"))
+         .unionByName(probes.select("_k", "_b", F.col("_T").alias("_time"), F.lit(0).alias("_kind"),
+                                    F.lit(None).cast("long").alias("_id"), "_src")))
+    w = Window.partitionBy("_k", "_b").orderBy("_time", "_kind", "_id").rowsBetween(0, Window.unboundedFollowing)
+    inb = (u.withColumn("_hit", F.first(F.when(F.col("_kind") == 1, F.col("_id")), ignorenulls=True).over(w))
+           .filter(F.col("_kind") == 0).select("_k", "_b", "_src", "_hit"))
+    # (1b) else the first item of the next non-empty bucket (keys x buckets table)
+    firsts = items.groupBy("_k", "_b").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_first"))
+    allb = probes.select("_k", "_b").distinct().join(firsts, ["_k", "_b"], "full")
+    wb = Window.partitionBy("_k").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = allb.withColumn("_later", F.first("_first", ignorenulls=True).over(wb)).select("_k", "_b", "_later")
+    nxt = (inb.join(later, ["_k", "_b"], "left")
+           .select(F.col("_src").alias("_id"), F.coalesce("_hit", "_later").alias("_nxt")))
+    # (2) pointer jumping from the first item of each key
+    jump = nxt.checkpoint()
+    reach = items.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id")
+    reach = reach.checkpoint()
+    frontier = reach
+    rnd = 0
+    while True:
+        hop = frontier.join(jump, "_id").select(F.col("_nxt").alias("_id")).filter(F.col("_id").isNotNull())
+        new = hop.join(reach, "_id", "left_anti").distinct()
+        if new.isEmpty():
+            break
+        reach = reach.unionByName(new)
+        frontier = reach
+        j2 = jump.alias("a").join(jump.alias("b"), F.col("a._nxt") == F.col("b._id"), "left") \
+                 .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt"))
+        jump = j2
+        rnd += 1
+        if rnd % checkpoint_every == 0:
+            jump, reach = jump.checkpoint(), reach.checkpoint()
+            frontier = reach
+    acc = reach.select(F.col("_id").alias(tie), F.lit(True).alias("_acc"))
+    return df.join(acc, tie, "left").withColumn(out, F.coalesce("_acc", F.lit(False))).drop("_acc")
 
 
 def health(log: DataFrame, key: str = "queue", capacity: dict | None = None) -> DataFrame:

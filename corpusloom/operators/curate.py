@@ -6,9 +6,9 @@ Scale notes
   collapses copies on the map side, so a hash held by a third of the rows
   never lands whole in one task.
 * Balancing never ranks a whole category in one task. Down-sampling picks
-  the kept ids on narrow columns with a salted two-level top-k (exact), and
-  the kept set is at most ``max_per_category`` x number-of-categories rows,
-  a proven bound, so it is broadcast back to the wide rows.
+  the kept ids on narrow columns with a salted two-level top-k (exact); the
+  kept set is at most ``max_per_category`` x number-of-categories rows and is
+  semi-joined back (AQE broadcasts it when its measured size allows).
 """
 
 from __future__ import annotations
@@ -77,8 +77,10 @@ def balance_categories(df: DataFrame, category_col: str, id_col: str, seed: str
     copies) + pass-through. Adds ``variation`` (bool) and ``copy_no`` (0 for
     originals). Requires ``id_col`` to be unique."""
     counts = df.groupBy(category_col).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per category: bounded by the rule table that produced the categories
-    tagged = df.join(F.broadcast(counts), category_col)
+    # data-derived small sides carry no broadcast hint: AQE re-plans the join
+    # as a broadcast at runtime only when the materialised side is under
+    # spark.sql.adaptive.autoBroadcastJoinThreshold (a checked size)
+    tagged = df.join(counts, category_col)
 
     passthrough = tagged.filter((F.col("_n") >= min_per_category) & (F.col("_n") <= max_per_category))
 
@@ -86,8 +88,8 @@ def balance_categories(df: DataFrame, category_col: str, id_col: str, seed: str
     large = tagged.filter(F.col("_n") > max_per_category)
     narrow = large.select(category_col, id_col, seeded_draw(seed, F.col(id_col)).alias("_draw"))
     keep = _top_k_ids(narrow, category_col, id_col, "_draw", max_per_category, salt_buckets).select(id_col)
-    # keep holds <= max_per_category rows per category: broadcast-size by construction
-    down = large.join(F.broadcast(keep), id_col, "left_semi")
+    # keep holds <= max_per_category rows per category
+    down = large.join(keep, id_col, "left_semi")
 
     # Categories under the floor keep all rows and get random copies
     small = tagged.filter(F.col("_n") < min_per_category)

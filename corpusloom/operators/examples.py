@@ -300,8 +300,9 @@ def enrich_with_traces(ex: DataFrame, traces: DataFrame, *, id_col: str = "doc_i
     tr = traces.withColumn("category", F.coalesce("category", F.lit(default_category)))
     indexed = index_within_group(tr, "category", "trace_id")
     counts = tr.groupBy("category").agg(F.count(F.lit(1)).alias("_m"))
-    # one row per category: bounded by the category rules
-    picked = ex.join(F.broadcast(counts), "category", "left").withColumn(
+    # data-derived (one row per category): no hint; AQE turns the join into a
+    # broadcast at runtime only when the materialised side is under its threshold
+    picked = ex.join(counts, "category", "left").withColumn(
         "idx", F.when(F.col("_m").isNotNull(), F.pmod(T.seeded_draw(seed, F.col(id_col)), F.col("_m"))))
     out = picked.join(indexed.select("category", "idx", "trace_id", "timing_data"), ["category", "idx"], "left")
     return out.withColumn("trace_enhanced", F.col("trace_id").isNotNull()).drop("_m", "idx")

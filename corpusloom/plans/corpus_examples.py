@@ -351,7 +351,8 @@ def balance_down(spark, sf):
     out = curate.balance_categories(labelled(spark, sf), "category", "doc_id", seed="balance",
                                     instruction_col="instruction")
     big = labelled(spark, sf).groupBy("category").count().filter(F.col("count") > R.MAX_PER_CATEGORY)
-    return out.join(F.broadcast(big.select("category")), "category").select("doc_id", "category")
+    # category counts are data-derived: no hint, AQE broadcasts at runtime when small
+    return out.join(big.select("category"), "category").select("doc_id", "category")
 
 
 @register("balance_up", _UP_SQL + " SELECT doc_id, category, copy_no, instruction FROM up")
