@@ -267,3 +267,19 @@ def health(log: DataFrame, key: str = "queue", capacity: dict | None = None) ->
         F.sum(F.when(F.col("rejected"), 1).otherwise(0)).cast("long").alias("rejected"),
         F.max_by("depth_after", F.struct("ts", "event_id")).alias("depth"))
     return agg
+
+
+# --- allocator registry (U2, D9) ---------------------------------------------
+
+ALLOCATORS = {"load_balanced": allocate}
+NAMED_ONLY = ("round_robin", "priority_aware", "batch_optimized")
+
+
+def get_allocator(name: str):
+    """Only ``load_balanced`` exists; the three other names the original
+    declares have no implementation and raise (D9)."""
+    if name in ALLOCATORS:
+        return ALLOCATORS[name]
+    if name in NAMED_ONLY:
+        raise NotImplementedError(f"allocation strategy {name!r} is declared but has no implementation")
+    raise KeyError(name)

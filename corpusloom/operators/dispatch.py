@@ -84,3 +84,29 @@ def latency_bucket(ms: Column, bounds=(5.0, 10.0, 25.0, 50.0)) -> Column:
     for b in bounds:
         out = F.when(ms <= b, F.lit(f"le_{b:g}")) if out is None else out.when(ms <= b, F.lit(f"le_{b:g}"))
     return out.otherwise(F.lit("le_inf"))
+
+
+# --- pluggable validators (U4) -------------------------------------------------
+
+DECOMPOSITION_SCHEMA = ("operation STRING, steps ARRAY<STRUCT<step: INT, action: STRING, expected_time: STRING, "
+                        "resource: STRING>>")
+VALIDATORS: dict[str, str] = {"decomposition": DECOMPOSITION_SCHEMA}
+
+
+def register_validator(task_type: str, ddl_schema: str) -> None:
+    VALIDATORS[task_type] = ddl_schema
+
+
+def validate(text: Column, task_type: str) -> Column:
+    """M5 + U4: parse fenced/plain JSON against the task type's schema; a
+    struct with ``valid`` (all required fields present, steps typed) and the
+    parsed ``value`` (null when invalid)."""
+    schema = VALIDATORS[task_type]
+    parsed = F.from_json(strip_fences(text), schema, {"mode": "PERMISSIVE"})
+    if task_type == "decomposition":
+        ok = (parsed["operation"].isNotNull() & parsed["steps"].isNotNull() &
+              F.forall(parsed["steps"], lambda s: s["step"].isNotNull() & s["action"].isNotNull() &
+                       s["expected_time"].isNotNull() & s["resource"].isNotNull()))
+    else:
+        ok = parsed.isNotNull()
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("valid"), F.when(ok, parsed).alias("value"))

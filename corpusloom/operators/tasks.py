@@ -261,3 +261,13 @@ def detect_type(tasks: DataFrame, keyword_scores: DataFrame, id_col: str, keywor
                        .alias("task_type"),
                        F.round(F.least(F.lit(R.MAX_CONFIDENCE), F.greatest(F.col("b.score"), F.lit(0.0))), 6)
                        .alias("confidence"))
+
+
+# --- registries (U2) ----------------------------------------------------------
+
+STRATEGIES = {"video": "video", "ml": "ml", "financial": "financial", "image": "video", "database": "financial"}
+
+
+def strategy_for(task_type: str) -> str:
+    """Strategy name for a task type; unknown types use the generic DAG."""
+    return STRATEGIES.get(task_type, "generic")

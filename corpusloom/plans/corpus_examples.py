@@ -446,3 +446,96 @@ def syscall_timing_match(spark, sf):
     z = new.select("doc_id", F.explode("z").alias("p"))
     return z.select("doc_id", F.col("p.steps.step").alias("step"), F.col("p.1.expected_us").alias("expected_us"),
                     (F.col("p.1.expected_us") != F.col("p.steps.expected_us")).alias("matched"))
+
+
+# --- union of generators, global dedupe, balance (O1, O2 on the union, W4, A5) --
+
+def _union_frames(spark, sf):
+    code = code_examples(spark, sf).select(
+        F.col("doc_id").cast("string").alias("item_id"), "source", "category", "instruction", "input",
+        "n_steps", "total_us", "complexity")
+    it = page_items(spark, sf)
+    docs = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
+                                         kind="documentation")
+    tuts = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
+                                         kind="tutorial", descriptions_col="descriptions")
+    blocks = [x.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("pos").cast("string")).alias("item_id"),
+                       "source", "category", "instruction", "input", "n_steps", "total_us", "complexity")
+              for x in (docs, tuts)]
+    srcs = read_table(spark, sf, "documents").select(F.col("source").alias("src")).distinct()
+    ops = F.array(*[F.lit(n) for n, _, _, _ in R.SYNTHETIC_OPERATIONS])
+    syn = examples.build_synthetic_examples(srcs.select("src", F.explode(ops).alias("operation")),
+                                            id_col="src", op_col="operation")
+    syn = syn.select(F.concat_ws(":", "src", "operation").alias("item_id"), "source", "category", "instruction",
+                     "input", "n_steps", "total_us", "complexity")
+    return code.unionByName(blocks[0], allowMissingColumns=True).unionByName(blocks[1]).unionByName(syn)
+
+
+def _union_sql():
+    syn_cats = ", ".join(f"('{c}')" for _, c, _, _ in R.SYNTHETIC_OPERATIONS)
+    return f"""SELECT source, category, count(*) AS n FROM (
+  SELECT 'github' AS source, category FROM ({_ex_sql()} SELECT category FROM ex)
+  UNION ALL SELECT 'documentation', 'reference_material' FROM ({_blocks_sql(3)} SELECT 1 FROM dd)
+  UNION ALL SELECT 'tutorial', 'educational_breakdown' FROM ({_blocks_sql(2)} SELECT 1 FROM dd)
+  UNION ALL SELECT 'synthetic', c FROM (SELECT DISTINCT source FROM documents), (VALUES {syn_cats}) v(c)
+) GROUP BY ALL"""
+
+
+@register("union_sources", _union_sql())
+def union_sources(spark, sf):
+    """O1: code + documentation + tutorial + synthetic examples in one frame (counts per source, category)."""
+    return _union_frames(spark, sf).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def training_set(spark, sf):
+    """The whole corpus build: union -> one global dedupe on hash16(instruction,
+    input) (D1, D15) -> balance per category -> seeded shuffle."""
+    u = _union_frames(spark, sf).withColumn(
+        "source_hash", T.hash16(F.concat_ws("\x1f", "instruction", "input")))
+    u = curate.exact_dedupe(u, "source_hash", ["source", "item_id"], hash_col="source_hash")
+    bal = curate.balance_categories(u, "category", "item_id", instruction_col="instruction")
+    return curate.shuffle_seeded(bal.withColumn("row_key", F.concat_ws(":", "item_id", F.col("copy_no").cast("string"))),
+                                 "row_key")
+
+
+@register("build_training_set")
+def build_training_set(spark, sf):
+    """L1 end to end (rows-only check; every stage has its own oracle above)."""
+    return training_set(spark, sf).select("row_key", "source", "category", "complexity", "n_steps", "total_us",
+                                          "variation", "source_hash")
+
+
+@register("duplicate_count_after_balance")
+def duplicate_count_after_balance(spark, sf):
+    """A5 as measured by the reference: repeated source hashes after balancing."""
+    return stats.duplicate_count(training_set(spark, sf).select(
+        T.hash16(F.concat_ws("\x1f", "instruction", "input")).alias("h")), "h")
+
+
+def _kw_sql(expr, rules, default):
+    return S.first_match(expr, rules, default)
+
+
+@register("classify_resource", _ex_sql() + f"""
+SELECT doc_id, step, {_kw_sql('action', R.RESOURCE_RULES, 'CPU')} AS resource_class,
+  {_kw_sql('action', R.CRITICALITY_RULES, R.DEFAULT_CRITICALITY)} AS criticality_class FROM st""")
+def classify_resource(spark, sf):
+    """X9 / X10 over every step action of the code examples."""
+    s = code_examples(spark, sf).select("doc_id", F.explode("steps").alias("s"))
+    return s.select("doc_id", "s.step", T.classify_resource(F.col("s.action")).alias("resource_class"),
+                    T.classify_criticality(F.col("s.action")).alias("criticality_class"))
+
+
+@register("flatten_steps", _synthetic_sql().replace(
+    "SELECT split_part(key, '|', 1) AS source", "SELECT 1 AS _unused, split_part(key, '|', 1) AS source", 1)
+    .rsplit("SELECT 1 AS _unused", 1)[0] + """
+SELECT split_part(key, '|', 1) AS source, split_part(key, '|', 2) AS operation, CAST(step - 1 AS INTEGER) AS pos,
+  step, resource, us AS expected_us FROM st""")
+def flatten_steps(spark, sf):
+    """M1: nested steps of the synthetic examples to rows (posexplode_outer)."""
+    srcs = read_table(spark, sf, "documents").select(F.col("source").alias("src")).distinct()
+    ops = F.array(*[F.lit(n) for n, _, _, _ in R.SYNTHETIC_OPERATIONS])
+    ex = examples.build_synthetic_examples(srcs.select("src", F.explode(ops).alias("operation")),
+                                           id_col="src", op_col="operation")
+    f = ex.select(F.col("src").alias("source"), "operation", F.posexplode_outer("steps").alias("pos", "s"))
+    return f.select("source", "operation", "pos", "s.step", "s.resource", "s.expected_us")

@@ -279,3 +279,64 @@ def detect_task_type(spark, sf):
     part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
     ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS)
     return TK.detect_type(part.select("p_partkey"), ks, "p_partkey", _FIXTURE_TASK_KEYWORDS, _FIXTURE_TASK_INDICATORS)
+
+
+# --- tagged training text (E6) and the fuzzy keyword score alone (J8) --------
+
+def _stage_rank(sid: str):
+    return (f"CASE WHEN {sid} LIKE '%\\_data\\_prep' ESCAPE '\\' OR {sid} LIKE '%\\_market\\_data' ESCAPE '\\' THEN 0 "
+            f"WHEN chunk IS NOT NULL THEN 1 WHEN {sid} LIKE '%\\_audio' ESCAPE '\\' THEN 2 ELSE 3 END")
+
+
+@register("training_text", _SUB_SQL + f""",
+lines AS (SELECT task_id, strategy, {_stage_rank('subtask_id')} AS stage, coalesce(chunk, 0) AS ch,
+  '- ' || name || ' (' || CAST(CAST(round(round(weight, 6) * 1000) AS BIGINT) AS VARCHAR) || 'mw, ' || category || ')' || chr(10)
+  || CASE WHEN chunk IS NOT NULL THEN '  - chunk ' || CAST(chunk AS VARCHAR) || chr(10) ELSE '' END AS line FROM sub)
+SELECT task_id, {S.hash16("chr(10) || '<TASK_DECOMPOSITION>' || chr(10) || 'Task ' || task_id || ' (' || strategy || ')' || chr(10) || chr(10) || 'Subtasks:' || chr(10) || body || chr(10) || '</TASK_DECOMPOSITION>' || chr(10) || chr(10) || '<IMPLEMENTATION>' || chr(10) || 'strategy=' || strategy || chr(10) || '</IMPLEMENTATION>' || chr(10) || chr(10) || '<CATEGORY>' || strategy || '</CATEGORY>' || chr(10)")} AS text_hash,
+  CAST(n AS INTEGER) AS n_lines FROM (SELECT task_id, strategy, string_agg(line, '' ORDER BY stage, ch) AS body,
+  count(*) AS n FROM lines GROUP BY task_id, strategy)""")
+def training_text(spark, sf):
+    """Description, two-level bullet list of subtasks, implementation and
+    category tags; lines are ordered per task (bounded by the strategy)."""
+    from corpusloom.functions.text import hash16
+    sub = subtasks(spark, sf)
+    sid = F.col("subtask_id")
+    stage = (F.when(sid.endswith("_data_prep") | sid.endswith("_market_data"), 0)
+             .when(F.col("chunk").isNotNull(), 1).when(sid.endswith("_audio"), 2).otherwise(3))
+    line = F.concat(F.lit("- "), "name", F.lit(" ("), F.round(F.round("weight", 6) * 1000).cast("long").cast("string"),
+                    F.lit("mw, "), "category", F.lit(")\n"),
+                    F.when(F.col("chunk").isNotNull(), F.concat(F.lit("  - chunk "), F.col("chunk").cast("string"),
+                                                               F.lit("\n"))).otherwise(F.lit("")))
+    per = sub.select("task_id", "strategy", stage.alias("stage"), F.coalesce("chunk", F.lit(0)).alias("ch"),
+                     line.alias("line"))
+    g = per.groupBy("task_id", "strategy").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "ch", "line"))), lambda x: x["line"]),
+                     "").alias("body"), F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lit("\n<TASK_DECOMPOSITION>\nTask "), F.col("task_id"), F.lit(" ("), F.col("strategy"),
+                    F.lit(")\n\nSubtasks:\n"), F.col("body"), F.lit("\n</TASK_DECOMPOSITION>\n\n<IMPLEMENTATION>\n"),
+                    F.lit("strategy="), F.col("strategy"), F.lit("\n</IMPLEMENTATION>\n\n<CATEGORY>"), F.col("strategy"),
+                    F.lit("</CATEGORY>\n"))
+    return g.select("task_id", hash16(text).alias("text_hash"), F.col("n").cast("int").alias("n_lines"))
+
+
+def _fuzzy_sql():
+    rows = []
+    for ty, kws in _FIXTURE_TASK_KEYWORDS.items():
+        for k in kws:
+            rows.append(f"({S.lit(ty)}, {S.lit(k)}, {len(kws)})")
+    return f"""WITH kw AS (SELECT * FROM (VALUES {", ".join(rows)}) v(task_type, keyword, n_keywords)),
+words AS (SELECT DISTINCT p_partkey, unnest(string_split_regex(lower(p_name || ' ' || p_type), '\\s+')) AS word FROM part),
+sim AS (SELECT w.p_partkey, k.task_type, k.keyword, k.n_keywords,
+  max(1.0 - levenshtein(w.word, k.keyword) / CAST(greatest(length(w.word), length(k.keyword)) AS DOUBLE)) AS best
+  FROM words w, kw k WHERE w.word <> '' GROUP BY ALL)
+SELECT p_partkey, task_type, round(sum(CASE WHEN best >= {R.SIMILARITY_THRESHOLD} THEN best ELSE 0 END) / max(n_keywords), 6)
+  AS keyword_score FROM sim GROUP BY ALL HAVING sum(CASE WHEN best >= {R.SIMILARITY_THRESHOLD} THEN best ELSE 0 END) > 0"""
+
+
+@register("fuzzy_keyword_score", _fuzzy_sql())
+def fuzzy_keyword_score(spark, sf):
+    """J8 (Levenshtein similarity, threshold 0.8): non-zero scores per (part, type)."""
+    part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS)
+    return ks.filter(F.col("keyword_score") > 0).select("p_partkey", "task_type",
+                                                         F.round("keyword_score", 6).alias("keyword_score"))
