@@ -73,7 +73,10 @@ def categorize_scored(col, patterns: Sequence[tuple[str, str]] = R.CATEGORY_PATT
                       default: str = R.DEFAULT_CATEGORY) -> Column:
     """Highest count of case-insensitive matches; tie -> first declared.
 
-    Empty/null text and no match at all give ``default``.
+    Empty/null text and no match at all give ``default``. One ``array_max``
+    over (score, -rank, category) structs; the default candidate has score 0
+    and the highest rank key, so it wins exactly when every score is 0 and
+    each pattern is evaluated once per row.
     """
     text = _c(col)
     scored = [
@@ -84,12 +87,9 @@ def categorize_scored(col, patterns: Sequence[tuple[str, str]] = R.CATEGORY_PATT
         )
         for rank, (cat, pat) in enumerate(patterns)
     ]
-    best = F.array_max(F.array(*scored)) if len(scored) > 1 else scored[0]
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(default))
-        .when(best["score"] > 0, best["category"])
-        .otherwise(F.lit(default))
-    )
+    fallback = F.struct(F.lit(0).alias("score"), F.lit(1).alias("neg_rank"), F.lit(default).alias("category"))
+    best = F.array_max(F.array(*scored, fallback))
+    return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(best["category"])
 
 
 def category_scores(col, patterns: Sequence[tuple[str, str]] = R.CATEGORY_PATTERNS) -> Column:

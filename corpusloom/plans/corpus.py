@@ -23,8 +23,10 @@ deduped AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {S.hash16('content')} AS conte
   row_number() OVER (PARTITION BY {S.hash16('content')} ORDER BY doc_id) AS rn FROM gated) WHERE rn = 1)"""
 
 
-def _deduped(spark, sf):
+def _deduped(spark, sf, cols=None):
     files = code_files(spark, sf).filter(T.length_between("content"))
+    if cols:
+        files = files.select(*cols)
     return curate.exact_dedupe(files, "content", ["doc_id"])
 
 
@@ -32,7 +34,8 @@ def _deduped(spark, sf):
 SELECT category, count(*) AS n FROM (SELECT {_CAT_SQL} AS category FROM deduped) GROUP BY category""")
 def category_distribution(spark, sf):
     """Flagship: F1 -> O2 -> X1 -> A1 (count per category)."""
-    d = _deduped(spark, sf).select(T.categorize_scored("content", FP, FD).alias("category"))
+    # only the text travels through the dedupe shuffle
+    d = _deduped(spark, sf, ["doc_id", "content"]).select(T.categorize_scored("content", FP, FD).alias("category"))
     return d.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,7 +58,7 @@ def stripped_length_gate(spark, sf):
 
 @register("exact_dedupe", f"""{_DEDUPED} SELECT doc_id, content_hash FROM deduped""")
 def exact_dedupe(spark, sf):
-    return _deduped(spark, sf).select("doc_id", "content_hash")
+    return _deduped(spark, sf, ["doc_id", "content"]).select("doc_id", "content_hash")
 
 
 @register("content_hash", f"SELECT doc_id, {S.hash16('text')} AS content_hash FROM documents")
@@ -167,7 +170,7 @@ l AS (SELECT CAST({S.lines_of_code('content')} AS BIGINT) AS loc FROM deduped),
 o AS (SELECT loc, row_number() OVER (ORDER BY loc) - 1 AS idx, count(*) OVER () AS n FROM l)
 SELECT round((SELECT avg(loc) FROM l), 9) AS mean_loc, (SELECT loc FROM o WHERE idx = n // 2) AS median_loc""")
 def loc_mean_median(spark, sf):
-    d = _deduped(spark, sf).select(T.lines_of_code("content").cast("long").alias("loc"))
+    d = _deduped(spark, sf, ["doc_id", "content"]).select(T.lines_of_code("content").cast("long").alias("loc"))
     return stats.mean_upper_median(d, "loc", max_value=R.MAX_CODE_LENGTH)
 
 

@@ -22,20 +22,23 @@ def stream_dir(spark):
 
 
 def _run(spark, sdf, name, mode="append"):
+    import uuid
+
     from corpusloom.session import checkpoint_dir
+    # a fresh checkpoint per run: the shared checkpoint folder outlives test sessions
     q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", f"{checkpoint_dir(spark)}/test-{name}")
+         .option("checkpointLocation", f"{checkpoint_dir(spark)}/test-{name}-{uuid.uuid4().hex}")
          .trigger(availableNow=True).start())
     q.awaitTermination(300)
     return spark.table(name)
 
 
 def _events(spark, stream_dir):
-    return jobs.read_events(spark, f"{stream_dir}/*")
+    return jobs.read_events(spark, f"{stream_dir}/*", max_files_per_trigger=8)
 
 
 def test_funnel_stream(spark, stream_dir):
-    got = _run(spark, jobs.funnel_counts(_events(spark, stream_dir)), "funnel", "complete")
+    got = _run(spark, jobs.funnel_counts(_events(spark, stream_dir)), "funnel_q", "complete")
     want = spark.read.parquet(f"{SF001}/events.parquet").groupBy(F.col("user_id").alias("producer")).count()
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
