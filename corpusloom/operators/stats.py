@@ -28,14 +28,14 @@ def mean_upper_median(df: DataFrame, col: str, max_value: int | None = None) ->
     hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     if max_value is not None and max_value < 0:
         raise ValueError("max_value must be non-negative")
-    everything = Window.partitionBy()
+    n = hist.select(F.sum("_c")).scalar()
+    total = hist.select(F.sum(F.col(col) * F.col("_c"))).scalar()
+    # ordered pass over the distinct values only (bounded domain)
     running = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (hist.withColumn("_cum", F.sum("_c").over(running))
-               .withColumn("_n", F.sum("_c").over(everything))
-               .withColumn("_s", F.sum(F.col(col) * F.col("_c")).over(everything)))
+    cum = hist.withColumn("_cum", F.sum("_c").over(running))
     return cum.agg(
-        F.round(F.first(F.col("_s") / F.col("_n")), 9).alias(f"mean_{col}"),
-        F.min(F.when(F.col("_cum") > F.floor(F.col("_n") / 2), F.col(col))).cast("long").alias(f"median_{col}"))
+        F.round(F.first(total / n), 9).alias(f"mean_{col}"),
+        F.min(F.when(F.col("_cum") > F.floor(n / 2), F.col(col))).cast("long").alias(f"median_{col}"))
 
 
 def duplicate_count(df: DataFrame, hash_col: str) -> DataFrame:
@@ -56,5 +56,5 @@ def distributions(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def share_of_total(df: DataFrame, key: str, count_col: str = "n") -> DataFrame:
     """Percentage of each group over the (already aggregated, small) rows."""
-    total = F.sum(count_col).over(Window.partitionBy())
+    total = df.select(F.sum(count_col)).scalar()  # scalar subquery, no single-partition window
     return df.select(key, count_col, F.round(F.col(count_col) * 100.0 / total, 6).alias("pct"))

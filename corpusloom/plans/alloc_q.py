@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom import rules as R
@@ -257,7 +256,7 @@ SELECT user_id, last_seen, last_seen < (SELECT max(last_seen) FROM h) - INTERVAL
 def last_heartbeat(spark, sf):
     """Last seen per worker; stale when 7 days behind the newest heartbeat."""
     h = read_table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    newest = F.max("last_seen").over(Window.partitionBy())
+    newest = h.select(F.max("last_seen")).scalar()  # scalar subquery, partial aggregation
     return h.select("user_id", "last_seen", (F.col("last_seen") < newest - F.expr("INTERVAL 7 DAYS")).alias("stale"))
 
 
