@@ -9,8 +9,10 @@ generic one-subtask DAG.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom import rules as R
 
@@ -195,32 +197,50 @@ def dag_metrics(subtasks: DataFrame) -> DataFrame:
 
 # --- task-type detection (T1, J8, J11) ---------------------------------------
 
+@F.pandas_udf(DoubleType())
+def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """difflib SequenceMatcher(None, a, b).ratio() over Arrow batches."""
+    import difflib
+
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def fuzzy_keyword_scores(tasks: DataFrame, id_col: str, text_col: str, keywords=R.TASK_KEYWORDS,
-                         threshold: float = R.SIMILARITY_THRESHOLD) -> DataFrame:
+                         threshold: float = R.SIMILARITY_THRESHOLD, method: str = "levenshtein") -> DataFrame:
     """J8 (Levenshtein form): for each type, sum over its keywords of the best
     word similarity when >= threshold, divided by the keyword count.
 
-    similarity = 1 - levenshtein / max(len). The comparison runs on distinct
-    words only (vocabulary x keywords, a small broadcast), then joins back.
+    similarity = 1 - levenshtein / max(len) by default; ``method="ratcliff"``
+    uses difflib's ratio (keyword, word) as the original does, in an Arrow UDF.
+    The comparison runs on distinct words only, joined to the keywords on the
+    admissible length band, then joined back to the tasks.
     """
     import math
     spark = tasks.sparkSession
     # A word can reach the threshold only if its length is within the band
     # [ceil(t * len(k)), floor(len(k) / t)], so keywords are expanded over the
     # admissible word lengths and equi-joined on length (no cross product).
+    # Levenshtein: 1 - d/max >= t needs min/max >= t. Ratcliff: 2M/(la+lb) >= t with
+    # M <= min needs max <= (2 - t)/t x min.
+    ratio = threshold if method == "levenshtein" else threshold / (2 - threshold)
     kw_rows = []
     for ty, kws in keywords.items():
         for k in kws:
-            lo, hi = math.ceil(threshold * len(k) - 1e-9), math.floor(len(k) / threshold + 1e-9)
+            lo, hi = math.ceil(ratio * len(k) - 1e-9), math.floor(len(k) / ratio + 1e-9)
             kw_rows += [(ty, k, len(kws), n) for n in range(max(lo, 1), hi + 1)]
     kw = spark.createDataFrame(kw_rows, "task_type string, keyword string, n_keywords int, wlen int")
     words = tasks.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word")).filter(
         F.col("word") != "").distinct()
     vocab = words.select("word").distinct().withColumn("wlen", F.length("word"))
-    sim = vocab.join(F.broadcast(kw), "wlen").select(
-        "word", "task_type", "keyword", "n_keywords",
-        (F.lit(1.0) - F.levenshtein("word", "keyword") /
-         F.greatest(F.length("word"), F.length("keyword")).cast("double")).alias("sim"))
+    if method == "levenshtein":
+        score = (F.lit(1.0) - F.levenshtein("word", "keyword") /
+                 F.greatest(F.length("word"), F.length("keyword")).cast("double"))
+    elif method == "ratcliff":
+        score = ratcliff_ratio(F.col("keyword"), F.col("word"))
+    else:
+        raise ValueError(method)
+    sim = vocab.join(F.broadcast(kw), "wlen").select("word", "task_type", "keyword", "n_keywords",
+                                                     score.alias("sim"))
     best = (words.join(sim, "word").groupBy(id_col, "task_type", "keyword", "n_keywords")
             .agg(F.max("sim").alias("best")))
     return (best.groupBy(id_col, "task_type").agg(
@@ -229,22 +249,32 @@ def fuzzy_keyword_scores(tasks: DataFrame, id_col: str, text_col: str, keywords=
 
 
 def detect_type(tasks: DataFrame, keyword_scores: DataFrame, id_col: str, keywords=R.TASK_KEYWORDS,
-                indicators=None, hierarchy=None, text_col: str | None = None) -> DataFrame:
+                indicators=None, hierarchy=None, text_col: str | None = None,
+                params_col: str | None = None) -> DataFrame:
     """score(type) = keyword score + 0.1 per indicator present + 0.2 if a
     hierarchy parent term occurs in the text (J11); the strictly greatest
     score wins in declared order, else ``generic``; confidence = min(.95, score).
 
-    ``indicators`` maps type -> parameter names present (a constant per type
-    for column-shaped parameters). Every type is scored for every task by
-    exploding the (small, fixed) type list, so no join fans out.
+    ``indicators`` maps type -> parameter names. With ``params_col`` (a
+    map<string,string>) a name counts when it is a key of the map; without it
+    every listed name counts (column-shaped parameters). Every type is scored
+    for every task by exploding the (small, fixed) type list.
     """
     types = list(keywords)
     indicators = indicators or {}
     hierarchy = hierarchy or {}
     rank = F.create_map(*sum([[F.lit(t), F.lit(i)] for i, t in enumerate(types)], []))
     bonus = F.create_map(*sum([[F.lit(t), F.lit(R.INDICATOR_BONUS * len(indicators.get(t, [])))] for t in types], []))
-    base = tasks.select(id_col, *([text_col] if text_col else []),
-                        F.explode(F.array(*[F.lit(t) for t in types])).alias("task_type"))
+    extra = ([text_col] if text_col else []) + ([params_col] if params_col else [])
+    base = tasks.select(id_col, *extra, F.explode(F.array(*[F.lit(t) for t in types])).alias("task_type"))
+    if params_col:
+        inds = F.create_map(*sum([[F.lit(t), F.array(*[F.lit(i) for i in indicators.get(t, [])]).cast("array<string>")]
+                                  for t in types], []))
+        bonus_col = F.aggregate(F.transform(inds[F.col("task_type")],
+                                            lambda i: F.when(F.map_contains_key(F.col(params_col), i), 0.1)
+                                            .otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    else:
+        bonus_col = bonus[F.col("task_type")]
     scored = base.join(keyword_scores, [id_col, "task_type"], "left")
     h = F.lit(0.0)
     if text_col and hierarchy:
@@ -254,7 +284,7 @@ def detect_type(tasks: DataFrame, keyword_scores: DataFrame, id_col: str, keywor
                 cond = cond | ((F.col("task_type") == t) & F.contains(F.lower(F.col(text_col)), F.lit(term)))
         h = F.when(cond, F.lit(R.HIERARCHY_BONUS)).otherwise(0.0)
     scored = scored.select(id_col, "task_type", rank[F.col("task_type")].alias("_rank"),
-                           (F.coalesce("keyword_score", F.lit(0.0)) + bonus[F.col("task_type")] + h).alias("score"))
+                           (F.coalesce("keyword_score", F.lit(0.0)) + bonus_col + h).alias("score"))
     best = scored.groupBy(id_col).agg(F.max_by(F.struct("task_type", "score"),
                                                F.struct("score", -F.col("_rank"))).alias("b"))
     return best.select(id_col, F.when(F.col("b.score") > 0, F.col("b.task_type")).otherwise(F.lit("generic"))

@@ -340,3 +340,13 @@ def fuzzy_keyword_score(spark, sf):
     ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS)
     return ks.filter(F.col("keyword_score") > 0).select("p_partkey", "task_type",
                                                          F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@register("detect_task_type_ratcliff")
+def detect_task_type_ratcliff(spark, sf):
+    """T1 with the original's difflib (Ratcliff/Obershelp) word similarity in
+    an Arrow UDF over the length-banded (word, keyword) pairs (rows-only check;
+    the SURVEY §5 goldens are reproduced in pytest)."""
+    part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS, method="ratcliff")
+    return TK.detect_type(part.select("p_partkey"), ks, "p_partkey", _FIXTURE_TASK_KEYWORDS, _FIXTURE_TASK_INDICATORS)

@@ -196,3 +196,31 @@ def test_similarity_batches_closed_form(spark):
         for b, members in enumerate(batches, 1):
             for it in members:
                 assert got[(q, it[4])] == b
+
+
+def test_task_type_goldens_ratcliff(spark):
+    """SURVEY §5 goldens: type and confidence of the six sample tasks (difflib ratios)."""
+    tasks_rows = [
+        ("t1", "Encode 4K video with H.265 codec for streaming platform",
+         {"frame_count": "7200", "resolution": "4k", "codec": "h265", "bitrate": "15mbps", "has_audio": "true",
+          "available_gpus": "2"}),
+        ("t2", "Train deep learning model for image classification",
+         {"data_size": "50000", "batch_size": "64", "model_type": "transformer", "epochs": "100",
+          "available_gpus": "4"}),
+        ("t3", "Calculate portfolio risk using Monte Carlo simulation",
+         {"portfolio_size": "2000", "simulation_count": "100000", "calculation_type": "monte_carlo",
+          "time_horizon": "252", "available_cpus": "8"}),
+        ("t4", "Process batch of medical images with noise reduction",
+         {"image_count": "500", "operations": "denoise", "resolution": "2048", "batch_processing": "true"}),
+        ("t5", "Analyze financial time series data with LSTM model",
+         {"data_points": "100000", "sequence_length": "60", "model_type": "lstm", "features": "20"}),
+        ("t6", "Render 3D animation sequence with complex lighting",
+         {"frame_count": "1440", "resolution": "1080p", "complexity": "high", "lighting_model": "ray_tracing"}),
+    ]
+    df = spark.createDataFrame(tasks_rows, "task_id string, description string, parameters map<string,string>")
+    ks = TK.fuzzy_keyword_scores(df, "task_id", "description", method="ratcliff")
+    got = {r["task_id"]: (r["task_type"], round(r["confidence"], 4)) for r in
+           TK.detect_type(df, ks, "task_id", indicators=R.TASK_INDICATORS, hierarchy=R.TASK_HIERARCHIES,
+                          text_col="description", params_col="parameters").collect()}
+    assert got == {"t1": ("video", 0.8432), "t2": ("ml", 0.5333), "t3": ("financial", 0.8556),
+                   "t4": ("image", 0.4121), "t5": ("ml", 0.1111), "t6": ("video", 0.3111)}
