@@ -115,14 +115,16 @@ def category_breakdown(spark, sf):
                                       F.round(F.avg("total_us"), 6).alias("avg_time_us"))
 
 
-@register("category_samples", _ex_sql() + """
+@register("category_samples", _ex_sql() + f"""
 SELECT category, doc_id, substr('Analyze and decompose this ' || category || ' code from a production repository', 1, 100)
-  || '...' AS summary FROM (SELECT e.category, e.doc_id,
-  row_number() OVER (PARTITION BY e.category ORDER BY e.doc_id) AS rn FROM ex e) WHERE rn <= 5""")
+  || '...' AS summary, complexity, n_steps, 'github' AS source FROM (SELECT e.category, e.doc_id, {_LEVEL} AS complexity,
+  a.n_steps, row_number() OVER (PARTITION BY e.category ORDER BY e.doc_id) AS rn FROM ex e JOIN agg a USING (doc_id))
+WHERE rn <= 5""")
 def category_samples(spark, sf):
-    ex = code_examples(spark, sf).select("category", "doc_id", "instruction")
+    ex = code_examples(spark, sf).select("category", "doc_id", "instruction", "complexity", "n_steps", "source")
     first = curate.first_k_per_group(ex, "category", ["doc_id"], 5)
-    return first.select("category", "doc_id", T.truncate_chars(F.col("instruction"), 100).alias("summary"))
+    return first.select("category", "doc_id", T.truncate_chars(F.col("instruction"), 100).alias("summary"),
+                        "complexity", "n_steps", "source")
 
 
 @register("crosstab_complexity", _ex_sql() + f"""
