@@ -213,6 +213,8 @@ def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, i
     """
     if gap_seconds <= 0:
         return df.withColumn(out, F.lit(True))
+    from corpusloom.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     gap_us = int(round(gap_seconds * 1_000_000)) + (0 if inclusive else 1)
     width = int((bucket_seconds or max(gap_seconds, 3600)) * 1_000_000)
     items = df.select(F.col(key).alias("_k"), F.col(tie).alias("_id"),

@@ -78,6 +78,8 @@ def bpe_train(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> li
     Each round is a distributed aggregation over distinct words; only the
     winning pair (one row) reaches the driver — it is the result.
     """
+    from corpusloom.session import checkpoint_dir
+    checkpoint_dir(words.sparkSession)
     # materialise the (symbols, freq) table once in the shared checkpoint folder
     sym = words.select(F.split("word", "").alias("sym"), "freq").filter(F.size("sym") > 1).checkpoint()
     merges = []
