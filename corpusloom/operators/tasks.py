@@ -55,88 +55,91 @@ def range_chunk(i: Column, n_chunks: Column, total: Column, compat: bool = False
     return start, end
 
 
-def _row(task_id, strategy, sid, name, category, weight, priority, chunk=None) -> Column:
-    return F.struct(task_id.alias("task_id"), strategy.alias("strategy"), sid.alias("subtask_id"),
-                    name.alias("name"), F.lit(category).alias("category"), weight.cast("double").alias("weight"),
-                    F.lit(priority).alias("priority"),
-                    (chunk if chunk is not None else F.lit(None)).cast("int").alias("chunk"))
-
-
 def decompose(tasks: DataFrame, compat: bool = False) -> DataFrame:
     """One row per subtask. ``tasks`` needs task_id, task_type and the
     parameter columns (frame_count, resolution, available_gpus, has_audio,
     data_size, batch_size, model_type, portfolio_size, calculation_type,
-    available_cpus); nulls take the strategy defaults."""
-    t = F.col("task_id").cast("string")
-    strategy = _lookup(R.STRATEGY_ROUTES, F.col("task_type"), "generic")
-    V, M, Fi = R.VIDEO_DEFAULTS, R.ML_DEFAULTS, R.FINANCIAL_DEFAULTS
+    available_cpus); nulls take the strategy defaults.
 
-    # video / image
+    One scan, one ``explode(sequence(...))`` over slot numbers, then plain
+    column expressions (whole-stage codegen, no per-element lambdas). Slots:
+    video 0..n-1 chunks, n audio, n+1 merge; ml / financial -1 first stage,
+    0..n-1 chunks, n last stage; generic 0.
+    """
+    V, M, Fi = R.VIDEO_DEFAULTS, R.ML_DEFAULTS, R.FINANCIAL_DEFAULTS
+    strategy = _lookup(R.STRATEGY_ROUTES, F.col("task_type"), "generic")
     frames = F.coalesce(F.col("frame_count"), F.lit(V["frame_count"])).cast("long")
     rmult = _lookup(R.RESOLUTION_MULTIPLIERS, F.coalesce(F.col("resolution"), F.lit(V["resolution"])), 1.0)
-    gpus_v = F.coalesce(F.col("available_gpus"), F.lit(V["available_gpus"]))
-    v_chunks = adaptive_chunks(frames, rmult, gpus_v)
-    has_audio = F.coalesce(F.col("has_audio"), F.lit(True))
-
-    def video_chunk(i):
-        s, e = range_chunk(i, v_chunks, frames, compat)
-        return _row(t, F.lit("video"), subtask_id(t, "frame_chunk", i),
-                    F.concat(F.lit("Process Frames "), s.cast("string"), F.lit("-"), e.cast("string")),
-                    "gpu_tasks", ((e - s) * rmult) * F.lit(0.8), 3, i)
-
-    video = F.concat(
-        F.transform(F.sequence(F.lit(0), v_chunks - 1), video_chunk),
-        F.when(has_audio, F.array(_row(t, F.lit("video"), subtask_id(t, "audio"), F.lit("Process Audio"),
-                                       "cpu_tasks", F.lit(1.5), 2))).otherwise(F.array()),
-        F.array(_row(t, F.lit("video"), subtask_id(t, "merge"), F.lit("Merge Video Stream"), "io_tasks",
-                     F.lit(2.0) * rmult, 3)))
-
-    # ml
     batch = F.coalesce(F.col("batch_size"), F.lit(M["batch_size"])).cast("long")
     data = F.coalesce(F.col("data_size"), F.lit(M["data_size"])).cast("long")
     mmult = _lookup(R.MODEL_MULTIPLIERS, F.coalesce(F.col("model_type"), F.lit(M["model_type"])), 1.0)
-    gpus_m = F.coalesce(F.col("available_gpus"), F.lit(M["available_gpus"]))
     n_batches = F.ceil(data / batch).cast("long")
-    m_groups = adaptive_chunks(n_batches, mmult, gpus_m)
-
-    def ml_group(i):
-        s, e = range_chunk(i, m_groups, n_batches, compat)
-        return _row(t, F.lit("ml"), subtask_id(t, "inference_group", i),
-                    F.concat(F.lit("Inference Group "), i.cast("string")), "gpu_tasks",
-                    (F.lit(3.0) * mmult) * (e - s), 2, i)
-
-    ml = F.concat(
-        F.array(_row(t, F.lit("ml"), subtask_id(t, "data_prep"), F.lit("Prepare Data Pipeline"), "io_tasks",
-                     F.lit(2.0) * mmult, 3)),
-        F.transform(F.sequence(F.lit(0), m_groups - 1), ml_group),
-        F.array(_row(t, F.lit("ml"), subtask_id(t, "aggregate"), F.lit("Aggregate Results"), "cpu_tasks",
-                     F.lit(1.0) * mmult, 2)))
-
-    # financial / database
     portfolio = F.coalesce(F.col("portfolio_size"), F.lit(Fi["portfolio_size"])).cast("long")
     cmult = _lookup(R.CALCULATION_MULTIPLIERS, F.coalesce(F.col("calculation_type"), F.lit(Fi["calculation_type"])),
                     1.0)
+    gpus_v = F.coalesce(F.col("available_gpus"), F.lit(V["available_gpus"]))
+    gpus_m = F.coalesce(F.col("available_gpus"), F.lit(M["available_gpus"]))
     cpus = F.coalesce(F.col("available_cpus"), F.lit(Fi["available_cpus"]))
-    f_chunks = adaptive_chunks(portfolio, cmult, cpus)
-
-    def fin_chunk(i):
-        s, e = range_chunk(i, f_chunks, portfolio, compat)
-        return _row(t, F.lit("financial"), subtask_id(t, "calc", i),
-                    F.concat(F.lit("Calculate Portfolio Segment "), (i + 1).cast("string")), "cpu_tasks",
-                    (F.lit(3.0) * cmult) * ((e - s) / portfolio), 2, i)
-
-    fin = F.concat(
-        F.array(_row(t, F.lit("financial"), subtask_id(t, "market_data"), F.lit("Fetch Market Data"), "io_tasks",
-                     F.lit(2.0), 3)),
-        F.transform(F.sequence(F.lit(0), f_chunks - 1), fin_chunk),
-        F.array(_row(t, F.lit("financial"), subtask_id(t, "risk_aggregate"), F.lit("Aggregate Risk Metrics"),
-                     "cpu_tasks", F.lit(1.5) * cmult, 3)))
-
-    generic = F.array(_row(t, F.lit("generic"), F.concat(t, F.lit("_generic")), F.lit("Generic Task Processing"),
-                           "cpu_tasks", F.lit(R.GENERIC_WEIGHT), 2))
-    rows = (F.when(strategy == "video", video).when(strategy == "ml", ml)
-            .when(strategy == "financial", fin).otherwise(generic))
-    return tasks.select(F.explode(rows).alias("s")).select("s.*")
+    st = F.col("_strategy")
+    base = tasks.select(
+        F.col("task_id").cast("string").alias("task_id"), strategy.alias("_strategy"),
+        F.coalesce(F.col("has_audio"), F.lit(True)).alias("_audio"),
+        F.when(strategy == "video", rmult).when(strategy == "ml", mmult).when(strategy == "financial", cmult)
+        .otherwise(F.lit(1.0)).alias("_mult"),
+        F.when(strategy == "video", frames).when(strategy == "ml", n_batches).when(strategy == "financial", portfolio)
+        .alias("_total"),
+        F.when(strategy == "video", adaptive_chunks(frames, rmult, gpus_v))
+        .when(strategy == "ml", adaptive_chunks(n_batches, mmult, gpus_m))
+        .when(strategy == "financial", adaptive_chunks(portfolio, cmult, cpus)).otherwise(F.lit(0)).alias("_n"))
+    n = F.col("_n")
+    lo = F.when(st.isin("ml", "financial"), F.lit(-1)).otherwise(F.lit(0))
+    hi = F.when(st == "video", n + 1).when(st.isin("ml", "financial"), n).otherwise(F.lit(0))
+    slots = base.select("*", F.explode(F.sequence(lo, hi)).alias("_s"))
+    slots = slots.filter(~((st == "video") & (F.col("_s") == n) & ~F.col("_audio")))
+    s_, t, mult, total = F.col("_s"), F.col("task_id"), F.col("_mult"), F.col("_total")
+    is_chunk = (st != "generic") & (s_ >= 0) & (s_ < n)
+    cs, ce = range_chunk(s_, n, total, compat)
+    span = (ce - cs)
+
+    def sid(name, idx=None):
+        return subtask_id(t, name, idx)
+
+    kind = (F.when(st == "generic", "generic").when(is_chunk, "chunk")
+            .when((st == "video") & (s_ == n), "audio").when(st == "video", "merge")
+            .when(s_ == -1, "first").otherwise("last"))
+    k = F.col("_kind")
+    out = slots.withColumn("_kind", kind).select(
+        "task_id", st.alias("strategy"),
+        F.when(k == "generic", F.concat(t, F.lit("_generic")))
+        .when(k == "chunk", F.when(st == "video", sid("frame_chunk", s_)).when(st == "ml", sid("inference_group", s_))
+              .otherwise(sid("calc", s_)))
+        .when(k == "audio", sid("audio")).when(k == "merge", sid("merge"))
+        .when(k == "first", F.when(st == "ml", sid("data_prep")).otherwise(sid("market_data")))
+        .otherwise(F.when(st == "ml", sid("aggregate")).otherwise(sid("risk_aggregate"))).alias("subtask_id"),
+        F.when(k == "generic", F.lit("Generic Task Processing"))
+        .when(k == "chunk", F.when(st == "video", F.concat(F.lit("Process Frames "), cs.cast("string"), F.lit("-"),
+                                                            ce.cast("string")))
+              .when(st == "ml", F.concat(F.lit("Inference Group "), s_.cast("string")))
+              .otherwise(F.concat(F.lit("Calculate Portfolio Segment "), (s_ + 1).cast("string"))))
+        .when(k == "audio", F.lit("Process Audio")).when(k == "merge", F.lit("Merge Video Stream"))
+        .when(k == "first", F.when(st == "ml", F.lit("Prepare Data Pipeline")).otherwise(F.lit("Fetch Market Data")))
+        .otherwise(F.when(st == "ml", F.lit("Aggregate Results")).otherwise(F.lit("Aggregate Risk Metrics")))
+        .alias("name"),
+        F.when(k == "generic", "cpu_tasks")
+        .when(k == "chunk", F.when(st == "financial", F.lit("cpu_tasks")).otherwise(F.lit("gpu_tasks")))
+        .when(k == "audio", "cpu_tasks").when(k == "merge", "io_tasks").when(k == "first", "io_tasks")
+        .otherwise("cpu_tasks").alias("category"),
+        F.when(k == "generic", F.lit(R.GENERIC_WEIGHT))
+        .when(k == "chunk", F.when(st == "video", (span * mult) * F.lit(0.8))
+              .when(st == "ml", (F.lit(3.0) * mult) * span)
+              .otherwise((F.lit(3.0) * mult) * (span / total)))
+        .when(k == "audio", F.lit(1.5)).when(k == "merge", F.lit(2.0) * mult)
+        .when(k == "first", F.when(st == "ml", F.lit(2.0) * mult).otherwise(F.lit(2.0)))
+        .otherwise(F.when(st == "ml", F.lit(1.0) * mult).otherwise(F.lit(1.5) * mult)).cast("double").alias("weight"),
+        F.when(k.isin("merge", "first"), 3).when(k == "chunk", F.when(st == "video", 3).otherwise(2))
+        .when(k == "last", F.when(st == "financial", 3).otherwise(2)).otherwise(2).alias("priority"),
+        F.when(k == "chunk", s_).cast("int").alias("chunk"))
+    return out
 
 
 def edges(subtasks: DataFrame) -> DataFrame:

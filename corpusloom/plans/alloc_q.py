@@ -66,7 +66,11 @@ alloc AS (SELECT * FROM ranked WHERE alloc_rank <= batch_limit)"""
 
 def allocated(spark, sf):
     a = allocations(spark, sf)
-    depth = a.groupBy(F.col("target_queue").alias("queue")).agg(F.count(F.lit(1)).alias("depth"))
+    # queue depth needs no priority: count straight from the lineitem scan (no join)
+    li = read_table(spark, sf, "lineitem")
+    q = (F.when(F.col("l_returnflag") == "A", "gpu_queue").when(F.col("l_returnflag") == "N", "cpu_queue")
+         .otherwise("io_queue"))
+    depth = li.groupBy(q.alias("queue")).agg(F.count(F.lit(1)).alias("depth"))
     return alloc.allocate(a, alloc.queue_config(spark), depth, _ORDER)
 
 
