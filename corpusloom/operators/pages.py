@@ -70,33 +70,38 @@ def dedupe_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 class _TextParser(HTMLParser):
-    """Collects stripped text pieces, skipping dropped tags; tracks sections."""
+    """Collects stripped text pieces with the selectors open around them
+    (tag names and ``.class`` names), skipping dropped tags."""
+
+    VOID = ("br", "img", "meta", "link", "hr", "input")
 
     def __init__(self, drop=(), keep_sections=()):
         super().__init__(convert_charrefs=True)
         self.drop = set(drop)
         self.keep = set(keep_sections)
-        self.stack: list[str] = []
+        self.stack: list[tuple[str, frozenset]] = []
         self.pieces: list[tuple[frozenset, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag not in ("br", "img", "meta", "link", "hr", "input"):
-            self.stack.append(tag)
+        if tag in self.VOID:
+            return
+        classes = next((v for k, v in attrs if k == "class" and v), "")
+        self.stack.append((tag, frozenset([tag] + ["." + c for c in classes.split()])))
 
     def handle_endtag(self, tag):
-        if tag in self.stack:
+        if any(t == tag for t, _ in self.stack):
             while self.stack:
-                if self.stack.pop() == tag:
+                if self.stack.pop()[0] == tag:
                     break
 
     def handle_data(self, data):
         s = data.strip()
         if not s:
             return
-        open_tags = frozenset(self.stack)
-        if open_tags & self.drop:
+        open_sel = frozenset().union(*[sel for _, sel in self.stack]) if self.stack else frozenset()
+        if open_sel & self.drop:
             return
-        self.pieces.append((open_tags, s))
+        self.pieces.append((open_sel, s))
 
 
 def _parse_text(html: str | None, section: str | None, drop) -> str | None:
@@ -129,18 +134,32 @@ def all_text_parsed(html: pd.Series) -> pd.Series:
 SELECT_SCHEMA = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
 
 
+AUTO_CODE_SELECTORS = ["pre", "code", ".highlight", ".codehilite", ".language-python"]
+
+
 def _select(html, selectors):
     p = _TextParser(drop=("script", "style"))
     p.feed(html or "")
     p.close()
     out = {}
+    if not selectors:
+        # no selectors: all text without script/style/nav, plus automatic code search
+        out["all_text"] = [" ".join(s for sel, s in p.pieces if not sel & {"nav"})]
+        code = []
+        for pattern in AUTO_CODE_SELECTORS:
+            code += [s for sel, s in p.pieces if pattern in sel]
+        if code:
+            out["auto_code"] = code
+        return out
     for name, tags in selectors.items():
         out[name] = [s for open_tags, s in p.pieces if open_tags & set(tags)]
     return out
 
 
 def select_udf(selectors: dict[str, list[str]]):
-    """H3: named selectors (tag names) -> arrays of non-blank texts, one parser pass."""
+    """H3: named selectors (tag or ``.class`` names) -> arrays of non-blank
+    texts in one parser pass; with no selectors, all text plus an automatic
+    search over the code selectors."""
     @F.pandas_udf(SELECT_SCHEMA)
     def _sel(html: pd.Series) -> pd.Series:
         return html.map(lambda h: _select(h, selectors))

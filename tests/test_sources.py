@@ -62,3 +62,21 @@ def test_sinks(spark, tmpdir_path):
     assert sorted(x for x in os.listdir(base) if x.startswith("category=")) == ["category=a", "category=b"]
     paths = S.write_artifacts({"stats": df.groupBy("category").count()}, base, "r1")
     assert spark.read.json(paths[0]).count() == 3
+
+
+def test_page_parsers(spark):
+    from corpusloom.operators import pages as P
+    html = ('<html><head><title> T </title><script>var t="</p>";</script></head><body><nav>menu</nav>'
+            '<article><h1>Head</h1><p>one <b>two</b></p><pre class="x">code()</pre>'
+            '<div class="highlight">hl</div></article><footer>f</footer></body></html>')
+    df = spark.createDataFrame([(html,)], "html string")
+    r = df.select(P.main_text_parsed("html").alias("m"), P.all_text_parsed("html").alias("a"),
+                  P.title(F.col("html")).alias("t"), P.select_udf({})("html").alias("auto"),
+                  P.select_udf({"content": ["p"], "ex": [".highlight"]})("html").alias("sel"),
+                  P.split_code_text("html").alias("split")).first()
+    assert r["m"] == "Head one two code() hl"
+    assert r["a"] == "T Head one two code() hl f"
+    assert r["t"] == "T"
+    assert r["auto"]["auto_code"] == ["code()", "hl"]
+    assert r["sel"] == {"content": ["one", "two"], "ex": ["hl"]}
+    assert list(r["split"]["code"]) == ["code()"]
