@@ -128,3 +128,16 @@ def write_by_category(df: DataFrame, path: str, category_col: str = "category",
     """One folder per non-empty category (partitioned write)."""
     df.filter(F.col(category_col).isNotNull()).write.mode("errorifexists").partitionBy(category_col) \
       .format(fmt).save(path)
+
+
+def preprocess_folder(spark: SparkSession, folder: str, out: str, tag_rules=None) -> DataFrame:
+    """S3 -> X14 -> X15 -> S6: read a mixed folder, drop files without text
+    (F7), collapse blank lines, insert tags, and write one
+    ``preprocessed_<stem>`` text output per input stem (partitioned write)."""
+    from corpusloom import rules as R
+    from corpusloom.functions.text import collapse_blank_lines, non_empty, tag_text
+    docs = read_folder(spark, folder).filter(non_empty("text"))
+    cleaned = docs.select(F.concat(F.lit("preprocessed_"), F.col("stem")).alias("stem"),
+                          tag_text(collapse_blank_lines(F.col("text")), tag_rules or R.TAG_RULES).alias("value"))
+    cleaned.write.mode("errorifexists").partitionBy("stem").text(out)
+    return cleaned

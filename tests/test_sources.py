@@ -80,3 +80,24 @@ def test_page_parsers(spark):
     assert r["auto"]["auto_code"] == ["code()", "hl"]
     assert r["sel"] == {"content": ["one", "two"], "ex": ["hl"]}
     assert list(r["split"]["code"]) == ["code()"]
+
+
+def test_preprocess_folder(spark, tmpdir_path):
+    import re
+
+    from corpusloom import rules as R
+    code = "import socket\n\n\n\ns = socket.socket()\ntry:\n    requests.get(u)\nexcept:\n    raise\n"
+    d = os.path.join(tmpdir_path, "raw")
+    os.makedirs(d)
+    with open(os.path.join(d, "net.py"), "w") as f:
+        f.write(code)
+    with open(os.path.join(d, "empty.txt"), "w") as f:
+        f.write("")
+    out = os.path.join(tmpdir_path, "pre")
+    S.preprocess_folder(spark, d, out)
+    assert sorted(x for x in os.listdir(out) if x.startswith("stem=")) == ["stem=preprocessed_net"]
+    got = "\n".join(r[0] for r in spark.read.text(os.path.join(out, "stem=preprocessed_net")).collect())
+    want = re.sub(R.BLANK_LINES_PATTERN, "\n\n", code)
+    for pat, tag in R.TAG_RULES:
+        want = re.sub(pat, tag + "\\1", want)
+    assert got == want.rstrip("\n")
