@@ -84,8 +84,16 @@ def fixed_batches(allocated: DataFrame, rejected: Column, rank_col: str = "alloc
 
 # --- two-level scans over a time-ordered log ---------------------------------
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds from the epoch to the wall-clock value (TIMESTAMP_NTZ
+    semantics), so event-time arithmetic on the log does not depend on the
+    session time zone (no DST gaps or repeats)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            ts.cast("timestamp_ntz"))
+
+
 def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
 def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
@@ -218,7 +226,7 @@ def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, i
     gap_us = int(round(gap_seconds * 1_000_000)) + (0 if inclusive else 1)
     width = int((bucket_seconds or max(gap_seconds, 3600)) * 1_000_000)
     items = df.select(F.col(key).alias("_k"), F.col(tie).alias("_id"),
-                      F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+                      epoch_micros(F.col(ts)).alias("_t"))
     items = items.withColumn("_b", F.floor(F.col("_t") / width).cast("long"))
     probes = items.select("_k", F.col("_id").alias("_src"), (F.col("_t") + gap_us).alias("_T")) \
                   .withColumn("_b", F.floor(F.col("_T") / width).cast("long"))

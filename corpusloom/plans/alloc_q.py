@@ -251,7 +251,7 @@ def ttl_cache_hits(spark, sf):
 def recent_history(spark, sf):
     """Keep the most recent N entries per producer."""
     e = read_table(spark, sf, "events").select("user_id", "event_id", "ts")
-    e = e.withColumn("_age", -F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_nid", -F.col("event_id"))
+    e = e.withColumn("_age", -alloc.epoch_micros(F.col("ts"))).withColumn("_nid", -F.col("event_id"))
     return first_k_per_group(e, "user_id", ["_age", "_nid"], HISTORY_N).select("user_id", "event_id")
 
 
