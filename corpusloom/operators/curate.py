@@ -53,7 +53,9 @@ def first_k_per_group(df: DataFrame, group_col: str, order_cols: list[str], k: i
     """First k rows per group by ``order_cols`` (A7, W17), skew-safe.
 
     Ranks inside (group, salt) first, then ranks the <= k x salt_buckets
-    survivors per group, so a hot group is split across tasks.
+    survivors per group, so a hot group is split across tasks. Each round is
+    a ``row_number() <= k`` filter, planned with a partial WindowGroupLimit
+    before the exchange (map-side top-k).
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in order_cols]), F.lit(salt_buckets)))
     w1 = Window.partitionBy(group_col, "_salt").orderBy(*order_cols)
