@@ -89,9 +89,10 @@ def balance_categories(df: DataFrame, category_col: str, id_col: str, seed: str
     # Keep the max_per_category smallest seeded draws of large categories
     large = tagged.filter(F.col("_n") > max_per_category)
     narrow = large.select(category_col, id_col, seeded_draw(seed, F.col(id_col)).alias("_draw"))
-    keep = _top_k_ids(narrow, category_col, id_col, "_draw", max_per_category, salt_buckets).select(id_col)
+    keep = _top_k_ids(narrow, category_col, id_col, "_draw", max_per_category, salt_buckets).select(
+        category_col, id_col)
     # keep holds <= max_per_category rows per category
-    down = large.join(keep, id_col, "left_semi")
+    down = large.join(keep, [category_col, id_col], "left_semi")
 
     # Categories under the floor keep all rows and get random copies
     small = tagged.filter(F.col("_n") < min_per_category)

@@ -453,22 +453,24 @@ def syscall_timing_match(spark, sf):
 # --- union of generators, global dedupe, balance (O1, O2 on the union, W4, A5) --
 
 def _union_frames(spark, sf):
+    # item ids are unique across generators: <source>:<local id>
     code = code_examples(spark, sf).select(
-        F.col("doc_id").cast("string").alias("item_id"), "source", "category", "instruction", "input",
+        F.concat_ws(":", F.lit("github"), F.col("doc_id").cast("string")).alias("item_id"), "source", "category", "instruction", "input",
         "n_steps", "total_us", "complexity")
     it = page_items(spark, sf)
     docs = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
                                          kind="documentation")
     tuts = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
                                          kind="tutorial", descriptions_col="descriptions")
-    blocks = [x.select(F.concat_ws(":", F.col("page_id").cast("string"), F.col("pos").cast("string")).alias("item_id"),
+    blocks = [x.select(F.concat_ws(":", "source", F.col("page_id").cast("string"), F.col("pos").cast("string"))
+                       .alias("item_id"),
                        "source", "category", "instruction", "input", "n_steps", "total_us", "complexity")
               for x in (docs, tuts)]
     srcs = read_table(spark, sf, "documents").select(F.col("source").alias("src")).distinct()
     ops = F.array(*[F.lit(n) for n, _, _, _ in R.SYNTHETIC_OPERATIONS])
     syn = examples.build_synthetic_examples(srcs.select("src", F.explode(ops).alias("operation")),
                                             id_col="src", op_col="operation")
-    syn = syn.select(F.concat_ws(":", "src", "operation").alias("item_id"), "source", "category", "instruction",
+    syn = syn.select(F.concat_ws(":", F.lit("synthetic"), "src", "operation").alias("item_id"), "source", "category", "instruction",
                      "input", "n_steps", "total_us", "complexity")
     return code.unionByName(blocks[0], allowMissingColumns=True).unionByName(blocks[1]).unionByName(syn)
 
@@ -500,7 +502,7 @@ def training_set(spark, sf):
                                  "row_key")
 
 
-@register("build_training_set")
+@register("build_training_set", None)
 def build_training_set(spark, sf):
     """L1 end to end (rows-only check; every stage has its own oracle above)."""
     return training_set(spark, sf).select("row_key", "source", "category", "complexity", "n_steps", "total_us",
@@ -541,3 +543,58 @@ def flatten_steps(spark, sf):
                                            id_col="src", op_col="operation")
     f = ex.select(F.col("src").alias("source"), "operation", F.posexplode_outer("steps").alias("pos", "s"))
     return f.select("source", "operation", "pos", "s.step", "s.resource", "s.expected_us")
+
+
+def _training_set_sql():
+    level = S.complexity_level("a.n_steps", "e.score")
+    ex = _ex_sql()
+    gh = (f"SELECT * FROM ({ex} SELECT 'github:' || CAST(e.doc_id AS VARCHAR) AS item_id, 'github' AS source, e.category, "
+          f"'Analyze and decompose this ' || e.category || ' code from a production repository' AS instruction, "
+          f"'Repository: ' || e.repo || chr(10) || 'File: ' || e.file_path || chr(10) || chr(10) || 'Code:' || chr(10) "
+          f"|| e.content AS input, a.n_steps, a.total_us, {level} AS complexity FROM ex e JOIN agg a USING (doc_id))")
+    doc = (f"SELECT * FROM ({_blocks_sql(3)} SELECT 'documentation:' || CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR), "
+           f"'documentation', 'reference_material', 'Explain and decompose this documented network programming pattern', "
+           f"'Documentation source: ' || url || chr(10) || chr(10) || 'Code example:' || chr(10) || block, 3, "
+           f"CAST(1200 AS BIGINT), 'low' FROM dd)")
+    desc = "coalesce(descriptions[pos + 1], 'Tutorial example')"
+    tut = (f"SELECT * FROM ({_blocks_sql(2)} SELECT 'tutorial:' || CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR), "
+           f"'tutorial', 'educational_breakdown', 'Break down this tutorial example into structured learning steps', "
+           f"'Tutorial context: ' || {desc} || chr(10) || chr(10) || 'Tutorial source: ' || url || chr(10) || chr(10) "
+           f"|| 'Code example:' || chr(10) || block, 4, CAST(1650 AS BIGINT), 'medium' FROM dd)")
+    syn = (f"SELECT 'synthetic:' || source || ':' || operation, 'synthetic', category, 'Decompose the network operation: ' || operation, "
+           f"'Analyze the step-by-step process for: ' || operation, n_steps, total_us, complexity FROM ({_synthetic_sql()})")
+    instr = "r.instruction"
+    for j, target in enumerate(R.VARIATION_TARGETS):
+        pick = f"([{_VARS}])[1 + ({_draw('balance', S.lit(f'v{j}'), 'r.category', 'p.copy_no')} % 4)]"
+        instr = _replace_first_sql(instr, target, pick)
+    return f"""WITH u(item_id, source, category, instruction, input, n_steps, total_us, complexity) AS (
+  {gh} UNION ALL {doc} UNION ALL {tut} UNION ALL {syn}),
+h AS (SELECT *, {S.hash16("instruction || chr(31) || input")} AS source_hash FROM u),
+d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY source, item_id) AS rn
+  FROM h) WHERE rn = 1),
+cnt AS (SELECT category, count(*) AS n FROM d GROUP BY category),
+down AS (SELECT * EXCLUDE (rn, n) FROM (SELECT d.*, c.n, row_number() OVER (PARTITION BY d.category
+  ORDER BY {_draw('balance', 'd.item_id')}, d.item_id) AS rn FROM d JOIN cnt c USING (category) WHERE c.n > 100)
+  WHERE rn <= 100),
+orig AS (SELECT d.* FROM d JOIN cnt c USING (category) WHERE c.n <= 100 UNION ALL SELECT * FROM down),
+ranked AS (SELECT d.*, row_number() OVER (PARTITION BY d.category ORDER BY d.item_id) AS pos, c.n
+  FROM d JOIN cnt c USING (category) WHERE c.n < 5),
+need AS (SELECT category, n, unnest(range(1, 5 - n + 1)) AS copy_no FROM cnt WHERE n < 5),
+picks AS (SELECT category, copy_no, 1 + ({_draw('balance', 'category', 'copy_no')} % n) AS pos FROM need),
+up AS (SELECT r.item_id, r.source, r.category, {instr} AS instruction, r.complexity, r.n_steps, r.total_us,
+  r.source_hash, p.copy_no FROM picks p JOIN ranked r USING (category, pos)),
+allrows AS (SELECT item_id, source, category, complexity, n_steps, total_us, false AS variation, source_hash,
+    0 AS copy_no FROM orig
+  UNION ALL SELECT item_id, source, category, complexity, n_steps, total_us, true, source_hash, copy_no FROM up)"""
+
+
+_TS_SQL = _training_set_sql()
+
+
+from corpusloom.plans.registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["build_training_set"] = _TS_SQL + """
+SELECT item_id || ':' || CAST(copy_no AS VARCHAR) AS row_key, source, category, complexity, n_steps, total_us,
+  variation, source_hash FROM allrows"""
+_ORACLES["duplicate_count_after_balance"] = _TS_SQL + """
+SELECT CAST(count(*) - count(DISTINCT source_hash) AS BIGINT) AS duplicate_count FROM allrows"""
