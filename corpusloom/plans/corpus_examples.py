@@ -498,6 +498,8 @@ def training_set(spark, sf):
         "source_hash", T.hash16(F.concat_ws("\x1f", "instruction", "input")))
     u = curate.exact_dedupe(u, "source_hash", ["source", "item_id"], hash_col="source_hash")
     bal = curate.balance_categories(u, "category", "item_id", instruction_col="instruction")
+    # The hash follows the (possibly reworded) instruction of each row
+    bal = bal.withColumn("source_hash", T.hash16(F.concat_ws("\x1f", "instruction", "input")))
     return curate.shuffle_seeded(bal.withColumn("row_key", F.concat_ws(":", "item_id", F.col("copy_no").cast("string"))),
                                  "row_key")
 
@@ -512,8 +514,7 @@ def build_training_set(spark, sf):
 @register("duplicate_count_after_balance")
 def duplicate_count_after_balance(spark, sf):
     """A5 as measured by the reference: repeated source hashes after balancing."""
-    return stats.duplicate_count(training_set(spark, sf).select(
-        T.hash16(F.concat_ws("\x1f", "instruction", "input")).alias("h")), "h")
+    return stats.duplicate_count(training_set(spark, sf).select(F.col("source_hash").alias("h")), "h")
 
 
 def _kw_sql(expr, rules, default):
@@ -581,11 +582,12 @@ ranked AS (SELECT d.*, row_number() OVER (PARTITION BY d.category ORDER BY d.ite
   FROM d JOIN cnt c USING (category) WHERE c.n < 5),
 need AS (SELECT category, n, unnest(range(1, 5 - n + 1)) AS copy_no FROM cnt WHERE n < 5),
 picks AS (SELECT category, copy_no, 1 + ({_draw('balance', 'category', 'copy_no')} % n) AS pos FROM need),
-up AS (SELECT r.item_id, r.source, r.category, {instr} AS instruction, r.complexity, r.n_steps, r.total_us,
-  r.source_hash, p.copy_no FROM picks p JOIN ranked r USING (category, pos)),
-allrows AS (SELECT item_id, source, category, complexity, n_steps, total_us, false AS variation, source_hash,
+up AS (SELECT r.item_id, r.source, r.category, {instr} AS instruction, r.input, r.complexity, r.n_steps, r.total_us,
+  p.copy_no FROM picks p JOIN ranked r USING (category, pos)),
+allrows0 AS (SELECT item_id, source, category, instruction, input, complexity, n_steps, total_us, false AS variation,
     0 AS copy_no FROM orig
-  UNION ALL SELECT item_id, source, category, complexity, n_steps, total_us, true, source_hash, copy_no FROM up)"""
+  UNION ALL SELECT item_id, source, category, instruction, input, complexity, n_steps, total_us, true, copy_no FROM up),
+allrows AS (SELECT *, {S.hash16("instruction || chr(31) || input")} AS source_hash FROM allrows0)"""
 
 
 _TS_SQL = _training_set_sql()
