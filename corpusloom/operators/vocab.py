@@ -75,23 +75,39 @@ def merge_pair(sym: Column, a: str, b: str) -> Column:
 def bpe_train(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> list[tuple[str, str, int]]:
     """K5: exact BPE, one merge per round (best pair by count, then lexicographic).
 
-    Each round is a distributed aggregation over distinct words; only the
-    winning pair (one row) reaches the driver — it is the result.
+    Each round is one distributed aggregation over the distinct words; only
+    the winning pair (one row) reaches the driver — it is the result. The
+    symbol table is spread over the shuffle partitions and kept materialised
+    between rounds (cached, with a reliable checkpoint every
+    ``checkpoint_every`` rounds to cut lineage), so a round costs one merge
+    pass, not a replay of all earlier merges.
     """
     from corpusloom.session import checkpoint_dir
-    checkpoint_dir(words.sparkSession)
-    # materialise the (symbols, freq) table once in the shared checkpoint folder
-    sym = words.select(F.split("word", "").alias("sym"), "freq").filter(F.size("sym") > 1).checkpoint()
+    spark = words.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sym = (words.select(F.split("word", "").alias("sym"), "freq").filter(F.size("sym") > 1)
+           .repartition(parts, "sym").checkpoint())
     merges = []
+    prev = None
     for i in range(n_merges):
         best = pair_counts(sym).orderBy(F.col("n").desc(), F.col("a"), F.col("b")).limit(1).collect()
+        if prev is not None:
+            prev.unpersist()
+            prev = None
         if not best or best[0]["n"] is None:
             break
         a, b, n = best[0]["a"], best[0]["b"], int(best[0]["n"])
         merges.append((a, b, n))
-        sym = sym.select(merge_pair(F.col("sym"), a, b).alias("sym"), "freq").filter(F.size("sym") > 1)
-        if (i + 1) % checkpoint_every == 0:
-            sym = sym.checkpoint()
+        nxt = sym.select(merge_pair(F.col("sym"), a, b).alias("sym"), "freq").filter(F.size("sym") > 1)
+        nxt = nxt.checkpoint() if (i + 1) % checkpoint_every == 0 else nxt.cache()
+        if sym.is_cached:
+            prev = sym  # released once the next round has materialised ``nxt``
+        sym = nxt
+    if prev is not None:
+        prev.unpersist()
+    if sym.is_cached:
+        sym.unpersist()
     return merges
 
 
