@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from corpusloom import rules as R
 
 SPECIAL_TOKENS = ["<pad>", "<unk>", "<s>", "</s>"]
-# whitespace runs, punctuation runs (outside \w \s < > / . - :), other runs; Unicode \w
-PRETOKEN_PATTERN = r"(?U)\s+|[^\w\s<>/.\-:]+|[\w<>/.\-:]+"
+# word runs (\w plus < > / . - :), whitespace runs, punctuation runs (everything else);
+# the three classes are disjoint, so the most common one is tried first; Unicode \w
+PRETOKEN_PATTERN = r"(?U)[\w<>/.\-:]++|\s++|[^\w\s<>/.\-:]++"
 
 
 def _strip(s: str | None) -> str | None:
@@ -38,10 +39,23 @@ def strip_accents(s: pd.Series) -> pd.Series:
 def pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
     """K2: special tokens first (never split), then whitespace / punctuation /
     word runs; every piece is kept."""
+    return F.regexp_extract_all(text, F.lit(pretoken_pattern(special)), 0)
+
+
+def pretoken_pattern(special=SPECIAL_TOKENS) -> str:
+    """The K2 pattern; special tokens are grouped behind a one-character
+    lookahead per first character so ordinary positions fail fast."""
     import re
-    alts = "|".join(re.escape(t) for t in special)
-    pattern = f"(?U){alts}|" + PRETOKEN_PATTERN[4:] if alts else PRETOKEN_PATTERN
-    return F.regexp_extract_all(text, F.lit(pattern), 0)
+    by_first: dict[str, list[str]] = {}
+    for t in special:
+        by_first.setdefault(t[0], []).append(re.escape(t))
+    alts = "|".join(f"(?={re.escape(c)})(?:{'|'.join(ts)})" for c, ts in by_first.items())
+    return f"(?U){alts}|" + PRETOKEN_PATTERN[4:] if alts else PRETOKEN_PATTERN
+
+
+def count_pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
+    """Number of K2 pieces without building the array."""
+    return F.regexp_count(text, F.lit(pretoken_pattern(special)))
 
 
 def word_histogram(docs: DataFrame, text_col: str, min_frequency: int = R.MIN_FREQUENCY) -> DataFrame:

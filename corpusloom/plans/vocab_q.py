@@ -93,7 +93,7 @@ def bpe_encode(spark, sf):
 GROUP BY GROUPING SETS ((lang), ())""")
 def chars_per_token(spark, sf):
     """Tokens, characters and characters per token by category and overall."""
-    d = _docs(spark, sf).select("lang", F.size(V.pretokens(F.col("text"))).alias("n_tok"),
+    d = _docs(spark, sf).select("lang", V.count_pretokens(F.col("text")).alias("n_tok"),
                                 F.length("text").alias("n_chars"))
     g = d.groupingSets([["lang"], []], "lang").agg(F.sum("n_tok").cast("long").alias("tokens"),
                                                    F.sum("n_chars").cast("long").alias("chars"))
