@@ -263,7 +263,7 @@ def build_examples_basic(files: DataFrame, *, id_col: str, text_col: str, repo_c
                                           F.lit("\nCode:\n"), T.truncate_chars(F.col(text_col), 1000)))
             .withColumn("operation", title_case(F.col("category")))
             .withColumn("steps", steps)
-            .withColumn("source", F.lit("github_scrapling")))
+            .withColumn("source", F.lit(R.BASIC_SOURCE)))
 
 
 def json_target(output: Column) -> Column:

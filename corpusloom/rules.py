@@ -115,6 +115,7 @@ BASIC_ACTIONS = {
                     "Send request over network", "Process JSON response"],
 }
 BASIC_DEFAULT_ACTIONS = ["Analyze code execution flow"]
+BASIC_SOURCE = "github_scrapling"
 
 # Criticality keyword lists, checked critical, high, low; else medium.
 CRITICALITY_RULES = [
