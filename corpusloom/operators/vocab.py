@@ -97,11 +97,10 @@ def bpe_train(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> li
     pass, not a replay of all earlier merges.
     """
     from corpusloom.session import checkpoint_dir
-    spark = words.sparkSession
-    checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(words.sparkSession)
+    # hash-spread the symbol table; without a fixed count AQE sizes the partitions
     sym = (words.select(F.split("word", "").alias("sym"), "freq").filter(F.size("sym") > 1)
-           .repartition(parts, "sym").checkpoint())
+           .repartition("sym").checkpoint())
     merges = []
     prev = None
     for i in range(n_merges):
