@@ -32,3 +32,20 @@ def test_guard_sees_global_window(spark):
     nodes = _nodes(E.queries()["loc_mean_median"](spark, SF001))
     windows = [n for n in nodes if n.get("class", "").endswith(".WindowExec")]
     assert windows and len(windows[0].get("partitionSpec", [])) == 0
+
+
+def test_dedupe_collapses_hot_hash_before_shuffle(spark):
+    """A text held by a third of the rows is reduced map-side (partial min_by)."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators.curate import exact_dedupe
+    df = spark.range(3000).select(F.col("id").alias("doc_id"),
+                                  F.when(F.col("id") % 3 == 0, F.lit("same text"))
+                                  .otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    out = exact_dedupe(df, "text", ["doc_id"])
+    assert out.count() == 2001
+    assert out.filter(F.col("text") == "same text").first()["doc_id"] == 0
+    nodes = json.loads(out._jdf.queryExecution().sparkPlan().toJSON())
+    partial = [n for n in nodes if n.get("class", "").endswith("AggregateExec")
+               and "Partial" in json.dumps(n.get("aggregateExpressions", ""))]
+    assert partial, "expected a partial (map-side) aggregate"
