@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .lang_cnn import fit_langs, predict_langs
+from .quality_gam import fit_quality, score_quality
 from .token_counts import token_counts
+from .toxic_segments import fit_toxic, score_toxic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +25,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by its maximum-scoring segments."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score_toxic(docs, fit_toxic(docs, labels))
+
+
+def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte convolutional network."""
+    docs = read_table(spark, sf_dir, "documents")
+    return predict_langs(docs, fit_langs(docs))
+
+
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the additive model."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score_quality(docs, fit_quality(docs, labels))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_toxic_segments": op3_toxic_segments,
+    "op7_language_cnn": op7_language_cnn,
+    "op10_quality_gam": op10_quality_gam,
 }
 
 SQL: dict[str, str] = {}
