@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .lang_cnn import fit_langs, predict_langs
 from .quality_gam import fit_quality, score_quality
+from .simhash_dedup import near_duplicates
 from .token_counts import token_counts
 from .toxic_segments import fit_toxic, score_toxic
 
@@ -31,6 +32,11 @@ def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxic(docs, fit_toxic(docs, labels))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of the documents: shingles of 4 words, at most 4 differing bits."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, max_bits=4)
+
+
 def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the byte convolutional network."""
     docs = read_table(spark, sf_dir, "documents")
@@ -46,6 +52,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_toxic_segments": op3_toxic_segments,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op7_language_cnn": op7_language_cnn,
     "op10_quality_gam": op10_quality_gam,
 }
