@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .fingerprints import document_fingerprints
 from .lang_cnn import fit_langs, predict_langs
 from .quality_gam import fit_quality, score_quality
 from .simhash_dedup import near_duplicates
@@ -37,6 +38,11 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, max_bits=4)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with near documents of every hundredth."""
+    return document_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the byte convolutional network."""
     docs = read_table(spark, sf_dir, "documents")
@@ -53,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_toxic_segments": op3_toxic_segments,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_language_cnn": op7_language_cnn,
     "op10_quality_gam": op10_quality_gam,
 }
