@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontam import contamination, contamination_sql
 from .fingerprints import document_fingerprints
 from .lang_cnn import fit_langs, predict_langs
 from .quality_gam import fit_quality, score_quality
@@ -49,6 +50,11 @@ def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_langs(docs, fit_langs(docs))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in 13-word windows of benchmark items."""
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the additive model."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -61,7 +67,10 @@ QUERIES: dict[str, Query] = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_cnn": op7_language_cnn,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_gam": op10_quality_gam,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontamination": contamination_sql(),
+}

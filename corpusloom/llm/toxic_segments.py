@@ -36,7 +36,7 @@ from .common import crc_mod, labelled_sample, shared_table
 FIT_ROWS = 24_000       # labelled rows the model is fitted on, at most
 STEMS = (4, 5)
 PRIOR = 0.5             # pseudo-count of a unit of average share
-LEAST_Z = 3.2           # a unit's log-odds ratio counts from this many standard errors on
+LEAST_Z = 2.9           # a unit's log-odds ratio counts from this many standard errors on
 LEAST_SCORE = 1.0       # and from this size on, lowered by one standard error
 DRIFT = 0.2             # cost of a token without evidence
 SIGNIFICANT = 0.01      # largest E of a significant passage
@@ -56,8 +56,9 @@ def units_of(words: list[str]) -> set[str]:
 
 
 def family_of(words: list[str]) -> int:
-    """The smallest hash over a text's distinct words: near copies mostly share it."""
-    return min((xxhash.xxh64_intdigest(w) >> 1 for w in set(words)), default=0)
+    """The smallest hash over a text's word pairs: near copies mostly share it, other texts don't."""
+    pairs = set(zip(words, words[1:])) or {(w, "") for w in words}
+    return min((xxhash.xxh64_intdigest(a + " " + b) >> 1 for a, b in pairs), default=0)
 
 
 def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
