@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .brown_lm import language_model_scores
 from .common import read_table
 from .decontam import contamination, contamination_sql
 from .fingerprints import document_fingerprints
@@ -28,6 +29,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based language-model score of every document."""
+    return language_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by its maximum-scoring segments."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -63,6 +69,7 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_brown_lm": op2_brown_lm,
     "op3_toxic_segments": op3_toxic_segments,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_fingerprints": op6_fingerprints,
