@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .brown_lm import language_model_scores
 from .common import read_table
@@ -14,6 +14,7 @@ from .fingerprints import document_fingerprints
 from .lang_cnn import fit_langs, predict_langs
 from .quality_gam import fit_quality, score_quality
 from .simhash_dedup import near_duplicates
+from .sp_sampling import encode_sampled
 from .token_counts import token_counts
 from .toxic_segments import fit_toxic, score_toxic
 
@@ -56,6 +57,13 @@ def op7_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_langs(docs, fit_langs(docs))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document: their number, a digest of their ids, and whether they decode to the text."""
+    encoded = encode_sampled(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+                          F.lower(F.hex(F.xxhash64("ids"))).alias("ids_xxh64"), "lossless")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in 13-word windows of benchmark items."""
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -74,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_cnn": op7_language_cnn,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_quality_gam": op10_quality_gam,
 }
