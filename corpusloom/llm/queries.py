@@ -12,6 +12,7 @@ from .common import read_table
 from .decontam import contamination, contamination_sql
 from .fingerprints import document_fingerprints
 from .lang_cnn import fit_langs, predict_langs
+from .license_scan import find_licenses, fit_licenses
 from .quality_gam import fit_quality, score_quality
 from .simhash_dedup import near_duplicates
 from .sp_sampling import encode_sampled
@@ -41,6 +42,12 @@ def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxic(docs, fit_toxic(docs, labels))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence paragraph of the documents with its family."""
+    docs = read_table(spark, sf_dir, "documents")
+    return find_licenses(docs, fit_licenses(docs))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of the documents: shingles of 4 words, at most 4 differing bits."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, max_bits=4)
@@ -79,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_brown_lm": op2_brown_lm,
     "op3_toxic_segments": op3_toxic_segments,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_language_cnn": op7_language_cnn,
