@@ -31,6 +31,7 @@ from .common import crc_mod
 WINDOW = 128            # bytes
 FIT_ROWS = 2_000        # labelled rows per language, at most
 FIT_TOTAL = 12_000      # labelled rows in all, at most; languages take turns
+SALTS = 64              # parts a language's rows are ranked in, each giving twice its share
 FIT_WINDOWS = 4         # windows of each of those texts, spread over its length
 FIT_CHARS = 400         # characters read at the beginning of each such window
 EMBEDDING = 8
@@ -135,16 +136,21 @@ def train(windows: np.ndarray, y: np.ndarray, langs: list[str]) -> LangModel:
 
 def fit_langs(docs: DataFrame, modulus: int = 4, left_out: int = 2, fit_rows: int = FIT_ROWS,
               fit_total: int = FIT_TOTAL) -> LangModel | None:
-    """Fit on windows of at most ``fit_rows`` texts per language, the first by a hash of doc_id, ``fit_total`` in all.
+    """Fit on windows of at most ``fit_rows`` texts per language, chosen by a hash of doc_id, ``fit_total`` in all.
 
     Only the pieces of text the windows are cut from come to the driver, and ids are
     picked before any text is read.
     """
-    ranked = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-              .where(crc_mod("doc_id", modulus) != left_out).select("doc_id", "lang")
-              .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= fit_rows)
-              .orderBy("rank", F.xxhash64("doc_id"), "doc_id", "lang").limit(fit_total)
+    # the first of each language by hash, found inside salted parts first: a large language is split
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    candidates = (docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+                  .where(crc_mod("doc_id", modulus) != left_out).select("doc_id", "lang")
+                  .withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+                  .withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order)))
+                  .where(F.col("rank") <= -(-2 * fit_rows // SALTS)))
+    picked = (candidates.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+              .where(F.col("rank") <= fit_rows)
+              .orderBy("rank", *order, "lang").limit(fit_total)
               .select("doc_id", F.col("lang").alias("y")).distinct())
     length = F.length("text")
     pieces = F.array(*[F.substring("text", 1 + (F.greatest(length - FIT_CHARS, F.lit(0)) * F.lit(i)

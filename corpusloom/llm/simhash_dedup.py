@@ -283,15 +283,32 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, c
     return links.union(more)
 
 
+def fingerprint_roots(classes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``classes``, one per distinct fingerprint fp, with the root of their component."""
+    roots = connected_components(near_links(classes.select("fp"), max_bits, blocks))
+    return classes.join(roots, classes["fp"] == roots["vertex"], "left").select(
+        *classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     marked = shared_table(docs.select("doc_id", fingerprint_column(F.col("text"), k).alias("fp")), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(classes.select("fp"), max_bits, blocks))
-    # smallest doc_id of each component, for the fingerprints that have links at all
-    linked = classes.join(roots, classes["fp"] == roots["vertex"], "left")
-    linked = linked.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = fingerprint_roots(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), max_bits, blocks)
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     found = linked.join(lowest, "root").select("fp", "component_id")
     return marked.join(found, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, one per component, all columns kept.
+
+    A null doc_id is larger than any other; of rows with the same id any one stays.
+    """
+    row, mark = "_simhash_row", "_simhash_fp"
+    marked = shared_table(docs.withColumn(mark, fingerprint_column(F.col("text"), k))
+                          .withColumn(row, F.monotonically_increasing_id()), "marked")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row"))
+    classes = marked.select(F.col(mark).alias("fp"), rank.alias("rank")).groupBy("fp").agg(F.min("rank").alias("first"))
+    kept = fingerprint_roots(classes, max_bits, blocks).groupBy("root").agg(F.min("first").alias("first"))
+    return marked.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 SPACE = "▁"                # the vocabulary's mark for a space
 SEED = 0
@@ -310,10 +310,16 @@ def _lattices(path: str, sharpness: float) -> Lattices:
     return _WORKER[path, sharpness]
 
 
-def encode_sampled(docs: DataFrame, path: str, key: str = "doc_id", seed: int = SEED,
-                   sharpness: float = SHARPNESS) -> DataFrame:
-    """(key, ids, lossless) for every row: sampled pieces, and whether they decode to the very text."""
-    chosen = docs.select(key, "text")
+def encode_sampled(docs: DataFrame, path: str, key: str = "doc_id", seed: int = SEED, sharpness: float = SHARPNESS,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` (the key), ids and lossless for every row: sampled pieces, and whether they decode to the text.
+
+    Columns of ``keep`` that are called ids or lossless give way to the new ones.
+    """
+    keep = [c for c in (keep or [key]) if c not in ("ids", "lossless")]
+    chosen = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text"), *keep)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("lossless", T.BooleanType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(path, sharpness)
@@ -326,10 +332,10 @@ def encode_sampled(docs: DataFrame, path: str, key: str = "doc_id", seed: int =
                 same = [decode_ids(None if ids is None else ids.tolist(), raw) == text
                         for ids, (_, text) in zip(found, rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
-                    names=[key, "ids", "lossless"])
+                    [*batch.columns[2:], pa.array(found, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                    names=[*batch.schema.names[2:], "ids", "lossless"])
 
-    return chosen.mapInArrow(encode, f"`{key}` {dict(chosen.dtypes)[key]}, ids array<int>, lossless boolean")
+    return chosen.mapInArrow(encode, schema)
 
 
 def decode_pieces(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
