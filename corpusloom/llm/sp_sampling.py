@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 SPACE = "▁"                # the vocabulary's mark for a space
+MARK = ord(SPACE)
 SEED = 0
 SHARPNESS = 1.0                 # power of the inverse rank; higher: closer to the best segmentation
 BLOCK_CHARS = 400_000           # characters whose units are drawn for at once
@@ -87,6 +87,67 @@ def load_pieces(path: str, sharpness: float = SHARPNESS) -> Pieces:
     return Pieces(ids, weights, bytes_ids, raw, unit)
 
 
+class Matcher:
+    """Finds the pieces that end at each character of a text read from left to right.
+
+    A state is the longest end of what was read that begins a piece; ``ending`` lists the
+    (length, id, log weight) of the pieces that end there.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.goto: dict[int, int] = {}          # state and character -> state
+        self.fail, self.ending = [0], [[]]
+        weights = np.log(np.maximum(pieces.weights, 1e-300)).tolist()
+        for piece, i in pieces.ids.items():
+            state = 0
+            for char in piece:
+                key = state << 21 | ord(char)
+                state = self.goto.setdefault(key, len(self.fail))
+                if state == len(self.fail):
+                    self.fail.append(0)
+                    self.ending.append([])
+            self.ending[state].append((len(piece), i, weights[i]))
+        # shorter states come first: a state's fallback is known before its own turn
+        by_depth: list[tuple[int, int, int]] = []
+        depth = [0] * len(self.fail)
+        for key, state in self.goto.items():    # in order of insertion, parents come before children
+            depth[state] = depth[key >> 21] + 1
+            by_depth.append((depth[state], key, state))
+        for d, key, state in sorted(by_depth):
+            if d > 1:
+                self.fail[state] = self.step(self.fail[key >> 21], key & 0x1FFFFF)
+            self.ending[state] += self.ending[self.fail[state]]
+        # the same as arrays
+        self.keys = np.array(sorted(self.goto), dtype=np.int64)
+        self.targets = np.array([self.goto[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.fallback = np.array(self.fail, dtype=np.int64)
+        self.n_ending = np.array([len(e) for e in self.ending], dtype=np.int64)
+        self.at_ending = np.cumsum(self.n_ending) - self.n_ending
+        flat = [e for ends in self.ending for e in ends]
+        self.size, self.id, self.weight = (np.array([e[k] for e in flat]) for k in range(3))
+        self.has_single = np.array([bool(e) and e[-1][0] == 1 for e in self.ending])
+
+    def step(self, state: int, char: int) -> int:
+        get = self.goto.get
+        found = get(state << 21 | char)
+        while found is None and state:
+            state = self.fail[state]
+            found = get(state << 21 | char)
+        return found or 0
+
+    def steps(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """`step` for many states at once."""
+        out, left = np.zeros(len(state), dtype=np.int64), np.arange(len(state))
+        while len(left):
+            key = state[left] << 21 | char[left]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[left[hit]] = self.targets[at[hit]]
+            left = left[~hit & (state[left] > 0)]
+            state[left] = self.fallback[state[left]]
+        return out
+
+
 class Lattices:
     """Filtered lattices of units, as growing arrays: nodes with their incoming edges.
 
@@ -94,106 +155,129 @@ class Lattices:
     the sum over a prefix's segmentations doesn't depend on what follows. A node's edges lie
     together from ``first`` on; ``upto`` is the running sum of their probabilities (the last
     is 1), ``source`` the node an edge comes from (-1 for a unit's beginning), ``piece`` its id.
+    New units are filtered together, one character of each at a time.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        # every suffix of a piece, with the piece's id and log weight if it is one
-        self.table: dict[str, tuple[int, float] | None] = {p[k:]: None for p in pieces.ids for k in range(1, len(p))}
-        self.table.update({p: (i, math.log(pieces.weights[i])) for p, i in pieces.ids.items()})
+        self.matcher = Matcher(pieces)
         self.byte_weight = math.log(pieces.weights[pieces.bytes_ids[0]])
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {}
-        self.first, self.source, self.piece, self.upto = array("q"), array("q"), array("i"), array("d")
-        self.log_sum = array("d")
-
-    def _node(self, edges: list[tuple[float, int, int]]) -> int:
-        """A new node from its edges (log of sum up to the source times weight, source, id)."""
-        first, source, piece, upto = self.first, self.source, self.piece, self.upto
-        node = len(first)
-        first.append(len(source))
-        if len(edges) == 1:
-            log, came, what = edges[0]
-            source.append(came)
-            piece.append(what)
-            upto.append(1.0)
-            self.log_sum.append(log)
-            return node
-        edges.sort(reverse=True)
-        top = edges[0][0]
-        parts = [math.exp(e[0] - top) for e in edges]
-        whole = sum(parts)
-        run = 0.0
-        for part, (_, came, what) in zip(parts, edges):
-            run += part / whole
-            source.append(came)
-            piece.append(what)
-            upto.append(run)
-        upto[-1] = 1.0
-        self.log_sum.append(top + math.log(whole))
-        return node
-
-    def _bytes(self, char: str, log: float, came: int) -> tuple[float, int, int]:
+        self.known: dict[str, int] = {}         # last node of each unit
+        self.child: dict[int, int] = {}         # node and character -> node
+        self.n_nodes = self.n_edges = 0
+        self.first, self.state, self.log_sum = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024)
+        self.source, self.piece, self.upto = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024)
+
+    def _room(self, nodes: int, edges: int):
+        for names, used, more in ((("first", "state", "log_sum"), self.n_nodes, nodes),
+                                  (("source", "piece", "upto"), self.n_edges, edges)):
+            have = len(getattr(self, names[0]))
+            if used + more > have:
+                for name in names:
+                    old = getattr(self, name)
+                    new = np.zeros(max(used + more, have * 3 // 2), dtype=old.dtype)
+                    new[:used] = old[:used]
+                    setattr(self, name, new)
+
+    def _nodes(self, log: np.ndarray, came: np.ndarray, what: np.ndarray, owner: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """New nodes from the edges of each (owner: 0, 0, 1, ...); returns their numbers."""
+        order = np.lexsort((what, -log, owner))
+        log, came, what, owner = log[order], came[order], what[order], owner[order]
+        count = np.bincount(owner, minlength=len(state))
+        begin = np.cumsum(count) - count
+        top = log[begin]
+        part = np.exp(log - top[owner])
+        run, rank = part.copy(), np.arange(len(owner)) - begin[owner]
+        for k in range(1, int(count.max())):
+            at = np.flatnonzero(rank == k)
+            run[at] += run[at - 1]
+        last = begin + count - 1
+        whole = run[last]
+        run /= whole[owner]
+        run[last] = 1.0
+        self._room(len(state), len(owner))
+        n, e = self.n_nodes, self.n_edges
+        self.first[n:n + len(state)] = e + begin
+        self.state[n:n + len(state)] = state
+        self.log_sum[n:n + len(state)] = top + np.log(whole)
+        self.source[e:e + len(owner)], self.piece[e:e + len(owner)], self.upto[e:e + len(owner)] = came, what, run
+        self.n_nodes += len(state)
+        self.n_edges += len(owner)
+        return n + np.arange(len(state))
+
+    def _bytes(self, char: int, came: int) -> tuple[float, int, int]:
         """The edge of a character without a piece: a chain of nodes up to its last byte."""
-        raw = char.encode("utf-8", "surrogatepass")
+        raw = chr(char).encode("utf-8", "surrogatepass")
+        log = 0.0 if came < 0 else float(self.log_sum[came])
         for value in raw[:-1]:
             log += self.byte_weight
-            came = self._node([(log, came, self.pieces.bytes_ids[value])])
+            came = int(self._nodes(*(np.array([v]) for v in (log, came, self.pieces.bytes_ids[value], 0, 0)))[0])
         return log + self.byte_weight, came, self.pieces.bytes_ids[raw[-1]]
 
-    def add(self, unit: str) -> int:
-        """Filter a unit forward from its longest known prefix; return its last node."""
-        shown = unit.replace(" ", SPACE)
-        size = len(shown)
-        shared = size <= SHARED_CHARS and SPACE not in unit
-        known = self.known if shared else {}
-        at = 0
+    def add(self, units: list[str], shared: bool = True) -> np.ndarray:
+        """Filter distinct units forward; return the last node of each. Units that aren't shared are forgotten."""
+        units = sorted(units, key=len, reverse=True)
+        size = np.array([len(u) for u in units])
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        begin = np.cumsum(size) - size
+        matcher, child = self.matcher, self.child if shared else {}
+        node = np.full(len(units), -1)
+        path = np.full((len(units), int(size[0]) + 1), -1)
+        for at in range(int(size[0])):
+            n = int(np.searchsorted(-size, -at, side="left"))       # units that are longer
+            char = codes[begin[:n] + at]
+            key = node[:n] + 1 << 21 | char
+            found = np.array([child.get(k, -1) for k in key.tolist()])
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                fresh, example, which = np.unique(key[new], return_index=True, return_inverse=True)
+                unit, letter = new[example], char[new[example]]
+                parent = node[unit]
+                # the vocabulary's space mark in a text is no space
+                seen = np.where(letter == 32, MARK, np.where(letter == MARK, 0x110000, letter))
+                state = matcher.steps(np.where(parent < 0, 0, self.state[parent]), seen)
+                n_edges = matcher.n_ending[state]
+                owner = np.repeat(np.arange(len(fresh)), n_edges)
+                edge = np.arange(len(owner)) + np.repeat(matcher.at_ending[state] - np.cumsum(n_edges) + n_edges, n_edges)
+                came = path[unit[owner], at + 1 - matcher.size[edge]]
+                log = matcher.weight[edge] + np.where(came < 0, 0.0, self.log_sum[came])
+                what = matcher.id[edge]
+                alone = np.flatnonzero(~matcher.has_single[state])
+                if len(alone):      # no piece for the character by itself
+                    rest = [self._bytes(c, p) for c, p in zip(letter[alone].tolist(), parent[alone].tolist())]
+                    log, came, what = (np.concatenate([v, [r[k] for r in rest]]) for k, v in enumerate((log, came, what)))
+                    owner = np.concatenate([owner, alone])
+                made = self._nodes(log, came.astype(np.int64), what.astype(np.int64), owner, state)
+                if shared:
+                    child.update(zip(fresh.tolist(), made.tolist()))
+                found[new] = made[which]
+            node[:n] = found
+            path[:n, at + 1] = found
         if shared:
-            at = size - 1
-            while at and shown[:at] not in known:
-                at -= 1
-        # nodes of a unit that isn't shared are found by place
-        own: list[int] = []
-        table, log_sum = self.table, self.log_sum
-        for stop in range(at + 1, size + 1):
-            edges = []
-            for start in range(stop - 1, -1, -1):
-                found = table.get(shown[start:stop], 0)
-                if found == 0 or not shared and SPACE in unit[start:stop]:
-                    break
-                if found is not None:
-                    if not start:
-                        edges.append((found[1], -1, found[0]))
-                    else:
-                        came = known[shown[:start]] if shared else own[start - 1]
-                        edges.append((log_sum[came] + found[1], came, found[0]))
-            if shown[stop - 1] not in self.pieces.ids or not shared and unit[stop - 1] == SPACE:
-                came = -1 if stop == 1 else known[shown[:stop - 1]] if shared else own[stop - 2]
-                edges.append(self._bytes(unit[stop - 1], 0.0 if came < 0 else log_sum[came], came))
-            node = self._node(edges)
-            if shared:
-                known[shown[:stop]] = node
-            else:
-                own.append(node)
+            self.known.update(zip(units, node.tolist()))
         return node
 
     def ends(self, units: list[str]) -> np.ndarray:
         """The last node of each unit; unknown ones are filtered now."""
-        if len(self.first) > KEPT_NODES:
+        if self.n_nodes > KEPT_NODES:
             self.clear()
-        get, add = self.known.get, self.add
-        out = []
-        for unit in units:
-            node = get(unit.replace(" ", SPACE)) if SPACE not in unit else None
-            out.append(add(unit) if node is None else node)
+        get = self.known.get
+        out = [get(u) for u in units]
+        unknown = {u for u, node in zip(units, out) if node is None}
+        if unknown:
+            long = {u: int(self.add([u], False)[0]) for u in unknown if len(u) > SHARED_CHARS}
+            short = [u for u in unknown if len(u) <= SHARED_CHARS]
+            if short:
+                self.add(short)
+            out = [(get(u) if u not in long else long[u]) if node is None else node for u, node in zip(units, out)]
         return np.array(out, dtype=np.int64)
 
     def draw(self, ends: np.ndarray, stream: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample every unit backwards at once: (ids of all units in order, number of ids of each unit)."""
-        first, source = np.frombuffer(self.first, dtype=np.int64), np.frombuffer(self.source, dtype=np.int64)
-        piece, upto = np.frombuffer(self.piece, dtype=np.int32), np.frombuffer(self.upto, dtype=np.float64)
+        first, source, piece, upto = self.first, self.source, self.piece, self.upto
         drawn, who = [], []
         active, node, step = np.arange(len(ends)), ends, 0
         base = mix(stream ^ mix(place.astype(np.uint64)))
