@@ -9,7 +9,7 @@ place in the text only, so a row is always segmented alike, on any executor.
 
 No piece spans certain places, for example that before a space or between a letter and
 a mark, so the lattice of a text is a chain of lattices of short units. A unit's
-lattice is filtered once per worker and kept; the draws of a block of texts
+lattice is filtered once and kept for the task; the draws of a block of texts
 are made for all units at once.
 
 Characters without a piece, and the vocabulary's own space mark where a text
@@ -39,7 +39,7 @@ MARK = ord(SPACE)
 SEED = 0
 SHARPNESS = 1.0                 # power of the inverse rank; higher: closer to the best segmentation
 BLOCK_CHARS = 400_000           # characters whose units are drawn for at once
-KEPT_NODES = 1_200_000          # lattice nodes a worker keeps before it starts anew (some 200 MB)
+KEPT_NODES = 600_000            # lattice nodes a task keeps before it starts anew (some 180 MB)
 SHARED_CHARS = 64               # units up to this length share the nodes of their prefixes
 
 
@@ -158,9 +158,9 @@ class Lattices:
     New units are filtered together, one character of each at a time.
     """
 
-    def __init__(self, pieces: Pieces):
+    def __init__(self, pieces: Pieces, matcher: Matcher | None = None):
         self.pieces = pieces
-        self.matcher = Matcher(pieces)
+        self.matcher = matcher or Matcher(pieces)
         self.byte_weight = math.log(pieces.weights[pieces.bytes_ids[0]])
         self.clear()
 
@@ -385,12 +385,14 @@ def decode_ids(ids, raw: list[bytes]) -> str | None:
     return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-_WORKER: dict[tuple, Lattices] = {}
+_WORKER: dict[tuple, tuple[Pieces, Matcher]] = {}
 
 
-def _lattices(path: str, sharpness: float) -> Lattices:
+def _vocabulary(path: str, sharpness: float) -> tuple[Pieces, Matcher]:
+    """The vocabulary and its matcher, read once per worker; lattices live for a task only."""
     if (path, sharpness) not in _WORKER:
-        _WORKER[path, sharpness] = Lattices(load_pieces(path, sharpness))
+        pieces = load_pieces(path, sharpness)
+        _WORKER[path, sharpness] = pieces, Matcher(pieces)
     return _WORKER[path, sharpness]
 
 
@@ -406,7 +408,7 @@ def encode_sampled(docs: DataFrame, path: str, key: str = "doc_id", seed: int =
                            T.StructField("lossless", T.BooleanType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattices(path, sharpness)
+        lattices = Lattices(*_vocabulary(path, sharpness))
         raw = lattices.pieces.raw
         for whole in batches:
             for a in range(0, whole.num_rows, 200):
@@ -427,7 +429,7 @@ def decode_pieces(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFra
     chosen = encoded.select(key, "ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = _lattices(path, SHARPNESS).pieces.raw
+        raw = _vocabulary(path, SHARPNESS)[0].raw
         for batch in batches:
             texts = [decode_ids(ids.as_py(), raw) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
