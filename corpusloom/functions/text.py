@@ -3,7 +3,9 @@ symbol extraction, code metrics, rewrites.
 
 All functions return ``Column`` objects built from built-in Spark SQL
 functions, so they stay inside whole-stage codegen (no Python per row).
-Regex patterns are Java regex; case-insensitivity is requested with ``(?i)``.
+Regex patterns are Java regex. The rules are written for Unicode classes
+(``\\w``, ``\\s``, ``\\b`` over all scripts, case folding beyond ASCII), which
+Java needs the flags ``(?iuU)`` for; ``\\s`` also takes in U+001C to U+001F.
 """
 
 from __future__ import annotations
@@ -16,6 +18,15 @@ from pyspark.sql import functions as F
 from corpusloom import rules as R
 
 
+FLAGS = "(?iuU)"
+SPACE_CLASS = r"\s\x1c-\x1f"
+
+
+def unicode_spaces(pattern: str) -> str:
+    """A pattern whose ``\\s`` outside classes covers all Unicode white space."""
+    return "(?U)" + pattern.replace(r"\s", f"[{SPACE_CLASS}]")
+
+
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -35,7 +46,7 @@ def length_between(col, lo: int = R.MIN_CODE_LENGTH, hi: int = R.MAX_CODE_LENGTH
 
 def strip_ws(col) -> Column:
     """Python-style strip: removes leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(_c(col), f"(?U)^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
 def stripped_length(col) -> Column:
@@ -81,7 +92,7 @@ def categorize_scored(col, patterns: Sequence[tuple[str, str]] = R.CATEGORY_PATT
     text = _c(col)
     scored = [
         F.struct(
-            F.regexp_count(text, F.lit("(?i)" + pat)).alias("score"),
+            F.regexp_count(text, F.lit(FLAGS + pat)).alias("score"),
             F.lit(-rank).alias("neg_rank"),
             F.lit(cat).alias("category"),
         )
@@ -97,7 +108,7 @@ def category_scores(col, patterns: Sequence[tuple[str, str]] = R.CATEGORY_PATTER
     text = _c(col)
     return F.array(*[
         F.struct(F.lit(rank).alias("rank"), F.lit(cat).alias("category"),
-                 F.regexp_count(text, F.lit("(?i)" + pat)).alias("score"))
+                 F.regexp_count(text, F.lit(FLAGS + pat)).alias("score"))
         for rank, (cat, pat) in enumerate(patterns)
     ])
 
@@ -159,7 +170,7 @@ def route_labels(col, routes) -> Column:
 
 def extract_all(col, pattern: str, group: int = 1) -> Column:
     """All matches of a group, in order, case-insensitive."""
-    return F.regexp_extract_all(_c(col), F.lit("(?i)" + pattern), group)
+    return F.regexp_extract_all(_c(col), F.lit(FLAGS + pattern), group)
 
 
 def extract_functions(col, pattern: str = R.FUNCTION_PATTERN) -> Column:
@@ -179,7 +190,7 @@ def extract_imports(col, pattern: str = R.IMPORT_PATTERN) -> Column:
 
 def lines_of_code(col) -> Column:
     """Number of lines holding a non-whitespace character."""
-    return F.size(F.filter(F.split(_c(col), "\n"), lambda l: l.rlike(r"\S")))
+    return F.size(F.filter(F.split(_c(col), "\n"), lambda l: l.rlike(f"(?U)[^{SPACE_CLASS}]")))
 
 
 def complexity_indicator_count(col, indicators=R.COMPLEXITY_INDICATORS) -> Column:
@@ -218,7 +229,7 @@ def truncate_chars(col, n: int = 1000, suffix: str = "...") -> Column:
 
 def collapse_blank_lines(col, pattern: str = R.BLANK_LINES_PATTERN) -> Column:
     """One pass of `\\n\\s*\\n\\s*\\n` -> two newlines."""
-    return F.regexp_replace(_c(col), pattern, "\n\n")
+    return F.regexp_replace(_c(col), unicode_spaces(pattern), "\n\n")
 
 
 def tag_text(col, tag_rules=R.TAG_RULES) -> Column:

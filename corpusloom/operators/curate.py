@@ -2,13 +2,13 @@
 
 Scale notes
 -----------
-* Dedupe aggregates on the content hash with ``min_by``: partial aggregation
-  collapses copies on the map side, so a hash held by a third of the rows
-  never lands whole in one task.
-* Balancing never ranks a whole category in one task. Down-sampling picks
-  the kept ids on narrow columns with a salted two-level top-k (exact); the
-  kept set is at most ``max_per_category`` x number-of-categories rows and is
-  semi-joined back (AQE broadcasts it when its measured size allows).
+* Dedupe aggregates ids by the whole text hash (hash aggregation, collapsed on
+  the map side) and takes the repeats out of the input by id; texts are not
+  shuffled for the grouping.
+* Balancing never ranks a whole category in one task. The kept ids are picked
+  on narrow columns with a salted two-level top-k (exact); the plan of rows and
+  copies is at most ``max_per_category`` + ``min_per_category`` rows per category
+  and is joined to the rows once (AQE broadcasts it when its measured size allows).
 """
 
 from __future__ import annotations
@@ -20,18 +20,40 @@ from corpusloom import rules as R
 from corpusloom.functions.text import hash16, seeded_draw
 
 
+def text_key(col) -> Column:
+    """The whole SHA-256 of a text, as 32 bytes: what texts are compared by."""
+    return F.unhex(F.sha2(F.col(col) if isinstance(col, str) else col, 256))
+
+
+def first_ids(df: DataFrame, key: Column, id_col: str, **measures: Column) -> DataFrame:
+    """(key, id_col, measures): the smallest id of each distinct text key.
+
+    Only keys and ids are shuffled. Measures are numbers that depend on the text alone
+    and are computed before the shuffle.
+    """
+    narrow = df.select(key.alias("_key"), F.col(id_col), *[m.alias(n) for n, m in measures.items()])
+    return narrow.groupBy("_key").agg(F.min(id_col).alias(id_col), *[F.min(n).alias(n) for n in measures])
+
+
 def exact_dedupe(df: DataFrame, text_col: str, order_cols: list[str], hash_col: str = "content_hash",
-                 keep_hash: bool = True) -> DataFrame:
-    """O2: keep the first row (by ``order_cols``) per 16-hex SHA-256 of ``text_col``."""
-    cols = df.columns
-    with_hash = df.withColumn(hash_col, hash16(text_col)) if hash_col not in cols else df
-    all_cols = with_hash.columns
-    order = F.struct(*[F.col(c) for c in order_cols])
-    kept = (with_hash.groupBy(hash_col)
-            .agg(F.min_by(F.struct(*[F.col(c) for c in all_cols if c != hash_col]), order).alias("_row"))
-            .select(hash_col, "_row.*"))
-    out = kept.select(*all_cols)
-    return out if keep_hash or hash_col in cols else out.drop(hash_col)
+                 keep_hash: bool = True, key: Column | None = None) -> DataFrame:
+    """O2: keep the first row (by ``order_cols``, which name a row) per distinct text.
+
+    Texts are told apart by the whole SHA-256; ``hash_col`` is its 16-hex label. The
+    shuffles carry keys and ids only: rows that repeat an earlier one, normally the
+    small side, are found on them and taken out of the input.
+    """
+    key = text_key(text_col) if key is None else key
+    narrow = df.select(key.alias("_key"), *order_cols)
+    groups = narrow.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), *(
+        [F.min(order_cols[0]).alias("_first")] if len(order_cols) == 1
+        else [F.min(F.struct(*order_cols)).alias("_first")]))
+    order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
+    repeats = narrow.join(groups.where("_n > 1"), "_key").where(order > F.col("_first")).select(*order_cols)
+    kept = df.join(repeats, order_cols, "left_anti").select(*df.columns)
+    if hash_col in df.columns or not keep_hash:
+        return kept
+    return kept.withColumn(hash_col, hash16(text_col))
 
 
 def _top_k_ids(narrow: DataFrame, group_col: str, id_col: str, draw_col: str, k: int,
@@ -78,31 +100,24 @@ def balance_categories(df: DataFrame, category_col: str, id_col: str, seed: str
     """W4 = W2 (down to max by a seeded draw) + W3 (up to min with reworded
     copies) + pass-through. Adds ``variation`` (bool) and ``copy_no`` (0 for
     originals). Requires ``id_col`` to be unique."""
-    counts = df.groupBy(category_col).agg(F.count(F.lit(1)).alias("_n"))
-    # data-derived small sides carry no broadcast hint: AQE re-plans the join
-    # as a broadcast at runtime only when the materialised side is under
-    # spark.sql.adaptive.autoBroadcastJoinThreshold (a checked size)
-    tagged = df.join(counts, category_col)
-
-    passthrough = tagged.filter((F.col("_n") >= min_per_category) & (F.col("_n") <= max_per_category))
-
-    # Keep the max_per_category smallest seeded draws of large categories
-    large = tagged.filter(F.col("_n") > max_per_category)
-    narrow = large.select(category_col, id_col, seeded_draw(seed, F.col(id_col)).alias("_draw"))
-    keep = _top_k_ids(narrow, category_col, id_col, "_draw", max_per_category, salt_buckets).select(
-        category_col, id_col)
-    # keep holds <= max_per_category rows per category
-    down = large.join(keep, [category_col, id_col], "left_semi")
-
-    # Categories under the floor keep all rows and get random copies
-    small = tagged.filter(F.col("_n") < min_per_category)
-    ranked = small.withColumn("_pos", F.row_number().over(Window.partitionBy(category_col).orderBy(id_col)))
-    need = (counts.filter(F.col("_n") < min_per_category)
-            .select(category_col, "_n", F.explode(F.sequence(F.lit(1), F.lit(min_per_category) - F.col("_n")))
-                    .alias("copy_no"))
-            .withColumn("_pos", F.lit(1) + F.pmod(seeded_draw(seed, F.col(category_col), F.col("copy_no")),
-                                                  F.col("_n"))))
-    copies = ranked.drop("_n").join(need, [category_col, "_pos"])
+    # everything is decided on ids: the rows themselves are joined once, to the plan
+    narrow = df.select(category_col, id_col, seeded_draw(seed, F.col(id_col)).alias("_draw"))
+    # W2 and pass-through: the max_per_category smallest draws, which are all rows of smaller categories
+    keep = _top_k_ids(narrow, category_col, id_col, "_draw", max_per_category, salt_buckets)
+    # Kept rows of a category under the floor are all its rows; some get copies
+    group = Window.partitionBy(category_col)
+    ranked = (keep.select(category_col, id_col)
+              .withColumn("_n", F.count(F.lit(1)).over(group))
+              .withColumn("_pos", F.row_number().over(group.orderBy(id_col))))
+    # the draw of each copy names the position it is made from
+    number = F.sequence(F.lit(1), F.greatest(F.lit(min_per_category) - F.col("_n"), F.lit(1)))
+    mine = F.filter(number, lambda c: (F.col("_n") < min_per_category) & (
+        F.lit(1) + F.pmod(seeded_draw(seed, F.col(category_col), c), F.col("_n")) == F.col("_pos")))
+    plan = ranked.select(F.col(id_col).alias("_id"), F.explode(F.concat(
+        F.array(F.lit(0)), mine.cast("array<int>"))).alias("copy_no"))
+    # at most (max_per_category + min_per_category) rows per category; unhinted, so AQE checks its size
+    rows = df.join(plan, F.col(id_col) == F.col("_id")).drop("_id")
+    variation = F.col("copy_no") > 0
     if instruction_col is not None:
         new_instr = F.col(instruction_col)
         for j, target in enumerate(variation_targets):
@@ -110,12 +125,8 @@ def balance_categories(df: DataFrame, category_col: str, id_col: str, seed: str
                                 (F.pmod(seeded_draw(seed, F.lit(f"v{j}"), F.col(category_col), F.col("copy_no")),
                                         F.lit(len(variations))) + 1).cast("int"))
             new_instr = replace_first(new_instr, target, pick)
-        copies = copies.withColumn(instruction_col, new_instr)
-    base_cols = df.columns
-    originals = (passthrough.unionByName(down).unionByName(small)
-                 .select(*base_cols, F.lit(False).alias("variation"), F.lit(0).alias("copy_no")))
-    copies = copies.select(*base_cols, F.lit(True).alias("variation"), F.col("copy_no").cast("int"))
-    return originals.unionByName(copies)
+        rows = rows.withColumn(instruction_col, F.when(variation, new_instr).otherwise(F.col(instruction_col)))
+    return rows.select(*df.columns, variation.alias("variation"), "copy_no")
 
 
 def shuffle_seeded(df: DataFrame, id_col: str, seed: str = "shuffle") -> DataFrame:

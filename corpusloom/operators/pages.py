@@ -69,59 +69,104 @@ def dedupe_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
             .select(key, "_r.*").select(*df.columns))
 
 
-class _TextParser(HTMLParser):
-    """Collects stripped text pieces with the selectors open around them
-    (tag names and ``.class`` names), skipping dropped tags."""
+# elements without content, and start tags that end an open element of the named kinds
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+_ENDS_P = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4",
+           "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul")
+IMPLIED_END = {**{t: ("p",) for t in _ENDS_P}, "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"),
+               "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+#: an implied end doesn't reach beyond these
+SCOPE = frozenset(("table", "ul", "ol", "dl", "body", "html", "select", "article", "main", "section", "div", "td", "th"))
 
-    VOID = ("br", "img", "meta", "link", "hr", "input")
 
-    def __init__(self, drop=(), keep_sections=()):
+class _PageParser(HTMLParser):
+    """One pass over a page: text pieces with what is open around them, and the text of matched elements.
+
+    A selector is a tag or ``.class`` name. A matched element gathers the text inside it, nested elements
+    included, until it is closed, by its end tag, the end of an element around it, or a start
+    tag that implies its end.
+    """
+
+    def __init__(self, drop=(), wanted=()):
         super().__init__(convert_charrefs=True)
-        self.drop = set(drop)
-        self.keep = set(keep_sections)
-        self.stack: list[tuple[str, frozenset]] = []
+        self.drop, self.wanted = frozenset(drop), frozenset(wanted)
+        self.stack: list[tuple[str, frozenset, list | None]] = []
         self.pieces: list[tuple[frozenset, str]] = []
+        self.elements: list[tuple[frozenset, list[str]]] = []    # in order of their start tags
+        self.nested: list[bool] = []                             # whether each lies inside another
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
+        ends = IMPLIED_END.get(tag, ())
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] in ends:
+                del self.stack[depth:]
+                break
+            if self.stack[depth][0] in SCOPE:
+                break
+        if tag in VOID:
+            if tag in ("br", "hr"):
+                self._text(" ")
             return
         classes = next((v for k, v in attrs if k == "class" and v), "")
-        self.stack.append((tag, frozenset([tag] + ["." + c for c in classes.split()])))
+        names = frozenset([tag] + ["." + c for c in classes.split()])
+        gathered = None
+        if names & self.wanted and not any(sel & self.drop for _, sel, _ in self.stack):
+            gathered = []
+            self.elements.append((names, gathered))
+            self.nested.append(any(g is not None for _, _, g in self.stack))
+        self.stack.append((tag, names, gathered))
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
-            while self.stack:
-                if self.stack.pop()[0] == tag:
-                    break
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                del self.stack[depth:]
+                break
 
     def handle_data(self, data):
-        s = data.strip()
-        if not s:
-            return
-        open_sel = frozenset().union(*[sel for _, sel in self.stack]) if self.stack else frozenset()
-        if open_sel & self.drop:
+        self._text(data)
+
+    def _text(self, data):
+        around = frozenset().union(*[sel for _, sel, _ in self.stack])
+        if around & self.drop:
             return
-        self.pieces.append((open_sel, s))
+        for _, _, gathered in self.stack:
+            if gathered is not None:
+                gathered.append(data)
+        self.pieces.append((around, data))
+
+
+def _clean(parts) -> str:
+    return " ".join("".join(parts).split())
+
+
+def _parsed(html: str | None, drop=(), wanted=()) -> _PageParser:
+    p = _PageParser(drop, wanted)
+    p.feed(html or "")
+    p.close()
+    return p
+
+
+def _page_text(pieces) -> str:
+    """Text pieces apart by one space, white space collapsed."""
+    return " ".join(" ".join(s.split()) for _, s in pieces if s.strip())
 
 
 def _parse_text(html: str | None, section: str | None, drop) -> str | None:
     if html is None:
         return None
-    p = _TextParser(drop=drop)
-    p.feed(html)
-    p.close()
+    p = _parsed(html, drop)
     if section is None:
-        return " ".join(s for _, s in p.pieces)
+        return _page_text(p.pieces)
     for tag in MAIN_TAGS:
-        inside = [s for tags, s in p.pieces if tag in tags]
-        if inside:
-            return " ".join(inside)
+        inside = [piece for piece in p.pieces if tag in piece[0]]
+        if any(s.strip() for _, s in inside):
+            return _page_text(inside)
     return ""
 
 
 @F.pandas_udf(T.StringType())
 def main_text_parsed(html: pd.Series) -> pd.Series:
-    """H1 (parser form): text of the first of main/article/body, one space between stripped pieces."""
+    """H1 (parser form): text of the first of main/article/body, one space between pieces."""
     return html.map(lambda h: _parse_text(h, "main", ()))
 
 
@@ -138,28 +183,25 @@ AUTO_CODE_SELECTORS = ["pre", "code", ".highlight", ".codehilite", ".language-py
 
 
 def _select(html, selectors):
-    p = _TextParser(drop=("script", "style"))
-    p.feed(html or "")
-    p.close()
+    wanted = set(AUTO_CODE_SELECTORS) if not selectors else {t for tags in selectors.values() for t in tags}
+    p = _parsed(html, ("script", "style"), wanted)
+    texts = [(names, _clean(parts)) for names, parts in p.elements]
     out = {}
     if not selectors:
         # no selectors: all text without script/style/nav, plus automatic code search
-        out["all_text"] = [" ".join(s for sel, s in p.pieces if not sel & {"nav"})]
-        code = []
-        for pattern in AUTO_CODE_SELECTORS:
-            code += [s for sel, s in p.pieces if pattern in sel]
+        out["all_text"] = [_page_text([x for x in p.pieces if "nav" not in x[0]])]
+        code = [t for pattern in AUTO_CODE_SELECTORS for names, t in texts if pattern in names and t]
         if code:
             out["auto_code"] = code
         return out
     for name, tags in selectors.items():
-        out[name] = [s for open_tags, s in p.pieces if open_tags & set(tags)]
+        out[name] = [t for names, t in texts if names & set(tags) and t]
     return out
 
 
 def select_udf(selectors: dict[str, list[str]]):
-    """H3: named selectors (tag or ``.class`` names) -> arrays of non-blank
-    texts in one parser pass; with no selectors, all text plus an automatic
-    search over the code selectors."""
+    """H3: named selectors (tag or ``.class`` names) -> arrays with the text of each matched element that
+    isn't blank, in one parser pass; with no selectors, all text plus an automatic search over the code selectors."""
     @F.pandas_udf(SELECT_SCHEMA)
     def _sel(html: pd.Series) -> pd.Series:
         return html.map(lambda h: _select(h, selectors))
@@ -167,18 +209,16 @@ def select_udf(selectors: dict[str, list[str]]):
 
 
 SPLIT_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("code", T.ArrayType(T.StringType()))])
+_CODE = frozenset(("pre", "code"))
 
 
 @F.pandas_udf(SPLIT_SCHEMA)
 def split_code_text(html: pd.Series) -> pd.DataFrame:
-    """H4: text inside pre/code to ``code``, all other text appended to ``text``."""
+    """H4: the text of each outermost pre/code element to ``code``, all other text to ``text``."""
     texts, codes = [], []
     for h in html:
-        p = _TextParser(drop=("script", "style"))
-        p.feed(h or "")
-        p.close()
-        code = [s for tags, s in p.pieces if tags & {"pre", "code"}]
-        text = " ".join(s for tags, s in p.pieces if not tags & {"pre", "code"})
-        texts.append(text)
-        codes.append(code)
+        p = _parsed(h, ("script", "style"), _CODE)
+        code = [_clean(parts) for (_, parts), nested in zip(p.elements, p.nested) if not nested]
+        texts.append(_page_text([x for x in p.pieces if not x[0] & _CODE]))
+        codes.append([c for c in code if c])
     return pd.DataFrame({"text": texts, "code": codes})

@@ -17,25 +17,21 @@ def top_k_counts(df: DataFrame, key: str, k: int = 10, count_col: str = "n") ->
             .orderBy(F.col(count_col).desc(), F.col(key).asc()).limit(k))
 
 
-def mean_upper_median(df: DataFrame, col: str, max_value: int | None = None) -> DataFrame:
+def mean_upper_median(df: DataFrame, col: str) -> DataFrame:
     """A3: mean and the upper median ``sorted(x)[n // 2]`` of an integer column.
 
     Exact without ranking the rows: a histogram of distinct values (partial
-    aggregation), then a running count over the distinct values. The value
-    domain is bounded (``max_value``, e.g. lines of a length-gated file), so
-    the ordered pass over the histogram is small by construction.
+    aggregation), then a running count and a total over the distinct values in
+    one ordered pass. For the integer measures it is meant for (lines of a
+    length-gated file) there are few distinct values. The input is read once.
     """
     hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    if max_value is not None and max_value < 0:
-        raise ValueError("max_value must be non-negative")
-    n = hist.select(F.sum("_c")).scalar()
-    total = hist.select(F.sum(F.col(col) * F.col("_c"))).scalar()
-    # ordered pass over the distinct values only (bounded domain)
     running = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("_cum", F.sum("_c").over(running))
+    everything = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cum = hist.select(col, "_c", F.sum("_c").over(running).alias("_cum"), F.sum("_c").over(everything).alias("_n"))
     return cum.agg(
-        F.round(F.first(total / n), 9).alias(f"mean_{col}"),
-        F.min(F.when(F.col("_cum") > F.floor(n / 2), F.col(col))).cast("long").alias(f"median_{col}"))
+        F.round(F.sum(F.col(col) * F.col("_c")) / F.sum("_c"), 9).alias(f"mean_{col}"),
+        F.min(F.when(F.col("_cum") > F.floor(F.col("_n") / 2), F.col(col))).cast("long").alias(f"median_{col}"))
 
 
 def duplicate_count(df: DataFrame, hash_col: str) -> DataFrame:
@@ -56,5 +52,6 @@ def distributions(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def share_of_total(df: DataFrame, key: str, count_col: str = "n") -> DataFrame:
     """Percentage of each group over the (already aggregated, small) rows."""
-    total = df.select(F.sum(count_col)).scalar()  # scalar subquery, no single-partition window
+    # one row per group: the total over them reads the input once, a scalar subquery twice
+    total = F.sum(count_col).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.select(key, count_col, F.round(F.col(count_col) * 100.0 / total, 6).alias("pct"))

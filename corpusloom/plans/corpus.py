@@ -171,7 +171,7 @@ o AS (SELECT loc, row_number() OVER (ORDER BY loc) - 1 AS idx, count(*) OVER ()
 SELECT round((SELECT avg(loc) FROM l), 9) AS mean_loc, (SELECT loc FROM o WHERE idx = n // 2) AS median_loc""")
 def loc_mean_median(spark, sf):
     d = _deduped(spark, sf, ["doc_id", "content"]).select(T.lines_of_code("content").cast("long").alias("loc"))
-    return stats.mean_upper_median(d, "loc", max_value=R.MAX_CODE_LENGTH)
+    return stats.mean_upper_median(d, "loc")
 
 
 @register("duplicate_count", f"""SELECT CAST(count(*) - count(DISTINCT {S.hash16('text')}) AS BIGINT) AS duplicate_count

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import rules as R
 from corpusloom.functions import text as T
 from corpusloom.operators import curate, examples, stats
+from corpusloom.operators import pages as P
 from corpusloom.plans import sqlgen as S
 from corpusloom.plans.bindings import code_files
 from corpusloom.plans.corpus import _DEDUPED
@@ -240,19 +241,19 @@ def build_synthetic_examples(spark, sf):
 
 # --- documentation and tutorial examples over `pages` (E2, E3, W1, J7) ---------
 
-_P = r"<p>(.*?)</p>"
-_H1 = r"<h1>(.*?)</h1>"
+def page_items(spark, sf):
+    """Pages as items: their paragraphs as blocks, their main headings as descriptions, one text per element."""
+    sel = P.select_udf({"blocks": ["p"], "descriptions": ["h1"]})
+    return read_table(spark, sf, "pages").select("page_id", "url", sel("html").alias("s")).select(
+        "page_id", "url", F.col("s")["blocks"].alias("blocks"), F.col("s")["descriptions"].alias("descriptions"))
 
 
-def page_items(spark, sf):
-    p = read_table(spark, sf, "pages")
-    return p.select("page_id", "url", F.regexp_extract_all("html", F.lit(_P), 1).alias("blocks"),
-                    F.regexp_extract_all("html", F.lit(_H1), 1).alias("descriptions"))
+_ITEMS_SQL = f"""items AS (SELECT page_id, url, {S.html_elements('html', 'p')} AS blocks,
+  {S.html_elements('html', 'h1')} AS descriptions FROM pages)"""
 
 
 def _blocks_sql(n):
-    return f"""WITH items AS (SELECT page_id, url, regexp_extract_all(html, '{_P}', 1) AS blocks,
-  regexp_extract_all(html, '{_H1}', 1) AS descriptions FROM pages),
+    return f"""WITH {_ITEMS_SQL},
 ex AS (SELECT page_id, url, descriptions, unnest(blocks[1:{n}]) AS block,
   unnest(range(0, len(blocks[1:{n}]))) AS pos FROM items),
 kept AS (SELECT * FROM ex WHERE length(regexp_replace(block, '^\\s+|\\s+$', '', 'g')) >= 50),
@@ -279,16 +280,15 @@ def build_tutorial_examples(spark, sf):
     return ex.select("page_id", "pos", "description", T.hash16("input").alias("input_hash"), "category", "total_us")
 
 
-@register("first_n_blocks", """SELECT page_id, CAST(len(regexp_extract_all(html, '<p>(.*?)</p>', 1)[1:3]) AS INTEGER)
-  AS n_blocks FROM pages""")
+@register("first_n_blocks", f"""WITH {_ITEMS_SQL}
+SELECT page_id, CAST(len(blocks[1:3]) AS INTEGER) AS n_blocks FROM items""")
 def first_n_blocks(spark, sf):
     return page_items(spark, sf).select("page_id", F.size(F.slice("blocks", 1, 3)).alias("n_blocks"))
 
 
-@register("align_by_position", """SELECT page_id, CAST(pos AS INTEGER) AS pos,
-  coalesce(descriptions[pos + 1], 'Tutorial example') AS description FROM
-  (SELECT page_id, regexp_extract_all(html, '<h1>(.*?)</h1>', 1) AS descriptions,
-          unnest(range(0, len(regexp_extract_all(html, '<p>(.*?)</p>', 1)))) AS pos FROM pages)""")
+@register("align_by_position", f"""WITH {_ITEMS_SQL}
+SELECT page_id, CAST(pos AS INTEGER) AS pos, coalesce(descriptions[pos + 1], 'Tutorial example') AS description FROM
+  (SELECT page_id, descriptions, unnest(range(0, len(blocks))) AS pos FROM items)""")
 def align_by_position(spark, sf):
     it = page_items(spark, sf)
     ex = it.select("page_id", "descriptions", F.posexplode("blocks").alias("pos", "block"))

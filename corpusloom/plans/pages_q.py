@@ -29,13 +29,14 @@ def page_main_text_regex(spark, sf):
     return _pages(spark, sf).select("page_id", P.strip_tags(P.first_section(F.col("html"))).alias("main_text"))
 
 
-@register("page_main_text")
+@register("page_main_text", f"""SELECT page_id, {S.html_text(f"regexp_extract({S.html_without('html', ())}, '(?s)<article[^>]*>(.*?)(</article>|$)', 1)")}
+  AS main_text FROM pages""")
 def page_main_text(spark, sf):
     """H1 (parser form, Arrow UDF): text pieces of the first of main/article/body."""
     return _pages(spark, sf).select("page_id", P.main_text_parsed("html").alias("main_text"))
 
 
-@register("page_all_text")
+@register("page_all_text", f"""SELECT page_id, {S.html_text(S.html_without('html', P.DROP_TAGS))} AS text FROM pages""")
 def page_all_text(spark, sf):
     """H2 (parser form): all text without script/style/nav."""
     return _pages(spark, sf).select("page_id", P.all_text_parsed("html").alias("text"))
@@ -47,17 +48,28 @@ def page_title(spark, sf):
     return _pages(spark, sf).select("page_id", P.title(F.col("html")).alias("title"))
 
 
-@register("page_select")
+@register("page_select", f"""SELECT page_id, {S.html_elements('html', 'p')} AS content, {S.html_elements('html', 'h1')}
+  AS headings, {S.html_elements('html', 'li')} AS items FROM pages""")
 def page_select(spark, sf):
-    """H3: named selectors -> arrays of texts in one parser pass."""
-    sel = P.select_udf({"content": ["p"], "code_blocks": ["pre", "code"], "headings": ["h1", "h2", "h3"]})
-    return _pages(spark, sf).select("page_id", sel("html").alias("selected"))
+    """H3: named selectors -> one text per matched element, in one parser pass."""
+    sel = P.select_udf({"content": ["p"], "headings": ["h1", "h2", "h3"], "items": ["li"]})
+    return _pages(spark, sf).select("page_id", sel("html").alias("s")).select(
+        "page_id", *[F.col("s")[k].alias(k) for k in ("content", "headings", "items")])
 
 
-@register("page_split")
+# the pages hold no code: every hundredth gets some, nested and with markup inside
+_CODE = "<pre>a = 1 <b>+</b> <code>b</code></pre><p>then <code>x &lt; y</code></p>"
+_WITH_CODE = f"CASE WHEN page_id % 100 = 0 THEN replace(html, '</article>', '{_CODE}</article>') ELSE html END"
+
+
+@register("page_split", f"""SELECT page_id, {S.html_text(
+    "regexp_replace(regexp_replace(h, '(?s)<pre>.*?</pre>', ' ', 'g'), '(?s)<code>.*?</code>', ' ', 'g')")} AS text,
+  CASE WHEN page_id % 100 = 0 AND contains(html, '</article>') THEN ['a = 1 + b', 'x < y'] ELSE []::VARCHAR[] END AS code
+FROM (SELECT page_id, html, {S.html_without(_WITH_CODE, ('script', 'style'))} AS h FROM pages)""")
 def page_split(spark, sf):
     """H4: code/text split."""
-    return _pages(spark, sf).select("page_id", P.split_code_text("html").alias("content"))
+    p = _pages(spark, sf).select("page_id", F.expr(_WITH_CODE).alias("html"))
+    return p.select("page_id", P.split_code_text("html").alias("c")).select("page_id", "c.text", "c.code")
 
 
 @register("pre_block", """SELECT page_id, regexp_extract(html, '(?s)<pre class="rfc-text">(.*?)</pre>', 1) AS pre

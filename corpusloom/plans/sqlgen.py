@@ -119,3 +119,34 @@ def critical_path_cte(steps_rel: str, key: str, anchor_rel: str) -> str:
             f"SELECT cp.{key}, cp.k + 1, list_append(cp.fin, s.us + coalesce(list_max(list_transform(s.deps, "
             f"lambda d: coalesce(cp.fin[d], 0))), 0)) FROM cp JOIN {steps_rel} s ON s.{key} = cp.{key} "
             f"AND s.step = cp.k + 1)")
+
+
+_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
+def unescape(expr: str) -> str:
+    """The named references that occur in the pages, the ampersand last."""
+    for name, char in _ENTITIES:
+        expr = f"replace({expr}, {lit(name)}, {lit(char)})"
+    return expr
+
+
+def html_text(expr: str, tag: str = " ") -> str:
+    """Markup without tags, line breaks as spaces, white space collapsed, references replaced."""
+    bare = f"regexp_replace(regexp_replace({expr}, '<br[^>]*>', ' ', 'g'), '<[^>]*>', {lit(tag)}, 'g')"
+    return unescape(f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))")
+
+
+def html_without(expr: str, tags) -> str:
+    """A page without comments, declarations and whole elements of the given tags."""
+    for t in tags:
+        expr = f"regexp_replace({expr}, '(?s)<{t}[^>]*>.*?</{t}>', '', 'g')"
+    return f"regexp_replace(regexp_replace({expr}, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>', '', 'g')"
+
+
+def html_elements(html: str, tag: str) -> str:
+    """The texts, blanks left out, of all elements of a tag whose end a block tag may imply."""
+    clean = html_without(html, ("script", "style"))
+    ends = r"(?s)(</(%s|article|body|main|footer|div|html)>|<(p|ul|div|footer|h1|pre|article)[ >]).*$" % tag
+    return (f"list_filter(list_transform(string_split({clean}, '<{tag}>')[2:], lambda x: "
+            f"{html_text(f'regexp_replace(x, {lit(ends)}, {lit(chr(0)[:0])})', '')}), lambda x: x <> '')")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (local tests) a fresh scratch folder is created.
+    in local mode, when it is unset, a fresh scratch folder is created.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext
@@ -45,6 +48,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches read once, as Parquet in the shared folder, and read it back.
+
+    Cuts the lineage with files that survive the loss of an executor. Runs a job.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -78,10 +78,28 @@ def test_page_parsers(spark):
     assert r["a"] == "T Head one two code() hl f"
     assert r["t"] == "T"
     assert r["auto"]["auto_code"] == ["code()", "hl"]
-    assert r["sel"] == {"content": ["one", "two"], "ex": ["hl"]}
+    assert r["sel"] == {"content": ["one two"], "ex": ["hl"]}
     assert list(r["split"]["code"]) == ["code()"]
 
 
+def test_one_text_per_element(spark):
+    from corpusloom.operators import pages as P
+    cases = [
+        ("<p>a <b>b</b> c</p><p>d</p>", ["a b c", "d"]),
+        ("<p>open <b>bold<br><p>next\n line</p><p>", ["open bold", "next line"]),
+        ("<div><p>in div<div>not p</div></div><p>x", ["in div", "x"]),
+        ("<script>'<p>no</p>'</script><style>p{}</style><p>yes</p>", ["yes"]),
+        ("<ul><li>1<li>2 <p>two</p></ul><p>&lt;3&amp;</p>", ["two", "<3&"]),
+        ("", []), (None, []),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    got = {r["i"]: r["s"]["p"] for r in df.select("i", P.select_udf({"p": ["p"]})("html").alias("s")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+    split = spark.createDataFrame([("<pre>a <code>b</code></pre>t <code>c</code> u",)], "html string").select(
+        P.split_code_text("html").alias("s")).first()["s"]
+    assert (split["text"], list(split["code"])) == ("t u", ["a b", "c"])
+
+
 def test_preprocess_folder(spark, tmpdir_path):
     import re
 
