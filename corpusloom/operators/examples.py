@@ -125,6 +125,11 @@ def code_analysis(df: DataFrame, text_col: str) -> DataFrame:
               .withColumn("content_hash", T.hash16(text_col)))
 
 
+def title_words(col: Column) -> Column:
+    """Python str.title() of a snake_case name: each part capitalised, underscores kept."""
+    return F.array_join(F.transform(F.split(col, "_"), F.initcap), "_")
+
+
 def title_case(col: Column) -> Column:
     """Python str.title() for snake_case words after '_' -> ' ' (ASCII words)."""
     return F.initcap(F.regexp_replace(col, "_", " "))
@@ -194,7 +199,7 @@ def build_block_examples(items: DataFrame, *, id_col: str, url_col: str, blocks_
         out = (kept.withColumn("instruction", F.lit("Explain and decompose this documented network programming pattern"))
                .withColumn("input", F.concat(F.lit("Documentation source: "), F.col(url_col),
                                              F.lit("\n\nCode example:\n"), F.col("block")))
-               .withColumn("operation", F.concat(F.lit("Documentation Study: "), F.initcap("block_category")))
+               .withColumn("operation", F.concat(F.lit("Documentation Study: "), title_words(F.col("block_category"))))
                .withColumn("category", F.lit("reference_material"))
                .withColumn("output_category", F.lit("documentation_reference")))
     else:
@@ -206,7 +211,7 @@ def build_block_examples(items: DataFrame, *, id_col: str, url_col: str, blocks_
                .withColumn("input", F.concat(F.lit("Tutorial context: "), F.col("description"),
                                              F.lit("\n\nTutorial source: "), F.col(url_col),
                                              F.lit("\n\nCode example:\n"), F.col("block")))
-               .withColumn("operation", F.concat(F.lit("Tutorial Learning: "), F.initcap("block_category")))
+               .withColumn("operation", F.concat(F.lit("Tutorial Learning: "), title_words(F.col("block_category"))))
                .withColumn("category", F.lit("educational_breakdown"))
                .withColumn("output_category", F.lit("educational_content")))
     return (out.withColumn("steps", fixed_steps(steps))
@@ -236,6 +241,7 @@ def build_synthetic_examples(anchor: DataFrame, *, id_col: str, op_col: str, see
             .withColumn("total_us", total_us(F.col("steps")))
             .withColumn("parallelizable_steps", parallel_steps(F.col("steps")))
             .withColumn("critical_path_us", critical_path(F.col("steps")))
+            .withColumn("operation", F.col(op_col))
             .withColumn("instruction", F.concat(F.lit("Decompose the network operation: "), F.col(op_col)))
             .withColumn("input", F.concat(F.lit("Analyze the step-by-step process for: "), F.col(op_col)))
             .withColumn("source", F.lit("synthetic")))
@@ -273,13 +279,16 @@ def json_target(output: Column) -> Column:
 
 # --- trace enrichment (J2, J3) -------------------------------------------------
 
-def index_within_group(df: DataFrame, group: str, order_col: str, bucket_width: int = 1 << 16) -> DataFrame:
+def index_within_group(df: DataFrame, group: str, order_col: str, bucket_rows: int = 1 << 16) -> DataFrame:
     """0-based index of each row inside its group in ``order_col`` order,
     without ranking a whole group in one task: rows are cut into range
-    buckets of ``order_col``; per-(group, bucket) counts (a small table) give
-    each bucket's offset, and rows are numbered inside their bucket."""
+    buckets of ``order_col`` that hold about ``bucket_rows`` rows if ids are
+    spread evenly; per-(group, bucket) counts (a small table) give each
+    bucket's offset, and rows are numbered inside their bucket."""
     from pyspark.sql import Window
-    b = df.withColumn("_bk", F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long"))
+    span = df.select(F.greatest(F.lit(1.0), (F.max(order_col) - F.min(order_col) + 1) * float(bucket_rows)
+                                / F.count(F.lit(1)))).scalar()
+    b = df.withColumn("_bk", F.floor(F.col(order_col) / span).cast("long"))
     counts = b.groupBy(group, "_bk").agg(F.count(F.lit(1)).alias("_bc"))
     wb = Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
@@ -289,20 +298,23 @@ def index_within_group(df: DataFrame, group: str, order_col: str, bucket_width:
 
 
 def enrich_with_traces(ex: DataFrame, traces: DataFrame, *, id_col: str = "doc_id", seed: str = "trace",
-                       default_category: str = "general") -> DataFrame:
+                       default_category: str = "general", categories: list[str] | None = None) -> DataFrame:
     """Each example takes one seeded-random trace of its category (traces
     without a category count as ``general``); unmatched examples pass through.
 
     Traces are numbered inside their category (``index_within_group``) and the
     example picks ``draw mod count`` — an equi-join on (category, index), so
-    no example is paired with every trace of its category.
+    no example is paired with every trace of its category. With ``categories``,
+    the declared list, other traces are left out and the counts, at most one row for each of
+    the list, are broadcast: examples aren't shuffled by category to learn a count.
     """
     tr = traces.withColumn("category", F.coalesce("category", F.lit(default_category)))
+    if categories is not None:
+        tr = tr.where(F.col("category").isin(list(categories)))
     indexed = index_within_group(tr, "category", "trace_id")
     counts = tr.groupBy("category").agg(F.count(F.lit(1)).alias("_m"))
-    # data-derived (one row per category): no hint; AQE turns the join into a
-    # broadcast at runtime only when the materialised side is under its threshold
-    picked = ex.join(counts, "category", "left").withColumn(
+    # without a declared list the size is unknown: no hint, AQE decides by the measured size
+    picked = ex.join(F.broadcast(counts) if categories is not None else counts, "category", "left").withColumn(
         "idx", F.when(F.col("_m").isNotNull(), F.pmod(T.seeded_draw(seed, F.col(id_col)), F.col("_m"))))
     out = picked.join(indexed.select("category", "idx", "trace_id", "timing_data"), ["category", "idx"], "left")
     return out.withColumn("trace_enhanced", F.col("trace_id").isNotNull()).drop("_m", "idx")

@@ -23,20 +23,20 @@ deduped AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {S.hash16('content')} AS conte
   row_number() OVER (PARTITION BY {S.hash16('content')} ORDER BY doc_id) AS rn FROM gated) WHERE rn = 1)"""
 
 
-def _deduped(spark, sf, cols=None):
-    files = code_files(spark, sf).filter(T.length_between("content"))
-    if cols:
-        files = files.select(*cols)
-    return curate.exact_dedupe(files, "content", ["doc_id"])
+def _gated(spark, sf):
+    return code_files(spark, sf).select("doc_id", "content").filter(T.length_between("content"))
 
 
 @register("category_distribution", f"""{_DEDUPED}
 SELECT category, count(*) AS n FROM (SELECT {_CAT_SQL} AS category FROM deduped) GROUP BY category""")
 def category_distribution(spark, sf):
     """Flagship: F1 -> O2 -> X1 -> A1 (count per category)."""
-    # only the text travels through the dedupe shuffle
-    d = _deduped(spark, sf, ["doc_id", "content"]).select(T.categorize_scored("content", FP, FD).alias("category"))
-    return d.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    # equal texts have equal categories: the category's number goes through the dedupe shuffle, the text doesn't
+    names = F.array(*[F.lit(c) for c, _ in FP], F.lit(FD))
+    number = F.array_position(names, T.categorize_scored("content", FP, FD))
+    d = curate.first_ids(_gated(spark, sf), curate.text_key("content"), "doc_id", number=number)
+    return d.groupBy("number").agg(F.count(F.lit(1)).alias("n")).select(
+        F.element_at(names, F.col("number").cast("int")).alias("category"), "n")
 
 
 @register("length_gate", f"""WITH files AS ({CODE_FILES_SQL})
@@ -58,7 +58,8 @@ def stripped_length_gate(spark, sf):
 
 @register("exact_dedupe", f"""{_DEDUPED} SELECT doc_id, content_hash FROM deduped""")
 def exact_dedupe(spark, sf):
-    return _deduped(spark, sf, ["doc_id", "content"]).select("doc_id", "content_hash")
+    d = curate.first_ids(_gated(spark, sf), curate.text_key("content"), "doc_id")
+    return d.select("doc_id", F.lower(F.hex(F.substring("_key", 1, 8))).alias("content_hash"))
 
 
 @register("content_hash", f"SELECT doc_id, {S.hash16('text')} AS content_hash FROM documents")
@@ -170,14 +171,15 @@ l AS (SELECT CAST({S.lines_of_code('content')} AS BIGINT) AS loc FROM deduped),
 o AS (SELECT loc, row_number() OVER (ORDER BY loc) - 1 AS idx, count(*) OVER () AS n FROM l)
 SELECT round((SELECT avg(loc) FROM l), 9) AS mean_loc, (SELECT loc FROM o WHERE idx = n // 2) AS median_loc""")
 def loc_mean_median(spark, sf):
-    d = _deduped(spark, sf, ["doc_id", "content"]).select(T.lines_of_code("content").cast("long").alias("loc"))
+    d = curate.first_ids(_gated(spark, sf), curate.text_key("content"), "doc_id",
+                         loc=T.lines_of_code("content").cast("long"))
     return stats.mean_upper_median(d, "loc")
 
 
 @register("duplicate_count", f"""SELECT CAST(count(*) - count(DISTINCT {S.hash16('text')}) AS BIGINT) AS duplicate_count
 FROM documents""")
 def duplicate_count(spark, sf):
-    d = read_table(spark, sf, "documents").select(T.hash16("text").alias("h"))
+    d = read_table(spark, sf, "documents").select(curate.text_key("text").alias("h"))
     return stats.duplicate_count(d, "h")
 
 

@@ -13,7 +13,7 @@ from corpusloom.plans import sqlgen as S
 from corpusloom.plans.bindings import code_files
 from corpusloom.plans.corpus import _DEDUPED
 from corpusloom.plans.registry import register
-from corpusloom.session import read_table
+from corpusloom.session import materialized, read_table
 
 FP, FD, FT = R.FIXTURE_CATEGORY_PATTERNS, R.FIXTURE_DEFAULT_CATEGORY, R.FIXTURE_STEP_TEMPLATES
 SEED = "timing"
@@ -214,12 +214,12 @@ def _synthetic_sql():
     rows = []
     for name, cat, level, tpl in R.SYNTHETIC_OPERATIONS:
         for i, (a, res, crit, _l, _h, _t, par, deps) in enumerate(tpl):
-            rows.append(f"({S.lit(name)}, {S.lit(cat)}, {S.lit(level)}, {i + 1}, {S.lit(res)}, {S.lit(crit)}, "
+            rows.append(f"({S.lit(name)}, {S.lit(cat)}, {S.lit(level)}, {i + 1}, {S.lit(a)}, {S.lit(res)}, {S.lit(crit)}, "
                         f"{str(par).lower()}, {S._arr([d + 1 for d in deps])})")
     lo, hi = S.timing_bounds("t.resource", "t.criticality", "1.0")
     draw = S.seeded_draw("synthetic", "a.src || ':' || t.op", "t.step")
     return f"""WITH RECURSIVE a AS (SELECT DISTINCT source AS src FROM documents),
-t AS (SELECT * FROM (VALUES {", ".join(rows)}) v(op, category, complexity, step, resource, criticality, par, deps)),
+t AS (SELECT * FROM (VALUES {", ".join(rows)}) v(op, category, complexity, step, action, resource, criticality, par, deps)),
 st0 AS (SELECT a.src || '|' || t.op AS key, t.*, {lo} AS lo, {hi} AS hi, {draw} AS draw FROM a CROSS JOIN t),
 st AS (SELECT *, lo + (draw % (hi - lo + 1)) AS us FROM st0),
 anchor AS (SELECT DISTINCT key FROM st),
@@ -424,7 +424,7 @@ SELECT doc_id, trace_id, trace_id IS NOT NULL AS trace_enhanced FROM pick""")
 def trace_enrich(spark, sf):
     """One seeded-random trace of the example's category per example."""
     ex = code_examples(spark, sf).select("doc_id", "category", "steps")
-    out = examples.enrich_with_traces(ex, traces(spark, sf))
+    out = examples.enrich_with_traces(ex, traces(spark, sf), categories=_TRACE_CATS)
     return out.select("doc_id", "trace_id", "trace_enhanced")
 
 
@@ -442,7 +442,7 @@ SELECT doc_id, step, CASE WHEN coalesce(real, 0) <> 0 THEN real ELSE us END AS e
 def syscall_timing_match(spark, sf):
     """Step timings replaced by the matching syscall timing of the picked trace."""
     ex = code_examples(spark, sf).select("doc_id", "category", "steps")
-    out = examples.enrich_with_traces(ex, traces(spark, sf))
+    out = examples.enrich_with_traces(ex, traces(spark, sf), categories=_TRACE_CATS)
     tm = F.coalesce(F.col("timing_data"), F.create_map().cast("map<string,double>"))
     new = out.select("doc_id", F.arrays_zip(F.col("steps"), examples.match_step_timing(F.col("steps"), tm)).alias("z"))
     z = new.select("doc_id", F.explode("z").alias("p"))
@@ -452,27 +452,47 @@ def syscall_timing_match(spark, sf):
 
 # --- union of generators, global dedupe, balance (O1, O2 on the union, W4, A5) --
 
+_META = ("functions array<string>, classes array<string>, imports array<string>, lines_of_code int, "
+         "complexity_score double, url string, description string, synthetic boolean")
+UNION_COLUMNS = ["item_id", "source", "category", "instruction", "input", "operation", "output_category", "steps",
+                 "n_steps", "total_us", "parallelizable_steps", "critical_path_us", "complexity", "metadata"]
+
+
+def _metadata(**known):
+    """The metadata struct of an example; what a generator doesn't know is null."""
+    fields = [f.strip().split(" ", 1) for f in _META.split(",")]
+    return F.struct(*[(known[n] if n in known else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+
+def _none_parallel():
+    return F.array().cast("array<int>")
+
+
 def _union_frames(spark, sf):
+    """All generators' examples with the same columns: prompt, whole target and metadata."""
     # item ids are unique across generators: <source>:<local id>
-    code = code_examples(spark, sf).select(
-        F.concat_ws(":", F.lit("github"), F.col("doc_id").cast("string")).alias("item_id"), "source", "category", "instruction", "input",
-        "n_steps", "total_us", "complexity")
+    code = code_examples(spark, sf).withColumns({
+        "item_id": F.concat_ws(":", F.lit("github"), F.col("doc_id").cast("string")), "output_category": F.col("category"),
+        "metadata": _metadata(**{c: F.col(c) for c in ("functions", "classes", "imports", "lines_of_code",
+                                                       "complexity_score")})})
     it = page_items(spark, sf)
-    docs = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
-                                         kind="documentation")
+    docs = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks", kind="documentation")
     tuts = examples.build_block_examples(it, id_col="page_id", url_col="url", blocks_col="blocks",
                                          kind="tutorial", descriptions_col="descriptions")
-    blocks = [x.select(F.concat_ws(":", "source", F.col("page_id").cast("string"), F.col("pos").cast("string"))
-                       .alias("item_id"),
-                       "source", "category", "instruction", "input", "n_steps", "total_us", "complexity")
-              for x in (docs, tuts)]
+    blocks = [x.withColumns({
+        "item_id": F.concat_ws(":", "source", F.col("page_id").cast("string"), F.col("pos").cast("string")),
+        "parallelizable_steps": _none_parallel(), "metadata": _metadata(url=F.col("url"), **more)})
+        for x, more in ((docs, {}), (tuts, {"description": F.col("description")}))]
     srcs = read_table(spark, sf, "documents").select(F.col("source").alias("src")).distinct()
     ops = F.array(*[F.lit(n) for n, _, _, _ in R.SYNTHETIC_OPERATIONS])
-    syn = examples.build_synthetic_examples(srcs.select("src", F.explode(ops).alias("operation")),
-                                            id_col="src", op_col="operation")
-    syn = syn.select(F.concat_ws(":", F.lit("synthetic"), "src", "operation").alias("item_id"), "source", "category", "instruction",
-                     "input", "n_steps", "total_us", "complexity")
-    return code.unionByName(blocks[0], allowMissingColumns=True).unionByName(blocks[1]).unionByName(syn)
+    syn = examples.build_synthetic_examples(srcs.select("src", F.explode(ops).alias("op")), id_col="src", op_col="op")
+    syn = syn.withColumns({"item_id": F.concat_ws(":", F.lit("synthetic"), "src", "operation"),
+                           "output_category": F.col("category"), "metadata": _metadata(synthetic=F.lit(True))})
+    frames = [x.select(UNION_COLUMNS) for x in (code, *blocks, syn)]
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)        # schema drift between generators is an error
+    return out
 
 
 def _union_sql():
@@ -491,30 +511,52 @@ def union_sources(spark, sf):
     return _union_frames(spark, sf).groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def training_set(spark, sf):
-    """The whole corpus build: union -> one global dedupe on hash16(instruction,
-    input) (D1, D15) -> balance per category -> seeded shuffle."""
-    u = _union_frames(spark, sf).withColumn(
-        "source_hash", T.hash16(F.concat_ws("\x1f", "instruction", "input")))
-    u = curate.exact_dedupe(u, "source_hash", ["source", "item_id"], hash_col="source_hash")
+def _source_hash():
+    return T.hash16(F.concat_ws("\x1f", "instruction", "input"))
+
+
+def balanced_set(spark, sf):
+    """Union -> one global dedupe on (instruction, input) (D1, D15) -> balance per category.
+
+    The union is written once, narrow decisions and the join that carries them out read that table.
+    """
+    u = materialized(_union_frames(spark, sf), "examples")
+    u = curate.exact_dedupe(u, "input", ["source", "item_id"], keep_hash=False,
+                            key=curate.text_key(F.concat_ws("\x1f", "instruction", "input")))
     bal = curate.balance_categories(u, "category", "item_id", instruction_col="instruction")
     # The hash follows the (possibly reworded) instruction of each row
-    bal = bal.withColumn("source_hash", T.hash16(F.concat_ws("\x1f", "instruction", "input")))
-    return curate.shuffle_seeded(bal.withColumn("row_key", F.concat_ws(":", "item_id", F.col("copy_no").cast("string"))),
-                                 "row_key")
+    return bal.withColumn("source_hash", _source_hash()).withColumn(
+        "row_key", F.concat_ws(":", "item_id", F.col("copy_no").cast("string")))
+
+
+def training_set(spark, sf):
+    """The whole corpus build: balanced set -> step timings from traces -> JSON target -> seeded shuffle."""
+    bal = balanced_set(spark, sf)
+    out = examples.enrich_with_traces(bal, traces(spark, sf), id_col="row_key", categories=_TRACE_CATS)
+    timing = F.coalesce(F.col("timing_data"), F.create_map().cast("map<string,double>"))
+    out = out.withColumn("steps", examples.match_step_timing(F.col("steps"), timing))
+    target = F.struct("operation", F.col("output_category").alias("category"), "steps", "complexity", "total_us",
+                      "parallelizable_steps", "critical_path_us")
+    out = out.withColumn("target", examples.json_target(target)).drop("timing_data")
+    return curate.shuffle_seeded(out, "row_key")
 
 
 @register("build_training_set", None)
 def build_training_set(spark, sf):
-    """L1 end to end (rows-only check; every stage has its own oracle above)."""
-    return training_set(spark, sf).select("row_key", "source", "category", "complexity", "n_steps", "total_us",
-                                          "variation", "source_hash")
+    """L1 end to end: every example with its prompt hash, target and trace flag."""
+    steps = F.transform("steps", lambda s: F.concat_ws("|", s["step"].cast("string"), s["action"],
+                                                       s["expected_us"].cast("string")))
+    return training_set(spark, sf).select(
+        "row_key", "source", "category", "complexity", "n_steps", "total_us", "variation", "source_hash",
+        "trace_enhanced", F.array_join(steps, ";").alias("steps"), T.hash16("target").alias("target_hash"),
+        F.coalesce(F.col("metadata.lines_of_code"), F.lit(-1)).alias("lines_of_code"),
+        F.col("metadata.url").alias("url"))
 
 
 @register("duplicate_count_after_balance")
 def duplicate_count_after_balance(spark, sf):
     """A5 as measured by the reference: repeated source hashes after balancing."""
-    return stats.duplicate_count(training_set(spark, sf).select(F.col("source_hash").alias("h")), "h")
+    return stats.duplicate_count(balanced_set(spark, sf).select(F.col("source_hash").alias("h")), "h")
 
 
 def _kw_sql(expr, rules, default):
@@ -546,32 +588,73 @@ def flatten_steps(spark, sf):
     return f.select("source", "operation", "pos", "s.step", "s.resource", "s.expected_us")
 
 
+def _step_list(step, action, resource, criticality, par, deps, us):
+    return (f"list({{'step': CAST({step} AS INTEGER), 'action': {action}, 'resource': {resource}, 'criticality': {criticality}, "
+            f"'parallelizable': {par}, 'dependencies': {deps}, 'expected_us': CAST({us} AS BIGINT)}} ORDER BY {step})")
+
+
+def _fixed_list(rows):
+    items = ", ".join(
+        f"{{'step': CAST({s} AS INTEGER), 'action': {S.lit(a)}, 'resource': {S.lit(res)}, 'criticality': {S.lit(crit)}, "
+        f"'parallelizable': false, 'dependencies': {S._arr(deps)}, 'expected_us': CAST({us} AS BIGINT)}}"
+        for s, a, us, res, crit, deps in rows)
+    return f"[{items}]"
+
+
+def _title_case_sql(expr, names, suffix=""):
+    arms = " ".join(f"WHEN {S.lit(n)} THEN {S.lit(f(n) + suffix)}" for n, f in names)
+    return f"(CASE {expr} {arms} END)"
+
+
 def _training_set_sql():
     level = S.complexity_level("a.n_steps", "e.score")
     ex = _ex_sql()
+    code_names = sorted({c for c, _ in FP} | {FD} | {c for _, _, c in R.FIXTURE_CONTEXT_RULES})
+    code_op = _title_case_sql("e.category", [(n, lambda x: x.replace("_", " ").title()) for n in code_names],
+                              " Implementation")
     gh = (f"SELECT * FROM ({ex} SELECT 'github:' || CAST(e.doc_id AS VARCHAR) AS item_id, 'github' AS source, e.category, "
           f"'Analyze and decompose this ' || e.category || ' code from a production repository' AS instruction, "
           f"'Repository: ' || e.repo || chr(10) || 'File: ' || e.file_path || chr(10) || chr(10) || 'Code:' || chr(10) "
-          f"|| e.content AS input, a.n_steps, a.total_us, {level} AS complexity FROM ex e JOIN agg a USING (doc_id))")
+          f"|| e.content AS input, {code_op} AS operation, e.category AS output_category, l.steps, "
+          f"a.n_steps, a.total_us, l.par AS parallelizable_steps, c.critical_path_us, {level} AS complexity, "
+          f"CAST({S.lines_of_code('e.content')} AS INTEGER) AS loc, NULL AS url "
+          f"FROM ex e JOIN agg a USING (doc_id) JOIN cpath c USING (doc_id) JOIN (SELECT doc_id, "
+          f"{_step_list('step', 'action', 'resource', 'criticality', 'par', 'deps', 'us')} AS steps, "
+          f"coalesce(list(step ORDER BY step) FILTER (par), []) AS par FROM st GROUP BY doc_id) l USING (doc_id))")
+    block_names = sorted({c for c, _ in R.CATEGORY_PATTERNS} | {R.DEFAULT_CATEGORY})
+    block_cat = S.categorize_scored("block", R.CATEGORY_PATTERNS, R.DEFAULT_CATEGORY)
+    block_op = _title_case_sql(block_cat, [(n, str.title) for n in block_names])
     doc = (f"SELECT * FROM ({_blocks_sql(3)} SELECT 'documentation:' || CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR), "
            f"'documentation', 'reference_material', 'Explain and decompose this documented network programming pattern', "
-           f"'Documentation source: ' || url || chr(10) || chr(10) || 'Code example:' || chr(10) || block, 3, "
-           f"CAST(1200 AS BIGINT), 'low' FROM dd)")
+           f"'Documentation source: ' || url || chr(10) || chr(10) || 'Code example:' || chr(10) || block, "
+           f"'Documentation Study: ' || {block_op}, 'documentation_reference', {_fixed_list(R.DOC_STEPS)}, 3, "
+           f"CAST(1200 AS BIGINT), []::INTEGER[], CAST(1200 AS BIGINT), 'low', NULL, url FROM dd)")
     desc = "coalesce(descriptions[pos + 1], 'Tutorial example')"
     tut = (f"SELECT * FROM ({_blocks_sql(2)} SELECT 'tutorial:' || CAST(page_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR), "
            f"'tutorial', 'educational_breakdown', 'Break down this tutorial example into structured learning steps', "
            f"'Tutorial context: ' || {desc} || chr(10) || chr(10) || 'Tutorial source: ' || url || chr(10) || chr(10) "
-           f"|| 'Code example:' || chr(10) || block, 4, CAST(1650 AS BIGINT), 'medium' FROM dd)")
-    syn = (f"SELECT 'synthetic:' || source || ':' || operation, 'synthetic', category, 'Decompose the network operation: ' || operation, "
-           f"'Analyze the step-by-step process for: ' || operation, n_steps, total_us, complexity FROM ({_synthetic_sql()})")
+           f"|| 'Code example:' || chr(10) || block, 'Tutorial Learning: ' || {block_op}, 'educational_content', "
+           f"{_fixed_list(R.TUTORIAL_STEPS)}, 4, CAST(1650 AS BIGINT), []::INTEGER[], CAST(1650 AS BIGINT), 'medium', "
+           f"NULL, url FROM dd)")
+    syn_steps = _synthetic_sql().rsplit("SELECT split_part(key", 1)[0]
+    syn = (f"SELECT * FROM ({syn_steps} SELECT 'synthetic:' || split_part(key, '|', 1) || ':' || op, 'synthetic', category, "
+           f"'Decompose the network operation: ' || op, 'Analyze the step-by-step process for: ' || op, op, category, "
+           f"{_step_list('step', 'action', 'resource', 'criticality', 'par', 'deps', 'us')}, CAST(count(*) AS INTEGER), "
+           f"CAST(sum(us) AS BIGINT), coalesce(list(step ORDER BY step) FILTER (par), []), "
+           f"(SELECT max(list_max(fin)) FROM cp WHERE cp.key = st.key), complexity, NULL, NULL "
+           f"FROM st GROUP BY key, op, category, complexity)")
     instr = "r.instruction"
     for j, target in enumerate(R.VARIATION_TARGETS):
         pick = f"([{_VARS}])[1 + ({_draw('balance', S.lit(f'v{j}'), 'r.category', 'p.copy_no')} % 4)]"
         instr = _replace_first_sql(instr, target, pick)
-    return f"""WITH u(item_id, source, category, instruction, input, n_steps, total_us, complexity) AS (
+    arms = " ".join(f"WHEN contains(lower(s.action), '{kw}') AND t.t_{n} IS NOT NULL THEN t.t_{n}"
+                    for kw, names in R.SYSCALL_MAPPINGS for n in names)
+    columns = ("item_id, source, category, instruction, input, operation, output_category, steps, n_steps, total_us, "
+               "parallelizable_steps, critical_path_us, complexity, loc, url")
+    return f"""WITH u({columns}) AS (
   {gh} UNION ALL {doc} UNION ALL {tut} UNION ALL {syn}),
-h AS (SELECT *, {S.hash16("instruction || chr(31) || input")} AS source_hash FROM u),
-d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_hash ORDER BY source, item_id) AS rn
+h AS (SELECT *, sha256(instruction || chr(31) || input) AS text_key FROM u),
+d AS (SELECT * EXCLUDE (rn, text_key) FROM (SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY source, item_id) AS rn
   FROM h) WHERE rn = 1),
 cnt AS (SELECT category, count(*) AS n FROM d GROUP BY category),
 down AS (SELECT * EXCLUDE (rn, n) FROM (SELECT d.*, c.n, row_number() OVER (PARTITION BY d.category
@@ -582,12 +665,20 @@ ranked AS (SELECT d.*, row_number() OVER (PARTITION BY d.category ORDER BY d.ite
   FROM d JOIN cnt c USING (category) WHERE c.n < 5),
 need AS (SELECT category, n, unnest(range(1, 5 - n + 1)) AS copy_no FROM cnt WHERE n < 5),
 picks AS (SELECT category, copy_no, 1 + ({_draw('balance', 'category', 'copy_no')} % n) AS pos FROM need),
-up AS (SELECT r.item_id, r.source, r.category, {instr} AS instruction, r.input, r.complexity, r.n_steps, r.total_us,
-  p.copy_no FROM picks p JOIN ranked r USING (category, pos)),
-allrows0 AS (SELECT item_id, source, category, instruction, input, complexity, n_steps, total_us, false AS variation,
-    0 AS copy_no FROM orig
-  UNION ALL SELECT item_id, source, category, instruction, input, complexity, n_steps, total_us, true, copy_no FROM up),
-allrows AS (SELECT *, {S.hash16("instruction || chr(31) || input")} AS source_hash FROM allrows0)"""
+up AS (SELECT r.* EXCLUDE (pos, n) REPLACE ({instr} AS instruction), p.copy_no FROM picks p JOIN ranked r USING (category, pos)),
+allrows0 AS (SELECT *, false AS variation, 0 AS copy_no FROM orig
+  UNION ALL BY NAME SELECT *, true AS variation FROM up),
+allrows AS (SELECT *, {S.hash16("instruction || chr(31) || input")} AS source_hash,
+  item_id || ':' || CAST(copy_no AS VARCHAR) AS row_key FROM allrows0),
+{_TRACES_SQL.rsplit('pick AS (', 1)[0]}
+cats AS (SELECT DISTINCT category, m FROM tidx),
+pick AS (SELECT r.row_key, t.trace_id FROM allrows r LEFT JOIN cats c USING (category)
+  LEFT JOIN tidx t ON t.category = r.category AND t.idx = {S.seeded_draw("trace", "r.row_key")} % c.m),
+new_steps AS (SELECT row_key, list(struct_update(s, expected_us := CASE WHEN coalesce(real, 0) <> 0 THEN real
+    ELSE s.expected_us END) ORDER BY s.step) AS steps
+  FROM (SELECT r.row_key, r.s, CAST(trunc((CASE {arms} END) * 1000000) AS BIGINT) AS real
+        FROM (SELECT row_key, unnest(steps) AS s FROM allrows) r JOIN pick p USING (row_key)
+        LEFT JOIN traces t ON t.trace_id = p.trace_id) GROUP BY row_key)"""
 
 
 _TS_SQL = _training_set_sql()
@@ -595,8 +686,13 @@ _TS_SQL = _training_set_sql()
 
 from corpusloom.plans.registry import ORACLES as _ORACLES  # noqa: E402
 
-_ORACLES["build_training_set"] = _TS_SQL + """
-SELECT item_id || ':' || CAST(copy_no AS VARCHAR) AS row_key, source, category, complexity, n_steps, total_us,
-  variation, source_hash FROM allrows"""
+_ORACLES["build_training_set"] = _TS_SQL + f"""
+SELECT r.row_key, source, category, complexity, n_steps, total_us, variation, source_hash,
+  p.trace_id IS NOT NULL AS trace_enhanced,
+  array_to_string(list_transform(n.steps, lambda x: concat_ws('|', x.step, x.action, x.expected_us)), ';') AS steps,
+  {S.hash16("to_json({'operation': operation, 'category': output_category, 'steps': n.steps, 'complexity': complexity, "
+            "'total_us': total_us, 'parallelizable_steps': parallelizable_steps, 'critical_path_us': critical_path_us})")}
+  AS target_hash, coalesce(loc, -1) AS lines_of_code, url
+FROM allrows r JOIN pick p USING (row_key) JOIN new_steps n USING (row_key)"""
 _ORACLES["duplicate_count_after_balance"] = _TS_SQL + """
 SELECT CAST(count(*) - count(DISTINCT source_hash) AS BIGINT) AS duplicate_count FROM allrows"""
