@@ -37,21 +37,29 @@ def priority_take(df: DataFrame, queue_col: str, priority_col: str, order_cols:
     return out.drop("_p", "_np")
 
 
-def allocate(allocs: DataFrame, config: DataFrame, depth: DataFrame, order_cols: list[str]) -> DataFrame:
+#: largest batch size that any queue setting declares
+MAX_BATCH_SIZE = max(row[2] for row in R.QUEUE_CONFIG)
+
+
+def allocate(allocs: DataFrame, config: DataFrame, depth: DataFrame, order_cols: list[str],
+             max_batch_size: int = MAX_BATCH_SIZE) -> DataFrame:
     """For known queues, sort by (priority, weight) descending and keep
     max_batch_size, halved (min 1) when depth > 0.7 x max_depth. Unknown
-    queues are dropped. ``depth`` has (queue, depth)."""
+    queues are dropped. ``depth`` has (queue, depth). ``max_batch_size`` is the
+    largest batch size the settings declare; a setting above it fails the job."""
+    declared = F.when(F.col("max_batch_size") > max_batch_size, F.raise_error(
+        F.lit(f"a queue declares a batch size above {max_batch_size}")).cast("int")).otherwise(F.col("max_batch_size"))
+    config = config.withColumn("max_batch_size", declared)
     cfg = config.join(depth, "queue", "left").select(
         "queue", F.when(F.coalesce("depth", F.lit(0)) > F.col("max_depth") * R.BATCH_HALVE_FRACTION,
                         F.greatest(F.lit(1), F.floor(F.col("max_batch_size") / 2).cast("int")))
         .otherwise(F.col("max_batch_size")).alias("batch_limit"))
     known = allocs.join(F.broadcast(cfg), F.col("target_queue") == F.col("queue")).drop("queue")
     keyed = known.withColumn("_np", -F.col("flow_control_priority")).withColumn("_nw", -F.col("weight"))
-    # the limit differs per queue: take the max limit, then cut per row
-    max_limit = max(r[2] for r in config.select("queue", "max_batch_size", "max_batch_size").collect())
-    top = first_k_per_group(keyed, "target_queue", ["_np", "_nw", *order_cols], max_limit)
+    # the limit differs per queue: take the largest declared one, then cut per row
+    top = first_k_per_group(keyed, "target_queue", ["_np", "_nw", *order_cols], max_batch_size)
     w = Window.partitionBy("target_queue").orderBy("_np", "_nw", *order_cols)
-    # at most max_limit rows per queue remain: the window below is bounded
+    # at most max_batch_size rows per queue remain: the window below is bounded
     ranked = top.withColumn("alloc_rank", F.row_number().over(w))
     return ranked.filter(F.col("alloc_rank") <= F.col("batch_limit")).drop("_np", "_nw")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import rules as R
 from corpusloom.session import read_table
 
 
@@ -22,6 +23,32 @@ CODE_FILES_SQL = ("SELECT doc_id, text AS content, source AS repo, "
                   "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS file_path, lang FROM documents")
 
 
+def code_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """`documents` with code lines (by doc_id) in front of each text."""
+    code = F.array(*[F.lit(c) for c in R.FIXTURE_CODE])
+    pick = F.element_at(code, (F.pmod("doc_id", F.lit(len(R.FIXTURE_CODE))) + 1).cast("int"))
+    return read_table(spark, sf, "documents").select("doc_id", F.concat(pick, F.lit("\n"), "text").alias("text"))
+
+
+def _literals(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+CODE_DOCUMENTS_SQL = (f"SELECT doc_id, ({_literals(R.FIXTURE_CODE)})[doc_id % {len(R.FIXTURE_CODE)} + 1] || chr(10) || text "
+                      "AS text FROM documents")
+
+
+def task_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """`orders` with a task description by customer key."""
+    notes = F.array(*[F.lit(c) for c in R.FIXTURE_TASK_NOTES])
+    return read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.element_at(
+        notes, (F.pmod("o_custkey", F.lit(len(R.FIXTURE_TASK_NOTES))) + 1).cast("int")).alias("note"))
+
+
+TASK_NOTES_SQL = (f"SELECT o_orderkey AS task_id, ({_literals(R.FIXTURE_TASK_NOTES)})"
+                  f"[o_custkey % {len(R.FIXTURE_TASK_NOTES)} + 1] AS note FROM orders")
+
+
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
     """`orders` as repository tasks: priority from the first character of
     o_orderpriority (1,2 -> 3; 3 -> 2; 4,5 -> 1), created_at = o_orderdate."""

@@ -8,7 +8,7 @@ from corpusloom import rules as R
 from corpusloom.functions import text as T
 from corpusloom.operators import curate, examples, stats
 from corpusloom.plans import sqlgen as S
-from corpusloom.plans.bindings import CODE_FILES_SQL, code_files
+from corpusloom.plans.bindings import CODE_DOCUMENTS_SQL, CODE_FILES_SQL, code_documents, code_files
 from corpusloom.plans.registry import register
 from corpusloom.session import read_table
 
@@ -88,14 +88,14 @@ def categorize_first(spark, sf):
 _CAPWORD = r"([A-Z][a-z]+)"
 
 
-@register("extract_symbols", f"""SELECT doc_id,
+@register("extract_symbols", f"""WITH documents AS ({CODE_DOCUMENTS_SQL.replace("FROM documents", "FROM main.documents")}) SELECT doc_id,
   CAST(len(regexp_extract_all(text, '(?i){R.FUNCTION_PATTERN}', 1)) AS INTEGER) AS n_functions,
   CAST(len(regexp_extract_all(text, '(?i){R.CLASS_PATTERN}', 1)) AS INTEGER) AS n_classes,
   CAST(len(regexp_extract_all(text, '(?i){R.IMPORT_PATTERN}', 0)) AS INTEGER) AS n_imports,
   array_to_string(regexp_extract_all(text, '(?i){_CAPWORD}', 1), ',') AS cap_words
 FROM documents""")
 def extract_symbols(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = code_documents(spark, sf)
     return d.select("doc_id", F.size(T.extract_functions("text")).alias("n_functions"),
                     F.size(T.extract_classes("text")).alias("n_classes"),
                     F.size(T.extract_imports("text")).alias("n_imports"),
@@ -166,6 +166,26 @@ def top_words(spark, sf):
     return stats.top_k_counts(d, "word", 10)
 
 
+def _top_symbols_sql(pattern):
+    return f"""SELECT name, count(*) AS n FROM (SELECT unnest(list_filter(
+  regexp_extract_all(text, '(?i){pattern}', 1), lambda x: x <> '')) AS name FROM ({CODE_DOCUMENTS_SQL}))
+GROUP BY name ORDER BY n DESC, name LIMIT 10"""
+
+
+@register("top_functions", _top_symbols_sql(R.FUNCTION_PATTERN))
+def top_functions(spark, sf):
+    """A4: the ten most frequent function names."""
+    return stats.top_k_counts(code_documents(spark, sf).select(F.explode(T.extract_functions("text")).alias("name")),
+                              "name", 10)
+
+
+@register("top_classes", _top_symbols_sql(R.CLASS_PATTERN))
+def top_classes(spark, sf):
+    """A4: the ten most frequent class names."""
+    return stats.top_k_counts(code_documents(spark, sf).select(F.explode(T.extract_classes("text")).alias("name")),
+                              "name", 10)
+
+
 @register("loc_mean_median", f"""{_DEDUPED},
 l AS (SELECT CAST({S.lines_of_code('content')} AS BIGINT) AS loc FROM deduped),
 o AS (SELECT loc, row_number() OVER (ORDER BY loc) - 1 AS idx, count(*) OVER () AS n FROM l)

@@ -72,10 +72,15 @@ def page_split(spark, sf):
     return p.select("page_id", P.split_code_text("html").alias("c")).select("page_id", "c.text", "c.code")
 
 
-@register("pre_block", """SELECT page_id, regexp_extract(html, '(?s)<pre class="rfc-text">(.*?)</pre>', 1) AS pre
-FROM pages""")
+# no page holds such a block: every third gets one of two lines
+_WITH_PRE = ("CASE WHEN page_id % 3 = 0 THEN replace(html, '</h1>', concat('</h1><pre class=\"rfc-text\">RFC ', "
+             "CAST(page_id AS STRING), chr(10), 'Section 1</pre>')) ELSE html END")
+
+
+@register("pre_block", f"""SELECT page_id, regexp_extract({_WITH_PRE.replace('STRING', 'VARCHAR')},
+  '(?s)<pre class="rfc-text">(.*?)</pre>', 1) AS pre FROM pages""")
 def pre_block(spark, sf):
-    return _pages(spark, sf).select("page_id", P.pre_block(F.col("html")).alias("pre"))
+    return _pages(spark, sf).select("page_id", P.pre_block(F.expr(_WITH_PRE)).alias("pre"))
 
 
 @register("extension_filter", """SELECT page_id, url FROM pages

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import rules as R
 from corpusloom.operators import tasks as TK
 from corpusloom.plans import sqlgen as S
-from corpusloom.plans.bindings import TASK_PARAMS_SQL, task_params
+from corpusloom.plans.bindings import TASK_NOTES_SQL, TASK_PARAMS_SQL, task_notes, task_params
 from corpusloom.plans.registry import register
 from corpusloom.session import read_table
 
@@ -204,16 +204,16 @@ def _prio_sql():
     return f"(CASE {arms} ELSE {S.lit(R.DEFAULT_PRIORITY)} END)"
 
 
-@register("keyword_priority", f"""SELECT o_orderkey AS task_id, {_prio_sql()} AS priority_level FROM
-  (SELECT o_orderkey, string_split_regex(lower(o_orderpriority), '[^a-z-]+') AS w FROM orders)""")
+@register("keyword_priority", f"""SELECT task_id, {_prio_sql()} AS priority_level FROM
+  (SELECT task_id, string_split_regex(lower(note), '[^a-z-]+') AS w FROM ({TASK_NOTES_SQL}))""")
 def keyword_priority(spark, sf):
     """Whole-word keyword lists checked high, low, medium; default medium."""
-    o = read_table(spark, sf, "orders").select("o_orderkey", F.split(F.lower("o_orderpriority"), "[^a-z-]+").alias("w"))
+    o = task_notes(spark, sf).select("task_id", F.split(F.lower("note"), "[^a-z-]+").alias("w"))
     out = None
     for level, kws in R.PRIORITY_RULES:
         cond = F.arrays_overlap("w", F.array(*[F.lit(k) for k in kws]))
         out = F.when(cond, F.lit(level)) if out is None else out.when(cond, F.lit(level))
-    return o.select(F.col("o_orderkey").alias("task_id"), out.otherwise(F.lit(R.DEFAULT_PRIORITY)).alias("priority_level"))
+    return o.select("task_id", out.otherwise(F.lit(R.DEFAULT_PRIORITY)).alias("priority_level"))
 
 
 @register("memo_key", f"""WITH p AS ({TASK_PARAMS_SQL})
@@ -247,13 +247,30 @@ _FIXTURE_TASK_INDICATORS = {"video": ["p_size"], "ml": ["p_brand"], "database":
                             "image": [], "data_processing": ["p_type"]}
 
 
+# which parameters a part, as a task, comes with
+_GIVEN = {"p_size": "p_size > 25", "p_brand": "p_brand LIKE '%1%'", "p_retailprice": "p_retailprice > 905",
+          "p_type": "p_type LIKE 'S%'"}
+
+
+def _typed_tasks(spark, sf):
+    """Parts as tasks: description, and the map of the parameters given."""
+    given = F.map_filter(F.create_map(*[x for name, cond in _GIVEN.items() for x in (
+        F.lit(name), F.when(F.expr(cond), F.lit("given")))]), lambda k, v: v.isNotNull())
+    return read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"),
+                                                given.alias("params"))
+
+
 def _detect_sql():
     import math
     rows = []
     for ty, kws in _FIXTURE_TASK_KEYWORDS.items():
         for k in kws:
             rows.append(f"({S.lit(ty)}, {S.lit(k)}, {len(kws)})")
-    ind = {ty: R.INDICATOR_BONUS * len(v) for ty, v in _FIXTURE_TASK_INDICATORS.items()}
+    # a parameter is given to a task or not: its bonus depends on the row
+    ind = " ".join(f"WHEN {S.lit(ty)} THEN 0.0 " + " ".join(f"+ CASE WHEN {_GIVEN[i]} THEN {R.INDICATOR_BONUS} ELSE 0.0 END" for i in v)
+                   for ty, v in _FIXTURE_TASK_INDICATORS.items())
+    hier = " ".join(f"WHEN {S.lit(ty)} THEN CASE WHEN {' OR '.join(f'contains(lower(d), {S.lit(t)})' for t in terms)} "
+                    f"THEN {R.HIERARCHY_BONUS} ELSE 0.0 END" for ty, terms in R.FIXTURE_HIERARCHIES.items())
     order = ", ".join(S.lit(t) for t in _FIXTURE_TASK_KEYWORDS)
     del math
     return f"""WITH kw AS (SELECT * FROM (VALUES {", ".join(rows)}) v(task_type, keyword, n_keywords)),
@@ -263,8 +280,8 @@ sim AS (SELECT w.p_partkey, k.task_type, k.keyword, k.n_keywords,
   FROM words w, kw k WHERE w.word <> '' GROUP BY ALL),
 ks AS (SELECT p_partkey, task_type, sum(CASE WHEN best >= {R.SIMILARITY_THRESHOLD} THEN best ELSE 0 END) / max(n_keywords)
   AS kscore FROM sim GROUP BY ALL),
-sc AS (SELECT p_partkey, task_type, kscore + {_case('task_type', ind, 0.0)} AS score,
-  list_position([{order}], task_type) AS rnk FROM ks),
+sc AS (SELECT p_partkey, task_type, kscore + (CASE task_type {ind} END) + (CASE task_type {hier} ELSE 0.0 END) AS score,
+  list_position([{order}], task_type) AS rnk FROM ks JOIN (SELECT *, p_name || ' ' || p_type AS d FROM part) USING (p_partkey)),
 best AS (SELECT p_partkey, task_type, score, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, rnk) AS rn
   FROM sc)
 SELECT p.p_partkey, CASE WHEN b.score > 0 THEN b.task_type ELSE 'generic' END AS task_type,
@@ -276,9 +293,10 @@ FROM part p LEFT JOIN (SELECT * FROM best WHERE rn = 1) b USING (p_partkey)"""
 def detect_task_type(spark, sf):
     """Fuzzy keyword score + 0.1 per indicator present + hierarchy bonus;
     strictly greater wins in declared order; confidence = min(.95, score)."""
-    part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    part = _typed_tasks(spark, sf)
     ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS)
-    return TK.detect_type(part.select("p_partkey"), ks, "p_partkey", _FIXTURE_TASK_KEYWORDS, _FIXTURE_TASK_INDICATORS)
+    return TK.detect_type(part, ks, "p_partkey", _FIXTURE_TASK_KEYWORDS, _FIXTURE_TASK_INDICATORS,
+                          R.FIXTURE_HIERARCHIES, text_col="d", params_col="params")
 
 
 # --- tagged training text (E6) and the fuzzy keyword score alone (J8) --------

@@ -76,12 +76,6 @@ GPU_KEYWORDS = [
     "complex calculation", "parallel", "matrix", "tensor", "cuda", "opencl",
     "gpu", "acceleration", "compute", "shader",
 ]
-CPU_KEYWORDS = [
-    "parse", "process", "calculate", "analyze", "decompress", "compress",
-    "verify", "validate", "prepare", "generate", "create", "construct",
-    "compile", "serialize", "deserialize", "transform", "sort", "search",
-    "algorithm", "compute", "execute",
-]
 MEMORY_KEYWORDS = [
     "malloc", "alloc", "free", "garbage", "gc", "memory", "heap", "stack",
     "buffer", "cache", "pool", "mmap",
@@ -202,7 +196,6 @@ GENERIC_ACTIONS = [
     "Handle response and error conditions",
     "Cleanup resources and connections",
 ]
-GENERIC_TIMING_US = (100, 5000, 1000)
 
 # Synthetic operations: name -> (category, complexity, templates).
 SYNTHETIC_OPERATIONS = [
@@ -285,10 +278,8 @@ URL_ROUTES = [
     ("api_clients", ["api"]),
     ("network_protocols", ["websocket"]),
 ]
-DATASET_LINK_SUFFIXES = [".zip", ".pcap", ".tar.gz"]
 
 # Task analysis.
-TASK_TYPES = ["video", "ml", "database", "financial", "image", "data_processing"]
 TASK_KEYWORDS = {
     "video": ["video", "encode", "h264", "h265", "render", "transcode", "codec", "ffmpeg", "streaming"],
     "ml": ["model", "inference", "neural", "predict", "tensorflow", "pytorch", "train", "deep", "ai"],
@@ -318,7 +309,6 @@ SIMILARITY_THRESHOLD = 0.8
 MAX_CONFIDENCE = 0.95
 INDICATOR_BONUS = 0.1
 HIERARCHY_BONUS = 0.2
-GENERIC_CONFIDENCE = 0.3
 GENERIC_WEIGHT = 2.0
 
 # Strategy routing: task type -> strategy.
@@ -340,7 +330,6 @@ CATEGORY_SPEEDUP = {"gpu_tasks": 8.0, "cpu_tasks": 4.0, "io_tasks": 1.5}
 QUEUE_MAPPING = {"gpu_tasks": "gpu_queue", "cpu_tasks": "cpu_queue", "io_tasks": "io_queue"}
 DEFAULT_QUEUE = "cpu_queue"
 ESTIMATE_FACTOR = 0.1
-PRIORITY_LEVELS = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
 # Queue settings: queue -> (max_depth, max_batch_size, flow_control_threshold,
 # flow_control_rate, priority_levels, batching_window_ms, allocation_strategy).
@@ -355,14 +344,8 @@ SIMILARITY_BATCH_SIZE = 10
 FIXED_BATCH_SIZE = 50
 HISTORY_LIMIT = 1000
 
-# Task complexity rules (config only).
+# Task complexity rules.
 VIDEO_RESOLUTION_FACTORS = {"720p": 1, "1080p": 2.25, "4k": 16}
-COMPLEXITY_CUTS = {
-    "video": ("frame_count", 100, 1000, 5000),
-    "ml": ("data_size", 1000, 100000, 1000000),
-    "financial": ("portfolio_size", 50, 500, 5000),
-    "image": ("image_count", 10, 100, 1000),
-}
 
 # Priority keywords, checked high, low, medium; default medium.
 PRIORITY_RULES = [
@@ -379,8 +362,6 @@ CACHE_TTL_SECONDS = 3600
 ALERT_UTILIZATION_CRITICAL = 0.95
 ALERT_UTILIZATION_WARNING = 0.80
 ALERT_THROUGHPUT_MIN = 100
-HEALTH_LOG_HIGH = 0.9
-HEALTH_LOG_MEDIUM = 0.7
 
 # Typed dispatch: data_type -> model.
 DISPATCH_MAP = [
@@ -444,6 +425,20 @@ FIXTURE_STEP_TEMPLATES = {
         ("Send results to disk", "I/O", "medium", 200, 4000, 900, False, [2]),
     ],
 }
+# Code lines put in front of documents, which hold none, so that symbol rules have something to find.
+FIXTURE_CODE = [
+    "import os\nfrom collections import abc\ndef load(path):\n    return open(path)",
+    "class Reader(Base):\n    def read(self, n):\n        pass\n    def close(self):\n        pass",
+    "import socket.tools\nclass Writer:\n    def write(self):\n        pass\nfunction send(x) {}",
+    "def load(x):\n    def inner(y):\n        return y\n    return inner",
+    "no symbols here",
+]
+# Task descriptions by key, one for each priority rule and one without a keyword.
+FIXTURE_TASK_NOTES = [
+    "URGENT render of the trailer", "nightly background export", "standard monthly report", "clean the list",
+    "emergency fix, then batch import", "live broadcast", "deferred archive job",
+]
+FIXTURE_HIERARCHIES = {"video": ["small", "promo"], "ml": ["economy"], "financial": ["standard"], "image": ["large"]}
 FIXTURE_TAG_RULES = [
     (r"(the |der |le |el )", "<ART>"),
     (r"(\. )", "<EOS>"),
@@ -453,13 +448,6 @@ FIXTURE_TEXT_ROUTES = [
     ("has_und", ["und", "der"]),
     ("has_que", ["que"]),
 ]
-FIXTURE_URL_ROUTES = [
-    ("secure", ["https"]),
-    ("mobile", ["//m."]),
-    ("english", ["/en/"]),
-    ("paged", ["page="]),
-]
-FIXTURE_LINK_SUFFIXES = ["e", "d", "s"]
 
 
 def rules_frame(spark, rows, schema):

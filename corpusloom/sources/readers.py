@@ -24,73 +24,71 @@ def _with_corrupt(schema: StructType) -> StructType:
     return StructType(list(schema.fields) + [StructField("_corrupt", StringType())])
 
 
+def _empty_if_missing(read, spark: SparkSession, path: str, schema) -> DataFrame:
+    """The result of ``read()``, or an empty frame and a log line if the path doesn't exist; other errors are raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.warning("%s does not exist", path)
+        return spark.createDataFrame([], schema)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Files holding one JSON array each. A missing path gives an empty
     frame and a log line; broken records land in ``_corrupt``."""
     s = _with_corrupt(schema)
-    try:
-        return (spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    except AnalysisException as e:
-        log.warning("json scan of %s failed: %s", path, e)
-        return spark.createDataFrame([], s)
+    return _empty_if_missing(lambda: spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE")
+                             .option("columnNameOfCorruptRecord", "_corrupt").json(path), spark, path, s)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One JSON object per line (splittable)."""
     s = _with_corrupt(schema)
-    try:
-        return (spark.read.schema(s).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    except AnalysisException as e:
-        log.warning("jsonl scan of %s failed: %s", path, e)
-        return spark.createDataFrame([], s)
+    return _empty_if_missing(lambda: spark.read.schema(s).option("mode", "PERMISSIVE")
+                             .option("columnNameOfCorruptRecord", "_corrupt").json(path), spark, path, s)
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: mixed folder -> (file_path, stem, text) per file.
+    """S3: mixed folder -> (file_path, stem, text, broken) per file.
 
     ``.json``: the ``output`` field of each item (default ''), joined by a blank
     line; ``.csv``: column 2 of rows with more than one column, joined by a
     blank line; ``.txt``/``.py``: the whole file. Other extensions are skipped.
-    Per-file joins are bounded by the file itself.
+    Per-file joins are bounded by the file itself. ``broken`` counts a file's records that
+    can't be read; they give no text. A missing folder gives an empty frame; other errors are raised.
     """
-    parts = []
-    item = StructType([StructField("output", StringType())])
-    try:
+    schema = "file_path string, stem string, text string, broken long"
+    item = StructType([StructField("output", StringType()), StructField("_corrupt", StringType())])
+
+    def joined(rows):
+        texts = F.array_sort(F.collect_list(F.when(F.col("_broken") == 0, F.struct("_i", "t"))))
+        return rows.groupBy("file_path").agg(F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n").alias("text"),
+                                             F.sum("_broken").alias("broken"))
+
+    def read():
+        where = F.col("_metadata.file_path").alias("file_path")
         js = (spark.read.schema(item).option("multiLine", True).option("pathGlobFilter", "*.json")
-              .option("mode", "DROPMALFORMED").json(folder)
-              .select(F.col("_metadata.file_path").alias("file_path"), F.coalesce("output", F.lit("")).alias("t"),
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+              .select(where, F.coalesce("output", F.lit("")).alias("t"),
+                      F.col("_corrupt").isNotNull().cast("long").alias("_broken"),
                       F.monotonically_increasing_id().alias("_i")))
-        parts.append(js.groupBy("file_path").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "t"))), lambda x: x["t"]), "\n\n")
-            .alias("text")))
-    except AnalysisException:
-        pass
-    try:
-        csv = (spark.read.option("pathGlobFilter", "*.csv").option("header", False).option("mode", "PERMISSIVE")
-               .csv(folder).select(F.col("_metadata.file_path").alias("file_path"), F.col("_c1").alias("t"),
-                                   F.monotonically_increasing_id().alias("_i"))
+        csv = (spark.read.schema("_c0 string, _c1 string").option("pathGlobFilter", "*.csv").option("header", False)
+               .option("mode", "PERMISSIVE").csv(folder)
+               .select(where, F.col("_c1").alias("t"), F.lit(0).cast("long").alias("_broken"),
+                       F.monotonically_increasing_id().alias("_i"))
                .filter(F.col("t").isNotNull()))
-        parts.append(csv.groupBy("file_path").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "t"))), lambda x: x["t"]), "\n\n")
-            .alias("text")))
-    except AnalysisException:
-        pass
-    for ext in ("txt", "py"):
-        try:
-            tx = (spark.read.option("pathGlobFilter", f"*.{ext}").text(folder, wholetext=True)
-                  .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
-            parts.append(tx)
-        except AnalysisException:
-            pass
-    if not parts:
-        return spark.createDataFrame([], "file_path string, stem string, text string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    stem = F.split(F.regexp_extract(F.col("file_path"), r"([^/]+)$", 1), r"\.").getItem(0)
-    return out.select("file_path", stem.alias("stem"), "text")
+        whole = [spark.read.option("pathGlobFilter", f"*.{ext}").text(folder, wholetext=True)
+                 .select(where, F.col("value").alias("text"), F.lit(0).cast("long").alias("broken"))
+                 for ext in ("txt", "py")]
+        out = joined(js).unionByName(joined(csv))
+        for part in whole:
+            out = out.unionByName(part)
+        stem = F.split(F.regexp_extract(F.col("file_path"), r"([^/]+)$", 1), r"\.").getItem(0)
+        return out.select("file_path", stem.alias("stem"), "text", "broken")
+
+    return _empty_if_missing(read, spark, folder, schema)
 
 
 def parse_edge_lines(lines: DataFrame, col: str = "value") -> DataFrame:

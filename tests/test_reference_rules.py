@@ -224,3 +224,50 @@ def test_task_type_goldens_ratcliff(spark):
                           text_col="description", params_col="parameters").collect()}
     assert got == {"t1": ("video", 0.8432), "t2": ("ml", 0.5333), "t3": ("financial", 0.8556),
                    "t4": ("image", 0.4121), "t5": ("ml", 0.1111), "t6": ("video", 0.3111)}
+
+
+def test_unicode_classes(spark):
+    """Word, space and case classes cover all scripts, as in the rules' own dialect."""
+    from corpusloom.functions import text as T
+    nbsp = " "
+    df = spark.createDataFrame([("def größe(x):\n" + nbsp + "\nclass Élan:\n\x1c\n", f"a\n{nbsp}\n \nb",
+                                 "ÜBER straße")], "code string, blank string, words string")
+    r = df.select(T.extract_functions("code").alias("f"), T.extract_classes("code").alias("c"),
+                  T.lines_of_code("code").alias("loc"), T.collapse_blank_lines("blank").alias("b"),
+                  T.categorize_scored("words", [("de", r"\b(über|STRASSE|straße)\b")], "none").alias("k")).first()
+    assert list(r["f"]) == ["größe"] and list(r["c"]) == ["Élan"] and r["loc"] == 2
+    assert r["b"] == "a\n\nb" and r["k"] == "de"
+
+
+def test_real_routes(spark):
+    """J9 with the declared lexicons."""
+    from corpusloom import rules as R
+    from corpusloom.functions import text as T
+    df = spark.createDataFrame([("import aiohttp, socket", "https://x.org/websocket/api"), ("plain", "ftp://y")],
+                               "t string, u string")
+    rows = df.select(T.route_labels("t", R.TEXT_ROUTES).alias("t"), T.route_labels("u", R.URL_ROUTES).alias("u")).collect()
+    assert sorted(rows[0]["t"]) == ["async_networking", "http_requests", "socket_programming"]
+    assert sorted(rows[0]["u"]) == ["api_clients", "network_protocols", "socket_programming"]
+    assert list(rows[1]["t"]) == [] and list(rows[1]["u"]) == []
+
+
+def test_dedupe_by_the_whole_hash_and_balance_plan(spark):
+    import json as J
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import curate
+    df = spark.createDataFrame([(i, ["x", "y", "z"][i % 3]) for i in range(9)] + [(9, None)], "doc_id long, text string")
+    kept = curate.exact_dedupe(df, "text", ["doc_id"]).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in kept] == [0, 1, 2, 9]
+    ids = curate.first_ids(df.where("text is not null"), curate.text_key("text"), "doc_id")
+    assert sorted(r["doc_id"] for r in ids.collect()) == [0, 1, 2]
+    nodes = J.loads(ids._jdf.queryExecution().sparkPlan().toJSON())
+    assert not [n for n in nodes if n.get("class", "").endswith("SortAggregateExec")]
+    cat = spark.range(40).select(F.col("id"), F.when(F.col("id") < 37, "big").otherwise("small").alias("category"))
+    plan = curate.balance_categories(cat, "category", "id", min_per_category=5, max_per_category=10)
+    nodes = J.loads(plan._jdf.queryExecution().sparkPlan().toJSON())
+    assert len([n for n in nodes if n.get("class", "").endswith("RangeExec")]) == 2     # narrow, and the rows
+    n = {r["category"]: (r["n"], r["v"]) for r in plan.groupBy("category").agg(
+        F.count("*").alias("n"), F.sum(F.col("variation").cast("int")).alias("v")).collect()}
+    assert n == {"big": (10, 0), "small": (5, 2)}

@@ -40,10 +40,14 @@ def test_folder_ingest(spark, tmpdir_path):
         f.write("1,first\nonly\n3,third\n")
     with open(os.path.join(d, "z.py"), "w") as f:
         f.write("print('hi')\n")
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write("{broken")
     with open(os.path.join(d, "skip.bin"), "w") as f:
         f.write("zzz")
-    out = {r["stem"]: r["text"] for r in S.read_folder(spark, d).collect()}
-    assert out == {"x": "a = 1\n\n\n\nb = 2", "y": "first\n\nthird", "z": "print('hi')\n"}
+    out = {r["stem"]: (r["text"], r["broken"]) for r in S.read_folder(spark, d).collect()}
+    assert out == {"x": ("a = 1\n\n\n\nb = 2", 0), "y": ("first\n\nthird", 0), "z": ("print('hi')\n", 0),
+                   "bad": ("", 1)}
+    assert S.read_folder(spark, os.path.join(d, "nowhere")).count() == 0
 
 
 def test_edge_list_gz(spark, tmpdir_path):
