@@ -45,6 +45,19 @@ def host_extension(url: Column) -> Column:
     return F.regexp_extract(host, r"(\.[^.]+)$", 1)
 
 
+def path_extension(url: Column) -> Column:
+    """the last dot-suffix of the file name in the URL's path, lower-case; '' without one."""
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def with_extension(df: DataFrame, url_col: str, extensions, limit: int | None = None,
+                   order_cols: list[str] | None = None) -> DataFrame:
+    """rows whose URL path has one of the extensions; with ``limit``, the first so many of them."""
+    kept = df.where(path_extension(F.col(url_col)).isin(list(extensions)))
+    return kept if limit is None else kept.orderBy(*(order_cols or [url_col])).limit(limit)
+
+
 def links(html: Column) -> Column:
     """All href values, in order."""
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1)

@@ -91,6 +91,23 @@ def extension_filter(spark, sf):
     return p.filter(P.host_extension(F.col("url")).isin(".com", ".org")).select("page_id", "url")
 
 
+# the URLs name no files: most get one, by page id
+_FILE_URL = ("CASE WHEN page_id % 4 < 3 THEN concat(regexp_extract(url, '^[a-z]+://[^/?#]+', 0), '/v1.2/code', "
+             "CAST(page_id AS STRING), CASE page_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.JS?x=.md' ELSE '/.txt' END) ELSE url END")
+_FILE_URL_SQL = _FILE_URL.replace("STRING", "VARCHAR")
+_EXTENSION_SQL = (f"lower(regexp_extract(regexp_extract({_FILE_URL_SQL}, '^[a-z]+://[^/?#]+([^?#]*)', 1), "
+                  "'[^/](\\.[^./]+)$', 1))")
+
+
+@register("path_extension_filter", f"""SELECT page_id, {_EXTENSION_SQL} AS extension FROM pages
+WHERE {_EXTENSION_SQL} IN ('.py', '.js', '.txt') ORDER BY page_id LIMIT 100""")
+def path_extension_filter(spark, sf):
+    """files by the extension of their URL path, at most 100 of them."""
+    p = _pages(spark, sf).select("page_id", F.expr(_FILE_URL).alias("url"))
+    return P.with_extension(p, "url", (".py", ".js", ".txt"), 100, ["page_id"]).select(
+        "page_id", P.path_extension(F.col("url")).alias("extension"))
+
+
 _SUFFIXES = ["e", "d", "s"]
 
 
