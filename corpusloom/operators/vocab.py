@@ -1,15 +1,18 @@
 """Normalisation, pre-tokenisation, vocabulary statistics and BPE as Spark
 jobs (K1-K7, A17, E9).
 
-The corpus is reduced to a (word, frequency) table first (partial
-aggregation); BPE rounds then work on distinct words only, and each round is
-one aggregation plus an array rewrite. Lineage is cut with ``checkpoint()``
-into the session's checkpoint folder every few rounds.
+The corpus is reduced to a (word, frequency) table first (partial aggregation)
+over the normalised text; BPE rounds then work on distinct words only, each one
+aggregation over a table written once to the session's checkpoint folder.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,25 +20,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import rules as R
+from corpusloom.session import materialized
 
-SPECIAL_TOKENS = ["<pad>", "<unk>", "<s>", "</s>"]
+SPECIAL_TOKENS = R.SPECIAL_TOKENS
 # word runs (\w plus < > / . - :), whitespace runs, punctuation runs (everything else);
 # the three classes are disjoint, so the most common one is tried first; Unicode \w
 PRETOKEN_PATTERN = r"(?U)[\w<>/.\-:]++|\s++|[^\w\s<>/.\-:]++"
+# FIXED VALUE: how the byte-level stage cuts a piece
+BYTE_LEVEL_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x11_0000)
+                                  if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Mn") + "]+")
 
 
 def _strip(s: str | None) -> str | None:
-    if s is None:
-        return None
-    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    if s is None or s.isascii():
+        return s
+    return _MARKS.sub("", unicodedata.normalize("NFD", s))
 
 
 @F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
-    """K1: NFD then drop combining marks (Arrow batches)."""
+    """K1: NFD then drop combining marks (Arrow batches); ASCII texts pass through."""
     return s.map(_strip)
 
 
+def normalized(docs: DataFrame, text_col: str) -> DataFrame:
+    """The first step of every vocabulary job: the text column without accents."""
+    return docs.withColumn(text_col, strip_accents(F.col(text_col)))
+
+
 def pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
     """K2: special tokens first (never split), then whitespace / punctuation /
     word runs; every piece is kept."""
@@ -45,7 +59,6 @@ def pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
 def pretoken_pattern(special=SPECIAL_TOKENS) -> str:
     """The K2 pattern; special tokens are grouped behind a one-character
     lookahead per first character so ordinary positions fail fast."""
-    import re
     by_first: dict[str, list[str]] = {}
     for t in special:
         by_first.setdefault(t[0], []).append(re.escape(t))
@@ -58,9 +71,15 @@ def count_pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
     return F.regexp_count(text, F.lit(pretoken_pattern(special)))
 
 
+def byte_level_pieces(pieces: Column, special=SPECIAL_TOKENS) -> Column:
+    """K2, last stage: every piece but special tokens is cut by the byte-level pattern."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p.isin(list(special)), F.array(p)).otherwise(
+        F.regexp_extract_all(p, F.lit(BYTE_LEVEL_PATTERN), F.lit(0)))))
+
+
 def word_histogram(docs: DataFrame, text_col: str, min_frequency: int = R.MIN_FREQUENCY) -> DataFrame:
     """K3: frequency of non-whitespace pre-tokens, kept when >= min_frequency."""
-    w = docs.select(F.explode(pretokens(F.col(text_col))).alias("word")).filter(~F.col("word").rlike(r"^\s+$"))
+    w = normalized(docs.select(text_col), text_col).select(F.explode(pretokens(F.col(text_col))).alias("word")).filter(~F.col("word").rlike(r"^\s+$"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= min_frequency)
 
 
@@ -78,89 +97,185 @@ def pair_counts(symbols: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b")).agg(F.sum("freq").alias("n"))
 
 
-def merge_pair(sym: Column, a: str, b: str) -> Column:
-    """Left-to-right non-overlapping merge of (a, b) in a symbol array."""
-    init = F.array().cast("array<string>")
-    return F.aggregate(sym, init, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (s == F.lit(b)),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(s))))
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {b: chr(b) for b in own}
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(0x100 + len(letters) - len(own))
+    return [letters[b] for b in range(256)]
 
 
-def bpe_train(words: DataFrame, n_merges: int, checkpoint_every: int = 10) -> list[tuple[str, str, int]]:
-    """K5: exact BPE, one merge per round (best pair by count, then lexicographic).
+_LETTERS = byte_letters()
+_BYTES = {c: b for b, c in enumerate(_LETTERS)}
+_NEVER = 1 << 60
+TOP_PAIRS = 4096        # commonest pairs looked at in a round
 
-    Each round is one distributed aggregation over the distinct words; only
-    the winning pair (one row) reaches the driver — it is the result. The
-    symbol table is spread over the shuffle partitions and kept materialised
-    between rounds (cached, with a reliable checkpoint every
-    ``checkpoint_every`` rounds to cut lineage), so a round costs one merge
-    pass, not a replay of all earlier merges.
+
+def symbols_of(word: str, byte_level: bool) -> list[str]:
+    """What a word's merges start from: its byte letters, or its characters."""
+    return [_LETTERS[b] for b in word.encode("utf-8")] if byte_level else list(word)
+
+
+def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Symbols after all merges, the lowest rank first, each from left to right."""
+    symbols = list(symbols)
+    known = [ranks.get(p, _NEVER) for p in zip(symbols, symbols[1:])]
+    while known:
+        best = min(known)
+        if best == _NEVER:
+            break
+        i = known.index(best)
+        symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+        del known[i]
+        if i:
+            known[i - 1] = ranks.get((symbols[i - 1], symbols[i]), _NEVER)
+        if i < len(known):
+            known[i] = ranks.get((symbols[i], symbols[i + 1]), _NEVER)
+    return symbols
+
+
+def bpe_train(words: DataFrame, n_merges: int, *, exact: bool = False, byte_level: bool = True,
+              letters: list[str] | None = None, min_frequency: int = 1) -> list[tuple[str, str, int]]:
+    """K5: up to ``n_merges`` merges (a, b, count) of a (word, freq) table.
+
+    Each round is one job over the distinct words: tasks apply the merges found so
+    far, count adjacent pairs, and the commonest ones come back (TOP_PAIRS rows). ``exact`` takes the
+    best pair per round (count, then lexicographic). Otherwise a round takes all pairs from the top that can't
+    overlap with one taken before (no symbol ends one and begins another), so that none changes another's
+    count and thousands of merges need tens of rounds. Nothing is kept
+    between rounds but the merges: a lost executor costs the task it ran.
+    ``letters`` is the alphabet; symbols outside it never merge.
     """
-    from corpusloom.session import checkpoint_dir
-    checkpoint_dir(words.sparkSession)
-    # hash-spread the symbol table; without a fixed count AQE sizes the partitions
-    sym = (words.select(F.split("word", "").alias("sym"), "freq").filter(F.size("sym") > 1)
-           .repartition("sym").checkpoint())
-    merges = []
-    prev = None
-    for i in range(n_merges):
-        best = pair_counts(sym).orderBy(F.col("n").desc(), F.col("a"), F.col("b")).limit(1).collect()
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        if not best or best[0]["n"] is None:
+    table = materialized(words.select("word", "freq").repartition("word"), "bpe-words")
+    allowed = frozenset(letters) if letters is not None else None
+    merges: list[tuple[str, str, int]] = []
+
+    def count(ranks):
+        def run(batches):
+            total: Counter = Counter()
+            for pdf in batches:
+                for word, freq in zip(pdf["word"], pdf["freq"]):
+                    symbols = merged(symbols_of(word, byte_level), ranks)
+                    for pair in zip(symbols, symbols[1:]):
+                        total[pair] += freq
+            pairs = [p for p in total if allowed is None or all(s in allowed or len(s) > 1 for s in p)]
+            yield pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype=object),
+                                "b": pd.Series([b for _, b in pairs], dtype=object),
+                                "n": pd.Series([total[p] for p in pairs], dtype="int64")})
+        return run
+
+    while len(merges) < n_merges:
+        ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
+        best = (table.mapInPandas(count(ranks), "a string, b string, n long").groupBy("a", "b")
+                .agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+                .orderBy(F.col("n").desc(), "a", "b").limit(1 if exact else TOP_PAIRS).collect())
+        lefts: set[str] = set()
+        rights: set[str] = set()
+        found = 0
+        for r in best:
+            a, b = r["a"], r["b"]
+            if a not in rights and b not in lefts and (a != b or a not in lefts | rights) and len(merges) < n_merges:
+                lefts.add(a)
+                rights.add(b)
+                merges.append((a, b, int(r["n"])))
+                found += 1
+        if not found:
             break
-        a, b, n = best[0]["a"], best[0]["b"], int(best[0]["n"])
-        merges.append((a, b, n))
-        nxt = sym.select(merge_pair(F.col("sym"), a, b).alias("sym"), "freq").filter(F.size("sym") > 1)
-        nxt = nxt.checkpoint() if (i + 1) % checkpoint_every == 0 else nxt.cache()
-        if sym.is_cached:
-            prev = sym  # released once the next round has materialised ``nxt``
-        sym = nxt
-    if prev is not None:
-        prev.unpersist()
-    if sym.is_cached:
-        sym.unpersist()
     return merges
 
 
-def bpe_encode_words(words: DataFrame, merges: list[tuple[str, str, int]]) -> DataFrame:
-    """K6: apply the merge list to distinct words (Arrow batches); (word, tokens)."""
-    ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])
-
-    def encode(word: str) -> list[str]:
-        sym = list(word)
-        while len(sym) > 1:
-            best = None
-            for i in range(len(sym) - 1):
-                r = ranks.get((sym[i], sym[i + 1]))
-                if r is not None and (best is None or r < best[0]):
-                    best = (r, i)
-            if best is None:
-                break
-            a, b = sym[best[1]], sym[best[1] + 1]
-            out, i = [], 0
-            while i < len(sym):
-                if i < len(sym) - 1 and sym[i] == a and sym[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(sym[i])
-                    i += 1
-            sym = out
-        return sym
-
-    def run(batches):
+@dataclass
+class Tokenizer:
+    """Special tokens, alphabet and merges; ids in this order."""
+    special: list[str]
+    letters: list[str]
+    merges: list[tuple[str, str, int]]
+    byte_level: bool = True
+
+    def vocabulary(self) -> list[str]:
+        """Tokens by id; a merge that spells an earlier token adds none."""
+        return list(dict.fromkeys([*self.special, *self.letters, *(a + b for a, b, _ in self.merges)]))
+
+
+def train_tokenizer(docs: DataFrame, text_col: str, vocab_size: int = R.VOCAB_SIZE, special=SPECIAL_TOKENS,
+                    alphabet_limit: int = R.ALPHABET_LIMIT, min_frequency: int = R.MIN_FREQUENCY) -> Tokenizer:
+    """K1 -> K2 -> K3 -> K4 -> K5: normalise, cut, count, limit the alphabet, merge up to ``vocab_size``."""
+    pieces = byte_level_pieces(pretokens(F.col(text_col), special), special)
+    words = (normalized(docs.select(text_col), text_col).select(F.explode(pieces).alias("word"))
+             .where(~F.col("word").isin(list(special))).groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    words = materialized(words, "tokenizer-words")
+
+    def count_letters(batches):
+        total: Counter = Counter()
         for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "tokens": pdf["word"].map(encode)})
+            for word, freq in zip(pdf["word"], pdf["freq"]):
+                for c in symbols_of(word, True):
+                    total[c] += freq
+        yield pd.DataFrame({"ch": pd.Series(list(total), dtype=object),
+                            "n": pd.Series(list(total.values()), dtype="int64")})
 
-    return words.select("word").distinct().mapInPandas(run, schema=schema)
+    top = (words.mapInPandas(count_letters, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
+           .orderBy(F.col("n").desc(), "ch").limit(alphabet_limit).collect())
+    letters = sorted(r["ch"] for r in top)
+    room = vocab_size - len(special) - len(letters)
+    merges = bpe_train(words, max(room, 0), letters=letters, min_frequency=min_frequency)
+    return Tokenizer(list(special), letters, merges)
 
 
-def token_ids(tokens: Column, vocab_size: int = R.VOCAB_SIZE) -> Column:
-    """Stable ids for pre-tokens: code point of the first character mod (vocab-1), plus 1 (0 is padding)."""
-    return F.transform(tokens, lambda t: (F.pmod(F.ascii(t), F.lit(vocab_size - 1)) + 1).cast("int"))
+def vocabulary_table(spark, tokenizer: Tokenizer) -> DataFrame:
+    """(id, token, kind): special tokens first, then the alphabet, then merges in order."""
+    n_special, n_letters = len(tokenizer.special), len(tokenizer.letters)
+    rows = [(i, t, "special" if i < n_special else "letter" if i < n_special + n_letters else "merge")
+            for i, t in enumerate(tokenizer.vocabulary())]
+    return spark.createDataFrame(rows, "id int, token string, kind string")
+
+
+def encode(docs: DataFrame, text_col: str, tokenizer: Tokenizer, unk: str = "<unk>") -> DataFrame:
+    """K6: ``docs`` with ``ids``: the token ids of the normalised text.
+
+    The pieces are cut by column expressions; ids are looked up inside the scan, each distinct
+    piece of a task once (a bounded memo), so no word is shuffled.
+    """
+    ranks = {(a, b): i for i, (a, b, _) in enumerate(tokenizer.merges)}
+    number = {t: i for i, t in enumerate(tokenizer.vocabulary())}
+    special, byte_level, unknown = frozenset(tokenizer.special), tokenizer.byte_level, number[unk]
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, list[int]] = {}
+        for batch in batches:
+            out = []
+            for pieces in batch:
+                ids: list[int] = []
+                for piece in () if pieces is None else pieces:
+                    got = memo.get(piece)
+                    if got is None:
+                        got = [number[piece]] if piece in special else [
+                            number.get(s, unknown) for s in merged(symbols_of(piece, byte_level), ranks)]
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        memo[piece] = got
+                    ids += got
+                out.append(ids)
+            yield pd.Series(out)
+
+    pieces = byte_level_pieces(pretokens(F.col(text_col), tokenizer.special), tokenizer.special)
+    return normalized(docs, text_col).withColumn("ids", to_ids(F.coalesce(pieces, F.array().cast("array<string>"))))
+
+
+def decode(ids: Column, tokenizer: Tokenizer) -> Column:
+    """The text of token ids; unknown ids decode to their token."""
+    tokens, special = tokenizer.vocabulary(), frozenset(tokenizer.special)
+    raw = [t.encode("utf-8") if t in special or not tokenizer.byte_level else bytes(_BYTES[c] for c in t) for t in tokens]
+
+    @F.pandas_udf(T.StringType())
+    def to_text(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else b"".join([raw[i] for i in v]).decode("utf-8", "replace") for v in batch],
+                         dtype=object)
+
+    return to_text(ids)
 
 
 def pad_truncate(ids: Column, max_len: int = R.MAX_SEQ_LEN, pad_id: int = R.PAD_ID) -> tuple[Column, Column]:

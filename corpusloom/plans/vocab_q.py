@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -11,9 +13,15 @@ from corpusloom.plans import sqlgen as S
 from corpusloom.plans.registry import register
 from corpusloom.session import read_table
 
-_PRE_SQL = "'<pad>|<unk>|<s>|</s>|\\s+|[^\\pL\\pN_\\s<>/.\\-:]+|[\\pL\\pN_<>/.\\-:]+'"
+_SPECIAL_SQL = "|".join(re.escape(t) for t in V.SPECIAL_TOKENS)
+_PRE_SQL = f"'{_SPECIAL_SQL}|" + "\\s+|[^\\pL\\pN_\\s<>/.\\-:]+|[\\pL\\pN_<>/.\\-:]+'"
+# the byte-level cut; pieces hold either white space only or none, so no lookahead is needed
+_CUT = S.lit(r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN+|[^\s\pL\pN]+|\s+")
+_SPECIALS = ", ".join(S.lit(t) for t in V.SPECIAL_TOKENS)
+_PIECES_SQL = (f"flatten(list_transform(regexp_extract_all(strip_accents(text), {_PRE_SQL}), "
+               f"lambda p: CASE WHEN p IN ({_SPECIALS}) THEN [p] ELSE regexp_extract_all(p, {_CUT}) END))")
 _WORDS_SQL = f"""words AS (SELECT w AS word, count(*) AS freq FROM
-  (SELECT unnest(regexp_extract_all(text, {_PRE_SQL})) AS w FROM documents)
+  (SELECT unnest(regexp_extract_all(strip_accents(text), {_PRE_SQL})) AS w FROM documents)
   WHERE NOT regexp_matches(w, '^\\s+$') GROUP BY w HAVING count(*) >= 2)"""
 
 
@@ -29,11 +37,11 @@ def strip_accents(spark, sf):
     return d.select("doc_id", T.hash16("t").alias("norm_hash"), F.length("t").alias("norm_len"))
 
 
-@register("pretokens", f"""SELECT doc_id, CAST(len(regexp_extract_all(text, {_PRE_SQL})) AS INTEGER) AS n_pieces,
-  {S.hash16(f"array_to_string(regexp_extract_all(text, {_PRE_SQL}), chr(1))")} AS pieces_hash FROM documents""")
+@register("pretokens", f"""SELECT doc_id, CAST(len(p) AS INTEGER) AS n_pieces, {S.hash16("array_to_string(p, chr(1))")}
+  AS pieces_hash FROM (SELECT doc_id, {_PIECES_SQL} AS p FROM documents)""")
 def pretokens(spark, sf):
-    """K2: pre-tokenise, delimiters kept as pieces, special tokens atomic."""
-    d = _docs(spark, sf).select("doc_id", V.pretokens(F.col("text")).alias("p"))
+    """K1 -> K2: normalise, pre-tokenise (delimiters kept as pieces, special tokens atomic), byte-level cut."""
+    d = V.normalized(_docs(spark, sf), "text").select("doc_id", V.byte_level_pieces(V.pretokens(F.col("text"))).alias("p"))
     return d.select("doc_id", F.size("p").alias("n_pieces"), T.hash16(F.array_join("p", "\x01")).alias("pieces_hash"))
 
 
@@ -63,28 +71,70 @@ def bpe_first_pairs(spark, sf):
             .select("a", "b", F.col("n").cast("long").alias("n")))
 
 
-BPE_MERGES = 12
+FIRST_MERGES = 3
+_SEP = "chr(2)"
 
 
-@register("bpe_merges")
-def bpe_merges(spark, sf):
-    """K5: the first BPE merges (exact, one per round) as a table (rank, a, b, count)."""
-    merges = V.bpe_train(V.word_histogram(_docs(spark, sf), "text"), BPE_MERGES, checkpoint_every=4)
+def _first_merges_sql():
+    """The exact merges of the first rounds, unrolled: symbols are wrapped in separators, a merge is a replacement."""
+    ctes = [_WORDS_SQL, f"""w0 AS (SELECT array_to_string(list_transform(string_split(word, ''), lambda c: {_SEP} || c || {_SEP}), '')
+  AS s, freq FROM words)"""]
+    for r in range(FIRST_MERGES):
+        ctes.append(f"""l{r} AS (SELECT string_split(trim(s, {_SEP}), {_SEP} || {_SEP}) AS sym, freq FROM w{r}),
+m{r} AS (SELECT a, b, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT sym[i] AS a, sym[i + 1] AS b, freq FROM
+  (SELECT sym, freq, unnest(range(1, len(sym))) AS i FROM l{r})) GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1),
+w{r + 1} AS (SELECT replace(s, {_SEP} || a || {_SEP} || {_SEP} || b || {_SEP}, {_SEP} || a || b || {_SEP}) AS s, freq
+  FROM w{r}, m{r})""")
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(
+        f"SELECT CAST({r + 1} AS INTEGER) AS merge_rank, a, b, n FROM m{r}" for r in range(FIRST_MERGES))
+
+
+@register("bpe_first_merges", _first_merges_sql())
+def bpe_first_merges(spark, sf):
+    """K5 in exact mode, over characters: the merges of the first rounds as a table (rank, a, b, count)."""
+    merges = V.bpe_train(V.word_histogram(_docs(spark, sf), "text"), FIRST_MERGES, exact=True, byte_level=False)
     return spark.createDataFrame([(i + 1, a, b, n) for i, (a, b, n) in enumerate(merges)],
                                  "merge_rank int, a string, b string, n long")
 
 
+_TRAINED: dict[tuple[str, str], V.Tokenizer] = {}
+
+
+def tokenizer(spark, sf) -> V.Tokenizer:
+    """The tokenizer of a folder's documents, trained once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = V.train_tokenizer(_docs(spark, sf), "text")
+    return _TRAINED[key]
+
+
+@register("bpe_merges")
+def bpe_merges(spark, sf):
+    """K5: the vocabulary of up to 8,192 tokens: special tokens, alphabet, merges."""
+    return V.vocabulary_table(spark, tokenizer(spark, sf))
+
+
+def _encoded(spark, sf):
+    return V.encode(_docs(spark, sf).select("doc_id", "lang", "text"), "text", tokenizer(spark, sf))
+
+
 @register("bpe_encode")
 def bpe_encode(spark, sf):
-    """K6: encode every word of every document with the learned merges
-    (distinct words encoded once, joined back)."""
-    docs = _docs(spark, sf)
-    words = V.word_histogram(docs, "text", min_frequency=1)
-    merges = V.bpe_train(V.word_histogram(docs, "text"), BPE_MERGES, checkpoint_every=4)
-    enc = V.bpe_encode_words(words, merges)
-    occ = docs.select("doc_id", F.explode(V.pretokens(F.col("text"))).alias("word")).filter(~F.col("word").rlike(r"^\s+$"))
-    return occ.join(enc, "word").groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n_tokens"),
-                                                      F.count(F.lit(1)).alias("n_words"))
+    """K6: token ids of every document, and whether they decode to the normalised text."""
+    t = tokenizer(spark, sf)
+    e = _encoded(spark, sf)
+    return e.select("doc_id", F.size("ids").alias("n_tokens"), F.hex(F.xxhash64("ids")).alias("ids_xxh64"),
+                    (V.decode(F.col("ids"), t) == F.col("text")).alias("decoded"))
+
+
+@register("chars_per_token_bpe")
+def chars_per_token_bpe(spark, sf):
+    """A17 / K7 over encoded tokens: characters per token by language and overall."""
+    d = _encoded(spark, sf).select("lang", F.size("ids").alias("n_tok"), F.length("text").alias("n_chars"))
+    g = d.groupingSets([["lang"], []], "lang").agg(F.sum("n_tok").cast("long").alias("tokens"),
+                                                   F.sum("n_chars").cast("long").alias("chars"))
+    return g.select(F.coalesce("lang", F.lit("all")).alias("category"), "tokens", "chars",
+                    F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
 
 
 @register("chars_per_token", f"""SELECT coalesce(lang, 'all') AS category, CAST(sum(n_tok) AS BIGINT) AS tokens,
@@ -101,18 +151,11 @@ def chars_per_token(spark, sf):
                     F.round(F.col("chars") / F.col("tokens"), 6).alias("chars_per_token"))
 
 
-@register("pad_mask", f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, {_PRE_SQL}),
-  lambda x: (unicode(x) % 8191) + 1) AS ids FROM documents)
-SELECT doc_id, CAST(least(len(ids), 512) AS INTEGER) AS attended, CAST(512 - least(len(ids), 512) AS INTEGER) AS padding,
-  CAST(list_sum(ids[1:512]) AS BIGINT) AS id_checksum FROM t""")
+@register("pad_mask")
 def pad_mask(spark, sf):
-    """Ids cut/padded to 512 with an attention mask; labels = ids."""
-    d = _docs(spark, sf).select("doc_id", V.token_ids(V.pretokens(F.col("text"))).alias("ids"))
+    """Token ids cut/padded to 512 with an attention mask; labels = ids."""
     ids, mask = V.pad_truncate(F.col("ids"))
-    x = d.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+    x = _encoded(spark, sf).select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
     return x.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).alias("attended"),
                     (F.lit(512) - F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)).alias("padding"),
                     F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("id_checksum"))
-
-
-

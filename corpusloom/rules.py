@@ -383,6 +383,23 @@ PROMPT_PREFIX = "Decompose "
 END_TOKEN = "<|endoftext|>"
 
 # Text normalisation and vocabulary.
+# special tokens, in the order of their ids
+SPECIAL_TOKENS = [
+    "<pad>", "<unk>", "<s>", "</s>", "<CODE>", "</CODE>", "<LOG>", "</LOG>", "<PACKET>", "</PACKET>",
+    "<ERROR>", "</ERROR>", "<CONNECT>", "<BIND>", "<LISTEN>", "<ACCEPT>", "<HANDSHAKE>", "<NEGOTIATE>",
+    "<SYN>", "<ACK>", "<FIN>", "<SEND>", "<RECV>", "<TRANSMIT>", "<RECEIVE>", "<REQUEST>", "<RESPONSE>",
+    "<GET>", "<POST>", "<PUT>", "<DELETE>", "<POLL>", "<PING>", "<CLOSE>", "<TIMEOUT>", "<SUCCESS>",
+    "<FAILURE>", "<PENDING>", "<RETRY>", "<DEADLINE_EXCEEDED>", "<OK>", "<CONNECTION_REFUSED>",
+    "<PROTOCOL_ERROR>", "<UNAUTHORIZED>", "<FORBIDDEN>", "<NOT_FOUND>", "<SERVER_ERROR>", "<HTTP/1.1>",
+    "<HTTP/2>", "<TCP>", "<UDP>", "<ICMP>", "<ARP>", "<QUIC>", "<WEBSOCKET>", "<gRPC>", "<MQTT>", "<COAP>",
+    "<FTP>", "<SSH>", "<BGP>", "<OSPF>", "<DNS>", "<DHCP>", "<TLS>", "<SSL>", "<IPsec>", "<RTP>", "<SIP>",
+    "<JSON>", "<XML>", "<YAML>", "<PROTOBUF>", "<AVRO>", "<CBOR>", "<GZIP>", "<ZLIB>", "<SERVER>", "<CLIENT>",
+    "<PORT>", "<ADDRESS>", "<IP>", "<MAC>", "<HOSTNAME>", "<ROUTER>", "<SWITCH>", "<GATEWAY>", "<FIREWALL>",
+    "<LOAD_BALANCER>", "<VPN>", "<DNS_SERVER>", "<NAT_DEVICE>", "<PAYLOAD>", "<HEADER>", "<PACKET_HEADER>",
+    "<PACKET_BODY>", "<SOURCE_IP>", "<DESTINATION_IP>", "<SOURCE_PORT>", "<DESTINATION_PORT>",
+    "<PROTOCOL_TYPE>", "<PACKET_SIZE>", "<PAYLOAD_LENGTH>", "<TIMESTAMP>", "<LEVEL>", "<MESSAGE>",
+    "<TRACE_ID>", "<SESSION_ID>", "<EVENT_ID>", "<SYSLOG>", "<JSON_LOG>",
+]
 MIN_FREQUENCY = 2
 ALPHABET_LIMIT = 1000
 VOCAB_SIZE = 8192

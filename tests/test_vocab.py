@@ -40,10 +40,28 @@ def test_bpe_matches_python(spark):
             "müde müder straße straßen") * 3
     freqs = Counter(w for w in text.split())
     words = spark.createDataFrame(list(freqs.items()), "word string, freq long")
-    got = V.bpe_train(words, 15, checkpoint_every=3)
+    got = V.bpe_train(words, 15, exact=True, byte_level=False)
     assert got == _py_bpe(dict(freqs), 15)
-    enc = {r["word"]: list(r["tokens"]) for r in V.bpe_encode_words(words, got).collect()}
-    assert enc["lowest"][0] == "low" and "".join(enc["straßen"]) == "straßen"
+    ranks = {(a, b): i for i, (a, b, _) in enumerate(got)}
+    assert V.merged(list("lowest"), ranks)[0] == "low" and "".join(V.merged(list("straßen"), ranks)) == "straßen"
+    many = V.bpe_train(words, 40)
+    assert many[0] == V.bpe_train(words, 1, exact=True)[0] and len(many) > 20
+
+
+def test_tokenizer_round_trip_and_ids(spark):
+    docs = spark.createDataFrame([(1, "Café <GET> /index.html it's 42\n\tnaïve straße 日本"), (2, None), (3, "")] + [
+        (10 + i, "the theme then there the other") for i in range(5)], "doc_id long, text string")
+    t = V.train_tokenizer(docs, "text", vocab_size=200)
+    vocabulary = t.vocabulary()
+    assert len(vocabulary) <= 200 and vocabulary[:2] == ["<pad>", "<unk>"] and len(t.special) == 111
+    rows = V.encode(docs, "text", t).select("doc_id", "text", "ids", V.decode(F.col("ids"), t).alias("back")).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["text"] == by[1]["back"] == "Cafe <GET> /index.html it's 42\n\tnaive straße 日本"
+    assert vocabulary.index("<GET>") in by[1]["ids"] and "the" in vocabulary
+    assert list(by[2]["ids"]) == [] and list(by[3]["ids"]) == [] and by[3]["back"] == ""
+    # a symbol outside a limited alphabet is unknown
+    small = V.train_tokenizer(docs, "text", vocab_size=150, alphabet_limit=10)
+    assert 1 in {i for r in V.encode(docs, "text", small).collect() for i in r["ids"]}
 
 
 def test_pretokens_and_accents(spark):
