@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,29 +53,73 @@ def _sorted(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pdf.sort_values(["ts", "event_id"], kind="mergesort")
 
 
-def flow_control(events: DataFrame, depth_factor: float, config) -> DataFrame:
-    """W10 online. State per queue: the current on/off flag."""
-    cfg = {q: (d, t) for q, d, _b, t, *_ in config}
+_ROWS = "ts_us array<long>, ids array<long>, vals array<double>"
 
-    def step(key, pdfs, state: GroupState):
-        queue = key[0]
-        on = state.get[0] if state.exists else False
-        max_depth, thr = cfg[queue]
-        pdf = _sorted(pdfs)
-        out = []
-        for eid, v in zip(pdf["event_id"], pdf["value"]):
-            depth = int(v * depth_factor)
-            if depth > max_depth * thr:
-                on = True
-            elif depth < max_depth * R.FLOW_RELEASE_FRACTION:
-                on = False
-            out.append((queue, int(eid), on))
-        state.update((on,))
-        yield pd.DataFrame(out, columns=["queue", "event_id", "flow_control"])
 
-    return events.groupBy("queue").applyInPandasWithState(
-        step, "queue string, event_id long, flow_control boolean", "on boolean", "append",
-        GroupStateTimeout.NoTimeout)
+def _in_event_time(events: DataFrame, key: str, value: str, carry: str, fold, out: str, delay: str,
+                   expires=None) -> DataFrame:
+    """A fold over each key's events in event-time order.
+
+    Events wait in the key's state until the watermark has passed them and are then
+    folded in (time, id) order, so the result doesn't depend on how the events came in; an event
+    later than ``delay`` is dropped. ``fold(carry, ts_us, ids, vals)`` returns the new carry (a tuple, or
+    None) and the output columns. A key without waiting events whose carry ``expires`` (carry -> microseconds) has
+    passed is released. State: the carry and the events of the watermark's delay.
+    """
+    kind = dict(events.dtypes)[key]
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def step(k, pdfs, state: GroupState):
+        old = state.get if state.exists else None
+        kept = [np.asarray(x) for x in old[-3:]] if old else [np.zeros(0)] * 3
+        held = tuple(old[:-3]) if old and old[0] is not None else None
+        parts = [[kept[0]], [kept[1]], [kept[2]]]
+        for pdf in pdfs:
+            for part, c in zip(parts, ("ts_us", "event_id", "val")):
+                part.append(pdf[c].to_numpy())
+        ts, ids = (np.concatenate(p).astype(np.int64) for p in parts[:2])
+        vals = np.concatenate(parts[2]).astype(float)
+        order = np.lexsort((ids, ts))
+        ts, ids, vals = ts[order], ids[order], vals[order]
+        mark = state.getCurrentWatermarkMs()
+        n = int(np.searchsorted(ts, mark * 1000, side="right"))
+        if n:
+            held, columns = fold(held, ts[:n], ids[:n], vals[:n])
+            yield pd.DataFrame({key: [k[0]] * n, **dict(zip(names, (ids[:n], *columns)))})
+        ts, ids, vals = ts[n:], ids[n:], vals[n:]
+        end = None if held is None or expires is None else expires(held)
+        if not len(ts) and end is not None and end <= mark * 1000:
+            state.remove()
+            return
+        none = (None,) * (len(carry.split(", ")))
+        state.update((*(held if held is not None else none), ts.tolist(), ids.tolist(), vals.tolist()))
+        wake = int(ts[0]) // 1000 + 1 if len(ts) else None if end is None else end // 1000 + 1
+        if wake is not None:
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+
+    rows = (events.withWatermark("ts", delay)
+            .select("ts", key, F.unix_micros("ts").alias("ts_us"), "event_id", F.col(value).cast("double").alias("val")))
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, {out}", f"{carry}, {_ROWS}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def flow_control(events: DataFrame, depth_factor: float, config, delay: str = "1 hour") -> DataFrame:
+    """W10 online. State per queue: the current on/off flag and the events waiting for the watermark."""
+    limits = {q: (d * t, d * R.FLOW_RELEASE_FRACTION) for q, d, _b, t, *_ in config}
+    high = F.create_map(*[x for q, (h, _) in limits.items() for x in (F.lit(q), F.lit(float(h)))])
+    low = F.create_map(*[x for q, (_, v) in limits.items() for x in (F.lit(q), F.lit(float(v)))])
+    depth = F.floor(F.col("value") * depth_factor)
+    signal = (F.when(depth > high[F.col("queue")], 1.0).when(depth < low[F.col("queue")], 0.0).otherwise(-1.0))
+
+    def fold(carry, ts, ids, vals):
+        # the last signal so far; before any, what was carried in
+        at = np.maximum.accumulate(np.where(vals >= 0, np.arange(len(vals)), -1))
+        start = bool(carry[0]) if carry else False
+        on = np.where(at >= 0, vals[np.maximum(at, 0)] > 0, start)
+        return (bool(on[-1]),), (on,)
+
+    return _in_event_time(events.withColumn("signal", signal), "queue", "signal", "on boolean", fold,
+                          "event_id long, flow_control boolean", delay)
 
 
 def bounded_admission(events: DataFrame, capacity: int) -> DataFrame:
@@ -107,30 +152,25 @@ def bounded_admission(events: DataFrame, capacity: int) -> DataFrame:
         GroupStateTimeout.NoTimeout)
 
 
-def greedy_gap(events: DataFrame, key: str, gap_seconds: float, inclusive: bool, out: str) -> DataFrame:
+def greedy_gap(events: DataFrame, key: str, gap_seconds: float, inclusive: bool, out: str,
+               delay: str = "1 hour") -> DataFrame:
     """R4 rate limit (``inclusive``: accept when gap >= 1/rate) and R5 TTL cache
     (not inclusive: re-insert when age > ttl). State per key: the time of the
-    last accepted / inserted item. The comparison uses the rows' event time,
-    so it is testable (built-in state TTL is processing-time only)."""
-    gap_us = int(gap_seconds * 1_000_000)
-
-    def step(k, pdfs, state: GroupState):
-        last = state.get[0] if state.exists else None
-        pdf = _sorted(pdfs)
-        ts_us = pdf["ts"].astype("int64").to_numpy() // 1000
-        res = []
-        for eid, t in zip(pdf["event_id"], ts_us):
-            ok = last is None or ((t - last) >= gap_us if inclusive else (t - last) > gap_us)
-            if ok:
-                last = int(t)
-            res.append((k[0], int(eid), ok))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(res, columns=[key, "event_id", out])
-
-    kt = "string" if key == "queue" else "long"
-    return events.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kt}, event_id long, {out} boolean", "last_us long", "append", GroupStateTimeout.NoTimeout)
+    last accepted / inserted item and the events waiting for the watermark; the key is
+    released once the gap has passed. The comparison uses the rows' event time."""
+    gap = int(gap_seconds * 1_000_000) + (0 if inclusive else 1)
+
+    def fold(carry, ts, ids, vals):
+        ok = np.zeros(len(ts), dtype=bool)
+        last = carry[0] if carry else None
+        i = 0 if last is None else int(np.searchsorted(ts, last + gap))
+        while i < len(ts):          # from one accepted item to the next
+            ok[i], last = True, int(ts[i])
+            i = max(int(np.searchsorted(ts, last + gap)), i + 1)
+        return (last,), (ok,)
+
+    return _in_event_time(events.withColumn("nothing", F.lit(0.0)), key, "nothing", "last_us long", fold,
+                          f"event_id long, {out} boolean", delay, expires=lambda c: c[0] + gap)
 
 
 def recent_history(events: DataFrame, n: int = 5) -> DataFrame:

@@ -37,6 +37,31 @@ def _events(spark, stream_dir):
     return jobs.read_events(spark, f"{stream_dir}/*", max_files_per_trigger=8)
 
 
+@pytest.fixture(scope="module")
+def closed_dir(spark, stream_dir):
+    """Days cut so that each file holds events of two days, and two later files that move the watermark past all."""
+    import tempfile
+    d = tempfile.mkdtemp(prefix="corpusloom-closed-")
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    t = F.col("ts").cast("timestamp")
+    first = ev.agg(F.min(t)).first()[0]
+    hours = ((F.unix_micros(t) - F.unix_micros(F.lit(first))) / 3_600_000_000).cast("long")
+    # every third event comes up to 20 hours late: it is in a later file than newer events
+    part = F.floor((hours + F.when(F.col("event_id") % 3 == 0, F.pmod(F.col("event_id"), F.lit(20))).otherwise(0)) / 96)
+    n = int(ev.select(F.max(part)).first()[0])
+    for i in range(n + 1):
+        ev.where(part == i).coalesce(1).write.parquet(os.path.join(d, f"part={i:03d}"))
+    end = ev.limit(3).select(
+        (F.lit(-1) - F.monotonically_increasing_id()).alias("event_id"),
+        F.lit("2100-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    end.coalesce(1).write.parquet(os.path.join(d, f"part={n + 1:03d}"))
+    return d
+
+
+def _late(spark, closed_dir):
+    return jobs.read_events(spark, f"{closed_dir}/*", max_files_per_trigger=1)
+
+
 def test_funnel_stream(spark, stream_dir):
     got = _run(spark, jobs.funnel_counts(_events(spark, stream_dir)), "funnel_q", "complete")
     want = spark.read.parquet(f"{SF001}/events.parquet").groupBy(F.col("user_id").alias("producer")).count()
@@ -52,10 +77,11 @@ def test_tumbling_stream_closed_windows(spark, stream_dir):
     assert len(g) >= len(b) - 3  # windows still open at the end are not emitted in append mode
 
 
-def test_flow_control_stream(spark, stream_dir):
-    got = _run(spark, jobs.flow_control(_events(spark, stream_dir), 40, alloc_q.FIXTURE_QUEUES), "flow")
+def test_flow_control_stream(spark, closed_dir):
+    """Late events, within the watermark's delay, give what the batch gives."""
+    got = _run(spark, jobs.flow_control(_late(spark, closed_dir), 40, alloc_q.FIXTURE_QUEUES, "30 hours"), "flow")
     want = alloc_q.flow_control_state(spark, SF001)
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert {tuple(r) for r in got.where("event_id >= 0").collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_admission_stream(spark, stream_dir):
@@ -64,15 +90,15 @@ def test_admission_stream(spark, stream_dir):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
-def test_rate_limit_and_ttl_stream(spark, stream_dir):
-    ev = _events(spark, stream_dir)
-    got = _run(spark, jobs.greedy_gap(ev, "queue", alloc_q.RATE_GAP_SECONDS, True, "accepted"), "rate")
+def test_rate_limit_and_ttl_stream(spark, closed_dir):
+    ev = _late(spark, closed_dir)
+    got = _run(spark, jobs.greedy_gap(ev, "queue", alloc_q.RATE_GAP_SECONDS, True, "accepted", "30 hours"), "rate")
     want = alloc_q.rate_limit_accept(spark, SF001)
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
-    got = _run(spark, jobs.greedy_gap(_events(spark, stream_dir), "user_id", alloc_q.TTL_SECONDS, False, "inserted"),
-               "ttl")
+    assert {tuple(r) for r in got.where("event_id >= 0").collect()} == {tuple(r) for r in want.collect()}
+    got = _run(spark, jobs.greedy_gap(_late(spark, closed_dir), "user_id", alloc_q.TTL_SECONDS, False, "inserted",
+                                      "30 hours"), "ttl")
     want = alloc_q.ttl_cache_hits(spark, SF001)
-    g = {(r["user_id"], r["event_id"], not r["inserted"]) for r in got.collect()}
+    g = {(r["user_id"], r["event_id"], not r["inserted"]) for r in got.where("event_id >= 0").collect()}
     assert g == {tuple(r) for r in want.collect()}
 
 
