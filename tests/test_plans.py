@@ -7,10 +7,11 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-# queries whose construction runs jobs (iterations) are planned elsewhere
-ITERATIVE = {"bpe_merges", "bpe_encode", "rate_limit_accept", "ttl_cache_hits"}
-# a global ordered window is allowed only over a bounded histogram
-BOUNDED_GLOBAL_WINDOW = {"loc_mean_median"}
+# queries whose construction runs jobs (iterations) have tests of their own
+ITERATIVE = {"bpe_merges", "bpe_encode", "bpe_first_merges", "pad_mask", "chars_per_token_bpe", "rate_limit_accept",
+             "ttl_cache_hits", *E.LLM_QUERIES}
+# a global ordered window is allowed only over a bounded histogram or one row per group
+BOUNDED_GLOBAL_WINDOW = {"loc_mean_median", "distribution_pct"}
 
 
 def _nodes(df):
@@ -34,6 +35,30 @@ def test_guard_sees_global_window(spark):
     assert windows and len(windows[0].get("partitionSpec", [])) == 0
 
 
+def _scans(df):
+    return [n for n in _nodes(df) if n.get("class", "").endswith("FileSourceScanExec")]
+
+
+@pytest.mark.parametrize("name,most", [("category_distribution", 1), ("exact_dedupe", 1), ("loc_mean_median", 1),
+                                       ("distribution_pct", 3), ("balance_categories", 4)])
+def test_inputs_are_read_once(spark, name, most):
+    """Scans of a query, each of its tables counted; texts never go through a sort aggregate."""
+    df = E.queries()[name](spark, SF001)
+    assert len(_scans(df)) <= most
+    if name in ("category_distribution", "exact_dedupe"):
+        assert not [n for n in _nodes(df) if n.get("class", "").endswith("SortAggregateExec")]
+
+
+def test_training_set_reads_the_written_examples(spark):
+    """After the union is written, the corpus build scans it for keys, ids and rows, and the traces for counts and rows."""
+    assert len(_scans(E.queries()["build_training_set"](spark, SF001))) <= 10
+
+
+def test_trace_counts_are_broadcast(spark):
+    names = [n.get("class", "").rsplit(".", 1)[-1] for n in _nodes(E.queries()["trace_enrich"](spark, SF001))]
+    assert "BroadcastHashJoinExec" in names
+
+
 def test_dedupe_collapses_hot_hash_before_shuffle(spark):
     """A text held by a third of the rows is reduced map-side (partial min_by)."""
     from pyspark.sql import functions as F
