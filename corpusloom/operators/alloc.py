@@ -104,12 +104,35 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+#: time cells that a log's span is counted in, and rows of a key that a block of cells holds
+TIME_CELLS = 1 << 16
+BLOCK_ROWS = 1 << 16
+
+
+def time_blocks(df: DataFrame, key: str, ts: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``_b``: blocks of consecutive times per key that hold about ``block_rows`` rows each.
+
+    The log's span is cut into TIME_CELLS cells; the counts per (key, cell), at most
+    TIME_CELLS rows per key, decide where a block ends, so that a busy hour makes many blocks
+    and a quiet month one. Only rows of one cell can't be parted.
+    """
+    t = epoch_micros(F.col(ts))
+    ends = df.select(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()
+    width = (ends["hi"] - ends["lo"] + 1) / float(TIME_CELLS)
+    cells = df.withColumn("_c", F.floor((t - ends["lo"]) / width).cast("int"))
+    counts = cells.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.select(key, "_c", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block_rows)
+                           .cast("long").alias("_b"))
+    return cells.join(blocks, [key, "_c"]).drop("_c")
+
+
 def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str,
-                bucket_seconds: int = 3600) -> DataFrame:
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Running sum of ``value`` per key in (ts, tie) order, as a two-level scan."""
-    b = df.withColumn("_b", _bucket(F.col(ts), bucket_seconds))
+    b = time_blocks(df, key, ts, block_rows)
     sums = b.groupBy(key, "_b").agg(F.sum(value).alias("_bs"))
-    # (keys x buckets) rows: prefix over buckets in a small table
+    # (keys x blocks) rows: prefix over blocks in a small table
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_off", F.coalesce(F.sum("_bs").over(wb), F.lit(0))).drop("_bs")
     wi = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -118,17 +141,16 @@ def running_sum(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str
 
 
 def last_non_null(df: DataFrame, key: str, ts: str, tie: str, signal: str, out: str,
-                  bucket_seconds: int = 3600) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Last non-null ``signal`` so far per key (inclusive), as a two-level scan."""
-    b = df.withColumn("_b", _bucket(F.col(ts), bucket_seconds))
-    lasts = b.filter(F.col(signal).isNotNull()).groupBy(key, "_b").agg(
-        F.max_by(F.col(signal), F.struct(ts, tie)).alias("_bl"))
-    # (keys x buckets) rows: carry into a bucket = last signal of an earlier bucket
-    allb = b.select(key, "_b").distinct().join(lasts, [key, "_b"], "left")
+    b = time_blocks(df, key, ts, block_rows)
+    # (keys x blocks) rows: carry into a block = last signal of an earlier block
+    lasts = b.groupBy(key, "_b").agg(
+        F.max_by(F.col(signal), F.when(F.col(signal).isNotNull(), F.struct(ts, tie))).alias("_bl"))
     wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    allb = allb.withColumn("_prev", F.last("_bl", ignorenulls=True).over(wb)).select(key, "_b", "_prev")
+    carried = lasts.select(key, "_b", F.last("_bl", ignorenulls=True).over(wb).alias("_prev"))
     wi = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(allb, [key, "_b"])
+    return (b.join(carried, [key, "_b"])
             .withColumn(out, F.coalesce(F.last(signal, ignorenulls=True).over(wi), F.col("_prev")))
             .drop("_b", "_prev"))
 

@@ -28,7 +28,7 @@ def _by_key(rows):
 def test_running_sum_two_level(spark):
     rows, df = _log(spark)
     got = {r["event_id"]: r["depth"] for r in alloc.running_sum(df, "queue", "ts", "event_id", "delta", "depth",
-                                                                 bucket_seconds=3600).collect()}
+                                                                 block_rows=7).collect()}
     for items in _by_key(rows).values():
         acc = 0
         for r in items:
@@ -120,3 +120,28 @@ def test_upper_median(spark):
         r = stats.mean_upper_median(df, "x").first()
         assert r["median_x"] == sorted(vals)[len(vals) // 2]
         assert abs(r["mean_x"] - sum(vals) / len(vals)) < 1e-9
+
+
+def test_one_queue_in_one_hour(spark):
+    """A log that is one busy queue-hour is cut into many blocks, with ties, and folds as a walk does."""
+    rnd = random.Random(9)
+    t0 = dt.datetime(2024, 5, 1, 12)
+    rows = [(i, t0 + dt.timedelta(milliseconds=rnd.randint(0, 3_600) * 1000 if i % 5 else 1_800_000), "q",
+             rnd.choice([1, -1, 0]), rnd.random() * 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, queue string, delta int, value double")
+    blocks = alloc.time_blocks(df, "queue", "ts", 50).groupBy("_b").count().collect()
+    assert len(blocks) > 15
+    walk = sorted(rows, key=lambda r: (r[1], r[0]))
+    sums = {r["event_id"]: r["d"] for r in alloc.running_sum(df, "queue", "ts", "event_id", "delta", "d", 50).collect()}
+    signal = F.when(F.col("value") > 45, True).when(F.col("value") < 5, False)
+    last = {r["event_id"]: r["l"] for r in alloc.last_non_null(
+        df.withColumn("s", signal), "queue", "ts", "event_id", "s", "l", 50).collect()}
+    gap = {r["event_id"]: r["accepted"] for r in alloc.greedy_gap(
+        df.select("queue", "event_id", "ts"), "queue", "ts", "event_id", 7.0, True).collect()}
+    total, on, at = 0, None, None
+    for r in walk:
+        total += r[3]
+        on = True if r[4] > 45 else False if r[4] < 5 else on
+        ok = at is None or (r[1] - at).total_seconds() >= 7.0
+        at = r[1] if ok else at
+        assert (sums[r[0]], last[r[0]], gap[r[0]]) == (total, on, ok)
