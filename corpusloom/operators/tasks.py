@@ -10,7 +10,7 @@ generic one-subtask DAG.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -143,35 +143,50 @@ def decompose(tasks: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def edges(subtasks: DataFrame) -> DataFrame:
-    """DAG edges (task_id, src, dst): fan-out from the first stage, fan-in to the last."""
-    sid = F.col("subtask_id")
+    """DAG edges (task_id, src, dst): fan-out from the first stage, fan-in to the last. One pass over the rows."""
+    sid, task, st = F.col("subtask_id"), F.col("task_id"), F.col("strategy")
     is_chunk = F.col("chunk").isNotNull()
-    video = subtasks.filter((F.col("strategy") == "video") & ~sid.endswith("_merge")).select(
-        "task_id", sid.alias("src"), F.concat(F.col("task_id"), F.lit("_merge")).alias("dst"))
-    first = {"ml": "_data_prep", "financial": "_market_data"}
-    last = {"ml": "_aggregate", "financial": "_risk_aggregate"}
-    parts = [video]
-    for strat in ("ml", "financial"):
-        ch = subtasks.filter((F.col("strategy") == strat) & is_chunk)
-        parts.append(ch.select("task_id", F.concat(F.col("task_id"), F.lit(first[strat])).alias("src"),
-                               sid.alias("dst")))
-        parts.append(ch.select("task_id", sid.alias("src"), F.concat(F.col("task_id"), F.lit(last[strat])).alias("dst")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    first, last = _stage_ids()
+
+    def edge(src, dst):
+        return F.struct(src.alias("src"), dst.alias("dst"))
+
+    found = F.array_compact(F.array(
+        F.when((st == "video") & (sid != last), edge(sid, last)),
+        F.when(st.isin("ml", "financial") & is_chunk, edge(first, sid)),
+        F.when(st.isin("ml", "financial") & is_chunk, edge(sid, last))))
+    return subtasks.select(task, F.explode(found).alias("e")).select("task_id", "e.src", "e.dst")
+
+
+def _stage_ids() -> tuple[Column, Column]:
+    """Ids of a task's first and last stage (null where the strategy has none)."""
+    task, st = F.col("task_id"), F.col("strategy")
+    first = F.when(st == "ml", F.concat(task, F.lit("_data_prep"))).when(
+        st == "financial", F.concat(task, F.lit("_market_data")))
+    last = F.when(st == "video", F.concat(task, F.lit("_merge"))).when(
+        st == "ml", F.concat(task, F.lit("_aggregate"))).when(st == "financial", F.concat(task, F.lit("_risk_aggregate")))
+    return first, last
 
 
-def dag_dependencies(subtasks: DataFrame, edge_df: DataFrame) -> DataFrame:
+def dag_dependencies(subtasks: DataFrame, edge_df: DataFrame | None = None) -> DataFrame:
     """Sorted sources of the in-edges of each subtask (empty when none).
 
-    In-degree is bounded by the strategy (at most 16 chunks + audio), so the
-    collected lists are small.
+    By default from the rows themselves: one scan and one shuffle by task. A task's subtasks are bounded
+    by the strategy (at most 16 chunks, two stages and audio), so the collected lists are small.
+    With ``edge_df`` (task_id, src, dst) the edges given are joined.
     """
-    deps = edge_df.groupBy("task_id", F.col("dst").alias("subtask_id")).agg(
-        F.array_sort(F.collect_list("src")).alias("dependencies"))
-    return subtasks.join(deps, ["task_id", "subtask_id"], "left").withColumn(
-        "dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    if edge_df is not None:
+        deps = edge_df.groupBy("task_id", F.col("dst").alias("subtask_id")).agg(
+            F.array_sort(F.collect_list("src")).alias("dependencies"))
+        return subtasks.join(deps, ["task_id", "subtask_id"], "left").withColumn(
+            "dependencies", F.coalesce("dependencies", none))
+    sid, st = F.col("subtask_id"), F.col("strategy")
+    first, last = _stage_ids()
+    into_last = ((st == "video") & (sid != last)) | (st.isin("ml", "financial") & F.col("chunk").isNotNull())
+    sources = F.array_sort(F.collect_list(F.when(into_last, sid)).over(Window.partitionBy("task_id")))
+    return subtasks.withColumn("dependencies", F.when(sid == last, sources).when(
+        st.isin("ml", "financial") & F.col("chunk").isNotNull(), F.array(first)).otherwise(none))
 
 
 def queue_mapping(subtasks: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ FROM sub s LEFT JOIN (SELECT task_id, dst AS subtask_id, list(src) AS deps FROM
 USING (task_id, subtask_id)""")
 def dag_dependencies(spark, sf):
     sub = subtasks(spark, sf)
-    d = TK.dag_dependencies(sub, TK.edges(sub))
+    d = TK.dag_dependencies(sub)
     return d.select("task_id", "subtask_id", F.array_join("dependencies", ",").alias("dependencies"))
 
 

@@ -40,7 +40,8 @@ def _scans(df):
 
 
 @pytest.mark.parametrize("name,most", [("category_distribution", 1), ("exact_dedupe", 1), ("loc_mean_median", 1),
-                                       ("distribution_pct", 3), ("balance_categories", 4)])
+                                       ("distribution_pct", 3), ("balance_categories", 4),
+                                       ("dag_dependencies", 1)])
 def test_inputs_are_read_once(spark, name, most):
     """Scans of a query, each of its tables counted; texts never go through a sort aggregate."""
     df = E.queries()[name](spark, SF001)

@@ -161,6 +161,9 @@ def test_decomposition_goldens(spark):
     compat = TK.decompose(df, compat=True).filter((F.col("task_id") == "ml_tf") & F.col("chunk").isNotNull())
     assert sum(round(r["weight"] / 9.0) for r in compat.collect()) == 780  # two batches lost
     edges = TK.edges(sub)
+    both = [{(r["task_id"], r["subtask_id"]): list(r["dependencies"]) for r in d.collect()}
+            for d in (TK.dag_dependencies(sub), TK.dag_dependencies(sub, edges))]
+    assert both[0] == both[1]
     video_in = edges.filter(F.col("dst") == "video_4k_merge").count()
     assert video_in == 2  # one chunk + audio (has_audio defaults to true)
     m = {r["task_id"]: r for r in TK.dag_metrics(sub).collect()}
