@@ -139,7 +139,10 @@ class LicenseModel:
 
 def training_examples(docs: DataFrame, templates) -> DataFrame:
     """(example, label, held_back, words): made from templates, made-up names and corpus paragraphs."""
-    some = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # ids are picked first: at most SAMPLE_DOCS of them
+    picked = (docs.where("doc_id is not null and text is not null").select("doc_id")
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
+    some = docs.where("text is not null").join(F.broadcast(picked), "doc_id", "left_semi")
     # lines that hold much of a template aren't examples of the class none
     known = F.exists(template_pairs(templates), lambda t: F.size(F.array_intersect(
         t["pairs"], word_pairs(F.col("words")))) >= 0.5 * F.size(t["pairs"]))
