@@ -35,8 +35,8 @@ from .common import crc_mod, labelled_sample, shared_table
 
 FIT_ROWS = 24_000       # labelled rows the model is fitted on, at most
 STEMS = (4, 5)
-PRIOR = 0.5             # pseudo-count of a unit of average share
-LEAST_Z = 2.9           # a unit's log-odds ratio counts from this many standard errors on
+PRIOR = 0.25            # pseudo-count of a unit of average share or less; more in proportion
+LEAST_Z = 2.4           # a unit's log-odds ratio counts from this many standard errors on
 LEAST_SCORE = 1.0       # and from this size on, lowered by one standard error
 DRIFT = 0.2             # cost of a token without evidence
 SIGNIFICANT = 0.01      # largest E of a significant passage
@@ -142,16 +142,15 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
-def unit_scores(counts: DataFrame, n_toxic: int, n_clean: int, total_toxic: int, total_clean: int) -> DataFrame:
+def unit_scores(counts: DataFrame, n_toxic: int, n_clean: int, n_units: int, total: int) -> DataFrame:
     """(unit, score) of the units with a significant log-odds ratio.
 
-    counts: (unit, toxic, clean) texts that hold the unit; total_*: their sums.
+    counts: (unit, toxic, clean) texts that hold the unit; n_units and total: their number and the sum of all counts.
     """
     toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    # the prior: a unit's share of all counts, so that PRIOR is added on average, never less than half of it
-    types = F.lit(float(max(1, total_toxic + total_clean)))
-    share = (toxic + clean) / types
-    prior = F.lit(PRIOR / 2) + F.lit(PRIOR / 2) * F.least(F.lit(1.0), share * 1e6)
+    # the prior follows the background: PRIOR for a unit of up to the average share, in proportion above
+    share = (toxic + clean) / F.lit(float(max(1, total)))
+    prior = PRIOR * F.greatest(F.lit(1.0), n_units * share)
     a, b = toxic + prior, clean + prior
     odds = (F.log(a) - F.log(F.greatest(F.lit(n_toxic + 1.0) - toxic, F.lit(0.5)) + prior)
             - F.log(b) + F.log(F.greatest(F.lit(n_clean + 1.0) - clean, F.lit(0.5)) + prior))
@@ -229,11 +228,12 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: in
                           "toxic-counts")
     totals = counts.agg(F.sum(F.when(F.col("unit") == "", F.col("toxic"))).alias("nt"),
                         F.sum(F.when(F.col("unit") == "", F.col("clean"))).alias("nc"),
-                        F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+                        F.sum(F.when(F.col("unit") != "", F.col("toxic") + F.col("clean"))).alias("total"),
+                        F.count("*").alias("units")).first()
     if not totals["nt"] or not totals["nc"]:
         return ToxicModel()
-    found = unit_scores(counts.where("unit <> ''"), totals["nt"], totals["nc"], totals["t"] - totals["nt"],
-                        totals["c"] - totals["nc"]).collect()       # units of at most fit_rows texts
+    found = unit_scores(counts.where("unit <> ''"), totals["nt"], totals["nc"], totals["units"] - 1,
+                        totals["total"] or 0).collect()     # units of at most fit_rows texts
     model = ToxicModel({r["unit"]: r["score"] for r in found})
 
     # background scores of clean texts -> lambda and K -> calibration
