@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import rules as R
 from corpusloom.operators.curate import first_k_per_group
+from corpusloom.session import materialized
 
 
 def queue_config(spark, rows=R.QUEUE_CONFIG) -> DataFrame:
@@ -234,7 +235,7 @@ def clamp_admission(df: DataFrame, key: str, ts: str, tie: str, op: str, capacit
 
 
 def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, inclusive: bool,
-               out: str = "accepted", bucket_seconds: int | None = None, checkpoint_every: int = 2) -> DataFrame:
+               out: str = "accepted", bucket_seconds: int | None = None) -> DataFrame:
     """Walk each key in (ts, tie) order; an item is *accepted*
     (rate limit: passes; TTL cache: miss and re-insert) when the time since
     the last accepted item is >= gap (``inclusive``) or > gap; the first item
@@ -251,8 +252,6 @@ def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, i
     """
     if gap_seconds <= 0:
         return df.withColumn(out, F.lit(True))
-    from corpusloom.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)  # the shared folder named by spark.checkpoint.dir
     gap_us = int(round(gap_seconds * 1_000_000)) + (0 if inclusive else 1)
     width = int((bucket_seconds or max(gap_seconds, 3600)) * 1_000_000)
     items = df.select(F.col(key).alias("_k"), F.col(tie).alias("_id"),
@@ -275,28 +274,24 @@ def greedy_gap(df: DataFrame, key: str, ts: str, tie: str, gap_seconds: float, i
     later = allb.withColumn("_later", F.first("_first", ignorenulls=True).over(wb)).select("_k", "_b", "_later")
     nxt = (inb.join(later, ["_k", "_b"], "left")
            .select(F.col("_src").alias("_id"), F.coalesce("_hit", "_later").alias("_nxt")))
-    # (2) pointer jumping from the first item of each key
-    jump = nxt.checkpoint()
-    reach = items.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select("_id")
-    reach = reach.checkpoint()
-    frontier = reach
-    rnd = 0
+    # (2) pointer jumping from the first item of each key: one table of (item, where it jumps, reached), written
+    # once per round; a round reaches what the reached ones jump to and doubles all jumps
+    starts = items.groupBy("_k").agg(F.min_by("_id", F.struct("_t", "_id")).alias("_id")).select(
+        "_id", F.lit(True).alias("_start"))
+    state = materialized(nxt.join(starts, "_id", "left").select(
+        "_id", "_nxt", F.col("_start").isNotNull().alias("_in")), "gap-chain")
     while True:
-        hop = frontier.join(jump, "_id").select(F.col("_nxt").alias("_id")).filter(F.col("_id").isNotNull())
-        new = hop.join(reach, "_id", "left_anti").distinct()
-        if new.isEmpty():
+        ahead = state.where(F.col("_in") & F.col("_nxt").isNotNull()).select(F.col("_nxt").alias("_id"))
+        if ahead.isEmpty():
             break
-        reach = reach.unionByName(new)
-        frontier = reach
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a._nxt") == F.col("b._id"), "left") \
-                 .select(F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt"))
-        jump = j2
-        rnd += 1
-        if rnd % checkpoint_every == 0:
-            jump, reach = jump.checkpoint(), reach.checkpoint()
-            frontier = reach
-    acc = reach.select(F.col("_id").alias(tie), F.lit(True).alias("_acc"))
-    return df.join(acc, tie, "left").withColumn(out, F.coalesce("_acc", F.lit(False))).drop("_acc")
+        hops = state.select(F.col("_id").alias("_nxt"), F.col("_nxt").alias("_nxt2"))
+        state = materialized(
+            state.join(hops, "_nxt", "left")
+            .join(ahead.distinct().withColumn("_new", F.lit(True)), "_id", "left")
+            .select("_id", F.col("_nxt2").alias("_nxt"), (F.col("_in") | F.col("_new").isNotNull()).alias("_in")),
+            "gap-chain")
+    acc = state.select(F.col("_id").alias(tie), F.col("_in").alias(out))
+    return df.join(acc, tie)
 
 
 def health(log: DataFrame, key: str = "queue", capacity: dict | None = None) -> DataFrame:
