@@ -41,7 +41,8 @@ def exact_dedupe(df: DataFrame, text_col: str, order_cols: list[str], hash_col:
 
     Texts are told apart by the whole SHA-256; ``hash_col`` is its 16-hex label. The
     shuffles carry keys and ids only: rows that repeat an earlier one, normally the
-    small side, are found on them and taken out of the input.
+    small side, are found on them and taken out of the input. Rows
+    without a text are all kept.
     """
     key = text_key(text_col) if key is None else key
     narrow = df.select(key.alias("_key"), *order_cols)
