@@ -3,10 +3,14 @@
 Training examples are made from the templates of each licence family: whole, with words
 left out, and with foreign words around them. Licence sentences with made-up names form the
 class `unknown`, paragraphs of the corpus the class `none`. The features are the word
-1- to 3-grams of the licence examples that hold a cue: a licence word that paragraphs of
-the corpus hardly ever hold. A multinomial logistic regression is fitted to these sparse
+1- to 3-grams of the licence examples that hold a cue: a word that names a licence, or a
+licence word that paragraphs of the corpus hardly ever hold. A multinomial logistic regression is fitted to these sparse
 features; its weights become a table that paragraphs are joined with.
 
+Cues are counted over all distinct lines of the corpus that aren't known licence lines. The
+words that name a licence are cues however common, and each template keeps so many of its
+rarest words that no line without a cue can hold LEAST_OVERLAP of it.
+
 A paragraph (line) without a cue has no feature, so only lines with a cue are scored;
 this leaves nothing out. A predicted family must reach the probability
 that all but a few of its own held-back examples reach, and the paragraph must hold
@@ -69,11 +73,15 @@ MADE_UP = ("Licensed under the {} License, Version {}.", "Released under the {}
            "This work is licensed under the {} Public License, version {}.",
            "Distributed under the terms of the {} licence {}.", "SPDX-License-Identifier: {}-{}")
 
+# FIXED VALUES: words that licence texts are known by, cues however often the corpus holds them.
+LICENCE_WORDS = ("copying", "copyright", "licence", "license", "licensed", "redistribute", "redistribution",
+                 "software", "spdx")
+
 VARIANTS = 12           # examples per template; every fourth is held back for calibration
 MADE_UP_NAMES = 24      # per made-up sentence
 SAMPLE_DOCS = 400       # documents the class none is drawn from, at most
 SAMPLE_LINES = 600      # their paragraphs, at most
-CUE_SHARE = 0.005       # a cue occurs in at most this share of those paragraphs
+CUE_SHARE = 0.005       # other cues occur in at most this share of the corpus's distinct lines
 LEFT_OUT = 12           # per cent of an example's words
 STEPS = 60
 PENALTY = 1e-4
@@ -112,13 +120,72 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
         "t.template", "t.family", words_of(F.col("t.text")).alias("words"))
 
 
+def pairs_of(text: str) -> list[str]:
+    """The distinct word pairs of a template, sorted."""
+    words = re.findall("[0-9a-z]+", text.lower())
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))
+
+
 def template_pairs(templates) -> Column:
-    """A constant array of (family, word pairs) of the templates."""
+    """A constant array of (family, word pairs, words, few) of the templates.
+
+    few: the distinct words that half of the pairs have at least.
+    """
     rows = []
     for family, text in templates:
-        words = re.findall("[0-9a-z]+", text.lower())
-        rows.append({"family": family, "pairs": sorted({f"{a} {b}" for a, b in zip(words, words[1:])} or set(words))})
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,pairs:array<string>>>")
+        pairs = pairs_of(text)
+        words = sorted(set(" ".join(pairs).split()))
+        # pairs without a circle have one word more than there are pairs
+        circles = max(len(pairs) - len(words) + 1, 0)
+        rows.append({"family": family, "pairs": pairs, "words": words,
+                     "few": max((len(pairs) + 1) // 2 + 1 - circles, 1)})
+    return F.from_json(F.lit(json.dumps(rows)),
+                       "array<struct<family:string,pairs:array<string>,words:array<string>,few:int>>")
+
+
+def licence_vocabulary(templates) -> list[str]:
+    """The words of the templates and of the made-up sentences."""
+    return sorted(set(re.findall("[0-9a-z]+", " ".join([t for _, t in templates] + list(MADE_UP)).lower())))
+
+
+def known_line(words: Column, hits: Column, templates) -> Column:
+    """Whether a line holds half of a template; ``hits`` are its licence words."""
+    return F.exists(template_pairs(templates), lambda t: (F.size(F.array_intersect(t["words"], hits)) >= t["few"]) & (
+        F.size(F.array_intersect(t["pairs"], word_pairs(words))) >= 0.5 * F.size(t["pairs"])))
+
+
+def with_hits(docs: DataFrame, templates) -> DataFrame:
+    """(words, hits) of every line that has words: all its words, and those that licence texts have."""
+    vocabulary = F.array(*[F.lit(w) for w in licence_vocabulary(templates)])
+    lines = docs.select(F.explode(F.transform(F.split("text", "\n"), words_of)).alias("words")).where(F.size("words") > 0)
+    # exploded, so that later lambdas read the hits and don't work them out again for every template
+    return lines.select("words", F.explode(F.array(F.array_intersect("words", vocabulary))).alias("hits"))
+
+
+def cue_counts(docs: DataFrame, templates) -> dict[str, int]:
+    """Distinct lines of the whole corpus that hold each licence word; under the empty word, all of them.
+
+    Lines are told apart by the hash of their words; known licence lines don't count.
+    """
+    lines = with_hits(docs, templates).select(F.xxhash64("words").alias("line"), "hits", known_line(
+        F.col("words"), F.col("hits"), templates).alias("known"))
+    once = lines.where(~F.col("known")).groupBy("line").agg(F.first("hits").alias("hits"))
+    counts = once.select(F.explode(F.concat("hits", F.array(F.lit("")))).alias("word")).groupBy("word").count()
+    return {r["word"]: r["count"] for r in counts.collect()}    # words of the templates: a fixed, small list
+
+
+def choose_cues(counts: dict[str, int], templates) -> list[str]:
+    """The cues: words that name a licence, rare words, and of each template as many of the rarest as it needs."""
+    vocabulary = licence_vocabulary(templates)
+    most = CUE_SHARE * counts.get("", 0)
+    cues = {w for w in vocabulary if w in LICENCE_WORDS or (len(w) > 1 and counts.get(w, 0) <= most)}
+    for _, text in templates:
+        pairs = [p.split() for p in pairs_of(text)]
+        rest = sorted({w for p in pairs for w in p} - cues, key=lambda w: (len(w) == 1, counts.get(w, 0), w))
+        # a line without a cue holds none of the pairs that have one
+        while rest and sum(cues.isdisjoint(p) for p in pairs) >= LEAST_OVERLAP * len(pairs):
+            cues.add(rest.pop(0))
+    return sorted(cues)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -143,12 +210,10 @@ def training_examples(docs: DataFrame, templates) -> DataFrame:
     picked = (docs.where("doc_id is not null and text is not null").select("doc_id")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
     some = docs.where("text is not null").join(F.broadcast(picked), "doc_id", "left_semi")
-    # lines that hold much of a template aren't examples of the class none
-    known = F.exists(template_pairs(templates), lambda t: F.size(F.array_intersect(
-        t["pairs"], word_pairs(F.col("words")))) >= 0.5 * F.size(t["pairs"]))
-    lines = (paragraphs(some).select("text", words_of(F.col("text")).alias("words"))
-             .where(F.size("words") > 0).select("text", F.slice("words", 1, 60).alias("words"))
-             .orderBy(F.xxhash64("text"), "text").limit(SAMPLE_LINES).where(~known)
+    # lines that hold much of a template aren't examples of the class none; of equal lines one is drawn
+    lines = (with_hits(some, templates).where(~known_line(F.col("words"), F.col("hits"), templates))
+             .select(F.slice("words", 1, 60).alias("words")).distinct()
+             .orderBy(F.xxhash64("words"), "words").limit(SAMPLE_LINES)
              .select("words", (F.row_number().over(W.orderBy(F.xxhash64("words"), "words")) - 1).alias("line")))
     lines = shared_table(lines, "licence-lines")
     n = max(lines.count(), 1)
@@ -231,20 +296,11 @@ def class_scores(lines: DataFrame, key: list[str], weights: DataFrame, classes:
 
 
 def fit_licenses(docs: DataFrame, templates=TEMPLATES) -> LicenseModel:
-    """Train on the templates and on paragraphs of at most SAMPLE_DOCS documents."""
-    spark = docs.sparkSession
+    """Train on the templates and on paragraphs of at most SAMPLE_DOCS documents; cues come from all of them."""
     docs = docs.select("doc_id", "text")
     examples = shared_table(training_examples(docs, templates), "licence-examples")
     classes = sorted({f for f, _ in templates}) + ["none", "unknown"]
-    # words of the licence examples that the corpus paragraphs hardly hold
-    held = examples.select((F.col("label") == "none").alias("plain"), F.explode(F.array_distinct("words")).alias("word"))
-    n_plain = examples.where("label = 'none'").count()
-    counts = held.groupBy("word").agg(F.sum(F.col("plain").cast("int")).alias("plain"))
-    vocabulary = template_table(spark, templates).select(F.explode("words").alias("word")).union(
-        spark.range(1).select(F.explode(words_of(F.lit(" ".join(MADE_UP)))).alias("word"))).distinct()
-    cues = [r["word"] for r in vocabulary.join(counts, "word")
-            .where(F.col("plain") <= CUE_SHARE * n_plain).where(F.length("word") > 1)
-            .select("word").orderBy("word").collect()]      # words of the templates: a fixed, small list
+    cues = choose_cues(cue_counts(docs, templates), templates)
     weights = train(examples, classes, cues)
     marked = examples.where("held_back").select("example", F.col("label").alias("truth"), "words")
     scored = class_scores(marked, ["example", "truth"], weights, classes, cues)

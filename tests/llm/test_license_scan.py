@@ -61,3 +61,31 @@ def test_plan_has_no_python(fitted):
     plan = L.find_licenses(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def common_licence_words(spark):
+    """Documents with a hot line of licence words, and a notice outside the templates in one line of twenty."""
+    hot = "Software license version of copyright and redistribution with modification."
+    texts = [f"{hot}\nplain words number a{i}\nsome more b{i} of them c{i}" for i in range(300)]
+    texts += [f"Copyright {1900 + i} Holder{i} and friends\nnothing d{i} here\nat all e{i}" for i in range(60)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_common_licence_words_stay_cues(spark):
+    docs = common_licence_words(spark)
+    counts = L.cue_counts(docs, L.TEMPLATES)
+    assert counts[""] == 1 + 600 + 180 and counts["version"] == 1 and counts["copyright"] == 61
+    model = L.fit_licenses(docs)
+    assert {"license", "copyright", "software", "redistribution", "version"} <= set(model.cues)
+    assert not {"of", "and"} & set(model.cues)
+    notices = [t for _, t in L.TEMPLATES]
+    rows = L.find_licenses(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(notices)))
+
+
+def test_a_line_without_a_cue_cannot_match_a_template():
+    everywhere = {w: 1000 for w in ["", *L.licence_vocabulary(L.TEMPLATES)]}
+    cues = set(L.choose_cues(everywhere, L.TEMPLATES))
+    for _, text in L.TEMPLATES:
+        pairs = L.pairs_of(text)
+        assert sum(cues.isdisjoint(p.split()) for p in pairs) < L.LEAST_OVERLAP * len(pairs)
