@@ -29,14 +29,14 @@ PRETOKEN_PATTERN = r"(?U)[\w<>/.\-:]++|\s++|[^\w\s<>/.\-:]++"
 # FIXED VALUE: how the byte-level stage cuts a piece
 BYTE_LEVEL_PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x11_0000)
-                                  if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Mn") + "]+")
-
 
 def _strip(s: str | None) -> str | None:
     if s is None or s.isascii():
         return s
-    return _MARKS.sub("", unicodedata.normalize("NFD", s))
+    s = unicodedata.normalize("NFD", s)
+    # a class of the marks that occur: one over all marks of Unicode is some 70 times slower
+    marks = "".join(sorted(c for c in set(s) if unicodedata.category(c) == "Mn"))
+    return re.sub(f"[{marks}]+", "", s) if marks else s
 
 
 @F.pandas_udf(T.StringType())
