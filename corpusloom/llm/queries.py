@@ -13,11 +13,14 @@ from .decontam import contamination, contamination_sql
 from .fingerprints import document_fingerprints
 from .lang_cnn import fit_langs, predict_langs
 from .license_scan import find_licenses, fit_licenses
+from .merkle_manifest import verified_documents, verified_documents_sql
 from .quality_gam import fit_quality, score_quality
 from .simhash_dedup import near_duplicates
 from .sp_sampling import encode_sampled
 from .token_counts import token_counts
 from .toxic_segments import fit_toxic, score_toxic
+from .vector_codes import compressed_vectors, compressed_vectors_sql
+from .warc_bundles import archived_pages, archived_pages_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +85,22 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, labels))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector by product codebooks with equal-average search."""
+    return compressed_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into seekable bundles and read back."""
+    return archived_pages(spark, read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the Merkle manifest, and what it says of a tampered copy."""
+    return verified_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_brown_lm": op2_brown_lm,
@@ -93,8 +112,14 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_quality_gam": op10_quality_gam,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_warc_bundles": op12_warc_bundles,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
     "op9_decontamination": contamination_sql(),
+    "op11_vector_codes": compressed_vectors_sql(),
+    "op12_warc_bundles": archived_pages_sql(),
+    "op13_merkle_manifest": verified_documents_sql(),
 }
