@@ -8,6 +8,7 @@ aggregation over a table written once to the session's checkpoint folder.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -15,12 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import rules as R
-from corpusloom.session import materialized
+from corpusloom.session import materialized, spread
 
 SPECIAL_TOKENS = R.SPECIAL_TOKENS
 # word runs (\w plus < > / . - :), whitespace runs, punctuation runs (everything else);
@@ -47,7 +49,7 @@ def strip_accents(s: pd.Series) -> pd.Series:
 
 def normalized(docs: DataFrame, text_col: str) -> DataFrame:
     """The first step of every vocabulary job: the text column without accents."""
-    return docs.withColumn(text_col, strip_accents(F.col(text_col)))
+    return spread(docs).withColumn(text_col, strip_accents(F.col(text_col)))
 
 
 def pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:
@@ -110,7 +112,8 @@ def byte_letters() -> list[str]:
 _LETTERS = byte_letters()
 _BYTES = {c: b for b, c in enumerate(_LETTERS)}
 _NEVER = 1 << 60
-TOP_PAIRS = 4096        # commonest pairs looked at in a round
+PAIRS_SEEN = 1 << 12    # commonest pairs that come to the driver in a round, at most
+SEGMENTS = 1 << 17      # distinct segments that come to the driver in a round, at most
 
 
 def symbols_of(word: str, byte_level: bool) -> list[str]:
@@ -136,53 +139,178 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
-def bpe_train(words: DataFrame, n_merges: int, *, exact: bool = False, byte_level: bool = True,
-              letters: list[str] | None = None, min_frequency: int = 1) -> list[tuple[str, str, int]]:
-    """K5: up to ``n_merges`` merges (a, b, count) of a (word, freq) table.
+def symbol_runs(words: DataFrame, byte_level: bool, letters: list[str] | None) -> DataFrame:
+    """(sym, freq): the first symbols of a (word, freq) table; words are cut at symbols outside ``letters``, which never merge."""
+    allowed = frozenset(letters) if letters is not None else None
 
-    Each round is one job over the distinct words: tasks apply the merges found so
-    far, count adjacent pairs, and the commonest ones come back (TOP_PAIRS rows). ``exact`` takes the
-    best pair per round (count, then lexicographic). Otherwise a round takes all pairs from the top that can't
-    overlap with one taken before (no symbol ends one and begins another), so that none changes another's
-    count and thousands of merges need tens of rounds. Nothing is kept
-    between rounds but the merges: a lost executor costs the task it ran.
-    ``letters`` is the alphabet; symbols outside it never merge.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for word, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbols, start = symbols_of(word, byte_level), 0
+                for i in range(len(symbols) + 1):
+                    if i == len(symbols) or allowed is not None and symbols[i] not in allowed:
+                        if i - start > 1:
+                            total[tuple(symbols[start:i])] += freq
+                        start = i + 1
+            yield _counted(total, "sym", "freq")
+
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of parts: the rounds cost far more time than their few bytes suggest
+    return (words.select("word", "freq").mapInArrow(run, "sym array<string>, freq long").repartition(parts, "sym")
+            .groupBy("sym").agg(F.sum("freq").alias("freq")))
+
+
+def _counted(total: Counter, key: str, value: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.string())),
+                                       pa.array(list(total.values()), pa.int64())], [key, value])
+
+
+def merged_table(state: DataFrame, ranks: dict[tuple[str, str], int]) -> DataFrame:
+    """A (sym, freq) table after the merges of ``ranks``; what has become one symbol is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            syms, freqs = [], []
+            for symbols, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                symbols = merged(symbols, ranks)
+                if len(symbols) > 1:
+                    syms.append(symbols)
+                    freqs.append(freq)
+            yield pa.RecordBatch.from_arrays([pa.array(syms, pa.list_(pa.string())), pa.array(freqs, pa.int64())], ["sym", "freq"])
+
+    return state.mapInArrow(run, "sym array<string>, freq long")
+
+
+def linked_segments(state: DataFrame, linked: set[tuple[str, str]]) -> DataFrame:
+    """(seg, n): the longest runs of symbols whose neighbouring pairs are all ``linked``, with their frequencies."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for symbols, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                start = 0
+                for i in range(1, len(symbols) + 1):
+                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in linked:
+                        if i - start > 1:
+                            total[tuple(symbols[start:i])] += freq
+                        start = i
+            if len(total) > SEGMENTS:
+                yield _counted(total, "seg", "n")
+                total = Counter()
+        yield _counted(total, "seg", "n")
+
+    return state.mapInArrow(run, "seg array<string>, n long").groupBy("seg").agg(F.sum("n").alias("n"))
+
+
+def merge_one(old: list[str], a: str, b: str, freq: int, number: int, delta: Counter,
+              holders: dict[tuple[str, str], set[int]]) -> list[str]:
+    """One segment after the merge of (a, b); the change of its pairs' counts goes to ``delta``, new pairs to ``holders``."""
+    new: list[str] = []
+    both, fresh, i, last = a + b, False, 0, len(old) - 1
+    while i <= last:
+        if i < last and old[i] == a and old[i + 1] == b:
+            if i and not fresh:         # else the merge before has taken this pair out
+                delta[old[i - 1], a] -= freq
+            delta[a, b] -= freq
+            if i + 2 <= last:
+                delta[b, old[i + 2]] -= freq
+            if new:
+                delta[new[-1], both] += freq
+                holders.setdefault((new[-1], both), set()).add(number)
+            new.append(both)
+            fresh = True
+            i += 2
+        else:
+            if fresh:
+                delta[both, old[i]] += freq
+                holders.setdefault((both, old[i]), set()).add(number)
+            new.append(old[i])
+            fresh = False
+            i += 1
+    return new
+
+
+def follow_merges(segments: list[tuple[list[str], int]], room: int, above: int, min_frequency: int,
+                  known: set[str]) -> list[tuple[str, str, int]]:
+    """The merges that whole words would give, from their linked segments alone, while the best count exceeds ``above``.
+
+    Keeps a table of pair counts and an index from pairs to the segments that hold them, so that a merge
+    touches those segments only. Ends after a merge that spells a known token: pairs of that token
+    may also stand outside the segments.
     """
-    table = materialized(words.select("word", "freq").repartition("word"), "bpe-words")
-    allowed = frozenset(letters) if letters is not None else None
+    words, freqs = [s for s, _ in segments], [n for _, n in segments]
+    count: Counter = Counter()
+    holders: dict[tuple[str, str], set[int]] = {}
+    for i, (symbols, freq) in enumerate(zip(words, freqs)):
+        for pair in zip(symbols, symbols[1:]):
+            count[pair] += freq
+            holders.setdefault(pair, set()).add(i)
+    heap = [(-n, pair) for pair, n in count.items()]
+    heapq.heapify(heap)
     merges: list[tuple[str, str, int]] = []
+    while heap and len(merges) < room:
+        n, pair = heapq.heappop(heap)
+        n = -n
+        if count[pair] != n:        # an outdated entry: its present count has an entry of its own
+            continue
+        if n < min_frequency or merges and n <= above:
+            break
+        merges.append((*pair, n))
+        delta: Counter = Counter()
+        for i in holders.pop(pair):
+            words[i] = merge_one(words[i], *pair, freqs[i], i, delta, holders)
+        for p, d in delta.items():
+            count[p] += d
+            if d and count[p] > 0:
+                heapq.heappush(heap, (-count[p], p))
+        if pair[0] + pair[1] in known:
+            break
+        known.add(pair[0] + pair[1])
+    return merges
 
-    def count(ranks):
-        def run(batches):
-            total: Counter = Counter()
-            for pdf in batches:
-                for word, freq in zip(pdf["word"], pdf["freq"]):
-                    symbols = merged(symbols_of(word, byte_level), ranks)
-                    for pair in zip(symbols, symbols[1:]):
-                        total[pair] += freq
-            pairs = [p for p in total if allowed is None or all(s in allowed or len(s) > 1 for s in p)]
-            yield pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype=object),
-                                "b": pd.Series([b for _, b in pairs], dtype=object),
-                                "n": pd.Series([total[p] for p in pairs], dtype="int64")})
-        return run
 
+def bpe_train(words: DataFrame, n_merges: int, *, byte_level: bool = True, letters: list[str] | None = None,
+              min_frequency: int = 1) -> list[tuple[str, str, int]]:
+    """K5: up to ``n_merges`` merges (a, b, count) of a (word, freq) table, each the best pair after all earlier ones
+    (count, then lexicographic), found many at a time.
+
+    A round counts all pairs of the distinct words and links the commonest ones. A pair that arises later joins at
+    a junction that is a pair now, and no pair outgrows its junction; so as long as the best count exceeds that of
+    the commonest pair not linked, only symbols between linked pairs matter. Tasks cut the words into runs of
+    linked pairs, equal runs are added up, and the driver follows the merges on those distinct segments
+    (`follow_merges`) until that count is reached. How many pairs are linked follows from the number of segments,
+    which never exceeds SEGMENTS; the first merge of a round needs none. The words after each round are
+    a written table: a lost executor costs a part of one round.
+    ``letters`` is the alphabet; symbols outside it never merge.
+    """
+    state = materialized(symbol_runs(words, byte_level, letters), "bpe-symbols")
+    merges: list[tuple[str, str, int]] = []
+    known: set[str] = set(letters) if letters is not None else {
+        r["s"] for r in state.select(F.explode("sym").alias("s")).distinct().collect()}
+    links = 64
     while len(merges) < n_merges:
-        ranks = {(a, b): i for i, (a, b, _) in enumerate(merges)}
-        best = (table.mapInPandas(count(ranks), "a string, b string, n long").groupBy("a", "b")
-                .agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
-                .orderBy(F.col("n").desc(), "a", "b").limit(1 if exact else TOP_PAIRS).collect())
-        lefts: set[str] = set()
-        rights: set[str] = set()
-        found = 0
-        for r in best:
-            a, b = r["a"], r["b"]
-            if a not in rights and b not in lefts and (a != b or a not in lefts | rights) and len(merges) < n_merges:
-                lefts.add(a)
-                rights.add(b)
-                merges.append((a, b, int(r["n"])))
-                found += 1
-        if not found:
+        top = pair_counts(state).orderBy(F.col("n").desc(), "a", "b").limit(PAIRS_SEEN + 1).collect()
+        if not top or top[0]["n"] < min_frequency:
             break
+        found = None
+        while found is None:
+            links = max(1, min(links, len(top) if len(top) <= PAIRS_SEEN else PAIRS_SEEN))
+            if links == 1:
+                found = [(top[0]["a"], top[0]["b"], top[0]["n"])]
+                known.add(top[0]["a"] + top[0]["b"])
+                links = 16
+                break
+            linked = {(r["a"], r["b"]) for r in top[:links]}
+            rows = linked_segments(state, linked).limit(SEGMENTS + 1).collect()
+            if len(rows) > SEGMENTS:
+                links //= 4
+                continue
+            above = top[links]["n"] if links < len(top) else 0
+            found = follow_merges([(r["seg"], r["n"]) for r in rows], n_merges - len(merges), above, min_frequency, known)
+            if len(rows) < SEGMENTS // 4:
+                links *= 4
+        merges += found
+        if len(merges) < n_merges:
+            state = materialized(merged_table(state, {(a, b): i for i, (a, b, _) in enumerate(found)}), "bpe-symbols")
     return merges
 
 
@@ -202,9 +330,12 @@ class Tokenizer:
 def train_tokenizer(docs: DataFrame, text_col: str, vocab_size: int = R.VOCAB_SIZE, special=SPECIAL_TOKENS,
                     alphabet_limit: int = R.ALPHABET_LIMIT, min_frequency: int = R.MIN_FREQUENCY) -> Tokenizer:
     """K1 -> K2 -> K3 -> K4 -> K5: normalise, cut, count, limit the alphabet, merge up to ``vocab_size``."""
-    pieces = byte_level_pieces(pretokens(F.col(text_col), special), special)
-    words = (normalized(docs.select(text_col), text_col).select(F.explode(pieces).alias("word"))
-             .where(~F.col("word").isin(list(special))).groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    # the byte-level cut is made once for each distinct piece
+    cut = (normalized(docs.select(text_col), text_col).select(F.explode(pretokens(F.col(text_col), special)).alias("piece"))
+           .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    words = (cut.where(~F.col("piece").isin(list(special)))
+             .select(F.explode(F.regexp_extract_all("piece", F.lit(BYTE_LEVEL_PATTERN), F.lit(0))).alias("word"), "n")
+             .groupBy("word").agg(F.sum("n").alias("freq")))
     words = materialized(words, "tokenizer-words")
 
     def count_letters(batches):

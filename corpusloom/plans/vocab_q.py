@@ -91,18 +91,20 @@ w{r + 1} AS (SELECT replace(s, {_SEP} || a || {_SEP} || {_SEP} || b || {_SEP}, {
 
 @register("bpe_first_merges", _first_merges_sql())
 def bpe_first_merges(spark, sf):
-    """K5 in exact mode, over characters: the merges of the first rounds as a table (rank, a, b, count)."""
-    merges = V.bpe_train(V.word_histogram(_docs(spark, sf), "text"), FIRST_MERGES, exact=True, byte_level=False)
+    """K5 over characters: the merges of the first rounds as a table (rank, a, b, count)."""
+    merges = V.bpe_train(V.word_histogram(_docs(spark, sf), "text"), FIRST_MERGES, byte_level=False)
     return spark.createDataFrame([(i + 1, a, b, n) for i, (a, b, n) in enumerate(merges)],
                                  "merge_rank int, a string, b string, n long")
 
 
-_TRAINED: dict[tuple[str, str], V.Tokenizer] = {}
+_TRAINED: dict[tuple, V.Tokenizer] = {}
 
 
 def tokenizer(spark, sf) -> V.Tokenizer:
-    """The tokenizer of a folder's documents, trained once per session."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The tokenizer of a folder's documents, trained once per session and state of the files."""
+    state = _docs(spark, sf).select("_metadata.file_path", "_metadata.file_modification_time").distinct().agg(
+        F.count("*"), F.max("file_modification_time")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
     if key not in _TRAINED:
         _TRAINED[key] = V.train_tokenizer(_docs(spark, sf), "text")
     return _TRAINED[key]

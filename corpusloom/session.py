@@ -59,6 +59,16 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table for work that is heavy per row: dealt out if its files make fewer splits than there are cores.
+
+    A small file of one row group is one task however many cores there are. Tables with more
+    files than cores are left as they are, so no large table is shuffled for it.
+    """
+    files, cores = len(table.inputFiles()), table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if 0 < files < cores and table.rdd.getNumPartitions() < cores else table
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the parquet tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -1,9 +1,11 @@
 """BPE training / encoding and pre-tokens against direct Python implementations."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import vocab as V
@@ -40,12 +42,42 @@ def test_bpe_matches_python(spark):
             "müde müder straße straßen") * 3
     freqs = Counter(w for w in text.split())
     words = spark.createDataFrame(list(freqs.items()), "word string, freq long")
-    got = V.bpe_train(words, 15, exact=True, byte_level=False)
+    got = V.bpe_train(words, 15, byte_level=False)
     assert got == _py_bpe(dict(freqs), 15)
     ranks = {(a, b): i for i, (a, b, _) in enumerate(got)}
     assert V.merged(list("lowest"), ranks)[0] == "low" and "".join(V.merged(list("straßen"), ranks)) == "straßen"
-    many = V.bpe_train(words, 40)
-    assert many[0] == V.bpe_train(words, 1, exact=True)[0] and len(many) > 20
+
+
+@pytest.mark.parametrize("segments, pairs", [(1 << 17, 1 << 12), (40, 1 << 12), (12, 9), (400, 30)])
+def test_many_merges_a_round_equal_one_by_one(spark, monkeypatch, segments, pairs):
+    """All merges down to the last pair, whatever number of pairs a round links; ties, runs of one letter, repeated tokens."""
+    rng = random.Random(segments)
+    stems = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(14)] + ["aaaa", "aaa", "bb", "abab"]
+    freqs = Counter("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(160))
+    rounds, seen = [], V.follow_merges
+    monkeypatch.setattr(V, "SEGMENTS", segments)
+    monkeypatch.setattr(V, "PAIRS_SEEN", pairs)
+    monkeypatch.setattr(V, "follow_merges", lambda *a: rounds.append(seen(*a)) or rounds[-1])
+    words = spark.createDataFrame(list(freqs.items()), "word string, freq long")
+    n = 500 if segments > 1000 else 40
+    got = V.bpe_train(words, n, byte_level=False)
+    assert got == _py_bpe(dict(freqs), n)
+    if segments > 1000:
+        assert len(got) > 100 and len(rounds) < len(got) / 3
+
+
+def test_letters_outside_the_alphabet_and_least_count(spark):
+    freqs = {"abxab": 5, "ab": 3, "xx": 9, "aab": 1}
+    words = spark.createDataFrame(list(freqs.items()), "word string, freq long")
+    assert V.bpe_train(words, 9, byte_level=False, letters=["a", "b"]) == [("a", "b", 14), ("a", "ab", 1)]
+    assert V.bpe_train(words, 9, byte_level=False, letters=["a", "b"], min_frequency=2) == [("a", "b", 14)]
+    assert V.bpe_train(words, 0) == [] and V.bpe_train(words.where("false"), 5) == []
+
+
+def test_merging_a_known_token_ends_a_round():
+    # (a, bc) spells the known token abc, whose other pairs may stand outside the segments
+    got = V.follow_merges([(["a", "bc", "d"], 5), (["x", "y"], 4)], 9, 0, 1, {"a", "bc", "d", "x", "y", "abc"})
+    assert got == [("a", "bc", 5)]
 
 
 def test_tokenizer_round_trip_and_ids(spark):
