@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom import rules as R
+from corpusloom.operators import dag as DG
 from corpusloom.operators import tasks as TK
 from corpusloom.plans import sqlgen as S
 from corpusloom.plans.bindings import TASK_NOTES_SQL, TASK_PARAMS_SQL, task_notes, task_params
@@ -175,6 +176,26 @@ def dag_speedup(spark, sf):
                     F.round("estimated_speedup", 6).alias("estimated_speedup"))
 
 
+@register("dag_critical_path", _SUB_SQL.replace("WITH p", "WITH RECURSIVE p", 1) + _EDGES_SQL + """,
+chain AS (
+  SELECT task_id, subtask_id, weight AS finish, 1::BIGINT AS hops FROM sub s
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.task_id = s.task_id AND e.dst = s.subtask_id)
+  UNION ALL
+  SELECT s.task_id, s.subtask_id, s.weight + c.finish, c.hops + 1 FROM chain c
+  JOIN edges e ON e.task_id = c.task_id AND e.src = c.subtask_id
+  JOIN sub s ON s.task_id = e.task_id AND s.subtask_id = e.dst),
+best AS (SELECT task_id, max({'finish': finish, 'hops': hops}) AS b FROM chain GROUP BY task_id),
+total AS (SELECT task_id, count(*) AS n_subtasks, sum(weight) AS total_weight FROM sub GROUP BY task_id)
+SELECT task_id, round(b.finish, 6) AS critical_path_weight, b.hops AS critical_path_nodes, n_subtasks,
+  round(total_weight, 6) AS total_weight FROM best JOIN total USING (task_id)""")
+def dag_critical_path(spark, sf):
+    """A11 over the stored DAGs: the heaviest chain of every task's subtasks."""
+    sub = subtasks(spark, sf)
+    p = DG.critical_paths(sub, TK.edges(sub))
+    return p.select("task_id", F.round("critical_path_weight", 6).alias("critical_path_weight"), "critical_path_nodes",
+                    "n_subtasks", F.round("total_weight", 6).alias("total_weight"))
+
+
 # --- configuration formulas (X18, X19) and memo key (X17) ---------------------
 
 @register("task_complexity", f"""WITH p AS ({TASK_PARAMS_SQL})

@@ -2,9 +2,9 @@
 
 Sources are file streams (parquet) read with an explicit schema; event time
 is cast from TIMESTAMP_NTZ to TIMESTAMP before watermarks. Stateful folds use
-``applyInPandasWithState`` keyed by queue / producer / cache key, with the
-state holding only the fold's carry (a flag, a depth, a time, or the last N
-ids), never the key's history.
+``transformWithStateInPandas`` keyed by queue / producer / cache key: the fold's
+carry (a flag, a time, or the last N ids), the events of the watermark's delay
+by time slot, and timers, in RocksDB.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom import rules as R
@@ -53,54 +54,93 @@ def _sorted(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pdf.sort_values(["ts", "event_id"], kind="mergesort")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ROWS = "ts_us array<long>, ids array<long>, vals array<double>"
 
 
-def _in_event_time(events: DataFrame, key: str, value: str, carry: str, fold, out: str, delay: str,
-                   expires=None) -> DataFrame:
+class EventTimeFold(StatefulProcessor):
     """A fold over each key's events in event-time order.
 
-    Events wait in the key's state until the watermark has passed them and are then
-    folded in (time, id) order, so the result doesn't depend on how the events came in; an event
-    later than ``delay`` is dropped. ``fold(carry, ts_us, ids, vals)`` returns the new carry (a tuple, or
-    None) and the output columns. A key without waiting events whose carry ``expires`` (carry -> microseconds) has
-    passed is released. State: the carry and the events of the watermark's delay.
+    Events wait in a map state, by time slot, until the watermark has passed their slot; a timer at the slot's end
+    then folds it in (time, id) order, so the result doesn't depend on how the events came in. A batch rewrites
+    only the slots that got events, never all that wait. ``fold(carry, ts_us, ids, vals)`` returns the new carry (a tuple, or
+    None) and the output columns. A key with no waiting events whose carry ``expires`` (carry -> microseconds) is
+    released by a timer of its own.
     """
-    kind = dict(events.dtypes)[key]
-    names = [c.split()[0] for c in out.split(", ")]
 
-    def step(k, pdfs, state: GroupState):
-        old = state.get if state.exists else None
-        kept = [np.asarray(x) for x in old[-3:]] if old else [np.zeros(0)] * 3
-        held = tuple(old[:-3]) if old and old[0] is not None else None
-        parts = [[kept[0]], [kept[1]], [kept[2]]]
-        for pdf in pdfs:
-            for part, c in zip(parts, ("ts_us", "event_id", "val")):
-                part.append(pdf[c].to_numpy())
-        ts, ids = (np.concatenate(p).astype(np.int64) for p in parts[:2])
-        vals = np.concatenate(parts[2]).astype(float)
-        order = np.lexsort((ids, ts))
-        ts, ids, vals = ts[order], ids[order], vals[order]
-        mark = state.getCurrentWatermarkMs()
-        n = int(np.searchsorted(ts, mark * 1000, side="right"))
-        if n:
-            held, columns = fold(held, ts[:n], ids[:n], vals[:n])
-            yield pd.DataFrame({key: [k[0]] * n, **dict(zip(names, (ids[:n], *columns)))})
-        ts, ids, vals = ts[n:], ids[n:], vals[n:]
-        end = None if held is None or expires is None else expires(held)
-        if not len(ts) and end is not None and end <= mark * 1000:
-            state.remove()
+    def __init__(self, key: str, names: list[str], carry: str, fold, expires, slot_ms: int):
+        self.key, self.names, self.schema, self.fold, self.expires, self.slot_ms = key, names, carry, fold, expires, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot long", _ROWS)
+        self.open_carry(handle)
+
+    def open_carry(self, handle: StatefulProcessorHandle) -> None:
+        self.carry = handle.getValueState("carry", self.schema)
+
+    def get_carry(self):
+        return self.carry.get() if self.carry.exists() else None
+
+    def put_carry(self, held) -> None:
+        self.carry.update(held)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            slots = pdf["ts_us"].to_numpy() // (self.slot_ms * 1000)
+            for slot, part in pdf.groupby(slots):
+                at = (int(slot),)
+                old = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [], [])
+                self.waiting.updateValue(at, (list(old[0]) + part["ts_us"].tolist(), list(old[1]) + part["event_id"].tolist(),
+                                              list(old[2]) + part["val"].astype(float).tolist()))
+                if not old[0]:
+                    self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        slots = sorted(k[0] for k in self.waiting.keys())
+        due = [k for k in slots if (k + 1) * self.slot_ms <= now]
+        held = self.get_carry()
+        for slot in due:
+            ts, ids, vals = (np.asarray(x, dtype=t) for x, t in zip(self.waiting.getValue((slot,)), (np.int64, np.int64, float)))
+            order = np.lexsort((ids, ts))
+            held, columns = self.fold(held, ts[order], ids[order], vals[order])
+            self.waiting.removeKey((slot,))
+            yield self.result(key, ids[order], columns)
+        if due and held is not None:
+            self.put_carry(held)
+        end = None if held is None or self.expires is None else self.expires(held) // 1000 + 1
+        if end is None:
             return
-        none = (None,) * (len(carry.split(", ")))
-        state.update((*(held if held is not None else none), ts.tolist(), ids.tolist(), vals.tolist()))
-        wake = int(ts[0]) // 1000 + 1 if len(ts) else None if end is None else end // 1000 + 1
-        if wake is not None:
-            state.setTimeoutTimestamp(max(wake, mark + 1))
+        if end > now:
+            if due:
+                self.handle.registerTimer(end)
+        elif len(due) == len(slots):
+            self.carry.clear()
+
+    def result(self, key, ids: np.ndarray, columns) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(ids), **dict(zip(self.names, (ids, *columns)))})
+
+    def close(self) -> None:
+        pass
+
+
+def _seconds(delay: str) -> float:
+    return pd.Timedelta(delay).total_seconds()
 
+
+def in_event_time(events: DataFrame, key: str, value: str, out: str, delay: str, make) -> DataFrame:
+    """The fold of ``make(key, names, slot_ms)`` over a stream's events, those later than ``delay`` dropped.
+
+    State lies in RocksDB, so keys and waiting events aren't held in memory; a slot is a sixteenth of the delay.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    names = [c.split()[0] for c in out.split(", ")]
     rows = (events.withWatermark("ts", delay)
             .select("ts", key, F.unix_micros("ts").alias("ts_us"), "event_id", F.col(value).cast("double").alias("val")))
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {out}", f"{carry}, {_ROWS}", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).transformWithStateInPandas(
+        make(key, names, max(1, int(_seconds(delay) * 1000 / 16))), f"{key} {dict(events.dtypes)[key]}, {out}", "append", "EventTime")
 
 
 def flow_control(events: DataFrame, depth_factor: float, config, delay: str = "1 hour") -> DataFrame:
@@ -118,8 +158,8 @@ def flow_control(events: DataFrame, depth_factor: float, config, delay: str = "1
         on = np.where(at >= 0, vals[np.maximum(at, 0)] > 0, start)
         return (bool(on[-1]),), (on,)
 
-    return _in_event_time(events.withColumn("signal", signal), "queue", "signal", "on boolean", fold,
-                          "event_id long, flow_control boolean", delay)
+    return in_event_time(events.withColumn("signal", signal), "queue", "signal", "event_id long, flow_control boolean", delay,
+                         lambda key, names, slot: EventTimeFold(key, names, "on boolean", fold, None, slot))
 
 
 def bounded_admission(events: DataFrame, capacity: int) -> DataFrame:
@@ -169,26 +209,44 @@ def greedy_gap(events: DataFrame, key: str, gap_seconds: float, inclusive: bool,
             i = max(int(np.searchsorted(ts, last + gap)), i + 1)
         return (last,), (ok,)
 
-    return _in_event_time(events.withColumn("nothing", F.lit(0.0)), key, "nothing", "last_us long", fold,
-                          f"event_id long, {out} boolean", delay, expires=lambda c: c[0] + gap)
+    return in_event_time(events.withColumn("nothing", F.lit(0.0)), key, "nothing", f"event_id long, {out} boolean", delay,
+                         lambda k, names, slot: EventTimeFold(k, names, "last_us long", fold, lambda c: c[0] + gap, slot))
 
 
-def recent_history(events: DataFrame, n: int = 5) -> DataFrame:
-    """R8 (W17 online): the last n event ids per producer; state is the list,
-    trimmed to n. Emits the current history after each micro-batch."""
+class HistoryFold(EventTimeFold):
+    """The last n ids of each key as a list state, oldest first, and the time of the newest."""
 
-    def step(key, pdfs, state: GroupState):
-        hist, version = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        pdf = _sorted(pdfs)
-        hist = (hist + [int(x) for x in pdf["event_id"]])[-n:]
-        version += 1
-        state.update((hist, version))
-        yield pd.DataFrame({"user_id": [key[0]] * len(hist), "event_id": hist, "slot": list(range(len(hist))),
-                            "version": [version] * len(hist)})
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, slot int, version int", "ids array<long>, version int", "append",
-        GroupStateTimeout.NoTimeout)
+    def __init__(self, key: str, names: list[str], n: int, idle_us: int | None, slot_ms: int):
+        super().__init__(key, names, "", self.extend, None if idle_us is None else (lambda c: c[1] + idle_us), slot_ms)
+        self.n = n
+
+    def open_carry(self, handle: StatefulProcessorHandle) -> None:
+        self.carry = handle.getListState("history", "event_id long, ts_us long")
+
+    def get_carry(self):
+        rows = list(self.carry.get()) if self.carry.exists() else []
+        return ([r[0] for r in rows], rows[-1][1]) if rows else None
+
+    def put_carry(self, held) -> None:
+        self.carry.put([(int(i), int(held[1])) for i in held[0]])
+
+    def extend(self, held, ts, ids, vals):
+        history = ((held[0] if held else []) + ids.tolist())[-self.n:]
+        return (history, int(ts[-1])), (history,)
+
+    def result(self, key, ids: np.ndarray, columns) -> pd.DataFrame:
+        history, = columns
+        return pd.DataFrame({self.key: [key[0]] * len(history), "event_id": history, "slot": range(len(history)),
+                             "newest": [int(ids[-1])] * len(history)})
+
+
+def recent_history(events: DataFrame, n: int = 5, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """R8 (W17 online): the last n event ids per producer in event-time order, emitted whenever the watermark closes a
+    time slot of the producer; ``newest`` names the event it stands at. A producer without events for ``idle`` is
+    released (None: never), and begins anew after that."""
+    idle_us = None if idle is None else int(_seconds(idle) * 1_000_000)
+    return in_event_time(events.withColumn("nothing", F.lit(0.0)), "user_id", "nothing", "event_id long, slot int, newest long",
+                         delay, lambda key, names, slot: HistoryFold(key, names, n, idle_us, slot))
 
 
 def micro_batch_allocation(spark: SparkSession, tasks_stream: DataFrame, out_dir: str, name: str = "alloc"):

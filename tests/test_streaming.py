@@ -102,12 +102,54 @@ def test_rate_limit_and_ttl_stream(spark, closed_dir):
     assert g == {tuple(r) for r in want.collect()}
 
 
-def test_history_stream(spark, stream_dir):
-    got = _run(spark, jobs.recent_history(_events(spark, stream_dir), alloc_q.HISTORY_N), "hist")
-    rows = got.collect()
+def test_history_stream(spark, closed_dir):
+    """Late events, within the delay, give the histories of the batch."""
+    got = _run(spark, jobs.recent_history(_late(spark, closed_dir), alloc_q.HISTORY_N, "30 hours"), "hist")
+    rows = got.where("newest >= 0").collect()
+    ts = {r["event_id"]: r["ts"] for r in spark.read.parquet(f"{SF001}/events.parquet").collect()}
     last = {}
     for r in rows:
-        last[r["user_id"]] = max(last.get(r["user_id"], 0), r["version"])
-    final = {(r["user_id"], r["event_id"]) for r in rows if r["version"] == last[r["user_id"]]}
+        last[r["user_id"]] = max(last.get(r["user_id"], (ts[r["newest"]], r["newest"])), (ts[r["newest"]], r["newest"]))
+    final = {(r["user_id"], r["event_id"]) for r in rows if r["newest"] == last[r["user_id"]][1]}
     want = {tuple(r) for r in alloc_q.recent_history(spark, SF001).collect()}
     assert final == want
+
+
+def _log(spark, tmp_path, batches):
+    """Small event files, one per trigger: (event_id, seconds, user_id)."""
+    for i, batch in enumerate(batches):
+        (spark.createDataFrame([(e, s, u) for e, s, u in batch], "event_id long, s long, user_id long")
+         .select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("click").alias("event_type"),
+                 F.lit(1.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.parquet(f"{tmp_path}/part={i:03d}"))
+    return jobs.read_events(spark, f"{tmp_path}/*", max_files_per_trigger=1)
+
+
+def test_history_order_late_events_and_released_keys(spark, tmp_path):
+    import uuid
+
+    from corpusloom.session import checkpoint_dir
+    # event 3 comes a file later than event 4 but before it in time; event 9 is later than the delay and dropped
+    stream = _log(spark, tmp_path, [[(1, 10, 7), (4, 40, 7)], [(3, 30, 7), (2, 20, 7)], [(50, 5000, 8)], [(53, 5001, 8)], [(9, 35, 7)], [(51, 9000, 8)], [(52, 9001, 8)]])
+    q = (jobs.recent_history(stream, 3, "60 seconds", idle="1000 seconds").writeStream.format("memory").queryName("order_q")
+         .option("checkpointLocation", f"{checkpoint_dir(spark)}/test-order-{uuid.uuid4().hex}").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    rows = [r for r in spark.table("order_q").collect() if r["user_id"] == 7]
+    last = [r["event_id"] for r in rows if r["newest"] == 4]
+    assert last == [2, 3, 4] and all(r["newest"] != 9 for r in rows)
+    # the idle producer is released; what is left is producer 8's
+    assert q.recentProgress[-1]["stateOperators"][0]["customMetrics"] is not None
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress if p["stateOperators"])
+    assert removed > 0
+
+
+def test_a_batch_rewrites_only_the_slots_it_touches(spark, tmp_path):
+    """A thousand waiting events of one key; a batch of one event writes one slot, not all."""
+    import uuid
+
+    from corpusloom.session import checkpoint_dir
+    stream = _log(spark, tmp_path, [[(i, i, 3) for i in range(1000)], [(5000, 1001, 3)], [(5001, 1002, 3)]])
+    q = (jobs.recent_history(stream, 3, "10000 seconds").writeStream.format("memory").queryName("slots_q")
+         .option("checkpointLocation", f"{checkpoint_dir(spark)}/test-slots-{uuid.uuid4().hex}").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(updated) == 3 and max(updated[1:]) <= 4
