@@ -65,6 +65,17 @@ def allocate(allocs: DataFrame, config: DataFrame, depth: DataFrame, order_cols:
     return ranked.filter(F.col("alloc_rank") <= F.col("batch_limit")).drop("_np", "_nw")
 
 
+def claim_batches(tasks: DataFrame, decomposers: list[str], batch_size: int, order: list[str]) -> DataFrame:
+    """The decomposers ask in turn and each gets the first ``batch_size`` tasks that none has claimed.
+
+    Adds ``assigned_to``. One top-k over the order, so no more than all batches together are gathered.
+    """
+    first = tasks.orderBy(*order).limit(batch_size * len(decomposers))
+    number = F.row_number().over(Window.orderBy(*order)) - 1
+    return first.withColumn("assigned_to", F.element_at(F.array(*[F.lit(d) for d in decomposers]),
+                                                        (F.floor(number / batch_size) + 1).cast("int")))
+
+
 def similarity_batches(allocated: DataFrame, order_cols: list[str]) -> DataFrame:
     """W8 in closed form (per queue, input bounded by the batch limit):
     sorted by (eligible, category, weight); with n non-eligible items, the

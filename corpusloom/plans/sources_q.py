@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.operators.alloc import claim_batches
 from corpusloom.plans.bindings import tasks
 from corpusloom.plans.registry import register
 from corpusloom.session import read_table
@@ -36,3 +37,12 @@ ORDER BY o_orderdate, o_orderkey LIMIT 20""")
 def task_batch_fifo(spark, sf):
     """A FIFO batch of 20 tasks by (created_at, id)."""
     return tasks(spark, sf).select("task_id", "created_at").orderBy("created_at", "task_id").limit(20)
+
+
+@register("task_batch_claims", """SELECT o_orderkey AS task_id, o_orderdate AS created_at,
+  CASE (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 20 WHEN 0 THEN 'decomposer_1' WHEN 1 THEN 'decomposer_2'
+  ELSE 'decomposer_3' END AS assigned_to FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 60""")
+def task_batch_claims(spark, sf):
+    """Three decomposers claim a batch of 20 tasks each, first come first served."""
+    t = tasks(spark, sf).select("task_id", "created_at")
+    return claim_batches(t, ["decomposer_1", "decomposer_2", "decomposer_3"], 20, ["created_at", "task_id"])

@@ -15,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom import rules as R
 from corpusloom.session import checkpoint_dir
+from corpusloom.sources.readers import _empty_if_missing
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -249,20 +251,112 @@ def recent_history(events: DataFrame, n: int = 5, delay: str = "1 hour", idle: s
                          delay, lambda key, names, slot: HistoryFold(key, names, n, idle_us, slot))
 
 
-def micro_batch_allocation(spark: SparkSession, tasks_stream: DataFrame, out_dir: str, name: str = "alloc"):
-    """Request a batch -> decompose -> map to queues -> allocate, per micro-batch
-    via ``foreachBatch``; successes and errors go to two parquet tables."""
+def distinct_urls(pages: DataFrame, url: str = "url", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """F6 online: a URL (without query and fragment) is passed on once; it is remembered for ``delay`` of event time.
+
+    State holds a key for each URL of the delay alone, in RocksDB; a repeat after it comes through again.
+    """
+    pages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return (pages.withColumn("_key", F.regexp_replace(url, "[?#].*$", "")).withWatermark(ts, delay)
+            .dropDuplicatesWithinWatermark(["_key"]).drop("_key"))
+
+
+def funnel(sources: dict[str, DataFrame]) -> DataFrame:
+    """The streams of several producers as one, each counted as it enters (``observe``).
+
+    All have the same columns; ``source`` names the producer. `FunnelTotals` adds the counts up.
+    """
+    streams = [df.observe(f"funnel-{name}", F.count(F.lit(1)).alias("rows")).withColumn("source", F.lit(name))
+               for name, df in sources.items()]
+    out = streams[0]
+    for df in streams[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+class FunnelTotals(StreamingQueryListener):
+    """Rows of every producer of `funnel` and of the whole, over the micro-batches of a query so far."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.batches = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = {name: row["rows"] for name, row in event.progress.observedMetrics.items() if name.startswith("funnel-")}
+        self.batches += bool(found)
+        for name, rows in found.items():
+            name = name.removeprefix("funnel-")
+            self.rows[name] = self.rows.get(name, 0) + rows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self) -> int:
+        return sum(self.rows.values())
+
+
+def epoch_table(spark: SparkSession, out_dir: str, table: str, schema, finished: bool = True) -> DataFrame:
+    """A table that `micro_batch_allocation` writes; by default without the epochs that have no commit yet."""
+    def read(name, kind):
+        return _empty_if_missing(lambda: spark.read.schema(kind).option("basePath", f"{out_dir}/{name}")
+                                 .parquet(f"{out_dir}/{name}"), spark, f"{out_dir}/{name}", kind)
+
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    rows = read(table, T.StructType([*fields.fields, T.StructField("epoch", T.LongType())]))
+    return rows.join(read("commits", "epoch long").select("epoch").distinct(), "epoch", "left_semi") if finished else rows
+
+
+CLAIMS = "task_id string, assigned_to string"
+COMPLETED = "task_id string, subtasks_created long, queues_used array<string>, decomposition_strategy string"
+ERRORS = "task_id string, error string"
+
+
+def micro_batch_allocation(spark: SparkSession, tasks_stream: DataFrame, out_dir: str, name: str = "alloc",
+                           assigned_to: str = "decomposer"):
+    """Claim a batch of tasks -> decompose -> map to queues -> allocate -> report, per micro-batch.
+
+    Every table has a folder per epoch that a repeated epoch overwrites, and a commit row ends the epoch, so a batch
+    that is replayed after a failure counts once. ``claims``: the tasks with their decomposer; a task
+    that an earlier epoch has claimed is left out. ``allocated``: subtasks with their rank in the queue. ``completed``: per
+    task the subtasks allocated, the queues used and the strategy. ``errors``: tasks without an id, or of which
+    a subtask has no weight or a negative one; none of their subtasks is allocated.
+    """
     from corpusloom.operators import alloc, tasks
 
     def run(batch: DataFrame, epoch: int):
-        sub = tasks.queue_mapping(tasks.decompose(batch))
-        ok = sub.filter(F.col("weight") >= 0)
-        bad = sub.filter(F.col("weight") < 0)
+        session = batch.sparkSession
+
+        def put(df: DataFrame, table: str) -> DataFrame:
+            path = f"{out_dir}/{table}/epoch={epoch}"
+            df.write.mode("overwrite").parquet(path)
+            return session.read.schema(df.schema).parquet(path)
+
+        before = epoch_table(session, out_dir, "claims", CLAIMS, finished=False).where(F.col("epoch") < epoch)
+        named = batch.where("task_id is not null").dropDuplicates(["task_id"])
+        fresh = named.join(before.select("task_id"), "task_id", "left_anti")
+        claims = put(fresh.select("task_id", F.lit(assigned_to).alias("assigned_to")), "claims")
+        fresh = named.join(claims.select("task_id"), "task_id", "left_semi")
+        sub = put(tasks.queue_mapping(tasks.decompose(fresh)), "subtasks")
+        failed = sub.where("weight is null or weight < 0").groupBy("task_id").agg(
+            F.concat(F.lit("bad weight: "), F.min("subtask_id")).alias("error"))
+        errors = put(failed.union(batch.where("task_id is null").select("task_id", F.lit("no task id").alias("error"))), "errors")
+        ok = sub.join(errors.select("task_id"), "task_id", "left_anti")
         depth = ok.groupBy(F.col("target_queue").alias("queue")).agg(F.count(F.lit(1)).alias("depth"))
-        allocated = alloc.allocate(ok.withColumn("flow_control_priority", F.col("priority")),
-                                   alloc.queue_config(batch.sparkSession), depth, ["task_id", "subtask_id"])
-        allocated.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out_dir}/allocated")
-        bad.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out_dir}/errors")
+        allocated = put(alloc.allocate(ok.withColumn("flow_control_priority", F.col("priority")),
+                                       alloc.queue_config(session), depth, ["task_id", "subtask_id"]), "allocated")
+        put(ok.select("task_id", "strategy").distinct().join(
+            allocated.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("target_queue")).alias("q")),
+            "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("subtasks_created"),
+                                      F.coalesce("q", F.array().cast("array<string>")).alias("queues_used"),
+                                      F.col("strategy").alias("decomposition_strategy")), "completed")
+        session.range(epoch, epoch + 1).select(F.col("id").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(
+            f"{out_dir}/commits/batch={epoch}")
 
     ckpt = f"{checkpoint_dir(spark)}/stream-{name}"
     return tasks_stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)

@@ -153,3 +153,43 @@ def test_a_batch_rewrites_only_the_slots_it_touches(spark, tmp_path):
     q.awaitTermination(300)
     updated = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
     assert len(updated) == 3 and max(updated[1:]) <= 4
+
+
+def test_urls_once_within_the_watermark(spark, tmp_path):
+    """As the batch within the delay; a repeat after it comes through again."""
+    from corpusloom.operators.pages import dedupe_by
+    rows = [[(1, 0, "http://a/x?q=1"), (2, 5, "http://a/y")], [(3, 20, "http://a/x#top"), (4, 30, "http://a/z")],
+            [(5, 1000, "http://a/w")], [(6, 1001, "http://a/v")], [(7, 1002, "http://a/x")]]
+    for i, batch in enumerate(rows):
+        (spark.createDataFrame(batch, "page_id long, s long, url string").select("page_id", "url", F.timestamp_seconds(F.col("s") + 10_000).alias("ts"))
+         .coalesce(1).write.parquet(f"{tmp_path}/part={i:03d}"))
+    stream = (spark.readStream.schema("page_id long, url string, ts timestamp").option("maxFilesPerTrigger", 1)
+              .parquet(f"{tmp_path}/*"))
+    got = sorted(r["page_id"] for r in _run(spark, jobs.distinct_urls(stream, delay="60 seconds"), "urls").collect())
+    pages = spark.createDataFrame([r for b in rows for r in b], "page_id long, s long, url string").withColumn(
+        "key", F.regexp_replace("url", "[?#].*$", ""))
+    batch = sorted(r["page_id"] for r in dedupe_by(pages, "key", ["page_id"]).collect())
+    assert batch == [1, 2, 4, 5, 6] and got == [*batch, 7]
+
+
+def test_funnel_of_several_producers(spark, tmp_path):
+    """The observed totals are the batch's counts."""
+    import time
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    for k in range(3):
+        for part in range(2):
+            ev.where((F.col("user_id") % 3 == k) & (F.col("event_id") % 2 == part)).coalesce(1).write.parquet(f"{tmp_path}/p{k}/part={part}")
+    totals = jobs.FunnelTotals()
+    spark.streams.addListener(totals)
+    try:
+        streams = {f"p{k}": jobs.read_events(spark, f"{tmp_path}/p{k}/*") for k in range(3)}
+        got = _run(spark, jobs.funnel(streams), "funnel_many")
+        want = {f"p{r['k']}": r["count"] for r in ev.groupBy((F.col("user_id") % 3).alias("k")).count().collect()}
+        assert {r["source"]: r["count"] for r in got.groupBy("source").count().collect()} == want
+        for _ in range(50):             # progress events come from a thread of their own
+            if totals.total() == sum(want.values()):
+                break
+            time.sleep(0.2)
+        assert totals.rows == want and totals.batches >= 2
+    finally:
+        spark.streams.removeListener(totals)
