@@ -7,6 +7,7 @@ per page; bs4/lxml are not assumed to be installed).
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -235,3 +236,29 @@ def split_code_text(html: pd.Series) -> pd.DataFrame:
         texts.append(_page_text([x for x in p.pieces if not x[0] & _CODE]))
         codes.append([c for c in code if c])
     return pd.DataFrame({"text": texts, "code": codes})
+
+
+CONTEXT = frozenset(("p", "h1", "h2", "h3"))
+
+
+def _context(html: str | None, tags: list[str], keywords: re.Pattern) -> list[str]:
+    p = _parsed(html, ("script", "style"), CONTEXT | _CODE | set(tags))
+    texts = [_clean(parts) for _, parts in p.elements]
+    before, last = [], None          # of each element: the paragraph or heading that began last before it
+    for i, (names, _) in enumerate(p.elements):
+        before.append(last)
+        if names & CONTEXT:
+            last = i
+    return [texts[before[i]] for tag in tags for i, (names, _) in enumerate(p.elements)
+            if tag in names and not names & _CODE and before[i] is not None and texts[before[i]] and keywords.search(texts[i])]
+
+
+def tutorial_context(tags: list[str], keywords: str):
+    """H4, tutorials: for each element of ``tags`` (by tag, then in document order) whose text holds a keyword, the text of
+    the p, h1, h2 or h3 element that began last before it; blank ones and code are left out."""
+    pattern = re.compile(keywords)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def context(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: _context(h, tags, pattern))
+    return context

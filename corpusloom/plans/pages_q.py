@@ -58,18 +58,23 @@ def page_select(spark, sf):
 
 
 # the pages hold no code: every hundredth gets some, nested and with markup inside
+_KEYWORDS = "(^| )(the|que|und)( |$)"
 _CODE = "<pre>a = 1 <b>+</b> <code>b</code></pre><p>then <code>x &lt; y</code></p>"
 _WITH_CODE = f"CASE WHEN page_id % 100 = 0 THEN replace(html, '</article>', '{_CODE}</article>') ELSE html END"
 
 
 @register("page_split", f"""SELECT page_id, {S.html_text(
     "regexp_replace(regexp_replace(h, '(?s)<pre>.*?</pre>', ' ', 'g'), '(?s)<code>.*?</code>', ' ', 'g')")} AS text,
-  CASE WHEN page_id % 100 = 0 AND contains(html, '</article>') THEN ['a = 1 + b', 'x < y'] ELSE []::VARCHAR[] END AS code
-FROM (SELECT page_id, html, {S.html_without(_WITH_CODE, ('script', 'style'))} AS h FROM pages)""")
+  CASE WHEN page_id % 100 = 0 AND contains(html, '</article>') THEN ['a = 1 + b', 'x < y'] ELSE []::VARCHAR[] END AS code,
+  list_filter(list_transform(range(2, len(els) + 1), lambda i: CASE WHEN tags[i] = 'p' AND regexp_matches(els[i], '{_KEYWORDS}')
+    THEN els[i - 1] END), lambda x: x IS NOT NULL AND x <> '') AS natural_language_description
+FROM (SELECT *, {S.html_element_texts('h', 'h1|p')} AS els, regexp_extract_all(h, '<(h1|p)>', 1) AS tags
+  FROM (SELECT page_id, html, {S.html_without(_WITH_CODE, ('script', 'style'))} AS h FROM pages))""")
 def page_split(spark, sf):
-    """H4: code/text split."""
+    """H4: code/text split, and what stands before paragraphs with a keyword."""
     p = _pages(spark, sf).select("page_id", F.expr(_WITH_CODE).alias("html"))
-    return p.select("page_id", P.split_code_text("html").alias("c")).select("page_id", "c.text", "c.code")
+    return p.select("page_id", P.split_code_text("html").alias("c"), P.tutorial_context(["p"], _KEYWORDS)("html").alias("d")).select(
+        "page_id", "c.text", "c.code", F.col("d").alias("natural_language_description"))
 
 
 # no page holds such a block: every third gets one of two lines

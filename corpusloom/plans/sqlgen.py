@@ -147,6 +147,11 @@ def html_without(expr: str, tags) -> str:
 def html_elements(html: str, tag: str) -> str:
     """The texts, blanks left out, of all elements of a tag whose end a block tag may imply."""
     clean = html_without(html, ("script", "style"))
+    return f"list_filter({html_element_texts(clean, tag)}, lambda x: x <> '')"
+
+
+def html_element_texts(clean: str, tag: str) -> str:
+    """The texts of all elements of a tag (or tags, as a pattern ``a|b``) in document order, from a page without scripts."""
     ends = r"(?s)(</(%s|article|body|main|footer|div|html)>|<(p|ul|div|footer|h1|pre|article)[ >]).*$" % tag
-    return (f"list_filter(list_transform(string_split({clean}, '<{tag}>')[2:], lambda x: "
-            f"{html_text(f'regexp_replace(x, {lit(ends)}, {lit(chr(0)[:0])})', '')}), lambda x: x <> '')")
+    return (f"list_transform(string_split_regex({clean}, '<({tag})>')[2:], lambda x: "
+            f"{html_text(f'regexp_replace(x, {lit(ends)}, {lit(chr(0)[:0])})', '')})")

@@ -274,3 +274,13 @@ def test_dedupe_by_the_whole_hash_and_balance_plan(spark):
     n = {r["category"]: (r["n"], r["v"]) for r in plan.groupBy("category").agg(
         F.count("*").alias("n"), F.sum(F.col("variation").cast("int")).alias("v")).collect()}
     assert n == {"big": (10, 0), "small": (5, 2)}
+
+
+def test_tutorial_context_is_the_paragraph_or_heading_before(spark):
+    from corpusloom.operators import pages as P
+    html = ("<h1>Title</h1><p>About sockets</p><div>skip</div><p>nothing<p>tcp socket <b>here</b><h2> </h2><p>a socket again</p>"
+            "<ul><li>socket item</li></ul><pre>socket code</pre><p>last</p>")
+    df = spark.createDataFrame([(html,), (None,), ("",), ("<p>socket first",)], "html string")
+    got = [r[0] for r in df.select(P.tutorial_context(["p", "li", "pre"], "socket")("html")).collect()]
+    # by tag, then in document order; the blank heading before the fourth paragraph gives nothing
+    assert got == [["Title", "nothing", "a socket again"], [], [], []]
