@@ -40,9 +40,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     Rows with ``crc32(doc_id) mod modulus == left_out`` are never used. The rows are
     the first ones by a hash of doc_id, so the choice does not depend on row order;
-    of repeated label rows the larger value counts. Null ids, labels and texts are skipped.
+    of repeated label rows the larger value counts. Null ids, labels and texts are skipped, and
+    labels of ids without a text take no place.
     """
-    picked = (labels.select("doc_id", F.col(label).cast("int").alias("y"))
+    there = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
+    picked = (labels.join(there, "doc_id", "left_semi").select("doc_id", F.col(label).cast("int").alias("y"))
               .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
               .where(crc_mod("doc_id", modulus) != left_out)
               .groupBy("doc_id").agg(F.max("y").alias("y"))

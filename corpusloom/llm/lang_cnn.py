@@ -13,7 +13,7 @@ its window, so the convolution of a batch is a few table look-ups and additions.
 Defined results: `und` with score 0 for a null text and a text without a letter,
 and for every text if there is no labelled row; all windows of a text count,
 whatever its length; repeated rows are predicted alike; with one language only
-that language; other columns of the input are ignored.
+that language; of equally likely languages the first by name; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +44,12 @@ RATE = 0.004
 SEED = 7
 
 _OTHER = re.compile(rb"[\x00-@\[-`{-\x7f]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")      # also signs such as \u00bd and \u00b2, which are numbers
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter of any script."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text or ""))
 
 
 def window_bytes(text: str | None) -> np.ndarray:
@@ -167,7 +172,7 @@ def fit_langs(docs: DataFrame, modulus: int = 4, left_out: int = 2, fit_rows: in
     windows, y = [], []
     for _, lang, parts in keyed:
         for part in parts:
-            if _LETTER.search(part):
+            if has_letter(part):
                 windows.append(window_bytes(part)[:1])
                 y.append(number[lang])
     if not windows:
@@ -198,7 +203,7 @@ def predict_langs(docs: DataFrame, model: LangModel | None, modulus: int = 4, le
 
             held = 0
             for i, text in enumerate(texts):
-                if model and text and _LETTER.search(text):
+                if model and has_letter(text):
                     w = window_bytes(text)
                     waiting.append((i, w))
                     held += len(w)

@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from .graph import connected_components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-BLOCKS = 6              # of the 32 segments
+COMPARED = 100          # comparisons inside a cell that cost as much as one row of a grid
 CHUNK = 1 << 16         # fingerprints of a cell that are compared in one task
 SCAN = 192              # cells up to this size are compared by shifted vectors, larger ones by scans
 PIECE = 1 << 20         # bytes of a text that are split into words at a time
@@ -257,11 +258,25 @@ def _link_sorted(max_bits: int, chunk_size: int):
     return link
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk_size: int = CHUNK) -> DataFrame:
+def blocks_for(n: int, max_bits: int) -> int:
+    """The number of blocks with the least work for ``n`` random fingerprints.
+
+    More blocks make more grids (a row each per fingerprint) but smaller cells: two random segments have equal
+    counts with probability 3/8, so a cell of a grid over s segments holds n (3/8)^s of the others.
+    """
+    def work(blocks: int) -> float:
+        grids = comb(blocks, max_bits)
+        return grids * (1 + n * 0.375 ** (32 * (blocks - max_bits) / blocks) / COMPARED)
+    return min(range(max_bits + 1, 17), key=work)
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, chunk_size: int = CHUNK) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within ``max_bits`` of each other.
 
     fps: one long column fp, distinct. The links span every component but need not be all pairs.
+    ``blocks`` follows from the number of fingerprints if not given; it changes the work, not what is linked.
     """
+    blocks = blocks or blocks_for(fps.count(), max_bits)
     code = embed(F.col("fp"))
     masks = grid_masks(max_bits, blocks)
     cells = fps.select("fp", code.alias("code")).select(
@@ -283,29 +298,31 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, c
     return links.union(more)
 
 
-def fingerprint_roots(classes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def fingerprint_roots(classes: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """The rows of ``classes``, one per distinct fingerprint fp, with the root of their component."""
     roots = connected_components(near_links(classes.select("fp"), max_bits, blocks))
     return classes.join(roots, classes["fp"] == roots["vertex"], "left").select(
         *classes.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     marked = shared_table(docs.select("doc_id", fingerprint_column(F.col("text"), k).alias("fp")), "fingerprints")
-    linked = fingerprint_roots(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), max_bits, blocks)
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written tables on both sides: the join is a broadcast if the written size allows, else Spark splits a large component
+    linked = shared_table(fingerprint_roots(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), max_bits, blocks), "linked")
+    lowest = shared_table(linked.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     found = linked.join(lowest, "root").select("fp", "component_id")
     return marked.join(found, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one per component, all columns kept.
 
     A null doc_id is larger than any other; of rows with the same id any one stays.
     """
-    row, mark = "_simhash_row", "_simhash_fp"
+    taken = {c.lower() for c in docs.columns}
+    row, mark = (next(n for i in range(len(taken) + 1) if (n := f"_simhash_{c}{i}") not in taken) for c in ("row", "fp"))
     marked = shared_table(docs.withColumn(mark, fingerprint_column(F.col("text"), k))
                           .withColumn(row, F.monotonically_increasing_id()), "marked")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("row"))

@@ -1,6 +1,6 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
-Fitting counts, for every word and for , the
+Fitting counts, for every word and for its stems, the
 toxic and clean labelled texts that hold it, and turns the counts into log-odds
 ratios under an informative Dirichlet prior; only units whose ratio is
 significant carry a score, lowered by one standard error. All other tokens cost
@@ -66,25 +66,33 @@ def maximal_segments(items: list[tuple[int, int, float]]) -> list[tuple[int, int
 
     ``items`` are (first, last, score) runs in order. Candidates are kept with the
     running totals at their two ends; a new positive run is joined with earlier
-    candidates as long as that raises the total, else it starts its own.
+    candidates as long as that raises the total, else it starts its own. Each candidate has a link to the nearest one
+    before it that begins at a smaller total, so a search passes over the others at once, and where
+    no candidate begins at a smaller total, all of them are final and leave the list.
     """
-    kept: list[tuple[int, int, float, float]] = []      # first, last, total before, total after
+    done: list[tuple[int, int, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []     # first, last, total before, total after, link
     total = 0.0
     for first, last, score in items:
         before, total = total, total + score
         if score <= 0:
             continue
         low, high = before, total
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= low:
-                j -= 1
-            if j < 0 or kept[j][3] >= high:
+                j = kept[j][4]
+            if j < 0:
+                done += [(a, b, h - w) for a, b, w, h, _ in kept]
+                kept.clear()
                 break
-            first, low = kept[j][0], kept[j][2]
+            if kept[j][3] >= high:
+                break
+            first, low, link = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-        kept.append((first, last, low, high))
-    return [(a, b, high - low) for a, b, low, high in kept]
+            j = link
+        kept.append((first, last, low, high, j))
+    return done + [(a, b, h - w) for a, b, w, h, _ in kept]
 
 
 @dataclass
@@ -240,32 +248,34 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, left_out: in
     scores = model.scores
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, memo = ToxicModel(scores), {}
+        """Of the clean texts: length and best segment of each, and how often each token score occurs."""
+        m, memo, tally, texts = ToxicModel(scores), {}, Counter(), Counter()
         for batch in batches:
-            out = []
-            for doc_id, text, y in zip(batch["doc_id"], batch["text"], batch["y"]):
+            for text, y in zip(batch["text"], batch["y"]):
+                if y:
+                    continue
                 words = words_of(text)
                 if len(memo) > 400_000:
                     memo.clear()
-                hits = [s for _, s in m.token_scores(words, memo)]
-                best = max((s for _, _, s in m.segments(words, memo)), default=0.0)
-                out.append((doc_id, int(y), len(words), hits, best))
-            yield pd.DataFrame(out, columns=["doc_id", "y", "n", "hits", "best"])
-
-    seen = (single.mapInPandas(evidence, "doc_id long, y int, n long, hits array<double>, best double")
-            .where("y = 0").select("n", "hits", "best").toPandas())
-    tally: Counter = Counter()
-    for hits in seen["hits"]:
-        tally.update(np.round(np.asarray(hits, dtype=float), 1).tolist())
-    n_words = int(seen["n"].sum())
+                tally.update(round(s, 1) for _, s in m.token_scores(words, memo))
+                texts[len(words), max((s for _, _, s in m.segments(words, memo)), default=0.0)] += 1
+        rows = [(None, None, v, c) for v, c in tally.items()] + [(n, best, None, c) for (n, best), c in texts.items()]
+        yield pd.DataFrame(rows, columns=["n", "best", "value", "times"])
+
+    # at most a row per fitting text and one per score in tenths
+    seen = (single.mapInPandas(evidence, "n long, best double, value double, times long")
+            .groupBy("n", "best", "value").agg(F.sum("times").alias("times")).collect())
+    texts = sorted((r["n"], r["best"], r["times"]) for r in seen if r["n"] is not None)
+    tally = Counter({r["value"]: r["times"] for r in sorted((r for r in seen if r["n"] is None), key=lambda r: r["value"])})
+    n_words = sum(n * times for n, _, times in texts)
     top = max(scores.values(), default=1.0)
     tally[round(top, 1)] += 0.5                          # never certain that clean texts lack them
     plain = max(n_words - sum(tally.values()), 1.0)
     values = np.array([-DRIFT, *tally])
     weights = np.array([plain, *tally.values()], dtype=float)
     model.rate = solve_rate(values, weights / weights.sum())
-    spread = float((seen["n"] * np.exp(-np.minimum(model.rate * seen["best"], 600.0))).sum())
-    model.scale = len(seen) / max(spread, 1e-9)
+    spread = sum(times * n * math.exp(-min(model.rate * best, 600.0)) for n, best, times in texts)
+    model.scale = sum(times for *_, times in texts) / max(spread, 1e-9)
     rate, scale = model.rate, model.scale
 
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

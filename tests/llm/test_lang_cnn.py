@@ -32,3 +32,21 @@ def test_held_out_accuracy(spark):
 def test_one_language(spark):
     docs = spark.createDataFrame([(i, "some words here", "xx") for i in range(40)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in L.predict_langs(docs, L.fit_langs(docs)).collect()} == {"xx"}
+
+
+def test_signs_that_are_numbers_are_no_letters(spark):
+    assert not any(map(L.has_letter, ["½ ²³ ① 12", "Ⅷ", "", None, "_-!", "٣", "😀"]))
+    assert all(map(L.has_letter, ["½a", "é", "日", "ª", "ñ1"]))
+    docs = spark.createDataFrame([(i, "some words here", "xx") for i in range(40)] + [(90, "½ ²³ ① 12", "xx"), (91, "½ é", None)],
+                                 "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in L.predict_langs(docs, L.fit_langs(docs)).collect()}
+    assert (rows[90]["lang_pred"], rows[90]["score"]) == ("und", 0.0) and rows[91]["lang_pred"] == "xx"
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    rng = np.random.default_rng(0)
+    model = L.train(rng.integers(0, 255, (60, L.WINDOW), dtype=np.uint8), rng.integers(0, 2, 60), ["a", "b"])
+    model.out[:] = 0
+    model.out_bias[:] = 0
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert L.predict_langs(docs, model).first()["lang_pred"] == "a"

@@ -120,3 +120,28 @@ def test_documents_against_all_pairs(spark):
     assert {i: r["component_id"] for i, r in rows.items()} == {i: lowest[roots[f]] for i, f in fps.items()}
     kept = sorted(r["doc_id"] for r in S.one_of_each(docs).collect())
     assert kept == sorted(lowest.values())
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    few, many, more = (S.blocks_for(n, 4) for n in (1000, 10 ** 6, 10 ** 9))
+    assert 5 <= few <= many < more <= 16
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8])
+def test_any_number_of_blocks_gives_the_same_components(spark, blocks):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {f for b in base for f in [b] + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 6))) for _ in range(4)]}
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    got = {r["fp"]: r["root"] for r in S.fingerprint_roots(df, 4, blocks).collect()}
+    roots = naive_roots(sorted(fps), 4)
+    groups = {}
+    for f, r in roots.items():
+        groups.setdefault(r, set()).add(signed[f])
+    assert {frozenset(g) for g in groups.values()} == {frozenset(v for v in got if got[v] == r) for r in set(got.values())}
+
+
+def test_columns_named_like_its_own_come_back_unchanged(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 7, "x"), (2, "a b c d e", 8, "y")], "doc_id long, text string, _simhash_row0 int, _simhash_fp0 string")
+    assert [tuple(r) for r in S.one_of_each(df).collect()] == [(1, "a b c d e", 7, "x")]

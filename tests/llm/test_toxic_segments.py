@@ -74,3 +74,38 @@ def test_passages_hold_the_planted_words(fitted):
     assert {r["doc_id"] for r in found} == set(range(0, 120, 6))
     assert all("vilest" in r["passage"] or "scornq" in r["passage"] for r in found)
     assert all(r["e_value"] <= T.SIGNIFICANT for r in found)
+
+
+class _Counted(float):
+    """A total that counts how often it is compared."""
+    n = 0
+
+    def __add__(self, other):
+        return _Counted(float(self) + float(other))
+
+    __radd__ = __add__
+
+    def __ge__(self, other):
+        _Counted.n += 1
+        return float(self) >= float(other)
+
+
+@pytest.mark.parametrize("shape", ["falling", "rising", "mixed"])
+def test_the_search_takes_steps_in_proportion_to_the_runs(shape):
+    steps = []
+    for n in (1000, 2000, 4000):
+        rng = random.Random(n)
+        step = {"falling": (1.0, -2.0), "rising": (1.0, -0.5)}.get(shape)
+        items = [(i, i, _Counted(step[i % 2] if step else rng.choice([1.0, 2.5]) if i % 2 == 0 else -rng.uniform(0.5, 3)))
+                 for i in range(n)]
+        _Counted.n = 0
+        found = T.maximal_segments(items)
+        steps.append(_Counted.n)
+        assert len(found) == {"falling": n // 2, "rising": 1}.get(shape, len(found))
+    assert steps[0] < 5 * 1000 and steps[1] < 2.3 * steps[0] and steps[2] < 2.3 * steps[1]
+
+
+def test_equal_totals_do_not_join():
+    # ties: a segment that only regains what it lost stays apart
+    assert T.maximal_segments([(0, 0, 2.0), (1, 1, -2.0), (2, 2, 2.0)]) == [(0, 0, 2.0), (2, 2, 2.0)]
+    assert T.maximal_segments([(0, 0, 1.0), (1, 1, -0.5), (2, 2, 0.5)]) == [(0, 0, 1.0), (2, 2, 0.5)]
