@@ -70,10 +70,12 @@ def claim_batches(tasks: DataFrame, decomposers: list[str], batch_size: int, ord
 
     Adds ``assigned_to``. One top-k over the order, so no more than all batches together are gathered.
     """
-    first = tasks.orderBy(*order).limit(batch_size * len(decomposers))
-    number = F.row_number().over(Window.orderBy(*order)) - 1
-    return first.withColumn("assigned_to", F.element_at(F.array(*[F.lit(d) for d in decomposers]),
-                                                        (F.floor(number / batch_size) + 1).cast("int")))
+    rest = [c for c in tasks.columns if c not in order]
+    first = tasks.orderBy(*order).limit(batch_size * len(decomposers)).agg(
+        F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("all"))
+    turn = F.element_at(F.array(*[F.lit(d) for d in decomposers]), (F.floor(F.col("at") / batch_size) + 1).cast("int"))
+    return first.select(F.posexplode("all").alias("at", "one")).select(
+        *[F.col("one")[c].alias(c) for c in tasks.columns], turn.alias("assigned_to"))
 
 
 def similarity_batches(allocated: DataFrame, order_cols: list[str]) -> DataFrame:
