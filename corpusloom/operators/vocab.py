@@ -112,7 +112,7 @@ def byte_letters() -> list[str]:
 _LETTERS = byte_letters()
 _BYTES = {c: b for b, c in enumerate(_LETTERS)}
 _NEVER = 1 << 60
-PAIRS_SEEN = 1 << 12    # commonest pairs that come to the driver in a round, at most
+PAIRS_SEEN = 1 << 16    # commonest pairs that come to the driver in a round, at most; beyond them, equal counts end a round
 SEGMENTS = 1 << 17      # distinct segments that come to the driver in a round, at most
 
 
