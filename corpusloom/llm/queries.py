@@ -75,8 +75,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that lie in 13-word windows of benchmark items."""
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """Words of every document that lie in 13-word windows of benchmark items, and its proximity matches."""
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), proximity=True)
 
 
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

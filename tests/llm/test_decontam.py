@@ -71,38 +71,64 @@ def test_documents(spark):
     assert any(v[4] for v in got.values())
 
 
-def test_proximity(tables):
-    docs, items, d, b = tables
-    some = b.where("item_id in (3, 4, 7)")
-    listed = D.item_terms(some)
-    index = D.build_index(d, listed)
+def naive_near(text, item, window=13):
+    """(start, first, n_near) of the item's tiles, from every stretch of the text."""
+    w, v, found = words(text), words(item), set()
+    last = max(len(v) - window, 0)
+    for start in {*range(0, last + 1, window), last} if v else ():
+        terms = set(v[start:start + window])
+        counts = [(len(set(w[a:a + 2 * window]) & terms), -a) for a in range(len(w)) if w[a] in terms]
+        n, back = max(counts, default=(0, 0))
+        if n and n >= len(terms) - len(terms) // 5:
+            found.add((start, -back, n))
+    return found
+
+
+def proximity(docs, items):
+    listed = D.item_terms(items)
+    index = D.build_index(docs, listed)
     names = {r["row"]: r["doc_id"] for r in index.where("pos = -1").collect()}
-    got = {(names[r["row"]], r["item_id"], r["start"], r["pos"], r["n_near"])
-           for r in D.proximity_matches(index, listed, least=4, within=6).collect()}
-    texts = {i: words(t) for i, t in docs}
-    df = {}
-    for w in texts.values():
-        for x in w:
-            df[x] = df.get(x, 0) + 1
-    expected = set()
-    for item_id, item in items:
-        if item_id not in (3, 4, 7):
-            continue
-        v = words(item)
-        for start in range(max(len(v) - 13, 0) + 1):
-            part = list(enumerate(v[start:start + 13], start))
-            rare = min(((df[x], p, x) for p, x in part if x in df), default=None)
-            for i, w in texts.items():
-                for pos, x in enumerate(w):
-                    if rare and x == rare[2]:
-                        near = {y for y in w[max(pos - 6, 0):pos + 7]} & {y for _, y in part}
-                        if len(near) >= 4:
-                            expected.add((i, str(item_id), start, pos, len(near)))
-    assert got == expected
+    return {(names[r["row"]], r["item_id"], r["start"], r["first"], r["n_near"])
+            for r in D.proximity_matches(index, listed).collect()}
+
+
+@pytest.mark.parametrize("terms", [1 << 18, 0])
+def test_proximity(tables, spark, monkeypatch, terms):
+    monkeypatch.setattr(D, "BROADCAST_TERMS", terms)
+    rng = random.Random(5)
+    vocabulary = [f"w{int(40 * rng.random() ** 2)}" for _ in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([1, 2, 5, 9, 13, 14, 26, 40])]
+    items += [(8, items[7][1]), (9, "unknown words only"), (10, ""), (11, None)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 120)))) for i in range(60)] + [(60, None), (61, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    expected = {(i, str(j), *m) for i, t in docs for j, v in items for m in naive_near(t, v)}
+    assert len(expected) > 100 and proximity(d, b) == expected
+
+
+def test_proximity_without_the_rarest_terms(spark):
+    """An item's words in another order, with the one or two rarest replaced; three are too many."""
+    item = [f"t{i}" for i in range(13)]
+    common = [(100 + i, " ".join(item[2:])) for i in range(3)]      # t0 and t1 become the rarest
+    texts = {1: item[::-1], 2: ["x"] + item[:0:-1], 3: ["x", "y"] + item[:1:-1], 4: ["x"] * 3 + item[3:],
+             5: item[:6] + ["x"] * 13 + item[6:], 6: item[:6] + ["x"] * 14 + item[6:]}
+    docs = [(i, " ".join(["filler"] * 20 + t + ["filler"] * 20)) for i, t in texts.items()] + common + [(7, "t0 t1")]
+    got = proximity(spark.createDataFrame(docs, "doc_id long, text string"),
+                    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert got == {(i, "0", *m) for i, t in docs for m in naive_near(t, " ".join(item))}
+    assert {g[0] for g in got} >= {1, 2, 3, 5, 6} and 4 not in {g[0] for g in got}
+    assert {g[0]: g[4] for g in got}[5] == 13 and {g[0]: g[4] for g in got}[6] == 12
+
+
+def test_query_counts_items_with_proximity_matches(tables):
+    docs, items, d, b = tables
+    some = [(i, t) for i, t in items if i in (3, 4, 7)]
+    got = {r["doc_id"]: r["n_near_items"] for r in D.contamination(d, b.where("item_id in (3, 4, 7)"), proximity=True).collect()}
+    assert got == {i: sum(bool(naive_near(t, v)) for _, v in some) for i, t in docs}
 
 
 def test_plan_has_no_python(tables):
     _, _, d, b = tables
-    plan = D.contamination(d, b)._jdf.queryExecution().executedPlan().toString()
+    plan = D.contamination(d, b, proximity=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
