@@ -5,17 +5,19 @@ logarithm of its frequency and of its length, and its 256-bit hash votes with
 that weight for or against every bit. Two fingerprints' likeness is the share
 of equal bits.
 
-All fingerprints within a Hamming radius are found by block tables: with one
-block more than bits of the radius, two near fingerprints agree in one whole
-block, so each table leads with one block (the fingerprint permuted to begin
-there) and is searched by that key. A table's key with many members is salted:
-its members are dealt over several tasks and its queries copied to each.
+All fingerprints within a Hamming radius are found by block tables. A table per block
+leads with that block (the fingerprint permuted to begin there). With n blocks, two
+fingerprints within radius r differ by at most r // n bits in one block, so a query looks up
+its key in every table together with all keys that differ by so few bits, and what it
+meets there is checked over all bits. A table's key with many more members than others is
+salted: its members are dealt over several tasks and its queries copied to each. Matches
+are pairs of distinct fingerprints; the rows that share a fingerprint are its members.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and likeness 1 to another such text; texts are read whole;
 repeated rows and equal texts have equal fingerprints; rows are ordered by doc_id,
 null first, and then by text, so the next document of a repeated id is its repeat; the
-only row of a table is its own next document; an empty table gives an empty table;
+only row of a table is its own next document; a bit with equal votes is 0; an empty table gives an empty table;
 other columns of the input are ignored.
 """
 
@@ -26,6 +28,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +41,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import shared_table
 
 BITS = 256
-RADIUS = 7
-SALT_FROM = 1 << 15     # members of one table key that are compared in one task
+RADIUS = 31             # a copy with one word in twenty replaced is about 22 bits away, unrelated texts about 120
+WIDE_FROM = 1 << 24     # distinct fingerprints from which blocks have three bytes, before that two
+SALT_FROM = 256         # members of one table key that are compared in one task, or HOT times the mean if that is more
+HOT = 4
 ROWS = 2_000            # rows handed back at a time
 
 _WORDS = re.compile(r"\w+").findall
@@ -121,13 +127,17 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    done = shared_table(order.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-                        .mapInArrow(_edit_partition, _EDGES), "edited")
-    ends = done.where("part is not null").select("part", "doc_id", "first_text", "last_text")
-    # one row per partition of the shuffle
+    # the beginning of the text deals out rows of one doc_id, or of none, in their order
+    done = shared_table(order.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64))
+                        .sortWithinPartitions("doc_id", "text").mapInArrow(_edit_partition, _EDGES), "edited")
+    ends = done.where("part is not null").select("part", "doc_id", F.col("last_text").alias("text"), "first_text")
+    # one number per partition of the shuffle
     line = W.orderBy("part")
-    ends = ends.select("doc_id", F.col("last_text").alias("text"), F.coalesce(
-        F.lead("first_text").over(line), F.first("first_text").over(line)).alias("following"))
+    after = ends.select("part").select("part", F.coalesce(
+        F.lead("part").over(line), F.first("part").over(line)).alias("next"))
+    ends = (ends.join(after, "part").select("doc_id", "text", "next")
+            .join(ends.select(F.col("part").alias("next"), F.col("first_text").alias("following")), "next")
+            .select("doc_id", "text", "following"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,93 +149,152 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     return done.where("part is null").select(columns).union(ends.mapInPandas(finish, _EDITED))
 
 
-def _near_in_cells(radius: int, blocks: int):
-    """Count, for the queries of each cell, the members within the radius that agree here for the first time."""
-    width = BITS // 8 // blocks
+@dataclass(frozen=True)
+class Blocks:
+    """Byte ranges of the tables' leading blocks, and how many bits a query's keys may differ there."""
+    starts: tuple[int, ...]
+    widths: tuple[int, ...]
+    errors: tuple[int, ...]
+
+
+def blocks_for(radius: int, width: int) -> Blocks:
+    """Blocks of ``width`` bytes such that fingerprints within the radius differ in one by no more than its errors."""
+    starts = tuple(range(0, BITS // 8, width))
+    widths = tuple(min(width, BITS // 8 - a) for a in starts)
+    most = radius // len(starts)
+    # if every block exceeded its errors, the distance would exceed the radius; the last block gives up what that leaves over
+    spare = len(starts) * (most + 1) - (radius + 1)
+    return Blocks(starts, widths, (*[most] * (len(starts) - 1), most - min(spare, most)))
+
+
+def _flips(bits: int, errors: int) -> list[int]:
+    """All numbers of ``bits`` bits of which at most ``errors`` are set."""
+    return [sum(1 << b for b in some) for n in range(errors + 1) for some in combinations(range(bits), n)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, block, queries, marks = None, 0, None, []
-        totals: dict[bytes, int] = {}
 
-        def settle():
-            if not totals:
-                return None
-            out = pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()),
-                                              pa.array(list(totals.values()), pa.int64())], names=["fp", "n"])
-            totals.clear()
-            return out
-
-        def compare(members: np.ndarray, n: np.ndarray):
-            for a in range(0, len(members), 2048):
-                part, count_of = members[a:a + 2048], n[a:a + 2048]
-                for i, mark in enumerate(marks):
-                    apart = np.bitwise_count(part ^ queries[i])
-                    hit = np.flatnonzero(apart.sum(axis=1) <= radius)
-                    if not len(hit):
-                        continue
-                    same = (apart[hit].reshape(len(hit), blocks, width).sum(axis=2) == 0)
-                    hit = hit[same.argmax(axis=1) == block]
-                    if len(hit):
-                        totals[mark] = totals.get(mark, 0) + int(count_of[hit].sum())
+def _near_in_cells(radius: int, blocks: Blocks):
+    """The members of each cell within the radius of its queries: every pair in the first block that it shares."""
+    starts, errors = np.array(blocks.starts), np.array(blocks.errors)
 
+    def pairs_of(queries: np.ndarray, members: np.ndarray, block: int):
+        step = max(1, (1 << 16) // len(queries))
+        for a in range(0, len(members), step):
+            apart = np.bitwise_count(members[a:a + step, None, :] ^ queries[None, :, :])
+            bits = apart.sum(axis=2)
+            m, q = np.nonzero(bits <= radius)
+            if len(m):
+                shares = np.add.reduceat(apart[m, q], starts, axis=1) <= errors
+                first = shares.argmax(axis=1) == block
+                yield from zip(q[first].tolist(), (a + m[first]).tolist(), bits[m[first], q[first]].tolist())
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int, int]]:
+        cell, queries = None, None
         for batch in batches:
+            if not len(batch):
+                continue
             cells = batch.column(0).to_numpy(zero_copy_only=False)
-            numbers = batch.column(1).to_numpy(zero_copy_only=False)
-            asked = batch.column(2).to_numpy(zero_copy_only=False)
-            fps = batch.column(3)
-            n = batch.column(4).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]])) if len(cells) else []
+            asked = batch.column(1).to_numpy(zero_copy_only=False)
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+            cuts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]])).tolist()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if cells[a] != cell:
-                    cell, block, marks = cells[a], int(numbers[a]), []
-                    if len(totals) > 50_000:
-                        yield settle()
                 new = int(asked[a:b].sum())     # queries of a cell come before its members
-                if new:
-                    marks = marks + [v.as_py() for v in fps[a:a + new]]
-                    queries = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BITS // 8)
-                if marks and a + new < b:
-                    joined = b"".join(v.as_py() for v in fps[a + new:b])
-                    compare(np.frombuffer(joined, dtype=np.uint8).reshape(-1, BITS // 8), n[a + new:b])
+                if cells[a] != cell:
+                    cell, queries = cells[a], marks[a:a + new]
+                elif new:
+                    queries = np.concatenate([queries, marks[a:a + new]])
+                if len(queries) and a + new < b:
+                    members = marks[a + new:b]
+                    for q, m, bits in pairs_of(queries, members, int(batch.column(4)[a].as_py())):
+                        yield queries[q].tobytes(), members[m].tobytes(), bits, int(n[a + new + m])
+
+    return near
+
+
+def _pairs(near):
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = near(batches)
+        while rows := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows), (pa.binary(), pa.binary(), pa.int32(), pa.int64()))], names=["fp", "member", "bits", "n"])
+    return pairs
+
+
+def _counts(near):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[bytes, int] = {}
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()),
+                                               pa.array(list(totals.values()), pa.int64())], names=["fp", "n"])
+
+        for mark, _, _, n in near(batches):
+            totals[mark] = totals.get(mark, 0) + n
+            if len(totals) > 50_000:
+                yield batch_of()
+                totals.clear()
         if totals:
-            yield settle()
+            yield batch_of()
+    return counts
 
-    return count
 
+def _cells(marked: DataFrame, asked: DataFrame, radius: int, width: int | None, salt_from: int):
+    """The rows of the block tables that queries meet, dealt by cell (table and key), queries first; and the blocks."""
+    members = shared_table(marked.groupBy("fingerprint").agg(F.count("*").alias("n")), "classes")
+    blocks = blocks_for(radius, width or (3 if members.count() > WIDE_FROM else 2))
 
-def near_counts(marked: DataFrame, asked: DataFrame, radius: int = RADIUS, salt_from: int = SALT_FROM) -> DataFrame:
-    """(fp, n): for each asked fingerprint, the number of rows of ``marked`` within the radius.
+    def key(i: int):
+        part = F.substring("fingerprint", 1 + 2 * blocks.starts[i], 2 * blocks.widths[i])
+        return F.conv(part, 16, 10).cast("long") + F.lit(i << 24)
 
-    marked, asked: a hex column ``fingerprint``. Equal fingerprints are searched once.
-    """
-    blocks = 1 << radius.bit_length()       # a power of two above the radius divides the bits evenly
-    width = 2 * (BITS // 8 // blocks)
-    members = marked.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    n_blocks = range(len(blocks.starts))
     queries = asked.select("fingerprint").distinct()
 
-    def tables(df, is_query, n):
-        return (df.select("fingerprint", n.alias("n"), F.posexplode(F.array(
-            *[F.substring("fingerprint", 1 + i * width, width) for i in range(blocks)])).alias("block", "key"))
-            .select(F.xxhash64("block", "key").alias("cell"), "block", F.lit(is_query).alias("is_query"),
-                    F.unhex("fingerprint").alias("fp"), "n"))
-
-    asked_cells = tables(queries, True, F.lit(0).cast("long"))
-    cells = tables(members, False, F.col("n")).join(asked_cells.select("cell").distinct(), "cell", "left_semi")
-    cells = shared_table(cells.select("cell", "block", "is_query", "fp", "n"), "cells")
-    hot = cells.groupBy("cell").count().where(F.col("count") > salt_from).select(
-        "cell", F.ceil(F.col("count") / salt_from).cast("int").alias("salts"))
-    salted = cells.join(hot, "cell", "left").withColumn(
-        "cell", F.when(F.col("salts").isNull(), F.col("cell")).otherwise(
-            F.xxhash64("cell", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))).drop("salts")
-    copied = asked_cells.join(hot, "cell", "left").select("*", F.explode(F.coalesce(
-        F.sequence(F.lit(0), F.col("salts") - 1), F.array(F.lit(0)))).alias("salt")).withColumn(
-        "cell", F.when(F.col("salts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "salt"))
-    ).drop("salts", "salt")
-    found = (salted.select(copied.columns).union(copied).repartition("cell")
-             .sortWithinPartitions("cell", F.desc("is_query"))
-             .select("cell", "block", "is_query", "fp", "n")
-             .mapInArrow(_near_in_cells(radius, blocks), "fp binary, n long"))
-    return found.groupBy("fp").agg(F.sum("n").alias("n")).select(F.lower(F.hex("fp")).alias("fingerprint"), "n")
+    def keys_near(i: int):
+        flips = F.array(*[F.lit(m).cast("long") for m in _flips(8 * blocks.widths[i], blocks.errors[i])])
+        return F.transform(flips, lambda m: key(i).bitwiseXOR(m))
+
+    met = queries.select(F.unhex("fingerprint").alias("fp"),
+                         F.explode(F.flatten(F.array(*[keys_near(i) for i in n_blocks]))).alias("cell"))
+    met = shared_table(met.select("cell", F.lit(True).alias("is_query"), "fp", F.lit(0).cast("long").alias("n")), "queries")
+    listed = members.select(F.explode(F.array(*[key(i) for i in n_blocks])).alias("cell"), F.lit(False).alias("is_query"),
+                            F.unhex("fingerprint").alias("fp"), "n")
+    keys = met.select("cell").distinct()
+    # blocks of two bytes make at most 2^20 cells
+    keys = F.broadcast(keys) if max(blocks.widths) <= 2 else keys
+    listed = shared_table(listed.join(keys, "cell", "left_semi").select(met.columns), "cells")
+    sizes = listed.groupBy("cell").count()
+    mean = sizes.agg(F.avg("count")).first()[0] or 0
+    most = max(salt_from, int(HOT * mean))
+    hot = sizes.where(F.col("count") > most).select(
+        F.col("cell"), F.ceil(F.col("count") / most).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = listed.join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int"))
+    copied = met.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    columns = [(F.col("cell") + F.col("salt").cast("long") * (1 << 32)).alias("cell"), "is_query", "fp", "n",
+               F.shiftright("cell", 24).cast("int").alias("block")]
+    return (salted.select(columns).union(copied.select(columns)).repartition("cell")
+            .sortWithinPartitions("cell", F.desc("is_query"))), blocks
+
+
+def near_matches(marked: DataFrame, asked: DataFrame, radius: int = RADIUS, width: int | None = None,
+                 salt_from: int = SALT_FROM) -> DataFrame:
+    """(fingerprint, member, bits, n): for each asked fingerprint, all fingerprints of ``marked`` within the radius.
+
+    marked, asked: a hex column ``fingerprint``, by which they are joined to get the rows
+    of either side. bits: the distance; n: the rows of ``marked`` with the fingerprint ``member``.
+    """
+    cells, blocks = _cells(marked, asked, radius, width, salt_from)
+    found = cells.mapInArrow(_pairs(_near_in_cells(radius, blocks)), "fp binary, member binary, bits int, n long")
+    return found.select(F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("member")).alias("member"), "bits", "n")
+
+
+def near_counts(marked: DataFrame, asked: DataFrame, radius: int = RADIUS, width: int | None = None,
+                salt_from: int = SALT_FROM) -> DataFrame:
+    """(fingerprint, n): for each asked fingerprint, the number of rows that `near_matches` finds, added up where they are met."""
+    cells, blocks = _cells(marked, asked, radius, width, salt_from)
+    found = cells.mapInArrow(_counts(_near_in_cells(radius, blocks)), "fp binary, n long")
+    return found.groupBy(F.lower(F.hex("fp")).alias("fingerprint")).agg(F.sum("n").alias("n"))
 
 
 def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -30,16 +30,50 @@ def test_documents(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in rows) > 0.95 * len(rows)
 
 
-@pytest.mark.parametrize("salt_from", [1 << 15, 4])
-def test_block_tables_find_all_within_the_radius(spark, salt_from):
+@pytest.mark.parametrize("radius, width", [(31, 2), (31, 3), (7, 2), (0, 2), (40, 3)])
+def test_blocks_leave_no_pair_out(radius, width):
+    blocks = P.blocks_for(radius, width)
+    assert sum(blocks.widths) == P.BITS // 8 and min(blocks.errors) >= 0
+    assert sum(e + 1 for e in blocks.errors) > radius
+
+
+@pytest.mark.parametrize("radius, width, salt_from", [(31, 2, 1 << 15), (31, 2, 4), (31, 3, 256), (7, 2, 4)])
+def test_block_tables_find_all_within_the_radius(spark, radius, width, salt_from):
     rng = random.Random(4)
     centres = [rng.getrandbits(256) for _ in range(5)]
-    fps = [c ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 9))) for c in centres for _ in range(30)]
-    fps += centres * 2 + [rng.getrandbits(256) for _ in range(50)]
+    fps = [c ^ sum(1 << b for b in rng.sample(range(256), rng.randint(0, 22))) for c in centres for _ in range(30)]
+    fps += centres * 2 + [rng.getrandbits(256) for _ in range(50)] + [0, 0, 1]
     df = spark.createDataFrame([(f"{f:064x}",) for f in fps], "fingerprint string")
-    got = {r["fingerprint"]: r["n"] for r in P.near_counts(df, df.limit(60), 7, salt_from).collect()}
-    for mark in {r["fingerprint"] for r in df.limit(60).collect()}:
-        assert got[mark] == sum((int(mark, 16) ^ f).bit_count() <= 7 for f in fps)
+    asked = spark.createDataFrame([(f"{f:064x}",) for f in fps[::3]], "fingerprint string")
+    got = sorted(tuple(r) for r in P.near_matches(df, asked, radius, width, salt_from).collect())
+    expected = sorted((f"{q:064x}", f"{m:064x}", (q ^ m).bit_count(), fps.count(m))
+                      for q in set(fps[::3]) for m in set(fps) if (q ^ m).bit_count() <= radius)
+    assert got == expected and any(0 < r[2] for r in got)
+    counts = {r["fingerprint"]: r["n"] for r in P.near_counts(df, asked, radius, width, salt_from).collect()}
+    assert counts == {q: sum(r[3] for r in expected if r[0] == q) for q in {r[0] for r in expected}}
+
+
+def test_recall_on_edited_copies(spark):
+    """Nine of ten copies with up to one word in twenty replaced are within the radius, and no unrelated text is."""
+    rng = random.Random(3)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    some = [t for t in texts if t and 150 <= len(t.split()) <= 400]
+    words = [w for t in some for w in t.split()]
+    for share in (0.005, 0.02, 0.05):
+        copies = [" ".join(rng.choice(words) if rng.random() < share else w for w in t.split()) for t in some]
+        near = [P.likeness(P.fingerprint(t), P.fingerprint(c)) >= 1 - P.RADIUS / P.BITS for t, c in zip(some, copies)]
+        print(share, len(near), sum(near) / len(near))
+        assert sum(near) >= 0.9 * len(near)
+
+
+def test_repeated_and_missing_ids_are_dealt_out(spark):
+    texts = [f"text number {i} of a repeated id" for i in range(200)]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = P.edited_likeness(docs.repartition(3)).collect()
+    order = sorted(texts[1::2]) + sorted(texts[::2])
+    expected = {P.fingerprint(t).hex(): hashlib.sha256(P.edited(t, order[(i + 1) % 200]).encode()).hexdigest()
+                for i, t in enumerate(order)}
+    assert {r["fingerprint"]: r["edited_sha256"] for r in rows} == expected and len(rows) == 200
 
 
 def test_one_document(spark):
