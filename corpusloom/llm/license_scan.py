@@ -11,13 +11,18 @@ Cues are counted over all distinct lines of the corpus that aren't known licence
 words that name a licence are cues however common, and each template keeps so many of its
 rarest words that no line without a cue can hold LEAST_OVERLAP of it.
 
-A paragraph (line) without a cue has no feature, so only lines with a cue are scored;
-this leaves nothing out. A predicted family must reach the probability
+A line without a cue has no feature, so only lines with a cue are scored. A paragraph is a
+line, or a window of consecutive lines for notices that are wrapped. A window begins at a
+line with a cue and goes on to a blank line, or until it has as many words as the longest template.
+A template that it holds enough of ends it at the last line that adds to that; only templates count that neither
+the first line nor the others hold as much of, and of these the one with most word pairs. Of the windows of
+a document that share lines the one with the largest overlap counts, then the first. Lines inside it
+aren't reported again, but for other families' own notices. A predicted family must reach the probability
 that all but a few of its own held-back examples reach, and the paragraph must hold
 enough of one of the family's templates, and of no other family's more; otherwise it counts
 as `unknown`.
 
-Defined results: null and empty texts have no paragraph; lines are taken whole; repeated rows
+Defined results: null and empty texts have no paragraph; lines are taken whole, of any length; repeated rows
 give repeated findings; of equal probabilities the first family by name counts; with an
 empty table the result is empty; other columns of the input are ignored.
 """
@@ -39,10 +44,16 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except "
                    "in compliance with the License."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                   "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD", "Licensed under the BSD 3-Clause License."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
             "that the following conditions are met"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+            "following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY", "Licensed under CC BY 4.0."),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -53,6 +64,10 @@ TEMPLATES = (
     ("GPL", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
             "General Public License as published by the Free Software Foundation"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+            "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+            "(at your option) any later version."),
+    ("GPL", "You should have received a copy of the GNU General Public License along with this program."),
     ("GPL", "SPDX-License-Identifier: GPL-3.0-only"),
     ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL", "SPDX-License-Identifier: LGPL-3.0-only"),
@@ -60,6 +75,13 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the Software), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
@@ -188,10 +210,36 @@ def choose_cues(counts: dict[str, int], templates) -> list[str]:
     return sorted(cues)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, text) of every line that isn't blank."""
-    return (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-            .where(F.trim("text") != ""))
+def cue_lines(docs: DataFrame, cues: list[str], most: int) -> DataFrame:
+    """(row, doc_id, paragraph, words, lines, later) of every line with a cue.
+
+    lines: the line itself and those after it, up to a blank one or until they have ``most`` words;
+    later: the words of those after it.
+    """
+    cue = F.array(*[F.lit(c) for c in cues]) if cues else F.array().cast("array<string>")
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split("text", "\n").alias("all"))
+    marked = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("paragraph"), words_of(x).alias("words"))),
+                      lambda s: F.arrays_overlap(s["words"], cue))
+
+    def follow(state, line):
+        words = words_of(line)
+        go_on = state["open"] & (F.trim(line) != "")
+        return F.when(go_on, F.struct(
+            F.concat(state["later"], F.array(words)).alias("later"), (state["n"] + F.size(words)).alias("n"),
+            (state["n"] + F.size(words) < most).alias("open"))).otherwise(
+            F.struct(state["later"].alias("later"), state["n"].alias("n"), F.lit(False).alias("open")))
+
+    # a line that goes on has a word or is a row of signs; a window has at most as many lines as the longest template words
+    start = F.struct(F.array().cast("array<array<string>>").alias("later"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    with_later = F.transform(marked, lambda s: F.struct(
+        s["paragraph"].alias("paragraph"), s["words"].alias("words"),
+        F.when(F.size(s["words"]) < most, F.aggregate(
+            F.slice(F.col("all"), s["paragraph"] + 2, most), start, follow)["later"]).otherwise(
+            F.array().cast("array<array<string>>")).alias("later")))
+    with_lines = F.transform(with_later, lambda s: F.struct(
+        s["paragraph"].alias("paragraph"), s["words"].alias("words"), s["later"].alias("later"),
+        F.slice(F.col("all"), s["paragraph"] + 1, F.size(s["later"]) + 1).alias("lines")))
+    return split.select("row", "doc_id", F.explode(with_lines).alias("s")).select("row", "doc_id", "s.*")
 
 
 @dataclass
@@ -309,18 +357,8 @@ def fit_licenses(docs: DataFrame, templates=TEMPLATES) -> LicenseModel:
     return LicenseModel(classes, cues, weights, shared_table(least, "licence-least"), tuple(templates))
 
 
-def find_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """(doc_id, paragraph, text, family, probability, overlap) of every licence paragraph.
-
-    family is `unknown` for a licence text that matches no family surely enough.
-    """
-    cue = F.array(*[F.lit(c) for c in model.cues]) if model.cues else F.array().cast("array<string>")
-    lines = shared_table(
-        paragraphs(docs.select("doc_id", "text")).withColumn("words", words_of(F.col("text")))
-        .where(F.arrays_overlap("words", cue)).withColumn("line", F.monotonically_increasing_id()), "licence-candidates")
-    scored = class_scores(lines, ["line"], model.weights, model.classes, model.cues).where("label <> 'none'")
-    # at most one row per family
-    found = lines.join(scored, "line").join(F.broadcast(model.least), "label", "left")
+def judged(found: DataFrame, model: LicenseModel) -> DataFrame:
+    """Scored rows with overlap, and ``sure``: whether their label's family is confirmed by its templates."""
     templates = template_pairs(model.templates)
     pairs = word_pairs(F.col("words"))
 
@@ -329,9 +367,81 @@ def find_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
         return F.coalesce(F.array_max(F.transform(chosen, lambda t: F.size(F.array_intersect(t["pairs"], pairs))
                                                   / F.size(t["pairs"]))), F.lit(0.0))
 
-    sure = ((F.col("probability") >= F.coalesce("least", F.lit(0.0))) & (F.col("overlap") >= LEAST_OVERLAP)
-            & (F.col("overlap") >= F.col("other")))
-    return (found.withColumn("overlap", best(True)).withColumn("other", best(False))
-            .select("doc_id", "paragraph", "text",
-                    F.when(sure & (F.col("label") != "unknown"), F.col("label")).otherwise("unknown").alias("family"),
-                    "probability", "overlap"))
+    # at most one row per family
+    return (found.join(F.broadcast(model.least), "label", "left")
+            .withColumn("overlap", best(True)).withColumn("other", best(False))
+            .withColumn("sure", (F.col("probability") >= F.coalesce("least", F.lit(0.0))) & (F.col("label") != "unknown")
+                        & (F.col("overlap") >= LEAST_OVERLAP) & (F.col("overlap") >= F.col("other"))))
+
+
+def windows_of(lines: DataFrame, templates) -> DataFrame:
+    """(row, line, doc_id, paragraph, last, text, words) of the windows that hold enough of a template.
+
+    A template's window ends where it holds most. Only templates count that the window's first line alone, and its
+    other lines, hold less of.
+    """
+    def held(pairs, words):
+        return F.size(F.array_intersect(pairs, word_pairs(words)))
+
+    whole = F.concat(F.col("words"), F.flatten("later"))
+    counted = F.transform(template_pairs(templates), lambda t, i: F.struct(
+        held(t["pairs"], whole).alias("n"), (-i).alias("order"), t["pairs"].alias("pairs")))
+    enough = F.filter(counted, lambda c: (c["n"] >= LEAST_OVERLAP * F.size(c["pairs"])) & (
+        held(c["pairs"], F.col("words")) < c["n"]))
+
+    def upto(m):
+        return F.flatten(F.slice("later", 1, m))
+
+    # the least number of later lines that hold as much
+    ended = F.transform(enough, lambda c: F.struct(c["n"].alias("n"), c["order"].alias("order"), F.array_min(F.transform(
+        F.sequence(F.lit(1), F.size("later")), lambda m: F.struct(
+            (-held(c["pairs"], F.concat(F.col("words"), upto(m)))).alias("n"), m.alias("m"))))["m"].alias("m"),
+        c["pairs"].alias("pairs")))
+    begun = F.filter(ended, lambda c: held(c["pairs"], upto(c["m"])) < c["n"])
+    return (lines.where(F.size("later") > 0)
+            .select("*", F.explode(F.slice(F.sort_array(begun, asc=False), 1, 1)).alias("t"))
+            .select("*", F.col("t.m").alias("m"))
+            .select("row", "line", "doc_id", "paragraph", (F.col("paragraph") + F.col("m")).alias("last"),
+                    F.array_join(F.slice("lines", 1, F.col("m") + 1), "\n").alias("text"),
+                    F.concat(F.col("words"), upto(F.col("m"))).alias("words")))
+
+
+def without_shared_lines(windows: DataFrame) -> DataFrame:
+    """(row, kept): each document's windows, the largest overlap first, without those that share lines with an earlier one."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("overlap")).alias("order"), "paragraph", "last", "doc_id", "text",
+                                                   "label", "probability", "overlap")))
+
+    def add(kept, w):
+        return F.when(F.exists(kept, lambda v: (v["paragraph"] <= w["last"]) & (w["paragraph"] <= v["last"])), kept
+                      ).otherwise(F.concat(kept, F.array(w)))
+
+    # the confirmed notices of one document: a bounded group
+    return windows.groupBy("row").agg(ordered.alias("found")).select(
+        "row", F.aggregate("found", F.filter("found", lambda _: F.lit(False)), add).alias("kept"))
+
+
+def find_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
+    """(doc_id, paragraph, last, text, family, probability, overlap) of every licence paragraph.
+
+    paragraph, last: numbers of its first and last line. family is `unknown` for a licence line that
+    matches no family surely enough.
+    """
+    longest = max(len(re.findall("[0-9a-z]+", t.lower())) for _, t in model.templates)
+    lines = shared_table(cue_lines(docs.select("doc_id", "text"), model.cues, longest)
+                         .withColumn("line", F.monotonically_increasing_id()), "licence-candidates")
+    alone = lines.select("row", "line", "doc_id", "paragraph", F.col("paragraph").alias("last"),
+                         F.col("lines")[0].alias("text"), "words")
+    windows = shared_table(windows_of(lines, model.templates), "licence-windows")
+
+    def scored(some):
+        marks = class_scores(some, ["line"], model.weights, model.classes, model.cues).where("label <> 'none'")
+        return judged(some.join(marks, "line"), model)
+
+    kept = shared_table(without_shared_lines(scored(windows).where("sure")), "licence-kept")
+    inside = F.exists(F.coalesce("kept", F.array().cast(kept.schema["kept"].dataType)), lambda w: F.col("paragraph").between(
+        w["paragraph"], w["last"]) & (~F.col("sure") | (w["label"] == F.col("label"))))
+    out = ("doc_id", "paragraph", "last", "text", "label", "probability", "overlap")
+    single = scored(alone).join(kept, "row", "left").where(~inside).withColumn(
+        "label", F.when(F.col("sure"), F.col("label")).otherwise("unknown"))
+    wrapped = kept.select(F.explode("kept").alias("w")).select("w.*")
+    return single.select(*out).union(wrapped.select(*out)).withColumnRenamed("label", "family")
