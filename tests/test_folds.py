@@ -145,3 +145,36 @@ def test_one_queue_in_one_hour(spark):
         ok = at is None or (r[1] - at).total_seconds() >= 7.0
         at = r[1] if ok else at
         assert (sums[r[0]], last[r[0]], gap[r[0]]) == (total, on, ok)
+
+
+def test_walks_take_one_step_a_row(spark, monkeypatch):
+    """No frame that shrinks row by row (counted anew for each) and no list that is copied for every row."""
+    _, df = _log(spark, n=50)
+    seen, write = [], alloc.materialized
+
+    def keep(frame, name):
+        seen.append(frame._jdf.queryExecution().toString())
+        return write(frame, name)
+
+    monkeypatch.setattr(alloc, "materialized", keep)
+    alloc.greedy_gap(df.select("queue", "event_id", "ts"), "queue", "ts", "event_id", 1800, True)
+    assert seen and not any("unboundedfollowing" in plan for plan in seen)
+    plan = alloc.clamp_admission(df, "queue", "ts", "event_id", "delta", 5)._jdf.queryExecution().toString()
+    assert "concat(" not in plan.lower() and "zip_with" not in plan.lower()
+
+
+def test_admission_of_one_busy_hour(spark):
+    """Carried over buckets and keys, with rows that neither add nor take; a null key's rows are left out."""
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 5, 1, 12)
+    rows = [(i, t0 + dt.timedelta(seconds=rnd.randint(0, 9_000)), rnd.choice(["q", "r"]), rnd.choice([1, 1, -1, 0]))
+            for i in range(3000)] + [(3000, t0, None, 1)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, queue string, delta int")
+    got = {r["event_id"]: (r["depth_before"], r["depth_after"], r["rejected"]) for r in
+           alloc.clamp_admission(df, "queue", "ts", "event_id", "delta", 5).collect()}
+    assert 3000 not in got
+    depth = {"q": 0, "r": 0}
+    for i, _, q, d in sorted(rows[:3000], key=lambda r: (r[1], r[0])):
+        after = min(depth[q] + 1, 7) if d > 0 else max(depth[q] - 1, 0) if d < 0 else depth[q]
+        assert got[i] == (depth[q], after, d > 0 and depth[q] >= 7)
+        depth[q] = after
