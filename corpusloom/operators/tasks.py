@@ -9,10 +9,13 @@ generic one-subtask DAG.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from corpusloom import rules as R
 
@@ -215,55 +218,83 @@ def dag_metrics(subtasks: DataFrame) -> DataFrame:
 
 # --- task-type detection (T1, J8, J11) ---------------------------------------
 
-@F.pandas_udf(DoubleType())
-def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib SequenceMatcher(None, a, b).ratio() over Arrow batches."""
-    import difflib
+def length_band(keyword: str, threshold: float, method: str) -> tuple[int, int]:
+    """The word lengths that can reach the threshold.
 
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    Levenshtein: 1 - d/max >= t needs min/max >= t. Ratcliff: 2M/(la+lb) >= t with
+    M <= min needs max <= (2 - t)/t x min.
+    """
+    ratio = threshold if method == "levenshtein" else threshold / (2 - threshold)
+    return max(math.ceil(ratio * len(keyword) - 1e-9), 1), math.floor(len(keyword) / ratio + 1e-9)
+
+
+def best_ratcliff(words: Column, keywords: list[str], bands: list[tuple[int, int]]) -> Column:
+    """For each keyword the best difflib SequenceMatcher(None, keyword, word).ratio() of the words in its length band
+    (null: none there). Each distinct word of a task is compared once (a bounded memo)."""
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import difflib
+
+        memo: dict[str, list[tuple[int, float]]] = {}
+        for batch in batches:
+            out = []
+            for row in batch:
+                found: list[float | None] = [None] * len(keywords)
+                for word in () if row is None else row:
+                    got = memo.get(word)
+                    if got is None:
+                        got = [(i, difflib.SequenceMatcher(None, k, word).ratio())
+                               for i, (k, (lo, hi)) in enumerate(zip(keywords, bands)) if lo <= len(word) <= hi]
+                        if len(memo) > 50_000:
+                            memo.clear()
+                        memo[word] = got
+                    for i, r in got:
+                        if found[i] is None or r > found[i]:
+                            found[i] = r
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    return best(words)
 
 
 def fuzzy_keyword_scores(tasks: DataFrame, id_col: str, text_col: str, keywords=R.TASK_KEYWORDS,
                          threshold: float = R.SIMILARITY_THRESHOLD, method: str = "levenshtein") -> DataFrame:
     """J8 (Levenshtein form): for each type, sum over its keywords of the best
-    word similarity when >= threshold, divided by the keyword count.
+    word similarity when >= threshold, divided by the keyword count. A type none of whose
+    keywords has a word of a length that can reach the threshold gives no row.
 
     similarity = 1 - levenshtein / max(len) by default; ``method="ratcliff"``
     uses difflib's ratio (keyword, word) as the original does, in an Arrow UDF.
-    The comparison runs on distinct words only, joined to the keywords on the
-    admissible length band, then joined back to the tasks.
+    Each row's words are compared inside the scan with the keywords whose length band admits them; the shuffle
+    carries one number a keyword and id. No word is a join key, so common words gather no rows.
     """
-    import math
-    spark = tasks.sparkSession
-    # A word can reach the threshold only if its length is within the band
-    # [ceil(t * len(k)), floor(len(k) / t)], so keywords are expanded over the
-    # admissible word lengths and equi-joined on length (no cross product).
-    # Levenshtein: 1 - d/max >= t needs min/max >= t. Ratcliff: 2M/(la+lb) >= t with
-    # M <= min needs max <= (2 - t)/t x min.
-    ratio = threshold if method == "levenshtein" else threshold / (2 - threshold)
-    kw_rows = []
-    for ty, kws in keywords.items():
-        for k in kws:
-            lo, hi = math.ceil(ratio * len(k) - 1e-9), math.floor(len(k) / ratio + 1e-9)
-            kw_rows += [(ty, k, len(kws), n) for n in range(max(lo, 1), hi + 1)]
-    kw = spark.createDataFrame(kw_rows, "task_type string, keyword string, n_keywords int, wlen int")
-    words = tasks.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word")).filter(
-        F.col("word") != "").distinct()
-    vocab = words.select("word").distinct().withColumn("wlen", F.length("word"))
+    if method not in ("levenshtein", "ratcliff"):
+        raise ValueError(method)
+    kws = list(dict.fromkeys(k for ks in keywords.values() for k in ks))
+    bands = [length_band(k, threshold, method) for k in kws]
+    rows = tasks.select(id_col, F.array_distinct(F.split(F.lower(F.col(text_col)), r"\s+")).alias("_words"))
     if method == "levenshtein":
-        score = (F.lit(1.0) - F.levenshtein("word", "keyword") /
-                 F.greatest(F.length("word"), F.length("keyword")).cast("double"))
-    elif method == "ratcliff":
-        score = ratcliff_ratio(F.col("keyword"), F.col("word"))
+        def best(k: str, lo: int, hi: int) -> Column:
+            fit = F.filter("_words", lambda w: F.length(w).between(lo, hi))
+            return F.array_max(F.transform(fit, lambda w: F.lit(1.0) - F.levenshtein(w, F.lit(k)) /
+                                           F.greatest(F.length(w), F.lit(len(k))).cast("double")))
+        rows = rows.select(id_col, *[best(k, *band).alias(f"_k{i}") for i, (k, band) in enumerate(zip(kws, bands))])
     else:
-        raise ValueError(method)
-    sim = vocab.join(F.broadcast(kw), "wlen").select("word", "task_type", "keyword", "n_keywords",
-                                                     score.alias("sim"))
-    best = (words.join(sim, "word").groupBy(id_col, "task_type", "keyword", "n_keywords")
-            .agg(F.max("sim").alias("best")))
-    return (best.groupBy(id_col, "task_type").agg(
-        (F.sum(F.when(F.col("best") >= threshold, F.col("best")).otherwise(0.0)) / F.max("n_keywords"))
-        .alias("keyword_score")))
+        rows = rows.select(id_col, best_ratcliff(F.col("_words"), kws, bands).alias("_best"))
+        rows = rows.select(id_col, *[F.col("_best")[i].alias(f"_k{i}") for i in range(len(kws))])
+    # rows of one id count together: the best of each
+    per_id = rows.groupBy(id_col).agg(*[F.max(f"_k{i}").alias(f"_k{i}") for i in range(len(kws))])
+    scores = []
+    for ty, ks in keywords.items():
+        if not ks:
+            continue
+        of = [F.col(f"_k{kws.index(k)}") for k in dict.fromkeys(ks)]
+        total = F.lit(0.0)
+        for c in of:
+            total = total + F.when(c >= threshold, c).otherwise(0.0)
+        scores.append(F.when(F.coalesce(*of).isNotNull(), F.struct(
+            F.lit(ty).alias("task_type"), (total / F.lit(len(ks))).alias("keyword_score"))))
+    return per_id.select(id_col, F.explode(F.array_compact(F.array(*scores))).alias("_s")).select(id_col, "_s.*")
 
 
 def detect_type(tasks: DataFrame, keyword_scores: DataFrame, id_col: str, keywords=R.TASK_KEYWORDS,
@@ -275,36 +306,35 @@ def detect_type(tasks: DataFrame, keyword_scores: DataFrame, id_col: str, keywor
 
     ``indicators`` maps type -> parameter names. With ``params_col`` (a
     map<string,string>) a name counts when it is a key of the map; without it
-    every listed name counts (column-shaped parameters). Every type is scored
-    for every task by exploding the (small, fixed) type list.
+    every listed name counts (column-shaped parameters). A task's types are scored in its own
+    row, one column each; rows of one id count together.
     """
     types = list(keywords)
     indicators = indicators or {}
     hierarchy = hierarchy or {}
-    rank = F.create_map(*sum([[F.lit(t), F.lit(i)] for i, t in enumerate(types)], []))
-    bonus = F.create_map(*sum([[F.lit(t), F.lit(R.INDICATOR_BONUS * len(indicators.get(t, [])))] for t in types], []))
-    extra = ([text_col] if text_col else []) + ([params_col] if params_col else [])
-    base = tasks.select(id_col, *extra, F.explode(F.array(*[F.lit(t) for t in types])).alias("task_type"))
-    if params_col:
-        inds = F.create_map(*sum([[F.lit(t), F.array(*[F.lit(i) for i in indicators.get(t, [])]).cast("array<string>")]
-                                  for t in types], []))
-        bonus_col = F.aggregate(F.transform(inds[F.col("task_type")],
-                                            lambda i: F.when(F.map_contains_key(F.col(params_col), i), 0.1)
-                                            .otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    else:
-        bonus_col = bonus[F.col("task_type")]
-    scored = base.join(keyword_scores, [id_col, "task_type"], "left")
-    h = F.lit(0.0)
-    if text_col and hierarchy:
+    per_id = keyword_scores.groupBy(id_col).agg(*[
+        F.max(F.when(F.col("task_type") == t, F.col("keyword_score"))).alias(f"_k{i}") for i, t in enumerate(types)])
+
+    def bonus(t: str) -> Column:
+        given = indicators.get(t, [])
+        if not params_col:
+            return F.lit(R.INDICATOR_BONUS * len(given))
+        out = F.lit(0.0)
+        for name in given:
+            out = out + F.when(F.map_contains_key(F.col(params_col), F.lit(name)), 0.1).otherwise(0.0)
+        return out
+
+    def parent(t: str) -> Column:
         cond = F.lit(False)
-        for t in types:
-            for term in hierarchy.get(t, []):
-                cond = cond | ((F.col("task_type") == t) & F.contains(F.lower(F.col(text_col)), F.lit(term)))
-        h = F.when(cond, F.lit(R.HIERARCHY_BONUS)).otherwise(0.0)
-    scored = scored.select(id_col, "task_type", rank[F.col("task_type")].alias("_rank"),
-                           (F.coalesce("keyword_score", F.lit(0.0)) + bonus_col + h).alias("score"))
-    best = scored.groupBy(id_col).agg(F.max_by(F.struct("task_type", "score"),
-                                               F.struct("score", -F.col("_rank"))).alias("b"))
+        for term in hierarchy.get(t, []) if text_col else []:
+            cond = cond | F.contains(F.lower(F.col(text_col)), F.lit(term))
+        return F.when(cond, F.lit(R.HIERARCHY_BONUS)).otherwise(0.0)
+
+    best = tasks.join(per_id, id_col, "left").groupBy(id_col).agg(*[
+        F.max(F.coalesce(f"_k{i}", F.lit(0.0)) + bonus(t) + parent(t)).alias(f"_s{i}") for i, t in enumerate(types)])
+    winner = F.array_max(F.array(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(-i).alias("rank"),
+                                            F.lit(t).alias("task_type")) for i, t in enumerate(types)]))
+    best = best.select(id_col, winner.alias("b"))
     return best.select(id_col, F.when(F.col("b.score") > 0, F.col("b.task_type")).otherwise(F.lit("generic"))
                        .alias("task_type"),
                        F.round(F.least(F.lit(R.MAX_CONFIDENCE), F.greatest(F.col("b.score"), F.lit(0.0))), 6)

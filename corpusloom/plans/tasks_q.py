@@ -11,7 +11,7 @@ from corpusloom.operators import tasks as TK
 from corpusloom.plans import sqlgen as S
 from corpusloom.plans.bindings import TASK_NOTES_SQL, TASK_PARAMS_SQL, task_notes, task_params
 from corpusloom.plans.registry import register
-from corpusloom.session import read_table
+from corpusloom.session import read_table, spread
 
 
 def _case(expr, mapping, default):
@@ -277,8 +277,8 @@ def _typed_tasks(spark, sf):
     """Parts as tasks: description, and the map of the parameters given."""
     given = F.map_filter(F.create_map(*[x for name, cond in _GIVEN.items() for x in (
         F.lit(name), F.when(F.expr(cond), F.lit("given")))]), lambda k, v: v.isNotNull())
-    return read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"),
-                                                given.alias("params"))
+    return spread(read_table(spark, sf, "part")).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"),
+                                                        given.alias("params"))
 
 
 def _detect_sql():
@@ -375,7 +375,7 @@ SELECT p_partkey, task_type, round(sum(CASE WHEN best >= {R.SIMILARITY_THRESHOLD
 @register("fuzzy_keyword_score", _fuzzy_sql())
 def fuzzy_keyword_score(spark, sf):
     """J8 (Levenshtein similarity, threshold 0.8): non-zero scores per (part, type)."""
-    part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    part = spread(read_table(spark, sf, "part")).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
     ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS)
     return ks.filter(F.col("keyword_score") > 0).select("p_partkey", "task_type",
                                                          F.round("keyword_score", 6).alias("keyword_score"))
@@ -386,6 +386,6 @@ def detect_task_type_ratcliff(spark, sf):
     """T1 with the original's difflib (Ratcliff/Obershelp) word similarity in
     an Arrow UDF over the length-banded (word, keyword) pairs (rows-only check;
     the SURVEY §5 goldens are reproduced in pytest)."""
-    part = read_table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    part = spread(read_table(spark, sf, "part")).select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("d"))
     ks = TK.fuzzy_keyword_scores(part, "p_partkey", "d", _FIXTURE_TASK_KEYWORDS, method="ratcliff")
     return TK.detect_type(part.select("p_partkey"), ks, "p_partkey", _FIXTURE_TASK_KEYWORDS, _FIXTURE_TASK_INDICATORS)
