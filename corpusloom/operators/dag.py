@@ -9,10 +9,16 @@ task with most of the nodes spreads like many small ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.session import materialized
 
+#: rows (nodes and edges) of a task that a worker holds to solve it by itself
+MAX_ROWS = 1 << 16
+
 
 class CycleError(ValueError):
     """The edges of some task run in a circle; ``examples`` are (task_id, subtask_id) on or behind one."""
@@ -64,10 +70,102 @@ def finish_times(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def critical_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per task: weight of the heaviest chain, its number of nodes, the number of nodes and their total weight."""
-    best = finish_times(nodes, edges).groupBy("task_id").agg(F.max(F.struct("finish", "hops")).alias("best"))
-    total = nodes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_subtasks"), F.sum("weight").alias("total_weight"))
-    return total.join(best, "task_id").select(
+def _heaviest(weights: dict[str, float], edges: set[tuple[str, str]]) -> tuple[float, int] | None:
+    """(weight, number of nodes) of the heaviest chain of one task; None if edges run in a circle."""
+    after: dict[str, list[str]] = {}
+    sources = dict.fromkeys(weights, 0)
+    for src, dst in edges:
+        if src in sources and dst in sources:
+            after.setdefault(src, []).append(dst)
+            sources[dst] += 1
+    ready = [node for node, n in sources.items() if not n]
+    came: dict[str, tuple[float, int]] = {}
+    best, taken = None, 0
+    while ready:
+        node = ready.pop()
+        taken += 1
+        finish, hops = came.get(node, (0.0, 0))
+        done = (weights[node] + finish, hops + 1)
+        if best is None or done > best:
+            best = done
+        for dst in after.get(node, ()):
+            if done > came.get(dst, (0.0, 0)):
+                came[dst] = done
+            sources[dst] -= 1
+            if not sources[dst]:
+                ready.append(dst)
+    return best if taken == len(weights) else None
+
+
+def _tasks_in_turn(max_rows: int):
+    """Nodes and edges in order of their tasks -> one row per task; one task's rows are held at a time, ``max_rows`` at most."""
+    names = ["task_id", "finish", "hops", "n_subtasks", "total_weight", "solved"]
+    types = [None, pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n_rows, weights, edges, count, total = None, 0, {}, set(), 0, None
+        out: list[tuple] = []
+
+        def close():
+            if task is not None and count:
+                best = _heaviest(weights, edges) if n_rows <= max_rows else None
+                out.append((task, *(best or (None, None)), count, total, best is not None))
+
+        def batch_of(kind):
+            columns = list(zip(*out)) or [()] * len(names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, t or kind) for c, t in zip(columns, types)], names=names)
+            out.clear()
+            return made
+
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for at, node, dst, weight in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if at != task:
+                    close()
+                    task, n_rows, weights, edges, count, total = at, 0, {}, set(), 0, None
+                n_rows += 1
+                if dst is not None:
+                    if n_rows <= max_rows:
+                        edges.add((node, dst))
+                    continue
+                count += 1
+                if weight is not None:
+                    total = weight if total is None else total + weight
+                if n_rows <= max_rows:
+                    weights[node] = max(weights.get(node, float("-inf")), weight or 0.0)
+            yield batch_of(kind)
+        close()
+        if out:
+            yield batch_of(kind)
+
+    return run
+
+
+def critical_paths(nodes: DataFrame, edges: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Per task: weight of the heaviest chain, its number of nodes, the number of nodes and their total weight.
+
+    Nodes and edges are dealt out by task once, and each task is solved where its rows are. Tasks with more than
+    ``max_rows`` rows aren't held by a worker: they are solved in waves (`finish_times`), as are those with a circle, which raises.
+    """
+    key = nodes.schema["task_id"].dataType
+    weight, none = F.col("weight").cast("double").alias("weight"), F.lit(None)
+    rows = (nodes.select("task_id", F.col("subtask_id").alias("node"), none.cast("string").alias("dst"), weight)
+            .unionByName(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
+                "task_id", F.col("src").alias("node"), "dst", none.cast("double").alias("weight")))
+            .where(F.col("task_id").isNotNull()))
+    schema = T.StructType([T.StructField("task_id", key), T.StructField("finish", T.DoubleType()),
+                           T.StructField("hops", T.LongType()), T.StructField("n_subtasks", T.LongType()),
+                           T.StructField("total_weight", T.DoubleType()), T.StructField("solved", T.BooleanType())])
+    solved = materialized(rows.repartition("task_id").sortWithinPartitions("task_id").mapInArrow(
+        _tasks_in_turn(max_rows), schema), "dag-tasks")
+    out = solved.where("solved").select("task_id", F.col("finish").alias("critical_path_weight"),
+                                        F.col("hops").alias("critical_path_nodes"), "n_subtasks", "total_weight")
+    rest = solved.where("not solved").select("task_id", "n_subtasks", "total_weight")
+    if rest.isEmpty():
+        return out
+    left = [x.join(rest.select("task_id"), "task_id", "left_semi") for x in (nodes, edges)]
+    best = finish_times(*left).groupBy("task_id").agg(F.max(F.struct("finish", "hops")).alias("best"))
+    return out.unionByName(rest.join(best, "task_id").select(
         "task_id", F.col("best.finish").alias("critical_path_weight"), F.col("best.hops").alias("critical_path_nodes"),
-        "n_subtasks", "total_weight")
+        "n_subtasks", "total_weight"))

@@ -59,3 +59,22 @@ def test_empty_and_null_weights(spark):
     none = spark.createDataFrame([], EDGES)
     assert {tuple(r) for r in dag.finish_times(n, none).collect()} == {("t", "a", 0.0, 1), ("t", "b", 2.0, 1)}
     assert dag.critical_paths(n.where("false"), none).collect() == []
+
+
+def test_tasks_solved_in_place_or_in_waves(spark, monkeypatch):
+    """Small tasks take one shuffle by task and no waves; larger ones give the same by waves; circles raise from both."""
+    rng = random.Random(5)
+    nodes = [(t, f"n{i}", float(rng.randint(-3, 9)) if i % 4 else None) for t, n in (("a", 12), ("b", 4), ("c", 1)) for i in range(n)]
+    nodes += [("a", "n3", 50.0), (None, "n0", 1.0)]
+    edges = [(t, f"n{i}", f"n{j}") for t, n in (("a", 12), ("b", 4)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4]
+    edges += edges[:5] + [("a", "absent", "n1"), ("none", "n0", "n1"), ("b", None, "n1")]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    waves = {tuple(r) for r in dag.critical_paths(n, e, max_rows=0).collect()}
+    mixed = {tuple(r) for r in dag.critical_paths(n, e, max_rows=10).collect()}
+    calls = []
+    monkeypatch.setattr(dag, "finish_times", lambda *a: calls.append(a))
+    assert {tuple(r) for r in dag.critical_paths(n, e).collect()} == waves == mixed
+    assert not calls and {t for t, *_ in waves} == {"a", "b", "c"}
+    monkeypatch.undo()
+    with pytest.raises(dag.CycleError):
+        dag.critical_paths(n, spark.createDataFrame([("b", "n0", "n1"), ("b", "n1", "n0")], EDGES))
