@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import rules as R
-from corpusloom.session import materialized, spread
+from corpusloom.session import materialized, small_batches, spread
 
 SPECIAL_TOKENS = R.SPECIAL_TOKENS
 # word runs (\w plus < > / . - :), whitespace runs, punctuation runs (everything else);
@@ -49,7 +49,7 @@ def strip_accents(s: pd.Series) -> pd.Series:
 
 def normalized(docs: DataFrame, text_col: str) -> DataFrame:
     """The first step of every vocabulary job: the text column without accents."""
-    return spread(docs).withColumn(text_col, strip_accents(F.col(text_col)))
+    return small_batches(spread(docs)).withColumn(text_col, strip_accents(F.col(text_col)))
 
 
 def pretokens(text: Column, special=SPECIAL_TOKENS) -> Column:

@@ -5,9 +5,11 @@ import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.operators import vocab as V
 
 
@@ -103,3 +105,22 @@ def test_pretokens_and_accents(spark):
     want = re.findall(r"<s>|</s>|\s+|[^\w\s<>/.\-:]+|[\w<>/.\-:]+", s)
     assert list(r["p"]) == want
     assert r["a"] == "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+
+
+def test_python_gets_small_batches(spark):
+    """Texts go to Python in batches of bounded bytes, not of 64 MB; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        df = spark.createDataFrame([("\u00e9" * 200_000,)] * 40, "t string").coalesce(1)
+        V.normalized(df, "t")
+        sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        got = [r["n"] for r in sizes.collect()]
+        assert sum(got) > 16_000_000 and max(got) < 2 * session.BATCH_BYTES
+        for now, then in (("4096", "4096"), ("4096b", "4096"), ("-1", str(session.BATCH_BYTES))):
+            spark.conf.set(key, now)
+            session.small_batches(df)
+            assert spark.conf.get(key).removesuffix("b") == then
+    finally:
+        spark.conf.set(key, was)
