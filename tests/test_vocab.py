@@ -118,7 +118,7 @@ def test_python_gets_small_batches(spark):
         sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
         got = [r["n"] for r in sizes.collect()]
         assert sum(got) > 16_000_000 and max(got) < 2 * session.BATCH_BYTES
-        for now, then in (("4096", "4096"), ("4096b", "4096"), ("-1", str(session.BATCH_BYTES))):
+        for now, then in (("4096", "4096"), ("4096b", "4096"), ("64m", str(session.BATCH_BYTES))):
             spark.conf.set(key, now)
             session.small_batches(df)
             assert spark.conf.get(key).removesuffix("b") == then
