@@ -239,7 +239,7 @@ def _counts(near):
 
 
 def _cells(marked: DataFrame, asked: DataFrame, radius: int, width: int | None, salt_from: int):
-    """The rows of the block tables that queries meet, dealt by cell (table and key), queries first; and the blocks."""
+    """The rows of the block tables and the queries, dealt by cell (table and key), queries first; and the blocks."""
     members = shared_table(marked.groupBy("fingerprint").agg(F.count("*").alias("n")), "classes")
     blocks = blocks_for(radius, width or (3 if members.count() > WIDE_FROM else 2))
 
@@ -259,10 +259,7 @@ def _cells(marked: DataFrame, asked: DataFrame, radius: int, width: int | None,
     met = shared_table(met.select("cell", F.lit(True).alias("is_query"), "fp", F.lit(0).cast("long").alias("n")), "queries")
     listed = members.select(F.explode(F.array(*[key(i) for i in n_blocks])).alias("cell"), F.lit(False).alias("is_query"),
                             F.unhex("fingerprint").alias("fp"), "n")
-    keys = met.select("cell").distinct()
-    # blocks of two bytes make at most 2^20 cells
-    keys = F.broadcast(keys) if max(blocks.widths) <= 2 else keys
-    listed = shared_table(listed.join(keys, "cell", "left_semi").select(met.columns), "cells")
+    # every member goes to its cell in each table, met or not: as many rows as there are fingerprints and tables
     sizes = listed.groupBy("cell").count()
     mean = sizes.agg(F.avg("count")).first()[0] or 0
     most = max(salt_from, int(HOT * mean))

@@ -53,6 +53,19 @@ def test_block_tables_find_all_within_the_radius(spark, radius, width, salt_from
     assert counts == {q: sum(r[3] for r in expected if r[0] == q) for q in {r[0] for r in expected}}
 
 
+def test_rows_of_the_block_tables_follow_the_fingerprints(spark):
+    """Every fingerprint has one row per table, however many cells the queries look up; a join of the two would grow with both."""
+    rng = random.Random(6)
+    for n, n_asked in ((300, 3), (300, 100)):
+        fps = [rng.getrandbits(256) for _ in range(n)]
+        df = spark.createDataFrame([(f"{f:064x}",) for f in fps], "fingerprint string")
+        asked = df.where(df.fingerprint.isin([f"{f:064x}" for f in fps[:n_asked]]))
+        cells, blocks = P._cells(df, asked, P.RADIUS, 2, P.SALT_FROM)
+        assert cells.where("not is_query").count() == n * len(blocks.starts)
+        assert cells.where("is_query").count() == n_asked * sum(
+            len(P._flips(8 * w, e)) for w, e in zip(blocks.widths, blocks.errors))
+
+
 def test_recall_on_edited_copies(spark):
     """Nine of ten copies with up to one word in twenty replaced are within the radius, and no unrelated text is."""
     rng = random.Random(3)
