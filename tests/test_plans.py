@@ -5,6 +5,7 @@ import json
 import pytest
 
 import __spark_entry__ as E
+from corpusloom import rules as R
 from tests.conftest import SF001
 
 # queries whose construction runs jobs (iterations) have tests of their own
@@ -60,6 +61,15 @@ def test_trace_counts_are_broadcast(spark):
     assert "BroadcastHashJoinExec" in names
 
 
+@pytest.mark.parametrize("name", ["crosstab_resource", "step_timing", "template_expand", "resource_usage",
+                                  "syscall_timing_match"])
+def test_texts_are_scored_once_for_all_steps(spark, name):
+    """No filter on the number of steps repeats the category and complexity expressions below the joins."""
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("the|of|and") == 1
+    assert plan.count("lower(content") + plan.count("lower(text") <= len(R.COMPLEXITY_INDICATORS)
+
+
 def test_dedupe_collapses_hot_hash_before_shuffle(spark):
     """A text held by a third of the rows is reduced map-side (partial min_by)."""
     from pyspark.sql import functions as F
