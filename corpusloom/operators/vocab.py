@@ -14,7 +14,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,6 +81,22 @@ def byte_level_pieces(pieces: Column, special=SPECIAL_TOKENS) -> Column:
         F.regexp_extract_all(p, F.lit(BYTE_LEVEL_PATTERN), F.lit(0)))))
 
 
+# the byte-level cut of texts without special tokens, in one pass: a piece is white space, or a run of one of
+# the other classes of PRETOKEN_PATTERN, of which letters, numbers and the rest are cut apart
+_RUN, _REST = r"[\w<>/.\-:]", r"[^\w\s<>/.\-:]"
+CUT_PATTERN = rf"(?U)\p{{L}}++|\s++|[{_RUN}&&[\p{{N}}]]++|[{_RUN}&&[^\p{{L}}\p{{N}}]]++|[{_REST}&&[\p{{N}}]]++|[{_REST}&&[^\p{{N}}]]++"
+
+
+def cut_pieces(text: Column, special=SPECIAL_TOKENS) -> Column:
+    """All of K2: ``byte_level_pieces(pretokens(text))``, in one pass for texts that no special token occurs in."""
+    one_pass = F.regexp_extract_all(text, F.lit(CUT_PATTERN), F.lit(0))
+    if not special:
+        return one_pass
+    # what precedes PRETOKEN_PATTERN's own alternatives
+    found = text.rlike(pretoken_pattern(special).removesuffix("|" + PRETOKEN_PATTERN[4:]))
+    return F.when(found, byte_level_pieces(pretokens(text, special), special)).otherwise(one_pass)
+
+
 def word_histogram(docs: DataFrame, text_col: str, min_frequency: int = R.MIN_FREQUENCY) -> DataFrame:
     """K3: frequency of non-whitespace pre-tokens, kept when >= min_frequency."""
     w = normalized(docs.select(text_col), text_col).select(F.explode(pretokens(F.col(text_col))).alias("word")).filter(~F.col("word").rlike(r"^\s+$"))
@@ -112,7 +130,8 @@ def byte_letters() -> list[str]:
 _LETTERS = byte_letters()
 _BYTES = {c: b for b, c in enumerate(_LETTERS)}
 _NEVER = 1 << 60
-PAIRS_SEEN = 1 << 16    # commonest pairs that come to the driver in a round, at most; beyond them, equal counts end a round
+PAIRS_SEEN = 1 << 16    # commonest pairs that are linked in a round, at most; beyond them, equal counts end a round
+PLACES = 1 << 21        # places of words whose pairs a task counts at a time
 SEGMENTS = 1 << 17      # distinct segments that come to the driver in a round, at most
 
 
@@ -279,7 +298,7 @@ def bpe_train(words: DataFrame, n_merges: int, *, byte_level: bool = True, lette
     linked pairs, equal runs are added up, and the driver follows the merges on those distinct segments
     (`follow_merges`) until that count is reached. How many pairs are linked follows from the number of segments,
     which never exceeds SEGMENTS; the first merge of a round needs none. The words after each round are
-    a written table: a lost executor costs a part of one round.
+    a written table, in which each symbol is one character: a lost executor costs a part of one round.
     ``letters`` is the alphabet; symbols outside it never merge.
     """
     state = materialized(symbol_runs(words, byte_level, letters), "bpe-symbols")
@@ -373,26 +392,31 @@ def encode(docs: DataFrame, text_col: str, tokenizer: Tokenizer, unk: str = "<un
     number = {t: i for i, t in enumerate(tokenizer.vocabulary())}
     special, byte_level, unknown = frozenset(tokenizer.special), tokenizer.byte_level, number[unk]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
-            out = []
-            for pieces in batch:
-                ids: list[int] = []
-                for piece in () if pieces is None else pieces:
-                    got = memo.get(piece)
-                    if got is None:
-                        got = [number[piece]] if piece in special else [
-                            number.get(s, unknown) for s in merged(symbols_of(piece, byte_level), ranks)]
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        memo[piece] = got
-                    ids += got
-                out.append(ids)
-            yield pd.Series(out)
-
-    pieces = byte_level_pieces(pretokens(F.col(text_col), tokenizer.special), tokenizer.special)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def to_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo: dict[str, np.ndarray] = {}
+        for pieces in batches:
+            found = pieces.flatten().dictionary_encode()
+            if len(memo) > 200_000:
+                memo.clear()
+            ids = []
+            for piece in found.dictionary.to_pylist():
+                got = memo.get(piece)
+                if got is None:
+                    got = memo[piece] = np.array([number[piece]] if piece in special else [
+                        number.get(s, unknown) for s in merged(symbols_of(piece, byte_level), ranks)], dtype=np.int32)
+                ids.append(got)
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            start = np.concatenate([[0], np.cumsum(size)])
+            at = found.indices.to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(size[at])])
+            # each piece's ids lie in a row from its start on
+            taken = np.repeat(start[at] - ends[:-1], size[at]) + np.arange(ends[-1])
+            values = np.concatenate([*ids, np.zeros(0, dtype=np.int32)])[taken]
+            first = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+            yield pa.ListArray.from_arrays(pa.array(ends[first], pa.int32()), pa.array(values, pa.int32()))
+
+    pieces = cut_pieces(F.col(text_col), tokenizer.special)
     return normalized(docs, text_col).withColumn("ids", to_ids(F.coalesce(pieces, F.array().cast("array<string>"))))
 
 

@@ -124,3 +124,34 @@ def test_python_gets_small_batches(spark):
             assert spark.conf.get(key).removesuffix("b") == then
     finally:
         spark.conf.set(key, was)
+
+
+def test_one_pass_cut_gives_the_same_pieces(spark):
+    """Letters, digits, other numbers, joiners, marks, scripts and special tokens, at the start and inside a run."""
+    texts = ["it's 2nd_x-y/z: a.b<c>d  \t\n e", "½²x² Ⅻ٣a__٣ x\u200dy!?½!", "naïve Ωμέγα 日本語123 \u00a0x\x1cy", "a<pad> <pad>b<s></s>!<s>x",
+             "", " ", "!!'s 't", None, "e\u0301 \u0903क\u093f १२", "\U0001d400\U0001f600\U0001d7d8a"]
+    rng = random.Random(5)
+    signs = "aZé_0٣²½Ⅻ<>/.-:!'\u200d\u0301\u00a0 \n日क\u093f\U0001f600"
+    texts += ["".join(rng.choice(signs) for _ in range(30)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", V.byte_level_pieces(V.pretokens(F.col("text"))).alias("two"), V.cut_pieces(F.col("text")).alias("one")).collect()
+    assert all(r["one"] == r["two"] for r in rows), [r for r in rows if r["one"] != r["two"]][:3]
+    assert sum(r["one"] is not None and len(r["one"]) > 1 for r in rows) > 300
+
+
+def test_encode_maps_distinct_pieces_of_a_batch(spark):
+    """Repeated, special, unknown and missing pieces in their rows' order, over several batches; Arrow arrays, not a Python list per row."""
+    tok = V.Tokenizer(["<unk>", "<pad>"], ["a", "b", "Ġ"], [("a", "b", 9), ("ab", "a", 5)])
+    number = {t: i for i, t in enumerate(tok.vocabulary())}
+    texts = ["aba aba <pad> xab", None, "", "ab" * 5, "ba ab"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    e = V.encode(docs, "t", tok)
+    assert "to_ids" in (plan := e._jdf.queryExecution().executedPlan().toString()) and ", 204" not in plan
+    ranks = {(a, b): i for i, (a, b, _) in enumerate(tok.merges)}
+    expected = [[i for piece in re.findall(r"<pad>|\S+|\s+", t or "") for i in ([1] if piece == "<pad>" else [
+        number.get(x, 0) for x in V.merged(V.symbols_of(piece, True), ranks)])] for t in texts]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [r["ids"] for r in e.orderBy("id").collect()] == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
