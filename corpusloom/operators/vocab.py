@@ -158,66 +158,160 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+def free_signs(taken: set[str]) -> Iterator[str]:
+    """Characters that no text symbol uses, private ones first: they stand for merged symbols in a table of words."""
+    return (chr(c) for c in chain(range(0xF0000, 0x110000), range(0x20000, 0xF0000)) if chr(c) not in taken)
+
+
 def symbol_runs(words: DataFrame, byte_level: bool, letters: list[str] | None) -> DataFrame:
-    """(sym, freq): the first symbols of a (word, freq) table; words are cut at symbols outside ``letters``, which never merge."""
+    """(sym, freq): the first symbols of a (word, freq) table, one character each; words are cut at symbols outside ``letters``, which never merge."""
     allowed = frozenset(letters) if letters is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             for word, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                symbols, start = symbols_of(word, byte_level), 0
+                symbols, start = "".join(symbols_of(word, byte_level)), 0
                 for i in range(len(symbols) + 1):
                     if i == len(symbols) or allowed is not None and symbols[i] not in allowed:
                         if i - start > 1:
-                            total[tuple(symbols[start:i])] += freq
+                            total[symbols[start:i]] += freq
                         start = i + 1
             yield _counted(total, "sym", "freq")
 
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a fixed number of parts: the rounds cost far more time than their few bytes suggest
-    return (words.select("word", "freq").mapInArrow(run, "sym array<string>, freq long").repartition(parts, "sym")
+    return (words.select("word", "freq").mapInArrow(run, "sym string, freq long").repartition(parts, "sym")
             .groupBy("sym").agg(F.sum("freq").alias("freq")))
 
 
 def _counted(total: Counter, key: str, value: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.string())),
-                                       pa.array(list(total.values()), pa.int64())], [key, value])
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], [key, value])
 
 
-def merged_table(state: DataFrame, ranks: dict[tuple[str, str], int]) -> DataFrame:
-    """A (sym, freq) table after the merges of ``ranks``; what has become one symbol is left out."""
+def symbols_in(state: DataFrame) -> set[str]:
+    """The distinct symbols of a (sym, freq) table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            syms, freqs = [], []
-            for symbols, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                symbols = merged(symbols, ranks)
-                if len(symbols) > 1:
-                    syms.append(symbols)
-                    freqs.append(freq)
-            yield pa.RecordBatch.from_arrays([pa.array(syms, pa.list_(pa.string())), pa.array(freqs, pa.int64())], ["sym", "freq"])
+            seen.update("".join(batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["s"])
+
+    return {r["s"] for r in state.mapInArrow(run, "s string").distinct().collect()}
+
+
+def _placed(batch: pa.RecordBatch, gap: str) -> tuple[list[str], str, np.ndarray, np.ndarray]:
+    """A batch's words, their text with ``gap`` behind each, the keys of its neighbouring places and each place's frequency."""
+    words = batch.column(0).to_pylist()
+    text = gap.join(words) + gap
+    signs = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    freqs = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes + 1)
+    return words, text, signs[:-1] << 21 | signs[1:], freqs
+
 
-    return state.mapInArrow(run, "sym array<string>, freq long")
+def _pair_key(a: str, b: str) -> int:
+    return ord(a) << 21 | ord(b)
 
 
-def linked_segments(state: DataFrame, linked: set[tuple[str, str]]) -> DataFrame:
+def sign_pairs(state: DataFrame, spelled: dict[str, str], gap: str) -> DataFrame:
+    """(a, b, n): adjacent symbol pairs of a (sym, freq) table, spelled out, weighted by frequency."""
+    space = ord(gap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold():
+            nonlocal keys, sums
+            every, n = (np.concatenate(x) for x in zip((keys, sums), *held))
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
+            keys, sums = every[first], np.add.reduceat(n[order], first) if len(every) else sums
+            held.clear()
+
+        def out():
+            a, b = ([spelled[chr(c)] for c in x.tolist()] for x in (keys >> 21, keys & (1 << 21) - 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sums)], ["a", "b", "n"])
+
+        n_held = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            _, _, key, freqs = _placed(batch, gap)
+            real = (key >> 21 != space) & (key & (1 << 21) - 1 != space)
+            held.append((key[real], freqs[:-1][real]))
+            n_held += len(key)
+            if n_held > PLACES:
+                fold()
+                n_held = 0
+                if len(keys) > PLACES // 4:
+                    yield out()
+                    keys, sums = keys[:0], sums[:0]
+        fold()
+        yield out()
+
+    return state.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def merged_table(state: DataFrame, merges: list[tuple[str, str, str]], repeats: bool, gap: str) -> DataFrame:
+    """A (sym, freq) table after the merges (a, b, their symbol) in this order; what has become one symbol is left out.
+
+    repeats: the last merge makes a symbol that was there before, so earlier merges can apply again behind it.
+    """
+    rank = {a + b: i for i, (a, b, _) in enumerate(merges)}
+    made = [(a + b, c) for a, b, c in merges]
+    last = len(made) - 1 if repeats else -1
+
+    def whole(word: str) -> str:
+        while len(word) > 1:
+            best = min([rank.get(word[i:i + 2], _NEVER) for i in range(len(word) - 1)])
+            if best == _NEVER:
+                break
+            word = word.replace(*made[best], 1 if best == last else -1)
+        return word
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.sort(np.array([_pair_key(*pair) for pair in rank], dtype=np.int64))
+        for batch in batches:
+            if not len(batch):
+                continue
+            words, _, key, freqs = _placed(batch, gap)
+            on = np.concatenate([_among(key, keys), [False]])
+            sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            touched = np.logical_or.reduceat(on, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])).tolist()
+            words = [whole(w) if t else w for w, t in zip(words, touched)]
+            left = pa.array([len(w) > 1 for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).filter(left), batch.column(1).filter(left)], ["sym", "freq"])
+
+    return state.mapInArrow(run, "sym string, freq long")
+
+
+def _among(key: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among sorted ones, of which there is at least one."""
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+
+def linked_segments(state: DataFrame, linked: list[tuple[str, str]], gap: str) -> DataFrame:
     """(seg, n): the longest runs of symbols whose neighbouring pairs are all ``linked``, with their frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.sort(np.array([_pair_key(*pair) for pair in linked], dtype=np.int64))
         total: Counter = Counter()
         for batch in batches:
-            for symbols, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                start = 0
-                for i in range(1, len(symbols) + 1):
-                    if i == len(symbols) or (symbols[i - 1], symbols[i]) not in linked:
-                        if i - start > 1:
-                            total[tuple(symbols[start:i])] += freq
-                        start = i
+            if not len(batch):
+                continue
+            _, text, key, freqs = _placed(batch, gap)
+            edge = np.diff(np.concatenate([[0], _among(key, keys), [0]]))
+            start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            for a, b, n in zip(start.tolist(), (stop + 1).tolist(), freqs[start].tolist()):
+                total[text[a:b]] += n
             if len(total) > SEGMENTS:
                 yield _counted(total, "seg", "n")
                 total = Counter()
         yield _counted(total, "seg", "n")
 
-    return state.mapInArrow(run, "seg array<string>, n long").groupBy("seg").agg(F.sum("n").alias("n"))
+    return state.mapInArrow(run, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
 
 
 def merge_one(old: list[str], a: str, b: str, freq: int, number: int, delta: Counter,
@@ -303,33 +397,45 @@ def bpe_train(words: DataFrame, n_merges: int, *, byte_level: bool = True, lette
     """
     state = materialized(symbol_runs(words, byte_level, letters), "bpe-symbols")
     merges: list[tuple[str, str, int]] = []
-    known: set[str] = set(letters) if letters is not None else {
-        r["s"] for r in state.select(F.explode("sym").alias("s")).distinct().collect()}
+    known: set[str] = set(letters) if letters is not None else symbols_in(state)
+    sign = {c: c for c in known}
+    spelled = dict(sign)
+    free = free_signs(set(known))
+    gap = next(free)
     links = 64
     while len(merges) < n_merges:
-        top = pair_counts(state).orderBy(F.col("n").desc(), "a", "b").limit(PAIRS_SEEN + 1).collect()
+        # written by the task that has all parts' best, so that no more than these rows come to the driver
+        seen = min(links, PAIRS_SEEN)
+        top = materialized(sign_pairs(state, spelled, gap).orderBy(F.col("n").desc(), "a", "b").limit(seen + 1), "bpe-pairs").collect()
+        top.sort(key=lambda r: (-r["n"], r["a"], r["b"]))
         if not top or top[0]["n"] < min_frequency:
             break
         found = None
         while found is None:
-            links = max(1, min(links, len(top) if len(top) <= PAIRS_SEEN else PAIRS_SEEN))
+            links = max(1, min(links, seen, len(top)))
             if links == 1:
                 found = [(top[0]["a"], top[0]["b"], top[0]["n"])]
                 known.add(top[0]["a"] + top[0]["b"])
                 links = 16
                 break
-            linked = {(r["a"], r["b"]) for r in top[:links]}
-            rows = linked_segments(state, linked).limit(SEGMENTS + 1).collect()
+            linked = [(sign[r["a"]], sign[r["b"]]) for r in top[:links]]
+            rows = materialized(linked_segments(state, linked, gap).limit(SEGMENTS + 1), "bpe-segments").collect()
             if len(rows) > SEGMENTS:
                 links //= 4
                 continue
             above = top[links]["n"] if links < len(top) else 0
-            found = follow_merges([(r["seg"], r["n"]) for r in rows], n_merges - len(merges), above, min_frequency, known)
+            found = follow_merges([([spelled[c] for c in r["seg"]], r["n"]) for r in rows], n_merges - len(merges), above,
+                                  min_frequency, known)
             if len(rows) < SEGMENTS // 4:
                 links *= 4
         merges += found
+        repeats = found[-1][0] + found[-1][1] in sign
+        for a, b, _ in found:
+            if a + b not in sign:
+                sign[a + b] = next(free)
+                spelled[sign[a + b]] = a + b
         if len(merges) < n_merges:
-            state = materialized(merged_table(state, {(a, b): i for i, (a, b, _) in enumerate(found)}), "bpe-symbols")
+            state = materialized(merged_table(state, [(sign[a], sign[b], sign[a + b]) for a, b, _ in found], repeats, gap), "bpe-symbols")
     return merges
 
 
