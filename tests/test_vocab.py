@@ -155,3 +155,27 @@ def test_encode_maps_distinct_pieces_of_a_batch(spark):
         assert [r["ids"] for r in e.orderBy("id").collect()] == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_for_the_driver_are_picked_by_a_task(spark, monkeypatch):
+    """No more pairs than a round links, and one, are read by the driver, however many parts the counts have."""
+    written, seen = [], V.materialized
+    monkeypatch.setattr(V, "materialized", lambda df, name: written.append((name, seen(df, name))) or written[-1][1])
+    freqs = {"".join(w): 3 + i for i, w in enumerate([x + y for x in ("ab", "cd", "ef", "gh", "ij") for y in "klmnopqrst"])}
+    words = spark.createDataFrame(list(freqs.items()), "word string, freq long").repartition(6)
+    monkeypatch.setattr(V, "PAIRS_SEEN", 5)
+    assert V.bpe_train(words, 4, byte_level=False) == _py_bpe(freqs, 4)
+    sizes = [df.count() for name, df in written if name == "bpe-pairs"]
+    assert sizes and max(sizes) <= 6
+
+
+def test_merges_behind_a_repeated_symbol(spark):
+    """A symbol that is made a second time meets the earlier merges again, place by place, as `merged` does."""
+    words = ["pqrpqr", "xqrpq", "pqrpqrpqr", "pqpq"]
+    ranks = {("q", "r"): 0, ("p", "qr"): 1, ("pqr", "p"): 2, ("p", "q"): 3, ("pq", "r"): 4}
+    state = spark.createDataFrame([("".join(w), 1) for w in words], "sym string, freq long")
+    sign = {"qr": "A", "pqr": "B", "pqrp": "C", "pq": "D"}
+    merges = [(sign.get(a, a), sign.get(b, b), sign[a + b]) for a, b in ranks]
+    got = {r["sym"] for r in V.merged_table(state, merges, True, "\U000f0000").collect()}
+    expected = [[sign.get(x, x) for x in V.merged(list(w), ranks)] for w in words]
+    assert got == {"".join(w) for w in expected if len(w) > 1}
