@@ -9,11 +9,11 @@ Units are what has a class. Three kinds of words get theirs in three ways:
 
 * words with at least one in FREQUENT of all training tokens (at most FREQUENT of them)
   are moved between classes by exchange steps on the driver, with the endings below;
-* all other words of the head that occur LEAST_COUNT times or more are placed by tasks, each
+* all other words that occur LEAST_COUNT times or more are placed by tasks, each
   from its own contexts: its neighbours' classes are counted over all training texts,
   and it joins the class to whose likelihood they add most (the first-order gain of
   an exchange move into it), PLACINGS times, the neighbours' classes being those of the time before;
-* words below that count, which have too few contexts, and words outside the head belong to the unit of their
+* words below that count, which have too few contexts, and unseen words belong to the unit of their
   ending (a hash of their last three bytes). Within such a unit the word's own count
   decides, plus one half, with one half left for unseen words.
 
@@ -21,10 +21,12 @@ Transitions are counted again once all words have their classes, and smoothed wi
 (Witten-Bell).
 
 Everything counted is counted over all training texts: word counts are summed
-map-side and by one shuffle; words with at least one in HEAD of all tokens (at
-most HEAD words) travel to the tasks with the model; all other words of the texts
-to be scored are joined with the table of counts. The training texts are written once as
-numbers of words, which the later counts read.
+map-side and by one shuffle; the most frequent words (at
+most HEAD, with LEAST_COUNT occurrences or in the exchange) travel to the tasks with the model; all other words stay
+in tables, their counts and classes are joined where they occur. HEAD decides where a word is looked up, not what becomes of it: the
+scores are the same for any HEAD. The training texts are written once as numbers of head words with the other
+words beside them, which the later counts read. These count the other words by their endings; the pairs of
+neighbours that hold such a word are a table of their own, which corrects the counts by the words' classes.
 
 In each exchange step tasks sum every unit's neighbours by class (one row per unit,
 at most FREQUENT + ENDINGS + 1 of them) and half of the units move in turn, each to the
@@ -49,6 +51,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_mod, shared_table
@@ -58,7 +61,7 @@ FREQUENT = 1 << 13      # in the exchange: at least 1 in so many tokens
 LEAST_COUNT = 3         # placed by its contexts: at least so many occurrences
 PLACINGS = 2
 ENDINGS = 1 << 10       # units of other words, by their ending
-HEAD = 1 << 20          # carried with the model: at least 1 in so many tokens
+HEAD = 1 << 20          # carried with the model: at most so many words
 ROUNDS = 8
 FLUSH = 300_000         # distinct words or pairs a task counts before it hands them on
 
@@ -104,14 +107,20 @@ class BrownModel:
     tokens: int                     # N
     types: int                      # V, the end token included
     texts: int
-    head: list[bytes]
+    words: pa.Array                 # the head; as an array a small part of a list's memory on the driver and in closures
     head_count: np.ndarray
     head_unit: np.ndarray           # the last unit is the end token
     unit_class: np.ndarray
     emission: np.ndarray            # log10 P(unit | class)
     inside: np.ndarray              # log10 of the mass that words share inside a unit; 0 for frequent words
     transition: np.ndarray          # log10 P(class | class)
-    counts: DataFrame               # (word, n) of all words that aren't in the head
+    class_mass: np.ndarray          # log10 of the mass that units share inside a class
+    counts: DataFrame               # (word, n, class) of all words that aren't in the head; no class: by the ending
+    any_rare: bool                  # some of these have a class
+
+    @property
+    def head(self) -> list[bytes]:
+        return self.words.to_pylist()
 
     def without_table(self) -> "BrownModel":
         return BrownModel(**{**self.__dict__, "counts": None})
@@ -127,22 +136,34 @@ def unit_ids(words: list[bytes], number: dict[bytes, int], head_unit: np.ndarray
     return units, place
 
 
-def word_numbers(texts: DataFrame, head: list[bytes]) -> DataFrame:
-    """(ids array): a text's words as places in the head, or -1 - ending."""
+def word_numbers(texts: DataFrame, head: list[bytes] | pa.Array, with_rest: bool = False) -> DataFrame:
+    """(ids array, rest array): a text's words as places in the head, or -1 - ending; the latter words in their order.
+
+    with_rest: False leaves ``rest`` empty.
+    """
+    words = pa.array(head, pa.binary())
+
     def number_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(head)}
+        number = {w: i for i, w in enumerate(words.to_pylist())}
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
-                values, offsets = [], [0]
+                values, offsets, rest, rest_offsets = [], [0], [], [0]
                 for text in whole.column(0).slice(a, 500):
                     for w in words_of(text.as_py()):
                         place = number.get(w)
-                        values.append(-1 - ending(w) if place is None else place)
+                        if place is None:
+                            place = -1 - ending(w)
+                            if with_rest:
+                                rest.append(w)
+                        values.append(place)
                     offsets.append(len(values))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], names=["ids"])
+                    rest_offsets.append(len(rest))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(rest_offsets, pa.int32()), pa.array(rest, pa.binary()))],
+                    names=["ids", "rest"])
 
-    return texts.mapInArrow(number_them, "ids array<int>")
+    return texts.mapInArrow(number_them, "ids array<int>, rest array<binary>")
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
@@ -314,15 +335,101 @@ def exchange(rows: DataFrame, unit_count: np.ndarray, k: int, rounds: int) -> tu
     return best[1], best[2]
 
 
-def class_pairs(numbers: DataFrame, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray, k: int) -> np.ndarray:
-    """Transition counts between classes over all texts; at most k * k rows a task and on the driver."""
+def rare_pairs(numbers: DataFrame, end: int) -> DataFrame:
+    """(a int, b int, a_word, b_word binary): all neighbours of which one at least isn't in the head.
+
+    a, b: as in the numbers, ``end`` for a text's end; the words are null for those of the head.
+    """
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                rest = batch.column(1).flatten()
+                for s in _sequences(iter([batch]), end):
+                    out = s < 0
+                    nth = np.cumsum(out) - 1
+                    at = np.flatnonzero(out[:-1] | out[1:])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(s[i], pa.int32()) for i in (at, at + 1)),
+                         *(rest.take(pa.array(nth[i], pa.int64(), mask=~out[i])) for i in (at, at + 1))],
+                        names=["a", "b", "a_word", "b_word"])
+
+    return numbers.select("ids", "rest").mapInArrow(pairs, "a int, b int, a_word binary, b_word binary")
+
+
+def with_classes(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rare pairs that hold a placed word, with a_class and b_class: the placed words' classes, null for others."""
+    def of(side: str) -> DataFrame:
+        return placed.select(F.col("word").alias(f"{side}_word"), F.col("class").alias(f"{side}_class"))
+
+    # pairs without a word on one side don't go to that side's join, where they would share the key null
+    none, a, b = F.lit(None).cast("int"), F.col("a_word").isNotNull(), F.col("b_word").isNotNull()
+    both = pairs.where(a & b).join(of("a"), "a_word", "left").join(of("b"), "b_word", "left")
+    return (both.where("a_class is not null or b_class is not null")
+            .unionByName(pairs.where(a & ~b).join(of("a"), "a_word").withColumn("b_class", none))
+            .unionByName(pairs.where(~a & b).join(of("b"), "b_word").withColumn("a_class", none)))
+
+
+def _pair_classes(batch: pa.RecordBatch, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray):
+    """Of a batch a, b, a_class, b_class: the numbers, the classes, and the classes by head and ending alone."""
+    numbers = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)]
+    plain = [unit_class[_units(x, head_unit, n_own, len(unit_class) - 1)] for x in numbers]
+    own = [batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in (2, 3)]
+    return numbers, [np.where(o < 0, p, o) for o, p in zip(own, plain)], plain
+
+
+def _corrections(pairs: DataFrame, of_batch) -> DataFrame:
+    """(pair, n): what the rare pairs add to a count, where the words' classes aren't their endings'.
+
+    of_batch: numbers to be counted and numbers to be taken off.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def signed():
+            for batch in batches:
+                more, less = of_batch(batch)
+                yield np.concatenate([more * 2, less * 2 + 1])
+        yield from _summed(signed())
+
+    return (pairs.select("a", "b", "a_class", "b_class").mapInArrow(count, "pair long, n long")
+            .selectExpr("pair div 2 as pair", "if(pair % 2 = 0, n, -n) as n"))
+
+
+def rare_class_pairs(pairs: DataFrame, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray, k: int) -> DataFrame:
+    """Corrections of ``class_pairs``."""
+    def of_batch(batch):
+        _, (a, b), (c, d) = _pair_classes(batch, head_unit, n_own, unit_class)
+        return a * k + b, c * k + d
+
+    return _corrections(pairs, of_batch)
+
+
+def rare_contexts(pairs: DataFrame, first: int, last: int, head_unit: np.ndarray, n_own: int,
+                  unit_class: np.ndarray, k: int) -> DataFrame:
+    """Corrections of the contexts that ``place_words`` counts."""
+    def of_batch(batch):
+        (x, y), *classes = _pair_classes(batch, head_unit, n_own, unit_class)
+        before, after = (np.flatnonzero((w >= first) & (w < last)) for w in (x, y))
+        return [np.concatenate([(x[before] - first) * (2 * k) + b[before], (y[after] - first) * (2 * k) + k + a[after]])
+                for a, b in classes]
+
+    return _corrections(pairs, of_batch)
+
+
+def class_pairs(numbers: DataFrame, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray, k: int,
+                more: DataFrame | None = None) -> np.ndarray:
+    """Transition counts between classes over all texts; at most k * k rows a task and on the driver.
+
+    more: (pair, n) that count as well.
+    """
     end = len(unit_class) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = (unit_class[_units(s, head_unit, n_own, end)] for s in _sequences(batches, len(head_unit)))
         yield from _summed(c[:-1] * k + c[1:] for c in runs)
 
-    found = numbers.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counted = numbers.select("ids").mapInArrow(count, "pair long, n long")
+    counted = counted if more is None else counted.unionByName(more)
+    found = counted.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(k * k)
     out[found["pair"].to_numpy(dtype=np.int64)] = found["n"]
     return out.reshape(k, k)
@@ -336,17 +443,61 @@ def smoothed(matrix: np.ndarray) -> np.ndarray:
     return (matrix + np.maximum(kinds, 1) * low) / (out + np.maximum(kinds, 1))
 
 
+def _choose(matrix: np.ndarray):
+    """For words with their contexts (slot, n): the best class, and n, the word's occurrences."""
+    k = len(matrix)
+    move = np.log(smoothed(matrix))
+    column = matrix.sum(axis=0) + 0.5
+    gain = np.vstack([move.T, move - np.log(column / column.sum())])[:, 1:]     # class 0 is the end token's alone
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = batch.column(1)
+            row = np.repeat(np.arange(len(e)), np.diff(e.offsets.to_numpy()))
+            slot, n = (v.to_numpy(zero_copy_only=False) for v in e.flatten().flatten())
+            contexts = np.zeros((len(e), 2 * k))
+            contexts[row, slot] = n
+            best = 1 + np.argmax(contexts @ gain, axis=1)
+            times = contexts[:, :k].sum(axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32()), pa.array(times)],
+                                             names=["word", "class", "n"])
+
+    return choose
+
+
+def place_rare_words(pairs: DataFrame, least_count: int, head_unit: np.ndarray, n_own: int,
+                     unit_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """(word, class, n): classes, as ``place_words`` finds them, of the rare pairs' words with ``least_count`` occurrences.
+
+    pairs: with the words' classes of the time before, null for those that go by their ending.
+    """
+    k = len(matrix)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, (a, b), _ = _pair_classes(batch, head_unit, n_own, unit_class)
+            words = pa.chunked_array([batch.column(4), batch.column(5)])
+            there = np.flatnonzero(words.is_valid().to_numpy())
+            slot = np.concatenate([b, k + a])[there]
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(there)).combine_chunks(), pa.array(slot, pa.int32())],
+                                             names=["word", "slot"])
+
+    # more than HEAD words are as frequent as these: no hot keys, and few contexts to sum map-side
+    return (pairs.select("a", "b", "a_class", "b_class", "a_word", "b_word").mapInArrow(slots, "word binary, slot int")
+            .repartition("word").groupBy("word", "slot").agg(F.count("*").alias("n"))
+            .groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("e"))
+            .mapInArrow(_choose(matrix), "word binary, class int, n long").where(F.col("n") >= F.lit(least_count)))
+
+
 def place_words(numbers: DataFrame, first: int, last: int, head_unit: np.ndarray, n_own: int,
-                unit_class: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+                unit_class: np.ndarray, matrix: np.ndarray, more: DataFrame | None = None) -> np.ndarray:
     """Classes of the head words from place ``first`` on, before ``last``, by their neighbours' classes over all texts.
 
     A word joins the class c for which the sum of log P(after | c) over the classes after it, and of
     log P(c | before) - log P(c) over those before it, is largest. Two numbers a word come to the driver.
+    more: (pair, n) that count as well.
     """
     k, end, ends = len(matrix), len(unit_class) - 1, len(head_unit)
-    move = np.log(smoothed(matrix))
-    column = matrix.sum(axis=0) + 0.5
-    gain = np.vstack([move.T, move - np.log(column / column.sum())])[:, 1:]     # class 0 is the end token's alone
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots():
@@ -357,91 +508,115 @@ def place_words(numbers: DataFrame, first: int, last: int, head_unit: np.ndarray
                 yield np.concatenate([word + classes[at + 1], word + k + classes[at - 1]])
         yield from _summed(slots())
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = batch.column(1)
-            row = np.repeat(np.arange(len(e)), np.diff(e.offsets.to_numpy()))
-            slot, n = (v.to_numpy(zero_copy_only=False) for v in e.flatten().flatten())
-            contexts = np.zeros((len(e), 2 * k))
-            contexts[row, slot] = n
-            best = 1 + np.argmax(contexts @ gain, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], names=["word", "class"])
-
-    slots = (numbers.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = numbers.select("ids").mapInArrow(count, "pair long, n long")
+    counted = counted if more is None else counted.unionByName(more)
+    slots = (counted.groupBy("pair").agg(F.sum("n").alias("n"))
              .select(F.expr(f"int(pair div {2 * k})").alias("word"), (F.col("pair") % (2 * k)).cast("int").alias("slot"), "n"))
     # at most 2k entries a word: a bounded group
     found = (slots.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("e"))
-             .mapInArrow(choose, "word int, class int").toPandas())
+             .mapInArrow(_choose(matrix), "word int, class int, n long").select("word", "class").toArrow())
     out = np.ones(last - first, dtype=np.int64)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["class"]
+    out[found["word"].to_numpy()] = found["class"].to_numpy()
     return out
 
 
 def fit_brown(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, frequent: int = FREQUENT,
-              least_count: int = LEAST_COUNT) -> BrownModel:
-    """Fit on all rows of a table with a string column ``text``."""
+              least_count: int = LEAST_COUNT, carried: int = HEAD) -> BrownModel:
+    """Fit on all rows of a table with a string column ``text``.
+
+    carried: at most so many words, but all of the exchange, travel with the model; any number gives the same scores.
+    """
     texts = texts.select("text")
     counts = shared_table(word_counts(texts), "word-counts")
     n_texts = texts.count()
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_words, n_types = totals["n"] or 0, totals["v"]
+    # how many words there are of each count: at most about the root of twice the tokens' number of rows
+    by_count = counts.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).toArrow()
+    times, of_times = by_count["n"].to_numpy(), by_count["v"].to_numpy()
+    n_words, n_types = int((times * of_times).sum()), int(of_times.sum())
     n_tokens = n_words + n_texts
-    least = n_tokens / HEAD
-    head = counts.where(F.col("n") >= F.lit(least)).toPandas()      # at most HEAD words
-    head["word"] = [bytes(w) for w in head["word"]]
-    head = head.sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    words, head_count = head["word"].tolist(), head["n"].to_numpy(dtype=np.int64)
+    fits = times[np.cumsum(of_times) <= carried]
+    least = float(min(max(fits[-1] if len(fits) else n_tokens + 1, least_count), max(n_tokens / frequent, 2)))
+    any_rare = bool(((times >= least_count) & (times < least)).any())   # words to be placed outside the head
+    head = counts.where(F.col("n") >= F.lit(least)).toArrow()       # at most ``carried`` words, or those of the exchange
+    head = head.take(pc.sort_indices(head, [("n", "descending"), ("word", "ascending")]))
+    words, head_count = pa.array(head["word"].combine_chunks(), pa.binary()), head["n"].to_numpy()
     n_own = int((head_count >= max(n_tokens / frequent, 2)).sum())
     n_placed = max(int((head_count >= least_count).sum()), n_own)
-    endings = np.array([ending(w) for w in words[n_own:]], dtype=np.int64)
+    endings = np.fromiter((ending(w.as_py()) for w in words[n_own:]), dtype=np.int64)
 
     # tokens and types of each ending, over the words that aren't in the exchange
     last = F.expr("substring(word, -3, 3)")
-    by_ending = (counts.where(F.col("n") < F.lit(max(n_tokens / frequent, 2)))
-                 .groupBy((F.crc32(last) % ENDINGS).cast("int").alias("ending"))
+    its_ending = (F.crc32(last) % ENDINGS).cast("int").alias("ending")
+    by_ending = (counts.where(F.col("n") < F.lit(max(n_tokens / frequent, 2))).groupBy(its_ending)
                  .agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas())
     at = by_ending["ending"].to_numpy(dtype=np.int64)
     ending_count, ending_types = np.zeros(ENDINGS), np.zeros(ENDINGS)
     ending_count[at], ending_types[at] = by_ending["n"].to_numpy(), by_ending["v"].to_numpy()
 
-    numbers = shared_table(word_numbers(texts, words), "word-numbers")
+    numbers = shared_table(word_numbers(texts, words, any_rare), "word-numbers")
     head_unit = np.concatenate([np.arange(n_own), n_own + endings])
     unit_count = np.concatenate([head_count[:n_own], ending_count, [n_texts]])
-    rows = shared_table(bigram_rows(numbers, head_unit, n_own, n_own + ENDINGS), "neighbours")
+    rows = shared_table(bigram_rows(numbers.select("ids"), head_unit, n_own, n_own + ENDINGS), "neighbours")
     unit_class, matrix = exchange(rows, unit_count, classes, rounds)
 
-    if n_placed > n_own:
+    rest = counts.where(F.col("n") < F.lit(least)).select("word", "n", F.lit(None).cast("int").alias("class"))
+    rare_mass = np.zeros(classes)
+    if n_placed > n_own or any_rare:
         # placed words are units of their own and leave their endings
         by_exchange, moved = unit_class, endings[:n_placed - n_own]
         ending_count -= np.bincount(moved, head_count[n_own:n_placed], ENDINGS)
         ending_types -= np.bincount(moved, minlength=ENDINGS)
-        for _ in range(PLACINGS):
-            placed = place_words(numbers, n_own, n_placed, head_unit, len(unit_class) - 1 - ENDINGS, unit_class, matrix)
+        pairs = rare = more = None
+        if any_rare:
+            pairs = shared_table(rare_pairs(numbers, len(words)), "rare-pairs")
+            known = pairs.selectExpr("*", "int(null) as a_class", "int(null) as b_class")
+        for turn in range(PLACINGS):
+            units = head_unit, len(unit_class) - 1 - ENDINGS, unit_class
+            if any_rare:
+                if turn:
+                    more = rare_contexts(known, n_own, n_placed, *units, classes)
+                rare = shared_table(place_rare_words(known, least_count, *units, matrix), "rare-words")
+            placed = place_words(numbers, n_own, n_placed, *units, matrix, more) if n_placed > n_own else unit_class[:0]
             head_unit = np.concatenate([np.arange(n_placed), n_placed + endings[n_placed - n_own:]])
             unit_class = np.concatenate([by_exchange[:n_own], placed, by_exchange[n_own:]])
-            matrix = class_pairs(numbers, head_unit, n_placed, unit_class, classes)
+            if any_rare:
+                known = with_classes(pairs, rare)
+                if turn < PLACINGS - 1:
+                    known = shared_table(known, "rare-pairs-placed")     # for the next turn as well
+                more = rare_class_pairs(known, head_unit, n_placed, unit_class, classes)
+            matrix = class_pairs(numbers, head_unit, n_placed, unit_class, classes, more)
+        if any_rare:
+            # at most classes * ENDINGS rows
+            sums = rare.groupBy("class", its_ending).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+            at, n, v = (sums[c].to_numpy(dtype=np.int64) for c in ("ending", "n", "v"))
+            ending_count -= np.bincount(at, n, ENDINGS)
+            ending_types -= np.bincount(at, v, ENDINGS)
+            rare_mass += np.bincount(sums["class"].to_numpy(dtype=np.int64), n + 0.5 * v, classes)
+            rest = rest.where(F.col("n") < F.lit(least_count)).unionByName(rare.select("word", "n", "class"))
         unit_count = np.concatenate([head_count[:n_placed], ending_count, [n_texts]])
 
     mass = unit_count + 0.5
-    emission = np.log10(mass) - np.log10(np.bincount(unit_class, mass, classes))[unit_class]
+    class_mass = np.log10(np.maximum(np.bincount(unit_class, mass, classes) + rare_mass, 0.5))
+    emission = np.log10(mass) - class_mass[unit_class]
     inside = np.zeros(len(unit_class))
     inside[n_placed:-1] = np.log10(ending_count + 0.5 * (ending_types + 1))
     return BrownModel(uuid.uuid4().hex, n_tokens, n_types + (n_texts > 0), n_texts, words, head_count, head_unit,
-                      unit_class, emission, inside, np.log10(smoothed(matrix)), counts.where(F.col("n") < F.lit(least)))
+                      unit_class, emission, inside, np.log10(smoothed(matrix)), class_mass, rest, any_rare)
 
 
 _WORKER: dict[str, dict] = {}
 
 
 def _score_partition(model: BrownModel):
-    """Per text: what the head decides, and the other words with their counts in the text."""
+    """Per text: what the head decides with all other words in their endings, the other words with their counts
+    in the text and endings, and the pairs of neighbours that hold one: a class, or -1 - the word's place among them."""
     n_own, end = len(model.unit_class) - 1 - ENDINGS, len(model.unit_class) - 1
     fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.key not in _WORKER:
             _WORKER.clear()
-            _WORKER[model.key] = {w: i for i, w in enumerate(model.head)}
+            _WORKER[model.key] = {w: i for i, w in enumerate(model.words.to_pylist())}
         number = _WORKER[model.key]
         log_count = np.log10(model.head_count + 0.5)
         own = model.head_unit < n_own
@@ -451,31 +626,88 @@ def _score_partition(model: BrownModel):
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                rows, offsets, tail, times = [], [0], [], []
+                rows, offsets, tail, times, ends = [], [0], [], [], []
+                pairs, pair_offsets = [], [0]
                 for value in batch.column(batch.num_columns - 1):
                     words = words_of(value.as_py())
                     units, place = unit_ids(words, number, model.head_unit, n_own)
                     path = model.unit_class[np.concatenate([[end], units, [end]])]
                     seen = place[place >= 0]
-                    rest = Counter(words[i] for i in np.flatnonzero(place < 0).tolist())
+                    at = np.flatnonzero(place < 0)
+                    rest = Counter(words[i] for i in at.tolist())
                     tail += rest.keys()
                     times += rest.values()
+                    ends += map(ending, rest)
                     offsets.append(len(tail))
+                    if rest and model.any_rare:
+                        nth = {w: -1 - i for i, w in enumerate(rest)}
+                        marked = path.copy()
+                        marked[at + 1] = [nth[words[i]] for i in at.tolist()]
+                        at = np.flatnonzero((marked[:-1] < 0) | (marked[1:] < 0))
+                        pairs.append(np.column_stack([marked[at], marked[at + 1]]).ravel())
+                        pair_offsets.append(pair_offsets[-1] + 2 * len(at))
+                    else:
+                        pair_offsets.append(pair_offsets[-1])
                     rows.append((len(words) + 1, len(seen) + end_known, log_count[seen].sum() + end_base,
                                  model.transition[path[:-1], path[1:]].sum() + model.emission[units].sum()
                                  + model.emission[end] - model.inside[units].sum() + word_part[seen].sum()))
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)] if rows else \
                     [pa.array([], t) for _, t in fields]
                 words_and_times = pa.StructArray.from_arrays(
-                    [pa.array(tail, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"])
+                    [pa.array(tail, pa.binary()), pa.array(times, pa.int32()), pa.array(ends, pa.int32())],
+                    names=["word", "times", "ending"])
+                all_pairs = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), *columns,
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words_and_times)],
-                    names=["doc_id", "held_out", *(n for n, _ in fields), "tail"])
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words_and_times),
+                     pa.ListArray.from_arrays(pa.array(pair_offsets, pa.int32()), all_pairs)],
+                    names=["doc_id", "held_out", *(n for n, _ in fields), "tail", "pairs"])
 
     return score
 
 
+def _move_placed(model: BrownModel):
+    """Adds to the scores what changes as the placed words outside the head leave their endings for their classes.
+
+    Columns: others, with the score last, then ending, times, pairs and placed (word's place, class) of a text.
+    """
+    first = len(model.unit_class) - 1 - ENDINGS
+    by_ending, leave = model.unit_class[first:], (model.inside - model.emission)[first:]
+    transition, class_mass = model.transition, model.class_mass
+
+    def flat(column: pa.Array):
+        """An array column's values, the row of each, and the first value of each row."""
+        sizes = np.diff(column.offsets.to_numpy())
+        return column.flatten(), np.repeat(np.arange(len(column)), sizes), np.cumsum(sizes) - sizes
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                *kept, score, endings, times, pairs, placed = batch.columns
+                endings, _, word_start = flat(endings)
+                endings = endings.to_numpy(zero_copy_only=False)
+                times = times.flatten().to_numpy(zero_copy_only=False)
+                placed, placed_row, _ = flat(placed)
+                nth, to = (v.to_numpy(zero_copy_only=False) for v in placed.flatten())
+                old = by_ending[endings]
+                new, at = old.copy(), word_start[placed_row] + nth
+                new[at] = to
+                more = np.zeros(len(score))
+                more += np.bincount(placed_row, times[at] * (leave[endings[at]] - class_mass[to]), len(score))
+                pairs, pair_row, _ = flat(pairs)
+                both, pair_row = pairs.to_numpy(zero_copy_only=False).astype(np.int64), pair_row[::2]
+                word = np.where(both < 0, np.repeat(word_start[pair_row], 2) - 1 - both, -1)
+                if len(endings):
+                    was, now = (np.where(word < 0, both, c[word]) for c in (old, new))
+                    step = transition[now[::2], now[1::2]] - transition[was[::2], was[1::2]]
+                    more += np.bincount(pair_row, step, len(score))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(score.to_numpy(zero_copy_only=False) + more)],
+                                                 names=batch.schema.names[:len(kept) + 1])
+
+    return move
+
+
 def score_brown(docs: DataFrame, model: BrownModel) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row.
 
@@ -483,22 +715,29 @@ def score_brown(docs: DataFrame, model: BrownModel) -> DataFrame:
     """
     id_type = dict(docs.dtypes)["doc_id"]
     schema = (f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, "
-              "tail array<struct<word:binary,times:int>>")
+              "tail array<struct<word:binary,times:int,ending:int>>, pairs array<int>")
     marked = shared_table(docs.select("doc_id", "held_out", "text")
                           .mapInArrow(_score_partition(model.without_table()), schema)
                           .withColumn("row", F.monotonically_increasing_id()), "scored")
     log_count = F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)
-    tails = (marked.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
+    tails = (marked.select("row", F.posexplode("tail").alias("nth", "t")).select("row", "nth", "t.word", "t.times")
              .join(model.counts, "word", "left")
              .groupBy("row").agg(F.sum(F.col("times") * log_count).alias("tail_log"),
-                                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")))
+                                 F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
+                                 F.collect_list(F.when(F.col("class").isNotNull(), F.struct("nth", "class")))
+                                 .alias("placed")))
     nothing = float(np.log10(max(model.tokens + 0.5 * (model.types + 1), 0.5)))
     tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return (marked.drop("tail").join(tails, "row", "left").select(
+    scores = marked.join(tails, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + tail_log - F.col("n_tokens") * F.lit(nothing)).alias("base_score"),
-        (F.col("score") + tail_log).alias("score"))
+        (F.col("score") + tail_log).alias("score"), "tail.ending", "tail.times", "pairs",
+        F.coalesce("placed", F.array().cast("array<struct<nth:int,class:int>>")).alias("placed"))
+    if model.any_rare:
+        scores = scores.mapInArrow(_move_placed(model), f"doc_id {id_type}, held_out boolean, n_tokens long, "
+                                   "n_known long, train_tokens long, base_score double, score double")
+    return (scores.drop("ending", "times", "pairs", "placed")
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
 
 

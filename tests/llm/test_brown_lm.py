@@ -164,3 +164,62 @@ def test_ties(spark):
     one, other = (B.fit_brown(rows, classes=4, rounds=2) for rows in (df, df.repartition(7)))
     assert one.head == other.head == [b"x", b"y", b"p", b"q", b"r"]
     assert np.array_equal(one.unit_class, other.unit_class)
+
+
+def rare_word_texts():
+    """Nouns and verbs of 3 to 12 occurrences, some side by side, and single words."""
+    rng = np.random.default_rng(8)
+    out = [*placed_texts()[:150], "", "once", "noun1x7 noun2x14 verb3y15 noun1x7", "the noun2x14 rareword noun2x14"]
+    for i in range(40):
+        out += [f"the kind{i}n will move{i}v kind{i}n move{(i * 3) % 40}v end"] * int(rng.integers(1, 4))
+    return out
+
+
+def test_words_outside_the_head_are_placed_as_well(spark):
+    df = spark.createDataFrame([(i, i % 5 == 1, t) for i, t in enumerate([*rare_word_texts(), None, "the unseen noun1x7"])],
+                               "doc_id long, held_out boolean, text string").repartition(6)
+    train = df.where("not held_out")
+    fit = {c: B.fit_brown(train, classes=6, rounds=3, frequent=32, carried=c) for c in (B.HEAD, 100, 1)}
+    assert fit[100].any_rare and fit[1].any_rare and not fit[B.HEAD].any_rare
+    assert len(fit[B.HEAD].head) > len(fit[100].head) > len(fit[1].head) > 0
+    scores = {c: {r["doc_id"]: r for r in B.score_brown(df, m).collect()} for c, m in fit.items()}
+    whole = fit[B.HEAD]
+    n_own = len(whole.unit_class) - 1 - B.ENDINGS
+    for c in (100, 1):
+        # words have the classes they have when all words travel with the model
+        found = {w: int(u) for w, u in zip(fit[c].head, fit[c].unit_class[fit[c].head_unit])}
+        found |= {bytes(r["word"]): r["class"] for r in fit[c].counts.where("class is not null").collect()}
+        for w, u, n in zip(whole.head, whole.head_unit, whole.head_count):
+            assert (u < n_own) == (n >= B.LEAST_COUNT)
+            if u < n_own:
+                assert found[w] == whole.unit_class[u]
+        assert np.allclose(fit[c].transition, whole.transition)
+        for i, r in scores[B.HEAD].items():
+            assert scores[c][i]["score"] == pytest.approx(r["score"], rel=1e-9)
+            assert scores[c][i]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+            assert scores[c][i]["n_known"] == r["n_known"]
+
+
+def test_pairs_of_rare_words(spark):
+    texts = ["a x y b", "x", "", "b a", "y a a x x", "z y"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    numbers = B.word_numbers(df, [b"a", b"b"], True)
+    pairs = B.rare_pairs(numbers, 2)
+    got = Counter((r["a"], r["b"], *(w and bytes(w).decode() for w in (r["a_word"], r["b_word"]))) for r in pairs.collect())
+    want, code = Counter(), {"a": 0, "b": 1, None: 2}
+    for t in texts:
+        run = [None, *t.split(), None]
+        for p in zip(run, run[1:]):
+            if set(p) & set("xyz"):
+                want[(*(code.get(w, -1 - B.ending((w or "").encode())) for w in p),
+                      *(w if w in set("xyz") else None for w in p))] += 1
+    assert got == want
+    placed = spark.createDataFrame([(bytearray(b"x"), 3), (bytearray(b"y"), 2)], "word binary, class int")
+    classes = {"x": 3, "y": 2}
+    rows = Counter((w and bytes(w).decode(), v and bytes(v).decode(), c, d) for w, v, c, d in
+                   B.with_classes(pairs, placed).select("a_word", "b_word", "a_class", "b_class").collect())
+    by_word = Counter()
+    for (_, _, w, v), n in want.items():
+        if {w, v} & set(classes):
+            by_word[(w, v, classes.get(w), classes.get(v))] += n
+    assert rows == by_word
