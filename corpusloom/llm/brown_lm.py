@@ -44,7 +44,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,6 +63,8 @@ ENDINGS = 1 << 10       # units of other words, by their ending
 HEAD = 1 << 20          # carried with the model: at most so many words
 ROUNDS = 8
 FLUSH = 300_000         # distinct words or pairs a task counts before it hands them on
+SLICE = 2 << 20         # bytes of text that a task cuts into words at a time
+BLOCKS = 1 << 10        # groups of words whose contexts are summed together
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,26 +77,70 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[str]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE bytes of text, one row at least."""
     for batch in batches:
-        for value in batch.column(column):
-            yield value.as_py()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, as ``words_of`` finds them, and each text's offset among them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    there = pc.not_equal(pc.binary_length(words), 0)     # a text's first and last piece may be empty
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    return words.filter(there).cast(pa.binary()), before[lists.offsets.to_numpy()]
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Places(dict):
+    """A word's place in the head, or -1 - ending."""
+
+    def __init__(self, words: pa.Array):
+        super().__init__(zip(_bytes(words), range(len(words))))
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - ending(word)
+
+
+def _numbered(texts: pa.Array, places: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The numbers of all words of some texts, each text's offset among them, each word's place among the
+    distinct ones, and these."""
+    words, offsets = _split(texts)
+    coded = words.dictionary_encode()
+    distinct, codes = coded.dictionary, coded.indices.to_numpy()
+    numbers = np.fromiter(map(places.__getitem__, _bytes(distinct)), np.int64, len(distinct))
+    return numbers[codes], offsets, codes, distinct
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, n): every word's count over all texts (one string column)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(by), pa.binary()),
-                                               pa.array(list(by.values()), pa.int64())], names=["word", "n"])
-        for text in _texts(batches):
-            by.update(words_of(text))
-            if len(by) > FLUSH:
-                yield out()
-                by.clear()
-        yield out()
+        held, n_held = [], 0
+
+        def fold():
+            table = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return table.rename_columns({"n_sum": "n"}).select(["word", "n"])
+
+        for batch in _slices(batches):
+            found = _split(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            n_held += len(found)
+            if n_held > 4 * FLUSH:
+                table = fold()
+                held, n_held = [table], len(table)
+                if n_held > FLUSH:
+                    yield from table.to_batches()
+                    held, n_held = [], 0
+        if held:
+            yield from fold().to_batches()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -126,16 +171,6 @@ class BrownModel:
         return BrownModel(**{**self.__dict__, "counts": None})
 
 
-def unit_ids(words: list[bytes], number: dict[bytes, int], head_unit: np.ndarray, n_own: int):
-    """Units of a text's words, and for each word its place in the head or -1."""
-    place = np.array([number.get(w, -1) for w in words], dtype=np.int64)
-    units = head_unit[place] if len(head_unit) else np.zeros(len(words), dtype=np.int64)
-    rest = np.flatnonzero(place < 0)
-    if len(rest):
-        units[rest] = [n_own + ending(words[i]) for i in rest.tolist()]
-    return units, place
-
-
 def word_numbers(texts: DataFrame, head: list[bytes] | pa.Array, with_rest: bool = False) -> DataFrame:
     """(ids array, rest array): a text's words as places in the head, or -1 - ending; the latter words in their order.
 
@@ -144,60 +179,54 @@ def word_numbers(texts: DataFrame, head: list[bytes] | pa.Array, with_rest: bool
     words = pa.array(head, pa.binary())
 
     def number_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(words.to_pylist())}
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                values, offsets, rest, rest_offsets = [], [0], [], [0]
-                for text in whole.column(0).slice(a, 500):
-                    for w in words_of(text.as_py()):
-                        place = number.get(w)
-                        if place is None:
-                            place = -1 - ending(w)
-                            if with_rest:
-                                rest.append(w)
-                        values.append(place)
-                    offsets.append(len(values))
-                    rest_offsets.append(len(rest))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())),
-                     pa.ListArray.from_arrays(pa.array(rest_offsets, pa.int32()), pa.array(rest, pa.binary()))],
-                    names=["ids", "rest"])
+        places = _Places(words)
+        for batch in _slices(batches):
+            numbers, offsets, codes, distinct = _numbered(batch.column(0), places)
+            out = numbers < 0 if with_rest else np.zeros(len(numbers), dtype=bool)
+            rest = distinct.take(pa.array(codes[out]))
+            rest_offsets = np.concatenate([[0], np.cumsum(out)])[offsets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers, pa.int32())),
+                 pa.ListArray.from_arrays(pa.array(rest_offsets, pa.int32()), rest)], names=["ids", "rest"])
 
     return texts.mapInArrow(number_them, "ids array<int>, rest array<binary>")
 
 
+def _with_ends(values: np.ndarray, offsets: np.ndarray, end: int) -> np.ndarray:
+    """Texts' numbers in a row, ``end`` before, between and after them."""
+    texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.full(len(values) + len(offsets), end, dtype=np.int64)
+    out[np.arange(len(values)) + texts + 1] = values
+    return out
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
     """The numbers of some texts in a row; ``end`` before, between and after them."""
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
             column = whole.column(0).slice(a, 500)
-            values = column.flatten().to_numpy(zero_copy_only=False)
             offsets = column.offsets.to_numpy()
-            out = np.full(len(values) + len(column) + 1, end, dtype=np.int64)
-            out[np.arange(len(values)) + np.repeat(np.arange(len(column)), np.diff(offsets)) + 1] = values
-            yield out
+            yield _with_ends(column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0], end)
 
 
-def _units(sequence: np.ndarray, head_unit: np.ndarray, n_own: int, end: int) -> np.ndarray:
-    """Units of a sequence whose text ends are len(head_unit)."""
-    table = np.concatenate([head_unit, [end], n_own + np.arange(ENDINGS)[::-1]])
-    return table[sequence]      # -1 - ending counts from the table's end
+def _unit_table(head_unit: np.ndarray, n_own: int, end: int) -> np.ndarray:
+    """The unit of every number of a sequence whose text ends are len(head_unit)."""
+    return np.concatenate([head_unit, [end], n_own + np.arange(ENDINGS)[::-1]])     # -1 - ending counts from the table's end
 
 
-def _summed(numbers: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(pair, n): how often each number occurs, handed on in parts of bounded size."""
+def _sums(numbers: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers in ascending order and how often each occurs, handed on in parts of bounded size."""
     held, n_held = [], 0
     keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def fold():
         nonlocal keys, sums, held, n_held
         new, n = np.unique(np.concatenate(held), return_counts=True)
-        joined, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([sums, n]), len(joined)).astype(np.int64)
-        keys, sums, held, n_held = joined, total, [], 0
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["pair", "n"])
+        joined, both = np.concatenate([keys, new]), np.concatenate([sums, n])
+        order = np.argsort(joined, kind="stable")       # two ascending runs are merged
+        joined = joined[order]
+        first = np.flatnonzero(np.diff(joined, prepend=-1))
+        keys, sums, held, n_held = joined[first], np.add.reduceat(both[order], first) if len(first) else both, [], 0
 
     for some in numbers:
         held.append(some)
@@ -205,11 +234,33 @@ def _summed(numbers: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if n_held > 4 * FLUSH:
             fold()
             if len(keys) > 8 * FLUSH:
-                yield out()
+                yield keys, sums
                 keys, sums = keys[:0], sums[:0]
     if held:
         fold()
-    yield out()
+    yield keys, sums
+
+
+def _summed(numbers: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(pair, n): how often each number occurs."""
+    for keys, sums in _sums(numbers):
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["pair", "n"])
+
+
+def _in_blocks(sums: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """(block, slots, n): counts of word * 2k + context, the words dealt to BLOCKS blocks in turn; a slot is
+    (word's place in its block) * 2k + context."""
+    for keys, n in sums:
+        word, context = np.divmod(keys, 2 * k)
+        place, block = np.divmod(word, BLOCKS)
+        order = np.argsort(block.astype(np.int16), kind="stable")
+        slots, n, block = (place * (2 * k) + context)[order].astype(np.int32), n[order], block[order]
+        offsets = np.searchsorted(block, np.arange(BLOCKS + 1)).astype(np.int32)
+        out = pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS), pa.int32()),
+                                          pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots)),
+                                          pa.ListArray.from_arrays(pa.array(offsets), pa.array(n))],
+                                         names=["block", "slots", "n"])
+        yield out.filter(pa.array(np.diff(offsets) > 0))
 
 
 def bigram_rows(numbers: DataFrame, head_unit: np.ndarray, n_own: int, end: int) -> DataFrame:
@@ -217,7 +268,8 @@ def bigram_rows(numbers: DataFrame, head_unit: np.ndarray, n_own: int, end: int)
     size = end + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = (_units(s, head_unit, n_own, end) for s in _sequences(batches, len(head_unit)))
+        table = _unit_table(head_unit, n_own, end)
+        runs = (table[s] for s in _sequences(batches, len(head_unit)))
         yield from _summed(units[:-1] * size + units[1:] for units in runs)
 
     pairs = (numbers.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -373,46 +425,52 @@ def with_classes(pairs: DataFrame, placed: DataFrame) -> DataFrame:
 def _pair_classes(batch: pa.RecordBatch, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray):
     """Of a batch a, b, a_class, b_class: the numbers, the classes, and the classes by head and ending alone."""
     numbers = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)]
-    plain = [unit_class[_units(x, head_unit, n_own, len(unit_class) - 1)] for x in numbers]
+    table = _unit_table(head_unit, n_own, len(unit_class) - 1)
+    plain = [unit_class[table[x]] for x in numbers]
     own = [batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in (2, 3)]
     return numbers, [np.where(o < 0, p, o) for o, p in zip(own, plain)], plain
 
 
-def _corrections(pairs: DataFrame, of_batch) -> DataFrame:
-    """(pair, n): what the rare pairs add to a count, where the words' classes aren't their endings'.
+def _signed(pairs: Iterator[pa.RecordBatch], of_batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and what the rare pairs add to their counts, where the words' classes aren't their endings'.
 
     of_batch: numbers to be counted and numbers to be taken off.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def signed():
-            for batch in batches:
-                more, less = of_batch(batch)
-                yield np.concatenate([more * 2, less * 2 + 1])
-        yield from _summed(signed())
+    def twice():
+        for batch in pairs:
+            more, less = of_batch(batch)
+            yield np.concatenate([more * 2, less * 2 + 1])
 
-    return (pairs.select("a", "b", "a_class", "b_class").mapInArrow(count, "pair long, n long")
-            .selectExpr("pair div 2 as pair", "if(pair % 2 = 0, n, -n) as n"))
+    for keys, n in _sums(twice()):
+        yield keys // 2, np.where(keys % 2, -n, n)
 
 
 def rare_class_pairs(pairs: DataFrame, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray, k: int) -> DataFrame:
-    """Corrections of ``class_pairs``."""
+    """(pair, n): corrections of ``class_pairs``."""
     def of_batch(batch):
         _, (a, b), (c, d) = _pair_classes(batch, head_unit, n_own, unit_class)
         return a * k + b, c * k + d
 
-    return _corrections(pairs, of_batch)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _signed(batches, of_batch):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+
+    return pairs.select("a", "b", "a_class", "b_class").mapInArrow(count, "pair long, n long")
 
 
 def rare_contexts(pairs: DataFrame, first: int, last: int, head_unit: np.ndarray, n_own: int,
                   unit_class: np.ndarray, k: int) -> DataFrame:
-    """Corrections of the contexts that ``place_words`` counts."""
+    """(block, slots, n): corrections of the contexts that ``place_words`` counts."""
     def of_batch(batch):
         (x, y), *classes = _pair_classes(batch, head_unit, n_own, unit_class)
         before, after = (np.flatnonzero((w >= first) & (w < last)) for w in (x, y))
         return [np.concatenate([(x[before] - first) * (2 * k) + b[before], (y[after] - first) * (2 * k) + k + a[after]])
                 for a, b in classes]
 
-    return _corrections(pairs, of_batch)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_blocks(_signed(batches, of_batch), k)
+
+    return pairs.select("a", "b", "a_class", "b_class").mapInArrow(count, "block int, slots array<int>, n array<long>")
 
 
 def class_pairs(numbers: DataFrame, head_unit: np.ndarray, n_own: int, unit_class: np.ndarray, k: int,
@@ -424,8 +482,12 @@ def class_pairs(numbers: DataFrame, head_unit: np.ndarray, n_own: int, unit_clas
     end = len(unit_class) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = (unit_class[_units(s, head_unit, n_own, end)] for s in _sequences(batches, len(head_unit)))
-        yield from _summed(c[:-1] * k + c[1:] for c in runs)
+        table, sums = unit_class[_unit_table(head_unit, n_own, end)], np.zeros(k * k, dtype=np.int64)
+        for s in _sequences(batches, len(head_unit)):
+            c = table[s]
+            sums += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], names=["pair", "n"])
 
     counted = numbers.select("ids").mapInArrow(count, "pair long, n long")
     counted = counted if more is None else counted.unionByName(more)
@@ -443,12 +505,16 @@ def smoothed(matrix: np.ndarray) -> np.ndarray:
     return (matrix + np.maximum(kinds, 1) * low) / (out + np.maximum(kinds, 1))
 
 
-def _choose(matrix: np.ndarray):
-    """For words with their contexts (slot, n): the best class, and n, the word's occurrences."""
-    k = len(matrix)
+def _gains(matrix: np.ndarray) -> np.ndarray:
+    """What one occurrence in each context adds to each class but 0, the end token's alone."""
     move = np.log(smoothed(matrix))
     column = matrix.sum(axis=0) + 0.5
-    gain = np.vstack([move.T, move - np.log(column / column.sum())])[:, 1:]     # class 0 is the end token's alone
+    return np.vstack([move.T, move - np.log(column / column.sum())])[:, 1:]
+
+
+def _choose(matrix: np.ndarray):
+    """For words with their contexts (slot, n): the best class, and n, the word's occurrences."""
+    k, gain = len(matrix), _gains(matrix)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -495,27 +561,40 @@ def place_words(numbers: DataFrame, first: int, last: int, head_unit: np.ndarray
 
     A word joins the class c for which the sum of log P(after | c) over the classes after it, and of
     log P(c | before) - log P(c) over those before it, is largest. Two numbers a word come to the driver.
-    more: (pair, n) that count as well.
+    more: (block, slots, n) that count as well.
     """
-    k, end, ends = len(matrix), len(unit_class) - 1, len(head_unit)
+    k, end, ends, gain = len(matrix), len(unit_class) - 1, len(head_unit), _gains(matrix)
+    n_words = last - first
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = unit_class[_unit_table(head_unit, n_own, end)]
+
         def slots():
             for s in _sequences(batches, ends):
-                classes = unit_class[_units(s, head_unit, n_own, end)]
+                classes = table[s]
                 at = np.flatnonzero((s >= first) & (s < last))
                 word = (s[at] - first) * (2 * k)
                 yield np.concatenate([word + classes[at + 1], word + k + classes[at - 1]])
-        yield from _summed(slots())
+        yield from _in_blocks(_sums(slots()), k)
 
-    counted = numbers.select("ids").mapInArrow(count, "pair long, n long")
+    def choose(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = key[0].as_py()
+        word = np.arange(block, n_words, BLOCKS)
+        contexts = np.zeros(len(word) * 2 * k)
+        for batch in batches:
+            slot, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            contexts += np.bincount(slot, n, len(contexts))
+        contexts = contexts.reshape(-1, 2 * k)
+        there = np.flatnonzero(contexts.any(axis=1))
+        best = 1 + np.argmax(contexts[there] @ gain, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(word[there], pa.int32()), pa.array(best, pa.int32())],
+                                         names=["word", "class"])
+
+    counted = numbers.select("ids").mapInArrow(count, "block int, slots array<int>, n array<long>")
     counted = counted if more is None else counted.unionByName(more)
-    slots = (counted.groupBy("pair").agg(F.sum("n").alias("n"))
-             .select(F.expr(f"int(pair div {2 * k})").alias("word"), (F.col("pair") % (2 * k)).cast("int").alias("slot"), "n"))
-    # at most 2k entries a word: a bounded group
-    found = (slots.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("e"))
-             .mapInArrow(_choose(matrix), "word int, class int, n long").select("word", "class").toArrow())
-    out = np.ones(last - first, dtype=np.int64)
+    # a block's batches are added up as they come, in 2k numbers for each of its words
+    found = counted.groupBy("block").applyInArrow(choose, "word int, class int").toArrow()
+    out = np.ones(n_words, dtype=np.int64)
     out[found["word"].to_numpy()] = found["class"].to_numpy()
     return out
 
@@ -542,7 +621,7 @@ def fit_brown(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, fr
     words, head_count = pa.array(head["word"].combine_chunks(), pa.binary()), head["n"].to_numpy()
     n_own = int((head_count >= max(n_tokens / frequent, 2)).sum())
     n_placed = max(int((head_count >= least_count).sum()), n_own)
-    endings = np.fromiter((ending(w.as_py()) for w in words[n_own:]), dtype=np.int64)
+    endings = np.fromiter(map(ending, _bytes(words[n_own:])), dtype=np.int64)
 
     # tokens and types of each ending, over the words that aren't in the exchange
     last = F.expr("substring(word, -3, 3)")
@@ -604,64 +683,59 @@ def fit_brown(texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, fr
                       unit_class, emission, inside, np.log10(smoothed(matrix)), class_mass, rest, any_rare)
 
 
-_WORKER: dict[str, dict] = {}
+_WORKER: dict[str, _Places] = {}
 
 
 def _score_partition(model: BrownModel):
     """Per text: what the head decides with all other words in their endings, the other words with their counts
     in the text and endings, and the pairs of neighbours that hold one: a class, or -1 - the word's place among them."""
     n_own, end = len(model.unit_class) - 1 - ENDINGS, len(model.unit_class) - 1
-    fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.key not in _WORKER:
             _WORKER.clear()
-            _WORKER[model.key] = {w: i for i, w in enumerate(model.words.to_pylist())}
-        number = _WORKER[model.key]
-        log_count = np.log10(model.head_count + 0.5)
-        own = model.head_unit < n_own
+            _WORKER[model.key] = _Places(model.words)
+        places, ends = _WORKER[model.key], len(model.words)
+        unit = _unit_table(model.head_unit, n_own, end)
+        class_of, emitted = model.unit_class[unit], (model.emission - model.inside)[unit]
+        log_count = np.concatenate([np.log10(model.head_count + 0.5), [np.log10(model.texts + 0.5)], np.zeros(ENDINGS)])
         # a unit of its own emits its word for certain
-        word_part = np.where(own, 0.0, log_count)
-        end_known, end_base = int(model.texts > 0), np.log10(model.texts + 0.5)
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                rows, offsets, tail, times, ends = [], [0], [], [], []
-                pairs, pair_offsets = [], [0]
-                for value in batch.column(batch.num_columns - 1):
-                    words = words_of(value.as_py())
-                    units, place = unit_ids(words, number, model.head_unit, n_own)
-                    path = model.unit_class[np.concatenate([[end], units, [end]])]
-                    seen = place[place >= 0]
-                    at = np.flatnonzero(place < 0)
-                    rest = Counter(words[i] for i in at.tolist())
-                    tail += rest.keys()
-                    times += rest.values()
-                    ends += map(ending, rest)
-                    offsets.append(len(tail))
-                    if rest and model.any_rare:
-                        nth = {w: -1 - i for i, w in enumerate(rest)}
-                        marked = path.copy()
-                        marked[at + 1] = [nth[words[i]] for i in at.tolist()]
-                        at = np.flatnonzero((marked[:-1] < 0) | (marked[1:] < 0))
-                        pairs.append(np.column_stack([marked[at], marked[at + 1]]).ravel())
-                        pair_offsets.append(pair_offsets[-1] + 2 * len(at))
-                    else:
-                        pair_offsets.append(pair_offsets[-1])
-                    rows.append((len(words) + 1, len(seen) + end_known, log_count[seen].sum() + end_base,
-                                 model.transition[path[:-1], path[1:]].sum() + model.emission[units].sum()
-                                 + model.emission[end] - model.inside[units].sum() + word_part[seen].sum()))
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)] if rows else \
-                    [pa.array([], t) for _, t in fields]
-                words_and_times = pa.StructArray.from_arrays(
-                    [pa.array(tail, pa.binary()), pa.array(times, pa.int32()), pa.array(ends, pa.int32())],
-                    names=["word", "times", "ending"])
-                all_pairs = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *columns,
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words_and_times),
-                     pa.ListArray.from_arrays(pa.array(pair_offsets, pa.int32()), all_pairs)],
-                    names=["doc_id", "held_out", *(n for n, _ in fields), "tail", "pairs"])
+        emitted[:ends] += np.where(model.head_unit < n_own, 0.0, log_count[:ends])
+        for batch in _slices(batches, 2):
+            numbers, offsets, codes, distinct = _numbered(batch.column(2), places)
+            rows, sizes = len(offsets) - 1, np.diff(offsets)
+            run = _with_ends(numbers, offsets, ends)
+            path, tokens = class_of[run], run[1:]
+            start = offsets[:-1] + np.arange(rows)      # of each text's tokens, its end the last
+
+            def by_text(values):
+                return pa.array(np.add.reduceat(values, start))
+
+            out = np.flatnonzero(numbers < 0)
+            out_row = np.repeat(np.arange(rows), sizes)[out]
+            # the other words of each text, each once
+            key, nth, times = np.unique(out_row * len(distinct) + codes[out], return_inverse=True, return_counts=True)
+            tail_row, tail = np.divmod(key, max(len(distinct), 1))
+            tail_offsets = np.searchsorted(tail_row, np.arange(rows + 1))
+            ending_of = np.zeros(len(distinct), dtype=np.int64)
+            ending_of[codes[out]] = -1 - numbers[out]
+            words_and_times = pa.StructArray.from_arrays(
+                [distinct.take(pa.array(tail)), pa.array(times, pa.int32()), pa.array(ending_of[tail], pa.int32())],
+                names=["word", "times", "ending"])
+            pairs, pair_offsets = np.zeros((0, 2), dtype=np.int64), np.zeros(rows + 1, dtype=np.int64)
+            if model.any_rare:
+                marked = path.copy()
+                marked[out + out_row + 1] = -1 - (nth - tail_offsets[out_row])
+                at = np.flatnonzero((marked[:-1] < 0) | (marked[1:] < 0))
+                pairs = np.column_stack([marked[at], marked[at + 1]])
+                pair_offsets = 2 * np.searchsorted(at, [*start, len(tokens)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()),
+                 by_text(((tokens >= 0) & ((tokens < ends) | (model.texts > 0))).astype(np.int64)),
+                 by_text(log_count[tokens]), by_text(model.transition[path[:-1], path[1:]] + emitted[tokens]),
+                 pa.ListArray.from_arrays(pa.array(tail_offsets, pa.int32()), words_and_times),
+                 pa.ListArray.from_arrays(pa.array(pair_offsets, pa.int32()), pa.array(pairs.ravel(), pa.int32()))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "pairs"])
 
     return score
 

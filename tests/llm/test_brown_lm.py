@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import brown_lm as B
@@ -223,3 +224,54 @@ def test_pairs_of_rare_words(spark):
         if {w, v} & set(classes):
             by_word[(w, v, classes.get(w), classes.get(v))] += n
     assert rows == by_word
+
+
+def test_words_of_a_slice(monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = [*map(chr, range(0x30)), "\x7f", "\x80", "\x85", "\xa0", "　", "A", "b", "Z", "É", "İ", "\U0001f600"]
+    texts = [None, "", "  ", " a "] + ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 60, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["left out", *texts])[1:]], names=["text"])
+
+    class Places(B._Places):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    want = [B.words_of(t) for t in texts]
+    places = Places(pa.array([b"a", b"b"], pa.binary()))
+    numbers, offsets, codes, distinct = B._numbered(batch.column(0), places)
+    found = [distinct[c].as_py() for c in codes]
+    assert [found[a:b] for a, b in zip(offsets, offsets[1:])] == want
+    assert numbers.tolist() == [{b"a": 0, b"b": 1}.get(w, -1 - B.ending(w)) for w in found]
+    # a word is looked up once, however often it occurs
+    assert places.asked == len(set(found)) < len(found)
+    monkeypatch.setattr(B, "SLICE", 100)
+    slices = list(B._slices(iter([batch, batch.slice(0, 0)])))
+    assert len(slices) > 20 and pa.Table.from_batches(slices).column(0).to_pylist() == texts
+
+
+def test_contexts_are_handed_on_in_blocks(monkeypatch):
+    monkeypatch.setattr(B, "BLOCKS", 7)
+    k, rng = 3, np.random.default_rng(4)
+    numbers = [rng.integers(0, 50 * 2 * k, 400) for _ in range(5)]
+    rows = [r for batch in B._in_blocks(B._sums(iter(numbers)), k) for r in batch.to_pylist()]
+    # one row a block, not one a word and context
+    assert len(rows) == 7
+    got = {(slot // (2 * k) * 7 + r["block"]) * 2 * k + slot % (2 * k): n
+           for r in rows for slot, n in zip(r["slots"], r["n"], strict=True)}
+    assert got == Counter(np.concatenate(numbers).tolist())
+    assert sum(batch.num_rows for batch in B._in_blocks(B._sums(iter([])), k)) == 0
+
+
+def test_sums_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(B, "FLUSH", 10)
+    rng = np.random.default_rng(6)
+    numbers = [rng.integers(0, 300, 30) for _ in range(40)]
+    got, parts = Counter(), 0
+    for keys, n in B._sums(iter(numbers)):
+        assert (np.diff(keys) > 0).all()
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+        parts += 1
+    assert got == Counter(np.concatenate(numbers).tolist()) and parts > 2
