@@ -155,9 +155,10 @@ def chars_per_token(spark, sf):
 
 @register("pad_mask")
 def pad_mask(spark, sf):
-    """Token ids cut/padded to 512 with an attention mask; labels = ids."""
+    """Token ids cut/padded to 512 with an attention mask; labels = ids. Beside them how many are attended, padding, and the ids' sum."""
     ids, mask = V.pad_truncate(F.col("ids"))
     x = _encoded(spark, sf).select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
-    return x.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).alias("attended"),
-                    (F.lit(512) - F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)).alias("padding"),
+    attended = F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
+    return x.select("doc_id", "input_ids", "attention_mask", F.col("input_ids").alias("labels"), attended.alias("attended"),
+                    (F.size("input_ids") - attended).alias("padding"),
                     F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("id_checksum"))

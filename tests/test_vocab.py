@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import session
 from corpusloom.operators import vocab as V
+from corpusloom.plans import vocab_q as Q
 
 
 def _py_bpe(freqs, n):
@@ -179,3 +180,33 @@ def test_merges_behind_a_repeated_symbol(spark):
     got = {r["sym"] for r in V.merged_table(state, merges, True, "\U000f0000").collect()}
     expected = [[sign.get(x, x) for x in V.merged(list(w), ranks)] for w in words]
     assert got == {"".join(w) for w in expected if len(w) > 1}
+
+
+def test_cut_padded_ids_and_mask(spark):
+    """Below, at and above the length, none, and both lengths of the reference; only the mask tells a padding id from a real one."""
+    df = spark.createDataFrame([(n, list(range(n))) for n in (0, 1, 255, 256, 257, 511, 512, 513, 700)], "n int, ids array<int>")
+    for size in (512, 256):
+        ids, mask = V.pad_truncate(F.col("ids"), size)
+        for r in df.select("n", ids.alias("x"), mask.alias("m")).collect():
+            held = min(r["n"], size)
+            assert r["x"] == [*range(held)] + [0] * (size - held) and r["m"] == [1] * held + [0] * (size - held)
+
+
+def test_pad_mask_returns_the_sequences_and_their_labels(spark, tmpdir_path):
+    """Ids in their texts' order, mask and labels of every document: short, of 512 tokens, longer, empty, missing and twice."""
+    texts = ["the theme then", "a " * 256, "a " * 256 + "a", "b c " * 400, "<pad> the <pad> \u00e9t\u00e9", "", None, "then the theme", "the theme then"]
+    docs = [(i if i < 8 else 0, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    d = Q.pad_mask(spark, tmpdir_path)
+    assert d.columns == ["doc_id", "input_ids", "attention_mask", "labels", "attended", "padding", "id_checksum"]
+    tok = Q.tokenizer(spark, tmpdir_path)
+    ranks, number = {(a, b): i for i, (a, b, _) in enumerate(tok.merges)}, {t: i for i, t in enumerate(tok.vocabulary())}
+    expected = []
+    for key, text, _ in docs:
+        ids = [i for piece in re.findall(r"<pad>|\w+|\s+", V._strip(text) or "") for i in ([0] if piece == "<pad>" else [
+            number[x] for x in V.merged(V.symbols_of(piece, True), ranks)])]
+        cut = ids[:512]
+        x = cut + [0] * (512 - len(cut))
+        expected.append((key, x, [1] * len(cut) + [0] * (512 - len(cut)), x, len(cut), 512 - len(cut), sum(cut)))
+    assert sorted(tuple(r) for r in d.collect()) == sorted(expected)
+    assert {r[4] for r in expected} >= {0, 512} and expected[0][1] != expected[7][1] and expected[0][6] == expected[7][6]
